@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, language_id
 
 QUERIES = {
+    "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
 }
 
