@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id
+from . import decontaminate, language_id, near_dedup
 
 QUERIES = {
+    "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
 }
 
 SQL = {
+    "op8_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
