@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, near_dedup
+from . import decontaminate, fingerprint, language_id, near_dedup
 
 QUERIES = {
+    "op2_fingerprint": fingerprint.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
