@@ -255,7 +255,7 @@ def _blocks(hot: DataFrame, active: DataFrame) -> DataFrame:
     nodes = odd.select("node").distinct()
     n = F.ceil(F.col("size") / F.lit(NODE)).cast("int")
     dealt = rows.where("component = main").join(nodes, "node", "left_semi").withColumn("block", F.pmod(F.xxhash64("cls"), n))
-    spread = odd.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)).cast("bigint"))
+    spread = odd.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)))
     both = dealt.unionByName(spread).select(F.xxhash64("node", "block").alias("node"), "cls", "n_shingles", "sketch", "component")
     return both
 
