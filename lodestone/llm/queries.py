@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language_id, near_dedup
+from . import decontaminate, fingerprint, language_id, near_dedup, tokens, toxicity
 
 QUERIES = {
     "op2_fingerprint": fingerprint.query,
+    "op3_toxicity": toxicity.query,
+    "op5_token_counts": tokens.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
