@@ -2,8 +2,10 @@
 
 Terms. Every word (a run of letters, lower-cased) offers itself and its prefixes
 of ``PREFIXES`` letters. From all labelled training texts, each distinct text
-once, a term's documents are counted by label, and those whose toxic share is
-surely high (Wilson's lower bound of at least ``PURITY``) are kept, the
+once, a term's documents are counted by label, toxic ones no more often than the
+term has different words before it there (by linear counting in 64 bits, so that
+near copies of a text don't vouch for its rare words). Terms whose toxic share
+is surely high (Wilson's lower bound of at least ``PURITY``) are kept, the
 ``MAX_TERMS`` surest. A word stands for its surest kept term. A text's vector
 holds (1 + ln tf) * idf for its terms, with idf from all documents, and one
 constant component, so that the cosine also tells one mention from many.
@@ -16,7 +18,7 @@ Search. Postings are cut into blocks of ``BLOCK`` examples with each block's
 greatest weight. A query takes blocks in order of the bound these give and
 stops where the bound falls under the k-th best cosine, so the ``K`` nearest
 are exact. Each votes with the label share of its texts, by 1 / (``NEAR`` +
-distance), against a prior; neighbours and cosines are kept as evidence.
+distance) ** 2, against a prior; neighbours and cosines are kept as evidence.
 
 Defined results: a null or empty text has the constant component alone; without
 training labels every score is 0. Label rows whose label is null or whose text
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -49,37 +52,40 @@ def offered(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def wilson(a: np.ndarray, n: np.ndarray, z: float = 2.0) -> np.ndarray:
-    """Lower bound of a share a / n."""
-    p = a / n
-    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-
-
 def choose_terms(labelled: DataFrame) -> dict[str, float]:
     """The kept terms and their sureness; ``labelled``: text, toxic (0/1), each text and label once."""
 
     def partial(batches):
-        toxic, clean = Counter(), Counter()
+        toxic, clean, seen = Counter(), Counter(), {}
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                own = {t for w in set(_WORD.findall(text.lower())) for t in offered(w)}
+                words = _WORD.findall(text.lower())
+                own = {t for w in set(words) for t in offered(w)}
                 (toxic if label else clean).update(own)
+                for before, w in zip(["", *words], words, strict=False) if label else ():
+                    bit = 1 << (zlib.crc32(before.encode()) & 63)
+                    for t in offered(w):
+                        seen[t] = seen.get(t, 0) | bit
             if len(toxic) + len(clean) > 200_000:
-                yield _counts(toxic, clean)
-                toxic, clean = Counter(), Counter()
-        yield _counts(toxic, clean)
-
-    counts = labelled.mapInArrow(partial, "term:string,a:bigint,b:bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(f"a >= 4 and a >= {PURITY} * (a + b)")
-    n, z = F.col("a") + F.col("b"), 2.0
-    p = F.col("a") / n
+                yield _counts(toxic, clean, seen)
+                toxic, clean, seen = Counter(), Counter(), {}
+        yield _counts(toxic, clean, seen)
+
+    counts = labelled.mapInArrow(partial, "term:string,a:bigint,b:bigint,bits:bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.bit_or("bits").alias("bits"))
+    free = 64 - F.bit_count("bits")
+    varied = F.when(free == 0, F.col("a")).otherwise(F.least(F.col("a").cast("double"), -64 * F.log((F.greatest(free, F.lit(1))) / 64)))
+    counts = counts.where("a >= 4").withColumn("v", varied).where("v >= 3")
+    n, z = F.col("v") + F.col("b"), 2.0
+    p = F.col("v") / n
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     kept = counts.withColumn("low", low).where(F.col("low") >= PURITY).orderBy(F.desc("low"), "term").limit(MAX_TERMS)
     return {r.term: r.low for r in kept.select("term", "low").collect()}
 
 
-def _counts(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+def _counts(toxic: Counter, clean: Counter, seen: dict[str, int]) -> pa.RecordBatch:
     terms = list(toxic.keys() | clean.keys())
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "a", "b"])
+    bits = np.array([seen.get(t, 0) for t in terms], np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64()), pa.array(bits)], names=["term", "a", "b", "bits"])
 
 
 def vector_of(text: str | None, terms: dict[str, tuple[int, float]], heads: frozenset[str], least: int) -> list[tuple[int, int]]:
@@ -165,7 +171,7 @@ class Index:
         who, cosine = self.nearest(key)
         if not len(who):
             return 0.0, []
-        vote = 1 / (NEAR + np.maximum(0, 1 - cosine))
+        vote = 1 / (NEAR + np.maximum(0, 1 - cosine)) ** 2
         value = ((vote * self.share[who]).sum() + PRIOR_WEIGHT * self.prior) / (vote.sum() + PRIOR_WEIGHT)
         return float(min(1.0, max(0.0, value))), list(zip(who.tolist(), cosine.tolist(), strict=True))
 
