@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language_id, near_dedup, tokens, toxicity
+from . import decontaminate, fingerprint, html_text, language_id, near_dedup, tokens, toxicity
 
 QUERIES = {
     "op2_fingerprint": fingerprint.query,
     "op3_toxicity": toxicity.query,
     "op5_token_counts": tokens.query,
+    "op6_html_text": html_text.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
