@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_text, language_id, near_dedup, tokens, toxicity
+from . import decontaminate, fingerprint, html_text, language_id, line_dedup, near_dedup, tokens, toxicity
 
 QUERIES = {
     "op2_fingerprint": fingerprint.query,
     "op3_toxicity": toxicity.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_token_counts": tokens.query,
     "op6_html_text": html_text.query,
     "op8_near_dedup": near_dedup.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_line_dedup": line_dedup.SQL,
     "op8_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
