@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_text, language_id, line_dedup, near_dedup, tokens, toxicity
+from . import decontaminate, fingerprint, html_text, language_id, line_dedup, mixing, near_dedup, tokens, toxicity
 
 QUERIES = {
     "op2_fingerprint": fingerprint.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_token_counts": tokens.query,
     "op6_html_text": html_text.query,
+    "op7_mixing": mixing.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
