@@ -28,7 +28,7 @@ ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _powers: list[np.ndarray] = []
 
 
