@@ -25,7 +25,8 @@ no single task holds the node.
 
 Defined results: rows are kept one for one, repeated ids included; a row with a
 null id takes part in links but represents none; a null text has no words. An
-empty table gives an empty result.
+empty table gives an empty result. ``deduplicated`` keeps one row of each
+component, and of rows repeated whole one.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import fresh, read, stored
 from .components import components
 from .textkit import LOWER, NOT_SPACE, list_array, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
 
@@ -215,10 +216,10 @@ def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return leaves, None if large.isEmpty() else large
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``' ids with n_shingles, component_id and kept."""
+def _membership(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (the text's hash), n_shingles, component (a class; null without words) and component_id of every row."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = stored(_described(base, "text"), "sets")
+    seen = stored(_described(base.withColumn("key", F.xxhash64("text")), "text"), "sets")
     some = seen.where("n_shingles > 0")
     classes = stored(some.groupBy("cls").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "roots", "sketch"))), "classes")
     leaves, hot = _split(classes)
@@ -239,10 +240,27 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     final = components(links.unionByName(more))
     names = final.withColumnRenamed("node", "cls").join(classes.select("cls", "id"), "cls")
     least = names.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = classes.select("cls", "id").join(names.select("cls", "component").join(least, "component").select("cls", "component_id"), "cls", "left").select("cls", F.coalesce("component_id", "id").alias("component_id"))
-    out = seen.select("id", "n_shingles", "cls").join(by_class, "cls", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    by_class = classes.select("cls", "id").join(names.select("cls", "component").join(least, "component"), "cls", "left")
+    by_class = by_class.select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
+    out = seen.select("id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")
+    return out.select("id", "key", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``' ids with n_shingles, component_id and kept."""
+    out = _membership(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component (of least id, then text hash), and every row without words."""
+    chosen = _membership(docs, id_col, text_col).where("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("c"))
+    key, = fresh(docs, "text_key")
+    rows = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+    picks = chosen.select(F.col("c.id").alias("pick_id"), F.col("c.key").alias("pick_key"))
+    picked = rows.join(picks, rows[id_col].eqNullSafe(picks["pick_id"]) & (rows[key] == picks["pick_key"]), "left_semi").dropDuplicates([id_col, key]).drop(key)
+    wordless = docs.where(~F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return picked.unionByName(wordless)
 
 
 def _blocks(hot: DataFrame, active: DataFrame) -> DataFrame:
