@@ -11,17 +11,18 @@ a pair shares a child with probability at least 1 - 0.2 ** 2 and a leaf of one
 tree with about 0.75 at any depth; eight trees miss fewer than 2 in 100,000 of
 the pairs right at the threshold and far fewer above. A node stops branching
 when it has at most ``NODE`` classes. Those are compared exhaustively by
-sketches of 64 minwise values, an estimate that only drops pairs some five
-standard deviations under the threshold. Whatever passes is confirmed on full
-sets.
-
-Only connectivity is wanted, so links are sought in two rounds: first each class
-against its least candidate partner (a star, not all pairs, in a group of
-copies), then only candidate pairs that are still in different components.
-Nodes still larger at the last level (near-identical copies) are linked to their
-least member in round one; in round two the members that are in another
-component are compared with all blocks of the node, so no partner is capped and
-no single task holds the node.
+sketches of ``SKETCH`` minwise values, an estimate that only drops pairs more
+than four standard deviations under the threshold. Nodes still larger at the
+last level hold near-identical copies; all their classes are candidates of each
+other.
+
+Confirmation. Candidate pairs are never listed: nodes give edges that span them,
+and the components of those edges are families, each class in one. A family of
+at most ``BLOCK`` classes is decided at once, all pairs on full sets, by matrix
+products. In a larger one every class is first tested against the family's most
+central one (that in the most and largest nodes); all pairs with those not
+linked to it are then decided block by block, so no task holds the family, no
+partner is capped and no pair is emitted but edges that span the links.
 
 Defined results: rows are kept one for one, repeated ids included; a row with a
 null id takes part in links but represents none; a null text has no words. An
@@ -41,7 +42,8 @@ from .components import components
 from .textkit import LOWER, NOT_SPACE, list_array, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
 
 TREES, LEVELS, BRANCH, NODE = 8, 4, 2, 128
-SKETCH, SKETCH_LEAST = 64, 36
+SKETCH, SKETCH_LEAST = 96, 60
+BLOCK, SLAB = 512, 4096
 _SEEDS = np.random.default_rng(88172645).integers(1, 1 << 62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,12 +74,11 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
     def describe(batches):
         for b in batches:
             buf, offsets = utf8(b.column(text_col))
-            n, keys, tokens = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [np.zeros((0, SKETCH), np.uint32)]
+            n, keys, tokens = [np.zeros(0, np.int64)], [np.zeros((0, 2), ">u8")], [np.zeros((0, SKETCH), np.uint32)]
             for _, _, part, at in slices(buf, offsets):
                 v, bounds = shingle_sets(part, at)
                 n.append(np.diff(bounds))
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (v, mix64(v ^ np.uint64(0x5851F42D4C957F2D)))]
-                keys.append(np.stack([mix64(s[bounds[1:]] - s[bounds[:-1]] + n[-1].astype(np.uint64)) for s in sums], axis=1))
+                keys.append(_keys(v, bounds))
                 tokens.append(minwise(v, bounds))
             tokens = np.concatenate(tokens)
             roots = mix64(tokens[:, :TREES].astype(np.uint64) + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40)))
@@ -87,6 +88,13 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(describe, schema)
 
 
+def _keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128-bit keys of the sets, big-endian so that bytes sort as numbers do."""
+    n = np.diff(bounds).astype(np.uint64)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (values, mix64(values ^ np.uint64(0x5851F42D4C957F2D)))]
+    return np.stack([mix64(x[bounds[1:]] - x[bounds[:-1]] + n) for x in sums], axis=1).astype(">u8")
+
+
 def _binary(rows: np.ndarray, width: int) -> pa.Array:
     raw = rows.tobytes()
     return pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
@@ -119,7 +127,7 @@ def _runs(batches, columns):
         yield held.combine_chunks()
 
 
-def _compared(node, n, sketch, differ):
+def _compared(node, n, sketch):
     """Index pairs in the same node that sizes and sketches allow; all pairs, offset by offset."""
     end = np.searchsorted(node, node, "right")
     k, left = 1, np.arange(len(node))
@@ -127,10 +135,8 @@ def _compared(node, n, sketch, differ):
         for part in np.array_split(left, max(1, len(left) >> 16)):
             other = part + k
             small, large = np.minimum(n[part], n[other]), np.maximum(n[part], n[other])
-            ok = 5 * small >= 4 * large
-            if differ is not None:
-                ok &= differ[part] != differ[other]
-            part, other = part[ok], other[ok]
+            part = part[5 * small >= 4 * large]
+            other = part + k
             if len(part):
                 hit = (sketch[part] == sketch[other]).sum(axis=1) >= SKETCH_LEAST
                 if hit.any():
@@ -138,67 +144,129 @@ def _compared(node, n, sketch, differ):
         k += 1
 
 
-def _candidates(leaves: DataFrame, by_component: bool) -> DataFrame:
-    """Candidate pairs (u > v) of small nodes: each class with its least partner, or all pairs of different components."""
-    columns = ["node", "cls", "n_shingles", "sketch", *(["component"] if by_component else [])]
+def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each of n items to the least of its component in the graph of pairs (a, b), where it isn't that itself."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        old = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == old).all():
+            break
+    moved = np.flatnonzero(label < np.arange(n))
+    return moved, label[moved]
+
+
+def _edges(cls: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cls[u].tolist(), pa.binary()), pa.array(cls[v].tolist(), pa.binary())], names=["u", "v"])
+
+
+def _candidates(leaves: DataFrame) -> DataFrame:
+    """Edges that span the candidate pairs of each small node."""
+    columns = ["node", "cls", "n_shingles", "sketch"]
 
     def compare(batches):
         for t in _runs(batches, columns):
             node, n = t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
             cls = np.array(t.column("cls").to_pylist(), object)
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            comp = np.unique(np.array(t.column("component").to_pylist(), object), return_inverse=True)[1] if by_component else None
-            rank = np.empty(len(cls), np.int64)
             halves = np.frombuffer(b"".join(cls.tolist()), ">u8").astype(np.uint64).reshape(-1, 2)
             by_rank = np.lexsort((halves[:, 1], halves[:, 0]))
+            rank = np.empty(len(cls), np.int64)
             rank[by_rank] = np.arange(len(cls))
-            least = rank.copy()
-            found = set()
-            for a, b in _compared(node, n, sketch, comp):
-                if by_component:
-                    found.update(zip(np.maximum(rank[a], rank[b]).tolist(), np.minimum(rank[a], rank[b]).tolist(), strict=True))
-                else:
-                    np.minimum.at(least, a, rank[b])
-                    np.minimum.at(least, b, rank[a])
-            if not by_component:
-                found = set(zip(*(x.tolist() for x in (rank[least < rank], least[least < rank])), strict=True))
+            found = [(rank[a], rank[b]) for a, b in _compared(node, n, sketch)]
             if found:
-                u, v = (by_rank[list(x)] for x in zip(*found, strict=True))
-                keep = cls[u] != cls[v]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[u[keep]].tolist(), pa.binary()), pa.array(cls[v[keep]].tolist(), pa.binary())], names=["u", "v"])
+                u, v = _spanning(len(cls), *(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield _edges(cls[by_rank], u, v)
 
     return leaves.select(columns).repartition("node").sortWithinPartitions("node").mapInArrow(compare, "u:binary,v:binary").distinct()
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * |A & B| >= 80 * |A | B|; sets come from the text of each class's least id."""
-    ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+def _sets(base: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
+    """cls, family, members (the full set) of the classes in families, from the text of each one's least id."""
+    wanted = classes.select("cls", "id").join(families, "cls")
+    ids = wanted.select(F.col("id").alias("rep")).distinct()
+    texts = base.join(ids, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
     def to_sets(batches):
         for b in batches:
             buf, offsets = utf8(b.column("text"))
-            parts = [shingle_sets(part, at) for _, _, part, at in slices(buf, offsets)]
-            n = np.concatenate([np.diff(bounds) for _, bounds in parts]) if parts else np.zeros(0, np.int64)
-            v = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), list_array(v.view(np.int64), np.concatenate(([0], np.cumsum(n))), pa.int64())], names=["cls", "members"])
-
-    wanted = classes.join(ends, "cls", "left_semi").select("cls", F.col("id").alias("rep"))
-    rows = base.join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text", F.col("text").alias("body"))
-    texts = _described(rows, "body").join(ends, "cls", "left_semi").groupBy("cls").agg(F.any_value("text").alias("text"))
-    sets = texts.mapInArrow(to_sets, "cls:binary,members:array<bigint>")
-    a = sets.select(F.col("cls").alias("u"), F.col("members").alias("a"))
-    b = sets.select(F.col("cls").alias("v"), F.col("members").alias("b"))
+            for _, _, part, at in slices(buf, offsets):
+                v, bounds = shingle_sets(part, at)
+                yield pa.RecordBatch.from_arrays([_binary(_keys(v, bounds), 16), list_array(v.view(np.int64), bounds, pa.int64())], names=["cls", "members"])
+
+    return texts.mapInArrow(to_sets, "cls:binary,members:array<bigint>").join(families, "cls").dropDuplicates(["cls"])
+
+
+def _starred(big: DataFrame, rank: DataFrame) -> DataFrame:
+    """Rows of large families with the class of their family's leader (of greatest rank) and whether they are linked with it."""
+    lead = big.select("cls", "family").join(rank, "cls").groupBy("family").agg(F.max_by("cls", F.struct("rank", "cls")).alias("lead"))
+    lead = lead.join(big.select(F.col("cls").alias("lead"), F.col("members").alias("lead_members")), "lead")
+    rows = big.join(lead, "family").select("cls", "family", "members", "lead", "lead_members")
 
     def check(batches):
-        for x in batches:
-            keep = []
-            for i, j in zip(x.column("a"), x.column("b"), strict=True):
+        for b in batches:
+            flags = []
+            for i, j in zip(b.column("members"), b.column("lead_members"), strict=True):
                 p, q = i.values.to_numpy(), j.values.to_numpy()
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= 80 * (len(p) + len(q) - both))
-            yield x.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                flags.append(100 * both >= 80 * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cls", "family", "members", "lead")), pa.array(flags, pa.bool_())], names=["cls", "family", "members", "lead", "linked"])
+
+    return rows.mapInArrow(check, "cls:binary,family:binary,members:array<bigint>,lead:binary,linked:boolean")
+
+
+def _grid(starred: DataFrame) -> DataFrame:
+    """Blocks of a large family: every row against every row that isn't linked with the leader, BLOCK by BLOCK."""
+    size = starred.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("nb"), F.ceil(F.sum((~F.col("linked")).cast("int")) / F.lit(BLOCK)).alias("rb")).where("rb > 0")
+    rows = starred.join(size, "family")
+    own = F.pmod(F.xxhash64("cls"), F.col("nb"))
+    every = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rb") - 1))).withColumns({"i": own, "a": F.lit(True), "b": F.lit(False)})
+    rest = rows.where(~F.col("linked")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).withColumns({"j": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rb")), "a": F.lit(False), "b": F.lit(True)})
+    return every.unionByName(rest).select(F.xxhash64("family", "i", "j").alias("node"), "cls", "members", "a", "b")
+
+
+def _overlaps(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of rows a with those of rows b, by matrix products over slabs of shingles."""
+    distinct, at = np.unique(values, return_inverse=True)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, len(distinct), SLAB):
+        s = slice(*np.searchsorted(at, [first, first + SLAB]))
+        x = np.zeros((len(bounds) - 1, min(SLAB, len(distinct) - first)), np.float32)
+        x[row[s], at[s] - first] = 1
+        out += x[a] @ x[b].T
+    return out
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u:binary,v:binary")
+
+def _confirmed(blocks: DataFrame) -> DataFrame:
+    """Edges that span the links of each block, every pair decided on full sets."""
+    columns = ["node", "cls", "members", "a", "b"]
+
+    def confirm(batches):
+        for t in _runs(batches, columns):
+            node = t.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                part = t.slice(x, y - x)
+                cls = np.array(part.column("cls").to_pylist(), object)
+                lists = part.column("members").combine_chunks()
+                lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+                bounds = np.asarray(lists.offsets.to_numpy()) - lists.offsets[0].as_py()
+                values = lists.values.slice(lists.offsets[0].as_py(), int(bounds[-1])).to_numpy()
+                a, b = (np.flatnonzero(np.array(part.column(c).to_pylist(), bool)) for c in ("a", "b"))
+                n = np.diff(bounds).astype(np.float64)
+                both = _overlaps(values, bounds, a, b).astype(np.float64)
+                i, j = np.nonzero(100 * both >= 80 * (n[a][:, None] + n[b][None, :] - both))
+                u, v = _spanning(len(cls), a[i], b[j])
+                if len(u):
+                    yield _edges(cls, u, v)
+
+    return blocks.select(columns).repartition("node").sortWithinPartitions("node").mapInArrow(confirm, "u:binary,v:binary").where("u <> v").distinct()
 
 
 def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -207,7 +275,7 @@ def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     for depth in range(1, LEVELS + 1):
         size = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         sized = stored(nodes.join(size, "node"), "nodes")
-        small = sized.where(F.col("size") <= NODE).select("node", "cls", "n_shingles", "sketch")
+        small = sized.where(F.col("size") <= NODE).select("node", "cls", "n_shingles", "sketch", "size")
         leaves = small if leaves is None else leaves.unionByName(small)
         large = sized.where(F.col("size") > NODE)
         if depth == LEVELS or large.isEmpty():
@@ -223,21 +291,22 @@ def _membership(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     some = seen.where("n_shingles > 0")
     classes = stored(some.groupBy("cls").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "roots", "sketch"))), "classes")
     leaves, hot = _split(classes)
-    stars = _candidates(leaves, by_component=False)
-    if hot is not None:
-        lead = hot.groupBy("node").agg(F.min("cls").alias("v"))
-        stars = stars.unionByName(hot.join(lead, "node").where("cls <> v").select(F.col("cls").alias("u"), "v").distinct()).distinct()
-    stars = stored(stars, "stars")
-    links = stored(_confirmed(stars, base, classes), "links")
-    parts = stored(components(links), "parts")
-    active = stars.select(F.col("u").alias("cls")).unionByName(stars.select(F.col("v").alias("cls"))).distinct()
-    active = active.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
-    second = _candidates(leaves.join(active, "cls"), by_component=True)
+    near = _candidates(leaves)
+    rank = leaves.select("cls", "size")
     if hot is not None:
-        second = second.unionByName(_candidates(_blocks(hot, active), by_component=True)).distinct()
-    second = stored(second.join(stars, ["u", "v"], "left_anti"), "second")
-    more = _confirmed(second, base, classes)
-    final = components(links.unionByName(more))
+        near = near.unionByName(hot.join(hot.groupBy("node").agg(F.min("cls").alias("v")), "node").select(F.col("cls").alias("u"), "v").where("u <> v").distinct())
+        rank = rank.unionByName(hot.select("cls", "size"))
+    families = components(near).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    sets = stored(_sets(base, classes, families), "sets")
+    size = sets.groupBy("family").agg(F.count("*").alias("size"))
+    sized = sets.join(size, "family")
+    blocks = sized.where(F.col("size") <= BLOCK).select(F.xxhash64("family").alias("node"), "cls", "members", F.lit(True).alias("a"), F.lit(True).alias("b"))
+    links = _confirmed(blocks)
+    big = sized.where(F.col("size") > BLOCK).drop("size")
+    if not big.isEmpty():
+        starred = stored(_starred(big, rank.groupBy("cls").agg(F.sum("size").alias("rank"))), "starred")
+        links = links.unionByName(starred.where("linked and cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v"))).unionByName(_confirmed(_grid(starred)))
+    final = components(links)
     names = final.withColumnRenamed("node", "cls").join(classes.select("cls", "id"), "cls")
     least = names.groupBy("component").agg(F.min("id").alias("component_id"))
     by_class = classes.select("cls", "id").join(names.select("cls", "component").join(least, "component"), "cls", "left")
@@ -263,21 +332,6 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return picked.unionByName(wordless)
 
 
-def _blocks(hot: DataFrame, active: DataFrame) -> DataFrame:
-    """Large nodes dealt into blocks of about NODE classes; members outside the leader's component go to every block."""
-    rows = hot.join(active, "cls")
-    lead = hot.groupBy("node").agg(F.min("cls").alias("lead"))
-    lead = lead.join(active.select(F.col("cls").alias("lead"), F.col("component").alias("main")), "lead").select("node", "main")
-    rows = rows.join(lead, "node")
-    odd = rows.where("component <> main")
-    nodes = odd.select("node").distinct()
-    n = F.ceil(F.col("size") / F.lit(NODE)).cast("int")
-    dealt = rows.where("component = main").join(nodes, "node", "left_semi").withColumn("block", F.pmod(F.xxhash64("cls"), n))
-    spread = odd.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)))
-    both = dealt.unionByName(spread).select(F.xxhash64("node", "block").alias("node"), "cls", "n_shingles", "sketch", "component")
-    return both
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
