@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_text, language_id, line_dedup, mixing, near_dedup, tokens, toxicity
+from . import decontaminate, fingerprint, html_text, language_id, line_dedup, lm_score, mixing, near_dedup, tokens, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.query,
     "op2_fingerprint": fingerprint.query,
     "op3_toxicity": toxicity.query,
     "op4_line_dedup": line_dedup.query,
