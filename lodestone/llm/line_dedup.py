@@ -41,17 +41,19 @@ _BLANK = "\t\n\x0b\f\r "
 _FIELD = r"[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
 
 
-def tokens_of(line: Column) -> Column:
-    """Masked tokens of a line; a blank line has one empty token."""
-    return F.split(F.btrim(F.regexp_replace(line, _FIELD, "<*>"), F.lit(_BLANK)), r"[\x09-\x0D\x20]+")
+def canonical(line: Column) -> Column:
+    """The line's masked tokens, one space between them; only lines with digits or odd white space go through regexes."""
+    bare = F.btrim(line, F.lit(_BLANK))
+    masked = F.array_join(F.split(F.btrim(F.regexp_replace(bare, _FIELD, "<*>"), F.lit(_BLANK)), r"[\x09-\x0D\x20]+"), " ")
+    return F.when(bare.rlike(r"[0-9\x09-\x0D]") | bare.contains("  "), masked).otherwise(bare)
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """id, key, pos, n_chars, leaf, masked (hash), n_tokens and tokens of every line that isn't blank; ``docs``: id, key, text."""
-    each = docs.select("id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.btrim("line", F.lit(_BLANK)) != "")
-    each = each.select("id", "key", "pos", F.char_length("line").alias("n_chars"), tokens_of(F.col("line")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
-    lead = [F.get("tokens", F.lit(i)) for i in range(depth)]
-    return each.withColumns({"leaf": F.xxhash64("n_tokens", *lead), "masked": F.xxhash64("n_tokens", "tokens")})
+    """id, key, pos, n_chars, canon, n_tokens, leaf and masked (hashes) of every line that isn't blank; ``docs``: id, key, text."""
+    each = docs.select("id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    each = each.select("id", "key", "pos", F.char_length("line").alias("n_chars"), canonical(F.col("line")).alias("canon")).where("canon <> ''")
+    each = each.withColumn("n_tokens", F.char_length("canon") - F.char_length(F.replace("canon", F.lit(" "), F.lit(""))) + 1)
+    return each.withColumns({"leaf": F.xxhash64("n_tokens", F.substring_index("canon", " ", depth)), "masked": F.xxhash64("canon")})
 
 
 def _recurring(rows: DataFrame, by: list[str], min_docs: int) -> DataFrame:
@@ -66,13 +68,13 @@ def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, to
     wanted = chosen.select(F.col("id").alias("i"), F.col("key").alias("k")).distinct()
     again = _lines(docs.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi"), depth)
     marks = chosen.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("pos").alias("p"))
-    lines = again.join(marks, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p")), "left_semi").select("id", "key", "pos", "n_chars", "leaf", "n_tokens", "tokens").distinct()
+    lines = again.join(marks, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p")), "left_semi").select("id", "key", "pos", "n_chars", "leaf", "n_tokens", "canon").distinct()
     lines = stored(lines, "lines")
-    single = lines.select("leaf", "id", "tokens").distinct()
+    single = lines.select("leaf", "id", "canon").distinct()
     size = single.groupBy("leaf").agg(F.count("*").alias("size"))
-    spots = single.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    spots = single.select("leaf", F.posexplode(F.split("canon", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     kept = spots.join(size, "leaf").where(F.col("n") >= token_share * F.col("size")).select("leaf", "at", "token", F.xxhash64("at", "token").alias("h"))
-    each = lines.select("id", "key", "pos", "n_chars", "leaf", "n_tokens", F.posexplode("tokens").alias("at", "token")).join(kept, ["leaf", "at", "token"])
+    each = lines.select("id", "key", "pos", "n_chars", "leaf", "n_tokens", F.posexplode(F.split("canon", " ")).alias("at", "token")).join(kept, ["leaf", "at", "token"])
     shaped = each.groupBy("id", "key", "pos", "n_chars", "leaf", "n_tokens").agg(F.bit_xor("h").alias("shape"), F.count("*").alias("n")).where(F.col("n") >= kept_share * F.col("n_tokens"))
     return shaped.join(_recurring(shaped, ["leaf", "shape"], min_docs), ["leaf", "shape"]).select("id", "key", "pos", "n_chars", "first")
 
