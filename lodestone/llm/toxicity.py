@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms. Every word (a run of letters, lower-cased) offers itself and its prefixes
-of ``PREFIXES`` letters. From all labelled training texts, each distinct text
-once, a term's documents are counted by label, toxic ones no more often than the
+of ``PREFIXES`` letters. From the labelled training texts, at most
+``TOXIC_TEXTS`` and ``CLEAN_TEXTS`` of either label by a hash of the id (a bound
+on the classifier's sample), a term's documents are counted by label, toxic ones no more often than the
 term has different words before it there (by linear counting in 64 bits, so that
 near copies of a text don't vouch for its rare words). Terms whose toxic share
 is surely high (Wilson's lower bound of at least ``PURITY``) are kept, the
@@ -42,6 +43,7 @@ from .common import fresh, read, remainder, stored
 
 PREFIXES = (4, 5, 6)
 PURITY, MAX_TERMS, MAX_EXAMPLES = 0.6, 4096, 4096
+TOXIC_TEXTS, CLEAN_TEXTS = 16_384, 32_768
 K, BLOCK, NEAR, PRIOR_WEIGHT = 15, 64, 0.02, 0.5
 CONSTANT = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +55,7 @@ def offered(word: str) -> list[str]:
 
 
 def choose_terms(labelled: DataFrame) -> dict[str, float]:
-    """The kept terms and their sureness; ``labelled``: text, toxic (0/1), each text and label once."""
+    """The kept terms and their sureness; ``labelled``: text, toxic (boolean)."""
 
     def partial(batches):
         toxic, clean, seen = Counter(), Counter(), {}
@@ -180,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Terms, every document's vector (its columns but the text, and ``vector``), and the index, learned from ``labels``."""
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null and i is not null").distinct()
-    terms = choose_terms(texts.join(marks, "i").select("text", (F.col("toxic") > 0).alias("toxic")).distinct())
+    ranked = lambda rows, most: rows.orderBy(F.xxhash64("i"), "i").limit(most)
+    taught = ranked(marks.where("toxic > 0"), TOXIC_TEXTS).unionByName(ranked(marks.where("toxic <= 0"), CLEAN_TEXTS))
+    terms = choose_terms(texts.join(F.broadcast(taught), "i").select("text", (F.col("toxic") > 0).alias("toxic")))
     name, = fresh(docs, "vector")
     vectors = stored(with_vectors(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, terms, name), "vectors")
     n = vectors.count()
