@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import bounded_batches, fresh, read
 from .textkit import ALNUM, LOWER
 
 WINDOW = 10
@@ -123,6 +123,7 @@ def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_byt
 def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, spans: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     out_names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
     held, ranges, who, count = fresh(docs, "held_text", "held_ranges", "held_items", "held_words")
     df = docs.withColumn(held, F.col(text_col).cast("string"))

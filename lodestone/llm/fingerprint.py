@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 from .textkit import LOWER, NOT_SPACE, mix64, pair_hashes, slices, span_hashes, utf8, words
 
 EXACT, LIKE = 8, 256
@@ -108,6 +108,7 @@ def _edges(ids: DataFrame) -> np.ndarray:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next id."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rank = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
     ids = base.select(rank.alias("id"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import bounded_batches, fresh, read
 
 LINKS, SHORT, LONG, DENSE, SPARSE = 0.5, 30, 70, 0.15, 0.05
 
@@ -190,6 +190,7 @@ def main_text(page: str | None) -> str:
 
 def extracted(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars."""
+    bounded_batches(pages.sparkSession)
     held, = fresh(pages, "held_html")
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     df = pages.select(*keep, F.col(html_col).cast("string").alias(held))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, read, remainder
+from .common import bounded_batches, fresh, read, remainder
 from .textkit import LOWER, mix64, slices, utf8
 
 ORDER = 4
@@ -33,7 +33,7 @@ SAMPLE_DOCS = 200
 SAMPLE_CHARS = 16_384
 #: The score is the posterior as it would be from so many bytes at the text's mean code length per byte.
 EVIDENCE_BYTES = 64
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _contexts(buf: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
@@ -171,6 +171,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letters, = fresh(docs, "has_letter")
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, stored
+from .common import bounded_batches, fresh, read, stored
 from .components import components
 from .textkit import LOWER, NOT_SPACE, list_array, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
 
@@ -286,6 +286,7 @@ def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def _membership(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key (the text's hash), n_shingles, component (a class; null without words) and component_id of every row."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = stored(_described(base.withColumn("key", F.xxhash64("text")), "text"), "sets")
     some = seen.where("n_shingles > 0")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import bounded_batches, fresh, read
 
 VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the split pattern that belongs to the vocabulary (public, GPT-2's).
@@ -79,6 +79,7 @@ def section_tokens(docs: DataFrame, sections: Column, *, text_col: str = "text",
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bounded_batches(docs.sparkSession)
     held, = fresh(docs, "held_sections")
     keep = [c for c in docs.columns if c not in ("n_tokens", "section_tokens")]
     df = docs.select(*keep, sections.cast("array<struct<name:string,end:bigint>>").alias(held))

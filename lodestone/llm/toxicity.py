@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, remainder, stored
+from .common import bounded_batches, fresh, read, remainder, stored
 
 PREFIXES = (4, 5, 6)
 PURITY, MAX_TERMS, MAX_EXAMPLES = 0.6, 4096, 4096
@@ -180,6 +180,7 @@ class Index:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], DataFrame, Index]:
     """Terms, every document's vector (its columns but the text, and ``vector``), and the index, learned from ``labels``."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null and i is not null").distinct()
     ranked = lambda rows, most: rows.orderBy(F.xxhash64("i"), "i").limit(most)
