@@ -12,7 +12,10 @@ from typing import Any, TextIO
 from ..functions import glob as G
 from ..functions.vector import clamp_threshold
 from ..operators import search
+from ..operators.embedding import EMBEDDERS, embedded
+from ..operators.statistics import benchmark_means
 from ..sources import output
+from ..sources.files import sample_texts
 from ..sources.index_store import IndexStore
 from .config import MODELS, Settings
 from .pipeline import ask, build
@@ -130,8 +133,28 @@ class Service:
                 sink.flush()
 
 
+def benchmark(spark, backends: list[str], texts: int, iterations: int, file: str | None = None, form: str = "table") -> str:
+    """Mean texts a second and milliseconds by backend over the iterations."""
+    rows, samples = [], sample_texts(spark, texts, file).persist()
+    n = samples.count()
+    for name in backends:
+        for _ in range(iterations):
+            began = time.perf_counter()
+            embedded(samples, EMBEDDERS.get(name), "text").write.format("noop").mode("overwrite").save()
+            took = time.perf_counter() - began
+            rows.append((name, n / took, took * 1000))
+    samples.unpersist()
+    means = benchmark_means(spark.createDataFrame(rows, "backend string, texts_per_s double, ms double"), "backend", "texts_per_s", "ms").collect()
+    found = [r.asDict() for r in sorted(means, key=lambda r: r.backend)]
+    if form == "json":
+        return json.dumps(found, indent=2)
+    if form == "csv":
+        return "\n".join(["backend,texts_per_s,ms", *(f"{r['backend']},{r['texts_per_s']:.2f},{r['ms']:.2f}" for r in found)])
+    return "\n".join(f"{r['backend']:<20} {r['texts_per_s']:>12.1f} texts/s {r['ms']:>10.1f} ms" for r in found)
+
+
 def main(argv: list[str] | None = None) -> int:
-    """index PATH, search PATH QUERY, serve PATH, models."""
+    """index PATH, search PATH QUERY, serve PATH, benchmark, models."""
     p = argparse.ArgumentParser(prog="lodestone")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("index", "search", "serve"):
@@ -146,6 +169,12 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--filter")
             c.add_argument("--json", action="store_true")
     sub.add_parser("models")
+    b = sub.add_parser("benchmark")
+    b.add_argument("--backend", action="append", default=None)
+    b.add_argument("--texts", type=int, default=100)
+    b.add_argument("--file")
+    b.add_argument("--iterations", type=int, default=3)
+    b.add_argument("--format", choices=("table", "json", "csv"), default="table")
     a = p.parse_args(argv)
     if a.command == "models":
         for m in MODELS.values():
@@ -154,6 +183,9 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
+    if a.command == "benchmark":
+        print(benchmark(spark, a.backend or ["mock"], a.texts, a.iterations, a.file, a.format))
+        return 0
     store = IndexStore(spark, a.index or f"{a.path.rstrip('/')}/.lodestone")
     if a.command == "index":
         print(build(spark, a.path, store))

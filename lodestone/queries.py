@@ -10,6 +10,8 @@ from .functions import text as T
 from .functions import vector as V
 from .operators import codec, diff, embedding, events, search, statistics
 from .operators.chunking import ChunkConfig, chunks
+from .sources import output
+from .sources.files import decoded
 
 EXTENSIONS = ("rs", "py", "js", "ts", "md", "json", "RS", "")
 QUERIES: dict = {}
@@ -483,3 +485,41 @@ def rehydrate(spark, d):
 @query(f"SELECT count(*) AS files FROM {FILES} WHERE path = 'src5/en/doc_5.json'")
 def chunks_of_file(spark, d):
     return files(spark, d).where(F.col("path") == "src5/en/doc_5.json").agg(F.count("*").alias("files"))
+
+
+def _sample_results(spark, d):
+    hits = search.search(_indexed(spark, d), first_vector(spark, d), search.SearchRequest(limit=12), ties=["path"])
+    texts = files(spark, d).select("path", "text")
+    return texts.join(F.broadcast(hits), "path").select(F.col("path").alias("file_path"), F.lit(1).alias("start_line"), T.line_count(F.col("text")).cast("int").alias("end_line"), F.round("similarity", 3).alias("similarity"), F.left("text", F.lit(300)).alias("content"), "rank")
+
+
+_RESULTS = f"(SELECT h.path AS file_path, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT suffix(text, chr(10)) THEN 1 ELSE 0 END AS INT) AS end_line, round(greatest(s, 0), 3) AS similarity, left(text, 300) AS content, CAST(r - 1 AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY s DESC, path) AS r FROM {_HITS} ORDER BY s DESC, path LIMIT 12) h JOIN {FILES} f ON f.path = h.path)"
+
+
+@query(f"SELECT to_json({{'file': file_path, 'line_start': start_line, 'line_end': end_line, 'score': similarity, 'content': content, 'rank': rank}})::VARCHAR AS value FROM {_RESULTS}")
+def json_results(spark, d):
+    return output.json_lines(_sample_results(spark, d))
+
+
+@query(f"SELECT (rank + 1) || '. ' || file_path || ':1 (similarity: ' || format('{{:.1f}}', similarity * 100) || '%)' || chr(10) || array_to_string(list_transform(list_slice(string_split(content, chr(10)), 1, 3), lambda x, i: lpad(CAST(i AS VARCHAR), 4, ' ') || '│ ' || trim(x)), chr(10)) || CASE WHEN len(string_split(content, chr(10))) > 3 THEN chr(10) || '    │ ...' ELSE '' END AS value FROM {_RESULTS}")
+def text_results(spark, d):
+    return output.text_lines(_sample_results(spark, d))
+
+
+@query(f"SELECT regexp_replace(file_path, '^src0/', '') AS file_path, CASE WHEN {EXT.replace('path', 'file_path')} = '' THEN 'unknown' ELSE {EXT.replace('path', 'file_path')} END AS file_type, similarity, rank, start_line, end_line, content, NULL::VARCHAR AS context FROM {_RESULTS}")
+def tool_results(spark, d):
+    return output.tool_rows(_sample_results(spark, d), "src0")
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, CASE WHEN octet_length(encode(text)) > 4000 THEN 16 WHEN octet_length(encode(text)) < 500 THEN 64 ELSE 32 END AS batch FROM documents")
+def batch_sizing(spark, d):
+    size = F.octet_length("text").cast("bigint")
+    return table(spark, d, "documents").select("doc_id", size.alias("bytes"), F.when(size > 4000, 16).when(size < 500, 64).otherwise(32).alias("batch"))
+
+
+@query("SELECT doc_id, a, b, CASE WHEN doc_id % 3 = 0 THEN chr(0) ELSE '' END <> '' AS is_binary FROM (SELECT doc_id, CAST(length(left(text, 10)) AS BIGINT) AS a, CAST(octet_length(encode(left(text, 10))) AS BIGINT) AS b FROM documents)")
+def decode_files(spark, d):
+    head = F.left("text", F.lit(10))
+    content = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.repeat(F.lit("00"), 50))).otherwise(F.encode(head, "UTF-8"))
+    raw = table(spark, d, "documents").select("doc_id", F.char_length(head).cast("bigint").alias("a"), F.octet_length(head).cast("bigint").alias("b"), content.alias("content"))
+    return decoded(raw).select("doc_id", "a", "b", "is_binary")

@@ -202,7 +202,9 @@ def test_service(spark, tree, tmp_path):
     send = lambda method, number=1, **params: s.answer(json.dumps({"jsonrpc": "2.0", "id": number, "method": method, "params": params}))
     assert send("tools/list")["error"]["code"] == service.NOT_READY
     assert send("initialize", "u-1")["id"] == "u-1" and send("tools/list")["result"]["tools"][0]["name"] == "semantic_search"
-    good = send("tools/call", name="semantic_search", arguments={"query": "words", "limit": 2, "filetype": ".md", "threshold": 0})["result"]
+    good = send("tools/call", name="semantic_search", arguments={"query": "words", "limit": 2, "filetype": ".md", "threshold": 0})
+    assert "result" in good, good
+    good = good["result"]
     assert good["total_results"] == 1 and good["results"][0]["file_path"] == "doc/a b+c.md"
     for args in ({}, {"query": 3}, {"query": " "}, {"query": "x", "limit": 0}, {"query": "x", "limit": 101}, {"query": "x", "threshold": 2}, {"query": "x", "filetype": "rs"}, {"query": "../x"}, {"query": "x", "context_lines": 11}, {"query": "x", "filter": "[a"}, {"query": "y" * 201}):
         assert send("tools/call", name="semantic_search", arguments=args)["error"]["code"] == service.BAD_PARAMS, args
@@ -218,3 +220,5 @@ def test_service(spark, tree, tmp_path):
     clock[0] = 1.0
     assert b.take() and not b.take()
     assert service.main(["models"]) == 0
+    assert service.benchmark(spark, ["mock"], 5, 2, form="csv").startswith("backend,texts_per_s,ms\nmock,")
+    assert json.loads(service.benchmark(spark, ["mock", "placeholder"], 3, 1, form="json"))[1]["backend"] == "placeholder"
