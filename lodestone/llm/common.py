@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -64,3 +69,29 @@ def bounded_batches(spark: SparkSession) -> None:
     """Set the session's Arrow batches to these bounds."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system; workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow whose tasks end lean."""
+
+    def lean(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(lean, schema)
+
+
+def plus(df: DataFrame, columns: list[str], more: str) -> StructType:
+    """The schema of some columns and further ones, whatever the columns are called."""
+    return StructType([*df.select([df[c] for c in columns]).schema.fields, *(StructType.fromDDL(more).fields if more else [])])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, read
+from .common import arrow, bounded_batches, fresh, plus, read
 from .textkit import ALNUM, LOWER
 
 WINDOW = 10
@@ -125,53 +125,52 @@ def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     spark = docs.sparkSession
     bounded_batches(spark)
     out_names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
-    held, ranges, who, count = fresh(docs, "held_text", "held_ranges", "held_items", "held_words")
+    held, ranges, who = fresh(docs, "held_text", "held_ranges", "held_items")
     df = docs.withColumn(held, F.col(text_col).cast("string"))
     df = df.drop(*[c for c in out_names if c in df.columns])
-    for k, shard in enumerate(_shards(items, item_id, item_text, window, shard_bytes)):
-        df = _pass(df, spark.sparkContext.broadcast(shard), held, ranges, who, count, first=k == 0)
-    base = [c for c in df.columns if c not in (held, ranges, who, count)]
-    schema = df.select(base).schema.simpleString()[7:-1]
-    extra = "n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean,hit_spans:array<struct<start:bigint,end:bigint>>"
-    arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def finish(batches):
-        for b in batches:
-            hits = [merged([(x["a"], x["b"]) for x in r]) for r in b.column(ranges).to_pylist()]
-            ids = [sorted(set(x)) for x in b.column(who).to_pylist()]
-            n_hit = [sum(y - x for x, y in h) for h in hits]
-            texts = b.column(held)
-            marks = [[{"start": s, "end": e} for s, e in char_spans(texts[i].as_py(), h)] if spans and h else [] for i, h in enumerate(hits)]
-            cols = [b.column(c) for c in base]
-            cols += [b.column(count), pa.array(n_hit, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(marks, arrow_spans)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*base, *out_names])
-
-    return df.mapInArrow(finish, schema + ("," if schema else "") + extra)
-
-
-def _pass(df: DataFrame, shard, held: str, ranges: str, who: str, count: str, first: bool) -> DataFrame:
-    """Scan the held texts with one shard, adding to what earlier shards found."""
-    tag = uuid.uuid4().hex
-    keep = [c for c in df.columns if c not in (ranges, who, count)]
-    schema = df.select(keep).schema.simpleString()[7:-1] + f",`{ranges}`:array<struct<a:bigint,b:bigint>>,`{who}`:array<string>,`{count}`:bigint"
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    base = [c for c in df.columns if c != held]
+    state = plus(df, df.columns, f"`{ranges}` array<struct<a:bigint,b:bigint>>, `{who}` array<string>")
+    result = plus(df, base, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<start:bigint,end:bigint>>")
+    shards, number = _shards(items, item_id, item_text, window, shard_bytes), 0
+    shard = next(shards)
+    while shard is not None:
+        after = next(shards, None)
+        scan = _pass(uuid.uuid4().hex, spark.sparkContext.broadcast(shard), base, held, ranges, who, number == 0, after is None, spans)
+        df = df.transform(arrow, scan, result if after is None else state)
+        shard, number = after, number + 1
+    return df
+
+
+def _pass(tag: str, shard, base: list[str], held: str, ranges: str, who: str, first: bool, last: bool, spans: bool):
+    """A task's scan of the held texts with one shard, added to what earlier shards found; the last one gives the results."""
+    kind, marked = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches):
         a = _automaton(tag, shard)
         for b in batches:
-            texts = b.column(held).cast(pa.large_binary())
-            n, rs, ws = [], [], []
+            texts = b.column(held)
+            raw = texts.cast(pa.large_binary())
+            n, hits, ids = [], [], []
             for i in range(b.num_rows):
-                k, r, w = _scan(texts[i].as_py() or b"", a)
+                k, r, w = _scan(raw[i].as_py() or b"", a)
                 n.append(k)
-                rs.append([{"a": x, "b": y} for x, y in r])
-                ws.append(list(w))
+                hits.append(r)
+                ids.append(w)
             if not first:
-                rs = [[*x, *y] for x, y in zip(b.column(ranges).to_pylist(), rs, strict=True)]
-                ws = [[*x, *y] for x, y in zip(b.column(who).to_pylist(), ws, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(rs, kind), pa.array(ws, pa.list_(pa.string())), pa.array(n, pa.int64())], names=[*keep, ranges, who, count])
-
-    return df.mapInArrow(scan, schema)
+                hits = [merged([*r, *((x["a"], x["b"]) for x in old)]) for r, old in zip(hits, b.column(ranges).to_pylist(), strict=True)]
+                ids = [w.union(old) for w, old in zip(ids, b.column(who).to_pylist(), strict=True)]
+            cols = [b.column(c) for c in base]
+            if not last:
+                state = [pa.array([[{"a": x, "b": y} for x, y in r] for r in hits], kind), pa.array([sorted(w) for w in ids], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*cols, texts, *state], names=[*base, held, ranges, who])
+                continue
+            n_hit = [sum(y - x for x, y in r) for r in hits]
+            marks = [[{"start": s, "end": e} for s, e in char_spans(texts[i].as_py(), r)] if spans and r else [] for i, r in enumerate(hits)]
+            digests = [hashlib.sha256(",".join(sorted(w)).encode()).hexdigest() for w in ids]
+            cols += [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array([k > 0 for k in n_hit], pa.bool_()), pa.array(marks, marked)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*base, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
+
+    return scan
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import arrow, bounded_batches, read
 from .textkit import LOWER, NOT_SPACE, mix64, pair_hashes, slices, span_hashes, utf8, words
 
 EXACT, LIKE = 8, 256
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 k = np.searchsorted(cuts.value, b.column("rank").to_numpy(), "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k)], names=[*b.schema.names, "bucket"])
 
-        least = {r.bucket: r.least for r in ids.withColumnRenamed("id", "rank").mapInArrow(place, "rank:bigint,bucket:int").groupBy("bucket").agg(F.min("rank").alias("least")).collect()}
+        least = {r.bucket: r.least for r in ids.withColumnRenamed("id", "rank").transform(arrow, place, "rank:bigint,bucket:int").groupBy("bucket").agg(F.min("rank").alias("least")).collect()}
     else:
         least = {r.bucket: r.least for r in dealt.groupBy(bucket.alias("bucket")).agg(F.min("rank").alias("least")).collect()}
     order = sorted(least)
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 part = b.take(pa.array(lead))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to), pa.array(np.ones(len(to), np.int32))], names=names)
 
-    sent = dealt.mapInArrow(deal, "id:bigint,text:string,rank:bigint,bucket:int,guest:int")
+    sent = dealt.transform(arrow, deal, "id:bigint,text:string,rank:bigint,bucket:int,guest:int")
     sent = sent.repartition("bucket").sortWithinPartitions("bucket", "guest", "rank", "text")
 
     def work(batches):
@@ -154,7 +154,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             if t.num_rows > 1:
                 yield _rows(t.combine_chunks())
 
-    out = sent.mapInArrow(work, "id:bigint,n_chars:bigint,edited_sha256:string,fingerprint:string,edited_fingerprint:string,near_edited:double,near_next:double,next_id:bigint")
+    out = sent.transform(arrow, work, "id:bigint,n_chars:bigint,edited_sha256:string,fingerprint:string,edited_fingerprint:string,near_edited:double,near_next:double,next_id:bigint")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, read
+from .common import arrow, bounded_batches, fresh, plus, read
 
 LINKS, SHORT, LONG, DENSE, SPARSE = 0.5, 30, 70, 0.15, 0.05
 
@@ -200,7 +200,7 @@ def extracted(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
             texts = [main_text(x) for x in b.column(held).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return df.mapInArrow(extract, df.select(keep).schema.simpleString()[7:-1] + ("," if keep else "") + "text:string,n_chars:bigint")
+    return df.transform(arrow, extract, plus(df, keep, "text string, n_chars bigint"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

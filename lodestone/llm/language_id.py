@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, read, remainder
+from .common import arrow, bounded_batches, fresh, plus, read, remainder
 from .textkit import LOWER, mix64, slices, utf8
 
 ORDER = 4
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     letters, = fresh(docs, "has_letter")
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     df = docs.select(*keep).withColumn(letters, F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
-    schema = df.select(keep).schema.simpleString()[7:-1] + ",lang_pred:string,score:double"
+    schema = plus(df, keep, "lang_pred string, score double")
 
     def predict(batches):
         m = shared.value
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
                 best, score = np.zeros(len(known), int), np.zeros(len(known))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return df.mapInArrow(predict, schema)
+    return df.transform(arrow, predict, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, to
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, token_share: float = TOKEN_SHARE, kept_share: float = KEPT_SHARE, copy_share: float = COPY_SHARE) -> DataFrame:
     """``docs`` with recurring lines dropped from the text, n_lines (before) and n_dropped."""
-    key, lost, chars = fresh(docs, "text_key", "lost_lines", "lost_chars")
+    key, lost, chars, gone_id, gone_key, new = fresh(docs, "text_key", "lost_lines", "lost_chars", "gone_id", "gone_key", "new_text")
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = stored(_lines(base, depth).select("id", "key", "pos", "n_chars", "leaf", "masked"), "lines")
     exact = stored(_recurring(lines, ["masked"], min_docs), "templates")
@@ -89,15 +89,15 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     gone = lines.join(exact, "masked").select("id", "key", "pos", "n_chars", "first")
     gone = gone.unionByName(_generalised(base, rest, depth, min_docs, token_share, kept_share))
     gone = gone.where(F.col("id").isNull() | (F.col("id") > F.col("first"))).select("id", "key", "pos", "n_chars").distinct()
-    gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).agg(F.collect_list("pos").alias(lost), F.sum("n_chars").alias(chars))
+    gone = gone.groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.collect_list("pos").alias(lost), F.sum("n_chars").alias(chars))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept).withColumn(key, F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key")), "left")
+    joined = docs.select(*kept).withColumn(key, F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left")
     some = F.coalesce(F.col(chars), F.lit(0))
     drops = (some > 0) & (some < copy_share * F.char_length(text_col))
     split = F.split(text_col, "\n")
     text = F.when(drops, F.array_join(F.filter(split, lambda _, i: ~F.array_contains(lost, i)), "\n")).otherwise(F.col(text_col))
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("bigint"), "n_dropped": F.when(drops, F.size(lost)).otherwise(0).cast("bigint"), "_text": text})
-    return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in kept), "n_lines", "n_dropped")
+    out = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("bigint"), "n_dropped": F.when(drops, F.size(lost)).otherwise(0).cast("bigint"), new: text})
+    return out.select(*(F.col(new).alias(c) if c == text_col else F.col(c) for c in kept), "n_lines", "n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, read
+from .common import arrow, bounded_batches, fresh, plus, read
 
 VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the split pattern that belongs to the vocabulary (public, GPT-2's).
@@ -83,7 +83,7 @@ def section_tokens(docs: DataFrame, sections: Column, *, text_col: str = "text",
     held, = fresh(docs, "held_sections")
     keep = [c for c in docs.columns if c not in ("n_tokens", "section_tokens")]
     df = docs.select(*keep, sections.cast("array<struct<name:string,end:bigint>>").alias(held))
-    schema = docs.select(keep).schema.simpleString()[7:-1] + ",n_tokens:bigint,section_tokens:array<struct<name:string,start:bigint,end:bigint,n_tokens:double>>"
+    schema = plus(docs, keep, "n_tokens bigint, section_tokens array<struct<name:string,start:bigint,end:bigint,n_tokens:double>>")
     kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64())]))
 
     def count(batches):
@@ -108,11 +108,12 @@ def section_tokens(docs: DataFrame, sections: Column, *, text_col: str = "text",
                 found.append([{"name": m, "start": s, "end": e, "n_tokens": x} for m, s, e, x in zip(names, [0, *ends], ends, n.tolist(), strict=False)])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(totals, pa.int64()), pa.array(found, kind)], names=[*keep, "n_tokens", "section_tokens"])
 
-    return df.mapInArrow(count, schema)
+    return df.transform(arrow, count, schema)
 
 
 def head_body_tail(text: Column) -> Column:
     """Sections of a document: its first line, its last line, and what lies between, each with its line feed."""
+    text = F.coalesce(text, F.lit(""))
     n = F.char_length(text)
     first = F.locate("\n", text).cast("bigint")
     last = n - F.locate("\n", F.reverse(text)).cast("bigint") + 1

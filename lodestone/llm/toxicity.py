@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, read, remainder, stored
+from .common import arrow, bounded_batches, fresh, plus, read, remainder, stored
 
 PREFIXES = (4, 5, 6)
 PURITY, MAX_TERMS, MAX_EXAMPLES = 0.6, 4096, 4096
@@ -73,7 +73,7 @@ def choose_terms(labelled: DataFrame) -> dict[str, float]:
                 toxic, clean, seen = Counter(), Counter(), {}
         yield _counts(toxic, clean, seen)
 
-    counts = labelled.mapInArrow(partial, "term:string,a:bigint,b:bigint,bits:bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.bit_or("bits").alias("bits"))
+    counts = labelled.transform(arrow, partial, "term:string,a:bigint,b:bigint,bits:bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.bit_or("bits").alias("bits"))
     free = 64 - F.bit_count("bits")
     varied = F.when(free == 0, F.col("a")).otherwise(F.least(F.col("a").cast("double"), -64 * F.log((F.greatest(free, F.lit(1))) / 64)))
     counts = counts.where("a >= 4").withColumn("v", varied).where("v >= 3")
@@ -114,7 +114,7 @@ def with_vectors(docs: DataFrame, text_col: str, terms: dict[str, float], name:
             keys = [" ".join(f"{i}:{n}" for i, n in vector_of(t, own, heads, k)) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(keys, pa.string())], names=[*keep, name])
 
-    return docs.mapInArrow(vectors, docs.select(keep).schema.simpleString()[7:-1] + ("," if keep else "") + f"`{name}`:string")
+    return docs.transform(arrow, vectors, plus(docs, keep, f"`{name}` string"))
 
 
 def parse(key: str) -> list[tuple[int, int]]:
@@ -221,7 +221,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, evidence: bool = True, **colum
                 why.append(known[key][1])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.float64()), pa.array(why, kind)], names=[*keep, "score", "neighbours"])
 
-    return vectors.mapInArrow(score, vectors.select(keep).schema.simpleString()[7:-1] + ",score:double,neighbours:array<struct<example:string,cosine:double,toxic_share:double>>")
+    return vectors.transform(arrow, score, plus(vectors, keep, "score double, neighbours array<struct<example:string,cosine:double,toxic_share:double>>"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
