@@ -38,17 +38,34 @@ MOST_KINDS = 1 << 16
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 
 
+def _without(text: Column, chars: str) -> Column:
+    """``text`` without some characters; replacing what isn't there copies nothing, unlike translate."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def topic_of(text: Column) -> Column:
     """table, symbols, shouting, short or prose."""
     n = F.char_length(text)
-    share = lambda chars: (n - F.char_length(F.translate(text, chars, ""))) / F.greatest(n, F.lit(1))
-    kind = F.when(share("|") > 0.01, "table").when(share("#$%&*") > 0.05, "symbols").when(share("!") > 0.03, "shouting").otherwise("prose")
-    return F.when(F.coalesce(n, F.lit(0)) < 200, "short").when(share("|#$%&*!") > 0.01, kind).otherwise("prose")
+    share = lambda chars: (n - F.char_length(_without(text, chars))) / F.greatest(n, F.lit(1))
+    return F.when(F.coalesce(n, F.lit(0)) < 200, "short").when(share("|") > 0.01, "table").when(share("#$%&*") > 0.05, "symbols").when(share("!") > 0.03, "shouting").otherwise("prose")
+
+
+def token_count(text: Column) -> Column:
+    """Runs of non-space characters, by counting spaces; only texts with odd white space are split."""
+    return _count(F.btrim(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\t\x0b\f\r ")))
+
+
+def _count(b: Column) -> Column:
+    odd = b.contains("  ") | b.contains("\t") | b.contains("\x0b") | b.contains("\f") | b.contains("\r")
+    plain = F.char_length(b) - F.char_length(F.replace(b, F.lit(" "), F.lit(""))) + 1
+    return F.when(b == "", 0).when(odd, F.size(F.split(b, r"[\x09-\x0D\x20]+"))).otherwise(plain)
 
 
 def _described(docs: DataFrame, source: Column, lang: Column, topic: Column, text_col: str, names: list[str]) -> DataFrame:
     known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    return docs.withColumns(dict(zip(names, (known(source), known(lang), known(topic), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S++")), F.lit(0)).cast("double")), strict=True)))
+    return docs.withColumns(dict(zip(names, (known(source), known(lang), known(topic), F.coalesce(token_count(F.col(text_col)), F.lit(0)).cast("double")), strict=True)))
 
 
 def _shares(mass: dict[str, float], given: dict[str, float] | None, exponent: float) -> dict[str, float]:
@@ -132,16 +149,17 @@ def mixed(docs: DataFrame, *, source: Column | None = None, lang: Column | None
     topic = topic_of(F.col(text_col)) if topic is None else topic
     kept = [c for c in docs.columns if c not in ("mix_topic", "n_tokens", "weight", "probability", "selected")]
     names = fresh(docs, "mix_source", "mix_lang", "cell_topic", "cell_tokens")
+    a, b, c, w = fresh(docs, "w_source", "w_lang", "w_topic", "cell_weight")
     rows = _described(docs.select(*kept), source, lang, topic, text_col, names)
     s, k, t, n = names
     cells = rows.groupBy(F.col(s).alias("source"), F.col(k).alias("lang"), F.col(t).alias("topic")).agg(F.sum(n).alias("mass"))
     cells = raked(cells, **targets)
     scale = _scale(cells, keep)
-    weights = cells.select(F.col("source").alias("w_source"), F.col("lang").alias("w_lang"), F.col("topic").alias("w_topic"), F.col("weight").alias("cell_weight"))
-    out = rows.join(weights, (rows[s] == weights["w_source"]) & (rows[k] == weights["w_lang"]) & (rows[t] == weights["w_topic"]))
-    p = F.least(F.lit(1.0), F.lit(scale) * F.col("cell_weight"))
+    weights = cells.select(F.col("source").alias(a), F.col("lang").alias(b), F.col("topic").alias(c), F.col("weight").alias(w))
+    out = rows.join(weights, (rows[s] == weights[a]) & (rows[k] == weights[b]) & (rows[t] == weights[c]))
+    p = F.least(F.lit(1.0), F.lit(scale) * F.col(w))
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return out.select(*(rows[c] for c in kept), F.col(t).alias("mix_topic"), F.col(n).cast("bigint").alias("n_tokens"), F.col("cell_weight").alias("weight"), p.alias("probability"), (draw < p).alias("selected"))
+    return out.select(*(rows[x] for x in kept), F.col(t).alias("mix_topic"), F.col(n).cast("bigint").alias("n_tokens"), F.col(w).alias("weight"), p.alias("probability"), (draw < p).alias("selected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
