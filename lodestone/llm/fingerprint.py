@@ -131,12 +131,13 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     all_cuts = spark.sparkContext.broadcast(edges)
 
     def deal(batches):
+        lead_ranks = np.array(sorted(heads.value), np.int64)
         for b in batches:
             ranks = b.column("rank").to_numpy()
             own = np.searchsorted(all_cuts.value, ranks, "right").astype(np.int32)
             names = [*b.schema.names, "bucket", "guest"]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(np.zeros(len(own), np.int32))], names=names)
-            lead = np.flatnonzero(np.isin(ranks, list(heads.value)))
+            lead = np.flatnonzero(np.isin(ranks, lead_ranks))
             if len(lead):
                 to = np.array([heads.value[x] for x in ranks[lead].tolist()], np.int32)
                 part = b.take(pa.array(lead))

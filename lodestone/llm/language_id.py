@@ -162,7 +162,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where("l is not null and t is not null and t <> ''")
     order_by = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
     chosen = rows.select("i", "l").withColumn("r", F.row_number().over(order_by)).where(F.col("r") <= sample_docs).select("i", "l").distinct()
-    picked = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").select("l", F.left("t", F.lit(sample_chars)).alias("t"))
+    picked = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").groupBy("i", "l").agg(F.min(F.left("t", F.lit(sample_chars))).alias("t"))
     samples: dict[str, list[str]] = {}
     for r in picked.collect():
         samples.setdefault(r.l, []).append(r.t)
