@@ -165,3 +165,27 @@ def test_statistics(spark):
     assert statistics.incremental_stats(b.limit(0)).first().success_rate == 100
     runs = spark.createDataFrame([("m", 40, 25, 2, 100, 70), ("m", 60, 15, 3, 120, 80)], "model string, a int, b int, c int, d int, e int")
     assert list(statistics.benchmark_means(runs, "model", *"abcde").first())[1:] == [50, 20, 2.5, 110, 75]
+
+
+def test_literal_prefixes_and_columns_reach_the_scan(spark, tmp_path):
+    from lodestone.functions import glob as G
+
+    rows = spark.createDataFrame([("src/a.rs", [1.0, 2.0], "text"), ("doc/b.md", [2.0, 1.0], "text")], "file_path string, embedding array<float>, content string")
+    rows.write.parquet(str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    plan = search.search(index.select("file_path", "embedding"), [1.0, 1.0], search.SearchRequest(glob="src/*.rs"), path="file_path", ties=["file_path"])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(file_path,src/)" in plan and "content" not in plan and "Exchange" not in plan.split("TakeOrderedAndProject")[-1]
+    assert index.where(G.matches(F.col("file_path"), "src/*.rs")).count() == 1
+
+
+def test_shared_queries_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, v array<float>")
+    monkeypatch.setattr(search, "MOST_QUERIES", 1)
+    with pytest.raises(ValueError):
+        search.search_many(df, df.select(F.col("id").alias("q"), F.col("v").alias("w")), query_id="q", query_vector="w", vector="v")
+
+
+def test_norms_agree(spark):
+    df = spark.createDataFrame(vectors(spark), "id int, embedding array<float>").withColumn("norm", V.norm(F.col("embedding")))
+    a = search.search(df, [0.3] * 6, search.SearchRequest(5), ties=["id"], norm="norm").select("id", F.round("similarity", 9)).collect()
+    assert a == search.search(df.drop("norm"), [0.3] * 6, search.SearchRequest(5), ties=["id"]).select("id", F.round("similarity", 9)).collect()
