@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, read, stored
+from .common import arrow, bounded_batches, fresh, plus, read, stored
 from .components import components
 from .textkit import LOWER, NOT_SPACE, list_array, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
 
-TREES, LEVELS, BRANCH, NODE = 8, 4, 2, 128
+TREES, LEVELS, BRANCH, NODE = 8, 3, 2, 128
 SKETCH, SKETCH_LEAST = 96, 60
-BLOCK, SLAB = 512, 4096
+BLOCK, SLAB, SIEVE = 512, 4096, 1 << 23
 _SEEDS = np.random.default_rng(88172645).integers(1, 1 << 62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -69,7 +69,7 @@ def minwise(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _described(docs: DataFrame, text_col: str) -> DataFrame:
     """Each row's columns but the text, with n_shingles, cls (the set's 128-bit key), the root of each tree, and the sketch."""
     keep = [c for c in docs.columns if c != text_col]
-    schema = docs.select(keep).schema.simpleString()[7:-1] + ("," if keep else "") + "n_shingles:bigint,cls:binary,roots:array<bigint>,sketch:binary"
+    schema = plus(docs, keep, "n_shingles bigint, cls binary, roots array<bigint>, sketch binary")
 
     def describe(batches):
         for b in batches:
@@ -85,7 +85,7 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
             cols = [pa.array(np.concatenate(n), pa.int64()), _binary(np.concatenate(keys).astype(">u8"), 16), list_array(roots.ravel().view(np.int64), np.arange(len(roots) + 1) * TREES, pa.int64()), _binary(tokens.astype(np.uint8), SKETCH)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, "n_shingles", "cls", "roots", "sketch"])
 
-    return docs.mapInArrow(describe, schema)
+    return docs.transform(arrow, describe, schema)
 
 
 def _keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -181,23 +181,32 @@ def _candidates(leaves: DataFrame) -> DataFrame:
                 u, v = _spanning(len(cls), *(np.concatenate(x) for x in zip(*found, strict=True)))
                 yield _edges(cls[by_rank], u, v)
 
-    return leaves.select(columns).repartition("node").sortWithinPartitions("node").mapInArrow(compare, "u:binary,v:binary").distinct()
+    return leaves.select(columns).repartition("node").sortWithinPartitions("node").transform(arrow, compare, "u:binary,v:binary").distinct()
 
 
 def _sets(base: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
-    """cls, family, members (the full set) of the classes in families, from the text of each one's least id."""
-    wanted = classes.select("cls", "id").join(families, "cls")
-    ids = wanted.select(F.col("id").alias("rep")).distinct()
-    texts = base.join(ids, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    """cls, family, members (the full set) of the classes in families, from the text of each one's least id.
+
+    Texts aren't shuffled: sets are made where the text is, for rows whose id is in a bitmap of SIEVE bits over the ids
+    wanted, and joined by class. The bitmap's size is fixed; where very many ids fill it, more sets than needed are made.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    wanted = classes.select("cls", "id").join(families, "cls").select(place("id").alias("h"))
+    bits = wanted.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).collect()
+    sieve = np.zeros(SIEVE // 64, np.int64)
+    sieve[[r.w for r in bits]] = [r.b for r in bits]
+    shared = base.sparkSession.sparkContext.broadcast(sieve.view(np.uint64))
 
     def to_sets(batches):
         for b in batches:
+            h = b.column("h").to_numpy().astype(np.uint64)
+            b = b.filter(pa.array(((shared.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)))
             buf, offsets = utf8(b.column("text"))
             for _, _, part, at in slices(buf, offsets):
                 v, bounds = shingle_sets(part, at)
                 yield pa.RecordBatch.from_arrays([_binary(_keys(v, bounds), 16), list_array(v.view(np.int64), bounds, pa.int64())], names=["cls", "members"])
 
-    return texts.mapInArrow(to_sets, "cls:binary,members:array<bigint>").join(families, "cls").dropDuplicates(["cls"])
+    return base.select("text", place("id").alias("h")).transform(arrow, to_sets, "cls:binary,members:array<bigint>").join(families, "cls").dropDuplicates(["cls"])
 
 
 def _starred(big: DataFrame, rank: DataFrame) -> DataFrame:
@@ -215,7 +224,7 @@ def _starred(big: DataFrame, rank: DataFrame) -> DataFrame:
                 flags.append(100 * both >= 80 * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cls", "family", "members", "lead")), pa.array(flags, pa.bool_())], names=["cls", "family", "members", "lead", "linked"])
 
-    return rows.mapInArrow(check, "cls:binary,family:binary,members:array<bigint>,lead:binary,linked:boolean")
+    return rows.transform(arrow, check, "cls:binary,family:binary,members:array<bigint>,lead:binary,linked:boolean")
 
 
 def _grid(starred: DataFrame) -> DataFrame:
@@ -266,7 +275,7 @@ def _confirmed(blocks: DataFrame) -> DataFrame:
                 if len(u):
                     yield _edges(cls, u, v)
 
-    return blocks.select(columns).repartition("node").sortWithinPartitions("node").mapInArrow(confirm, "u:binary,v:binary").where("u <> v").distinct()
+    return blocks.select(columns).repartition("node").sortWithinPartitions("node").transform(arrow, confirm, "u:binary,v:binary").where("u <> v").distinct()
 
 
 def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
