@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import uuid
 
 from collections.abc import Callable, Iterator
@@ -61,6 +62,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: The folder that holds the package, for the tasks' module path.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows and bytes of an Arrow batch that Python tasks take at once, so that long texts don't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -81,7 +84,11 @@ def trim() -> None:
 
 
 def arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow whose tasks end lean."""
+    """mapInArrow whose tasks find this package and end lean."""
+    env = df.sparkSession.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
 
     def lean(batches):
         try:
