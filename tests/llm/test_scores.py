@@ -65,6 +65,19 @@ def test_scores_of_a_corpus(spark, corpus, monkeypatch):
     assert len(got) == len(rows) and sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_rare_words_are_mixed_with_their_exact_counts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(M, "STEPS", 20)
+    held = F.col("doc_id") % 7 == 2
+    whole = {r.doc_id: r for r in M.scored(corpus, held).collect()}
+    monkeypatch.setattr(M, "FREQUENT", 9)
+    few = M.scored(corpus.unionAll(corpus.where("doc_id = 2")), held).collect()
+    assert len(few) == len(whole) + 1
+    for r in few:
+        w = whole[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.held_out) == (w.n_tokens, w.n_known, w.held_out)
+        assert (r.base_score, r.score) == pytest.approx((w.base_score, w.score), rel=1e-5)
+
+
 def test_scores_of_odd_rows(spark, odd, none, monkeypatch):
     monkeypatch.setattr(M, "STEPS", 3)
     out = M.scored(odd, F.col("doc_id") == 5).collect()
