@@ -78,6 +78,23 @@ def test_rare_words_are_mixed_with_their_exact_counts(spark, corpus, monkeypatch
         assert (r.base_score, r.score) == pytest.approx((w.base_score, w.score), rel=1e-5)
 
 
+def test_every_training_text_is_learned_from(spark, corpus, monkeypatch):
+    monkeypatch.setattr(M, "STEPS", 20)
+    monkeypatch.setattr(M, "SAMPLE_DOCS", 1)
+    rows = [(r.doc_id, r.text) for r in corpus.orderBy("doc_id").collect()]
+    filler = rows[0][1] + " same" * 1000
+    late = [(i, f"{filler} {'qzj ' * 200}" if i == 9 else t) for i, t in rows]
+    early = [(i, filler if i == 9 else t) for i, t in rows]
+    nets = [M.fitted(spark.createDataFrame(x, "id bigint, text string"))[0] for x in (early, late)]
+    ids = M.pieces(nets[0].symbols.path, [b"qzj"])[0]
+    assert (nets[1].symbols.of[ids] > 0).all() and not (nets[0].symbols.of[ids] > 0).all()
+    # the network itself moves with texts outside the sample: without one it learns from the pass alone
+    monkeypatch.setattr(M, "SAMPLE_DOCS", 0)
+    scorer = M.fitted(spark.createDataFrame(rows * 20, "id bigint, text string"))[0]
+    symbols, bounds = M.Rows(scorer.symbols)([t for _, t in rows])
+    assert scorer.net.score(symbols, bounds).mean() > M.Attention().score(symbols, bounds).mean() + 0.05
+
+
 def test_scores_of_odd_rows(spark, odd, none, monkeypatch):
     monkeypatch.setattr(M, "STEPS", 3)
     out = M.scored(odd, F.col("doc_id") == 5).collect()
