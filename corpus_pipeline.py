@@ -7,7 +7,7 @@ Parquet and read again for the next. All but the last return the columns of
 * language: documents without a letter, or whose best language is unsure, go; a
   missing ``lang`` is filled in with the predicted one.
 * lines: recurring lines go from documents; ``n_chars`` follows the text.
-* near_copies: one document of each group stays.
+* near_copies: one document of each group stays; a group is linked at 0.8 of five-word shingles.
 * leaks: documents that hold a benchmark window go.
 * mixture: a sample by probabilities raked to source, language and topic targets,
   with mix_topic, n_tokens, weight and probability.

@@ -1,8 +1,9 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
-A document's set holds its distinct 2-word shingles (words lower-cased in A-Z
-only); a text with one word has that word as its one shingle; one without words
-has the empty set and is linked with nothing. Documents with equal sets are one
+A document's set holds its distinct shingles of ``width`` words (lower-cased in
+A-Z only): two in ``linked``, which is the query's rule, and five in
+``deduplicated``. A text with fewer words is one shingle; one without words has
+the empty set and is linked with nothing. Documents with equal sets are one
 class; classes with ``100 * |A & B| >= 80 * |A | B|`` are linked.
 
 Join. In each of ``TREES`` independent trees a class descends by minwise tokens:
@@ -47,11 +48,11 @@ BLOCK, SLAB, SIEVE = 512, 4096, 1 << 23
 _SEEDS = np.random.default_rng(88172645).integers(1, 1 << 62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the 2-word shingles of each row, and their bounds."""
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the shingles of each row, and their bounds."""
     low = LOWER[buf]
     starts, ends, bounds = words(low, offsets, NOT_SPACE)
-    pairs, rows = pair_hashes(span_hashes(low, starts, ends), bounds)
+    pairs, rows = pair_hashes(span_hashes(low, starts, ends), bounds, width)
     return row_unique(pairs, rows, len(offsets) - 1)
 
 
@@ -66,7 +67,7 @@ def minwise(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _described(docs: DataFrame, text_col: str) -> DataFrame:
+def _described(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     """Each row's columns but the text, with n_shingles, cls (the set's 128-bit key), the root of each tree, and the sketch."""
     keep = [c for c in docs.columns if c != text_col]
     schema = plus(docs, keep, "n_shingles bigint, cls binary, roots array<bigint>, sketch binary")
@@ -76,7 +77,7 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
             buf, offsets = utf8(b.column(text_col))
             n, keys, tokens = [np.zeros(0, np.int64)], [np.zeros((0, 2), ">u8")], [np.zeros((0, SKETCH), np.uint32)]
             for _, _, part, at in slices(buf, offsets):
-                v, bounds = shingle_sets(part, at)
+                v, bounds = shingle_sets(part, at, width)
                 n.append(np.diff(bounds))
                 keys.append(_keys(v, bounds))
                 tokens.append(minwise(v, bounds))
@@ -184,7 +185,7 @@ def _candidates(leaves: DataFrame) -> DataFrame:
     return leaves.select(columns).repartition("node").sortWithinPartitions("node").transform(arrow, compare, "u:binary,v:binary").distinct()
 
 
-def _sets(base: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
+def _sets(base: DataFrame, classes: DataFrame, families: DataFrame, width: int) -> DataFrame:
     """cls, family, members (the full set) of the classes in families, from the text of each one's least id.
 
     Texts aren't shuffled: sets are made where the text is, for rows whose id is in a bitmap of SIEVE bits over the ids
@@ -203,7 +204,7 @@ def _sets(base: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame
             b = b.filter(pa.array(((shared.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)))
             buf, offsets = utf8(b.column("text"))
             for _, _, part, at in slices(buf, offsets):
-                v, bounds = shingle_sets(part, at)
+                v, bounds = shingle_sets(part, at, width)
                 yield pa.RecordBatch.from_arrays([_binary(_keys(v, bounds), 16), list_array(v.view(np.int64), bounds, pa.int64())], names=["cls", "members"])
 
     return base.select("text", place("id").alias("h")).transform(arrow, to_sets, "cls:binary,members:array<bigint>").join(families, "cls").dropDuplicates(["cls"])
@@ -293,11 +294,11 @@ def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return leaves, None if large.isEmpty() else large
 
 
-def _membership(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _membership(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, key (the text's hash), n_shingles, component (a class; null without words) and component_id of every row."""
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = stored(_described(base.withColumn("key", F.xxhash64("text")), "text"), "sets")
+    seen = stored(_described(base.withColumn("key", F.xxhash64("text")), "text", width), "sets")
     some = seen.where("n_shingles > 0")
     classes = stored(some.groupBy("cls").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "roots", "sketch"))), "classes")
     leaves, hot = _split(classes)
@@ -307,7 +308,7 @@ def _membership(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         near = near.unionByName(hot.join(hot.groupBy("node").agg(F.min("cls").alias("v")), "node").select(F.col("cls").alias("u"), "v").where("u <> v").distinct())
         rank = rank.unionByName(hot.select("cls", "size"))
     families = components(near).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    sets = stored(_sets(base, classes, families), "sets")
+    sets = stored(_sets(base, classes, families, width), "sets")
     size = sets.groupBy("family").agg(F.count("*").alias("size"))
     sized = sets.join(size, "family")
     blocks = sized.where(F.col("size") <= BLOCK).select(F.xxhash64("family").alias("node"), "cls", "members", F.lit(True).alias("a"), F.lit(True).alias("b"))
@@ -325,15 +326,15 @@ def _membership(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select("id", "key", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
     """``docs``' ids with n_shingles, component_id and kept."""
-    out = _membership(docs, id_col, text_col)
+    out = _membership(docs, id_col, text_col, width)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """``docs`` with one row of each component (of least id, then text hash), and every row without words."""
-    chosen = _membership(docs, id_col, text_col).where("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("c"))
+    chosen = _membership(docs, id_col, text_col, width).where("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("c"))
     key, = fresh(docs, "text_key")
     rows = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
     picks = chosen.select(F.col("c.id").alias("pick_id"), F.col("c.key").alias("pick_key"))
@@ -343,7 +344,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked(read(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
 
 SQL = r"""

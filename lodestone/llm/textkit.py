@@ -99,20 +99,22 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def pair_hashes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 2-word shingles of each row and the row of each; a lone word is one shingle."""
+def pair_hashes(hashes: np.ndarray, bounds: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of ``width`` words of each row and the row of each; a row of fewer words is one shingle."""
     n = np.diff(bounds)
     rows = np.repeat(np.arange(len(n)), n)
     if not len(hashes):
         return hashes, rows
-    nxt = np.zeros_like(hashes)
-    nxt[:-1] = hashes[1:]
-    last = np.zeros(len(hashes), bool)
-    last[bounds[1:][n > 0] - 1] = True
-    nxt[last] = 0
-    keep = ~last
-    keep[bounds[:-1][n == 1]] = True
-    return mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + nxt)[keep], rows[keep]
+    left = np.repeat(bounds[1:], n) - np.arange(len(hashes))
+    out = hashes
+    for k in range(1, width):
+        nxt = np.zeros_like(hashes)
+        nxt[:-k] = hashes[k:]
+        nxt[left <= k] = 0
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + nxt)
+    keep = left >= width
+    keep[bounds[:-1][(n > 0) & (n < width)]] = True
+    return out[keep], rows[keep]
 
 
 def row_unique(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:

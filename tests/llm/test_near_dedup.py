@@ -80,6 +80,31 @@ def test_one_row_stays_of_each_component(spark, odd):
     assert ids == [None, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_pipeline_takes_five_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for changes in (1, 1, 2, 3, 4, 5, 6, 8) * 4:
+        base = words(60)
+        other = list(base)
+        for k in range(changes):
+            other[5 + 6 * k] = words(1)[0]
+        texts += [" ".join(base), " ".join(other)]
+    texts += ["a b c", "a b c", "a b c d", "b c", *(" ".join(words(n)) for n in range(1, 9))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert kept == {min(i for i, g in enumerate(group) if g == x) for x in set(group)}
+    assert N.linked(df).where("kept").count() < len(kept)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (201, 202), (202, 201)]
     df = spark.createDataFrame(edges, "u bigint, v bigint")
