@@ -14,9 +14,10 @@ Templates of a leaf:
   positions is kept.
 
 Lines of recurring templates are dropped, but not in the document of least id
-that has the template, so that no text is lost altogether. A document that would
-lose ``COPY_SHARE`` of its characters or more is a copy as a whole; it is left
-as it is for document-level deduplication.
+that has the template, so that no text is lost altogether, whatever their share
+of a document is. Only a document whose whole text another one has too is left as
+it is for document-level deduplication if it would lose ``COPY_SHARE`` of its
+characters or more.
 
 Defined results: a null text stays null and an empty one empty; blank lines stay
 and belong to no template. A null id never counts as a document and never as a
@@ -81,7 +82,7 @@ def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, to
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, token_share: float = TOKEN_SHARE, kept_share: float = KEPT_SHARE, copy_share: float = COPY_SHARE) -> DataFrame:
     """``docs`` with recurring lines dropped from the text, n_lines (before) and n_dropped."""
-    key, lost, chars, gone_id, gone_key, new = fresh(docs, "text_key", "lost_lines", "lost_chars", "gone_id", "gone_key", "new_text")
+    key, lost, chars, gone_id, gone_key, new, copied = fresh(docs, "text_key", "lost_lines", "lost_chars", "gone_id", "gone_key", "new_text", "is_copied")
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = stored(_lines(base, depth).select("id", "key", "pos", "n_chars", "leaf", "masked"), "lines")
     exact = stored(_recurring(lines, ["masked"], min_docs), "templates")
@@ -90,10 +91,12 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     gone = gone.unionByName(_generalised(base, rest, depth, min_docs, token_share, kept_share))
     gone = gone.where(F.col("id").isNull() | (F.col("id") > F.col("first"))).select("id", "key", "pos", "n_chars").distinct()
     gone = gone.groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.collect_list("pos").alias(lost), F.sum("n_chars").alias(chars))
+    copies = lines.select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias(gone_key), F.lit(True).alias(copied))
+    gone = gone.join(copies, gone_key, "left")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*kept).withColumn(key, F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left")
     some = F.coalesce(F.col(chars), F.lit(0))
-    drops = (some > 0) & (some < copy_share * F.char_length(text_col))
+    drops = (some > 0) & (F.col(copied).isNull() | (some < copy_share * F.char_length(text_col)))
     split = F.split(text_col, "\n")
     text = F.when(drops, F.array_join(F.filter(split, lambda _, i: ~F.array_contains(lost, i)), "\n")).otherwise(F.col(text_col))
     out = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("bigint"), "n_dropped": F.when(drops, F.size(lost)).otherwise(0).cast("bigint"), new: text})

@@ -171,6 +171,14 @@ def test_copies_stay_whole_and_rare_lines_stay(spark):
     assert all(v[2] == 0 and v[0] == t for v, t in zip((got[i] for i in range(12)), texts))
 
 
+def test_documents_of_shared_lines_lose_them(spark):
+    shared = ["this line is found in very many documents", "and that one is found in them as well"]
+    texts = ["\n".join([*shared, f"own {c}"]) for c in "abcdefg"] + ["\n".join([shared[1], shared[0]])]
+    got = drops(spark, texts)
+    assert got[0] == (texts[0], 3, 0) and got[7] == ("", 2, 2)
+    assert all(got[i] == (f"own {c}", 3, 2) for i, c in enumerate("abcdefg") if i)
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     out = X.deduplicated(odd, min_docs=2)
     assert set(out.columns) == set(odd.columns) | {"n_lines", "n_dropped"} and out.count() == odd.count()
