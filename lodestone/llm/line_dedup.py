@@ -7,11 +7,13 @@ the first ``DEPTH`` tokens; a line falls to one leaf without comparisons.
 Templates of a leaf:
 
 * a masked line found in at least ``MIN_DOCS`` documents;
-* among the leaf's other lines, a position keeps a token that at least
-  ``MIN_DOCS`` lines and a share ``TOKEN_SHARE`` of these lines have there, and is
-  generalised to ``<*>`` otherwise; lines that then agree are a template if at
-  least ``MIN_DOCS`` documents have them and a share ``KEPT_SHARE`` of the
-  positions is kept.
+* among the leaf's other lines, a token's support is the number of them that have
+  it at its position. A line's tokens in falling order of support, those under
+  ``MIN_DOCS`` left out, may be cut wherever the support falls; the positions
+  before the cut are kept and the others generalised to ``<*>``. Lines that agree
+  on what is kept are a template if at least ``MIN_DOCS`` documents have them and a
+  share ``KEPT_SHARE`` of the positions is kept. Supports are compared within a
+  line only, so other lines in the leaf don't hide a template.
 
 Lines of recurring templates are dropped, but not in the document of least id
 that has the template, so that no text is lost altogether, whatever their share
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, read, stored
 
-DEPTH, MIN_DOCS, TOKEN_SHARE, KEPT_SHARE, COPY_SHARE = 3, 5, 0.25, 0.6, 0.5
+DEPTH, MIN_DOCS, KEPT_SHARE, COPY_SHARE = 3, 5, 0.6, 0.5
 _BLANK = "\t\n\x0b\f\r "
 _FIELD = r"[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
 
@@ -62,7 +64,7 @@ def _recurring(rows: DataFrame, by: list[str], min_docs: int) -> DataFrame:
     return rows.select(*by, "id").distinct().groupBy(*by).agg(F.count("id").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs).drop("docs")
 
 
-def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, token_share: float, kept_share: float) -> DataFrame:
+def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, kept_share: float) -> DataFrame:
     """id, key, pos, n_chars, first of lines that recur once their variable positions are generalised."""
     leaves = _recurring(rest, ["leaf"], min_docs).select("leaf")
     chosen = stored(rest.join(leaves, "leaf", "left_semi").select("id", "key", "pos").distinct(), "chosen")
@@ -72,15 +74,20 @@ def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, to
     lines = again.join(marks, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p")), "left_semi").select("id", "key", "pos", "n_chars", "leaf", "n_tokens", "canon").distinct()
     lines = stored(lines, "lines")
     single = lines.select("leaf", "id", "canon").distinct()
-    size = single.groupBy("leaf").agg(F.count("*").alias("size"))
     spots = single.select("leaf", F.posexplode(F.split("canon", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    kept = spots.join(size, "leaf").where(F.col("n") >= token_share * F.col("size")).select("leaf", "at", "token", F.xxhash64("at", "token").alias("h"))
+    kept = spots.select("leaf", "at", "token", "n", F.xxhash64("at", "token").alias("h"))
     each = lines.select("id", "key", "pos", "n_chars", "leaf", "n_tokens", F.posexplode(F.split("canon", " ")).alias("at", "token")).join(kept, ["leaf", "at", "token"])
-    shaped = each.groupBy("id", "key", "pos", "n_chars", "leaf", "n_tokens").agg(F.bit_xor("h").alias("shape"), F.count("*").alias("n")).where(F.col("n") >= kept_share * F.col("n_tokens"))
+    line = ["id", "key", "pos", "n_chars", "leaf", "n_tokens"]
+    least = F.ceil(kept_share * F.col("n_tokens")).cast("int")
+    sorted_by = each.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("n", "h")), asc=False).alias("s")).where(F.size("s") >= least)
+    n = lambda i: F.get("s", i)["n"]
+    cuts = F.filter(F.sequence(least, F.size("s")), lambda i: (i == F.size("s")) | (n(i - 1) > n(i)))
+    shape = F.aggregate(F.slice("s", 1, F.col("cut")), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x["h"]))
+    shaped = stored(sorted_by.withColumn("cut", F.explode(cuts)).select(*line, shape.alias("shape")), "shapes")
     return shaped.join(_recurring(shaped, ["leaf", "shape"], min_docs), ["leaf", "shape"]).select("id", "key", "pos", "n_chars", "first")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, token_share: float = TOKEN_SHARE, kept_share: float = KEPT_SHARE, copy_share: float = COPY_SHARE) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, kept_share: float = KEPT_SHARE, copy_share: float = COPY_SHARE) -> DataFrame:
     """``docs`` with recurring lines dropped from the text, n_lines (before) and n_dropped."""
     key, lost, chars, gone_id, gone_key, new, copied = fresh(docs, "text_key", "lost_lines", "lost_chars", "gone_id", "gone_key", "new_text", "is_copied")
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -88,7 +95,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     exact = stored(_recurring(lines, ["masked"], min_docs), "templates")
     rest = lines.join(exact, "masked", "left_anti")
     gone = lines.join(exact, "masked").select("id", "key", "pos", "n_chars", "first")
-    gone = gone.unionByName(_generalised(base, rest, depth, min_docs, token_share, kept_share))
+    gone = gone.unionByName(_generalised(base, rest, depth, min_docs, kept_share))
     gone = gone.where(F.col("id").isNull() | (F.col("id") > F.col("first"))).select("id", "key", "pos", "n_chars").distinct()
     gone = gone.groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.collect_list("pos").alias(lost), F.sum("n_chars").alias(chars))
     copies = lines.select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias(gone_key), F.lit(True).alias(copied))

@@ -179,6 +179,18 @@ def test_documents_of_shared_lines_lose_them(spark):
     assert all(got[i] == (f"own {c}", 3, 2) for i, c in enumerate("abcdefg") if i)
 
 
+def test_templates_in_a_hot_leaf(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    own = lambda: " ".join(word() for _ in range(40))
+    fixed = [[word() for _ in range(6)] for _ in range(6)]
+    lines = [f"the system says {' '.join(f)} to {word()}" for f in fixed for _ in range(7)] + [f"the system says {' '.join(word() for _ in range(8))}" for _ in range(90)]
+    heads = [own() for _ in lines]
+    got = drops(spark, [f"{h}\n{x}\n{own()}" for h, x in zip(heads, lines)])
+    assert [got[i][2] for i in range(42)] == [int(i % 7 > 0) for i in range(42)]
+    assert all(got[i][2] == 0 for i in range(42, len(lines)))
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     out = X.deduplicated(odd, min_docs=2)
     assert set(out.columns) == set(odd.columns) | {"n_lines", "n_dropped"} and out.count() == odd.count()
