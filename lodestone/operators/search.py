@@ -3,7 +3,8 @@
 A single query is a literal: rows are filtered, scored and cut by a
 TakeOrderedAndProject, without a shuffle of the rows. Many queries are a small
 broadcast table, checked against ``MOST_QUERIES``, and each keeps its own k by a
-ranked window, which Spark limits on the map side. Ties are broken by path and
+ranked window, which Spark limits on the map side; ``search_all`` takes any number
+of queries in blocks of that size. Ties are broken by path and
 chunk index. Only ids and paths are carried until the limit; text is joined to
 the few rows that are left.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +104,19 @@ def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_ve
     return top.withColumn("similarity", V.clamped_score(F.col("similarity")))
 
 
+def search_all(index: DataFrame, queries: DataFrame, *, query_id: str, **options) -> DataFrame:
+    """``search_many`` of any number of queries, block by block; a query's rows, if its id is repeated, share a block."""
+    n, blocks = queries.count(), 1
+    sizes = [n]
+    while max(sizes) > MOST_QUERIES:
+        blocks = max(blocks + 1, -(-11 * n // (10 * MOST_QUERIES)), blocks * 5 // 4)
+        sizes = [r["count"] for r in queries.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks))).count().collect()]
+        if len(sizes) < blocks // 8:
+            raise ValueError(f"more than {MOST_QUERIES} queries share an id")
+    parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [queries]
+    return reduce(DataFrame.unionByName, [search_many(index, part, query_id=query_id, **options) for part in parts])
+
+
 def search_text(index: DataFrame, text: str, embed: Callable[[Column], Column], request: SearchRequest = SearchRequest(), **options) -> DataFrame:
     """Validates and embeds one query, then searches."""
     row = index.sparkSession.range(1).select(embed(F.lit(validate_query(text))).cast("array<double>").alias("q")).first()

@@ -78,7 +78,7 @@ def topk_stored_norm(spark, d):
 def topk_multi(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return _shown(search.search_many(rows, asked, query_id="query_id", query_vector="query", limit=5, ties=["vec_id"]), "query_id", "vec_id")
+    return _shown(search.search_all(rows, asked, query_id="query_id", query_vector="query", limit=5, ties=["vec_id"]), "query_id", "vec_id")
 
 
 @query(f"SELECT vec_id, round({COS}, 9) AS cosine, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS l2 FROM embeddings, {Q0}")

@@ -185,6 +185,15 @@ def test_shared_queries_are_bounded(spark, monkeypatch):
         search.search_many(df, df.select(F.col("id").alias("q"), F.col("v").alias("w")), query_id="q", query_vector="w", vector="v")
 
 
+def test_any_number_of_queries(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1]) for i in range(40)], "id int, v array<float>")
+    asked = df.select(F.col("id").alias("q"), F.col("v").alias("w"))
+    found = lambda f: sorted((r.q, r.id, r.rank) for r in f(df, asked, query_id="q", query_vector="w", vector="v", limit=3, ties=["id"]).collect())
+    whole = found(search.search_many)
+    monkeypatch.setattr(search, "MOST_QUERIES", 12)
+    assert found(search.search_all) == whole and len(whole) == 120
+
+
 def test_norms_agree(spark):
     df = spark.createDataFrame(vectors(spark), "id int, embedding array<float>").withColumn("norm", V.norm(F.col("embedding")))
     a = search.search(df, [0.3] * 6, search.SearchRequest(5), ties=["id"], norm="norm").select("id", F.round("similarity", 9)).collect()
