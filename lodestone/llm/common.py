@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
+import tempfile
 import uuid
-
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,12 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is."""
+    """The folder that driver and executors share. Where none is set, a local session gets one; a cluster must name its own."""
     here = spark.conf.get("spark.checkpoint.dir", None)
     if not here:
-        here = "/tmp/lodestone-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        here = f"{tempfile.gettempdir()}/lodestone-checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(here)
     return here
@@ -46,6 +50,62 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of a sieve: at least SIEVE_BITS for each key it is made of, between these bounds, so that it is 32 MB at most.
+SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 16, 1 << 28
+
+
+def _sieve_size(keys: int) -> int:
+    return min(SIEVE_MOST, max(SIEVE_LEAST, 1 << (SIEVE_BITS * keys).bit_length()))
+
+
+def _sieve_words(keys: DataFrame, bits: int) -> DataFrame:
+    """w, b: the words of a bitmap of ``bits`` bits that are not zero; ``keys``: one column of 64-bit hashes."""
+    place = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
+    return keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+
+
+def sieve_array(keys: DataFrame, n: int) -> np.ndarray:
+    """A bitmap over the low bits of ``n`` hashes, as words, for tasks in Python; its size is bounded."""
+    bits = _sieve_size(n)
+    out = np.zeros(bits // 64, np.int64)
+    t = _sieve_words(keys, bits).toArrow()
+    out[t.column("w").to_numpy()] = t.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_sieve(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among the sieve's keys; those that are always pass."""
+    place = hashes & np.uint64(64 * len(words) - 1)
+    return ((words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def sieve(keys: DataFrame, n: int) -> Callable[[Column], Column]:
+    """The same as a condition on a column of hashes: a scalar subquery holds the bitmap, so rows that fail it aren't shuffled."""
+    bits = _sieve_size(n)
+    spark = keys.sparkSession
+    words = spark.range(bits // 64).join(_sieve_words(keys, bits), F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
+    listed = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("id", name))), lambda y: y[name]).alias(name)
+    pages = words.groupBy(F.shiftright("id", 10).alias("page")).agg(listed("b")).select(F.col("page").alias("id"), "b")
+    whole = pages.agg(listed("b")).select(F.flatten("b").alias("x"))
+
+    def test(h: Column) -> Column:
+        place = h.bitwiseAND(F.lit(bits - 1))
+        return F.getbit(F.get(whole.scalar(), F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test
+
+
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, small: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with at most one row of ``small`` for each ``on``; a hot key's rows are dealt to SALTS tasks by ``by``."""
+    salt, = fresh(rows, "salt")
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = small.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return left.join(right, [on, salt], how).drop(salt)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

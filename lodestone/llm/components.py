@@ -1,8 +1,10 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Every round is two aggregations and joins on the vertex id, written to the shared
-folder; only a count and a checksum reach the driver. Hub vertices are pre-aggregated
-to their least neighbour before any join, and the join back may be split by AQE.
+folder; only a count, a checksum and the hubs reach the driver. A hub, a vertex with
+more edges than a share 1 / HUBS of all (so there are few of them), has its edges
+dealt to several tasks in the joins; its least neighbour is found on the map side
+first. An empty table has no components.
 """
 
 from __future__ import annotations
@@ -10,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import SALTS, drop_stored, stored
+
+#: A vertex is a hub over FEW edges and a share 1 / HUBS of all.
+HUBS, FEW = 1 << 14, 1 << 12
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -18,17 +23,37 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r.n, r.s
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """rows (u, v) joined with least (u, m); a hub's rows are dealt to SALTS tasks."""
+    if hubs is None:
+        return rows.join(least, "u")
+    salts = F.when(F.col("is_hub"), F.lit(SALTS)).otherwise(F.lit(1))
+    marked = lambda x: x.join(F.broadcast(hubs), "u", "left")
+    left = marked(rows).withColumn("salt", F.pmod(F.xxhash64("v"), salts).cast("int"))
+    right = marked(least).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.drop("is_hub").join(right.drop("is_hub"), ["u", "salt"]).drop("salt")
+
+
+def _hubs(edges: DataFrame, n: int) -> DataFrame | None:
+    """u, is_hub: at most 2 * HUBS rows."""
+    if n <= FEW:
+        return None
+    ends = edges.select("u").unionByName(edges.select(F.col("v").alias("u")))
+    found = ends.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > max(FEW, n // HUBS)).select("u").collect()
+    return edges.sparkSession.createDataFrame([(r.u, True) for r in found], edges.select("u").schema.add("is_hub", "boolean")) if found else None
+
+
+def _large_star(edges: DataFrame, hubs: DataFrame | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both.where(F.col("v") > F.col("u")), least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
+    """Every edge's larger end points at the least of its smaller neighbours, and so do these."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    pairs = down.where(F.col("u") != F.col("v")).join(least, "u")
-    return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         old = edges
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        edges = stored(_small_star(_large_star(edges, _hubs(edges, mark[0]))), "edges")
         now = _mark(edges)
         drop_stored(old)
         if now == mark:

@@ -12,22 +12,30 @@ a pair shares a child with probability at least 1 - 0.2 ** 2 and a leaf of one
 tree with about 0.75 at any depth; eight trees miss fewer than 2 in 100,000 of
 the pairs right at the threshold and far fewer above. A node stops branching
 when it has at most ``NODE`` classes. Those are compared exhaustively by
-sketches of ``SKETCH`` minwise values, an estimate that only drops pairs more
-than four standard deviations under the threshold. Nodes still larger at the
+sketches of ``SKETCH`` two-bit minwise values, an estimate that only drops pairs
+about four standard deviations under the threshold. Nodes still larger at the
 last level hold near-identical copies; all their classes are candidates of each
 other.
 
+A node is a hash of the tokens on its path, so a class's nodes are computed where
+the class is. Per level only (node, count) pairs meet; bitmaps of bounded size tell
+tasks which nodes are small and which are large. So classes alone in a node and
+classes of large nodes aren't shuffled by it, whatever the nodes' sizes. A node
+that a full bitmap takes for large branches further, which is as good a split.
+
 Confirmation. Candidate pairs are never listed: nodes give edges that span them,
-and the components of those edges are families, each class in one. A family of
-at most ``BLOCK`` classes is decided at once, all pairs on full sets, by matrix
-products. In a larger one every class is first tested against the family's most
-central one (that in the most and largest nodes); all pairs with those not
-linked to it are then decided block by block, so no task holds the family, no
-partner is capped and no pair is emitted but edges that span the links.
+and the components of those edges are families, each class in one. The families'
+texts are sent to blocks, where sets are made again and all pairs are decided on
+full sets by matrix products. A family of weight ``BLOCK`` (rows, long texts more)
+is one block. In a larger one every class is first tested against the family's most
+central one (that in most large nodes), of which each block gets a copy; all pairs
+with those not linked to it are then decided block by block, so no task holds the
+family, no partner is capped and no pair is emitted but edges that span the links.
 
 Defined results: rows are kept one for one, repeated ids included; a row with a
-null id takes part in links but represents none; a null text has no words. An
-empty table gives an empty result. ``deduplicated`` keeps one row of each
+null id takes part in links but represents none; a null text has no words. A very
+long text is one set and weighs more in its block. An empty table gives an empty
+result; other columns don't enter, whatever they are called. ``deduplicated`` keeps one row of each
 component, and of rows repeated whole one.
 """
 
@@ -35,16 +43,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, fresh, plus, read, stored
+from .common import arrow, bounded_batches, drop_stored, fresh, in_sieve, plus, read, salted_join, sieve, sieve_array, stored
 from .components import components
-from .textkit import LOWER, NOT_SPACE, list_array, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
+from .textkit import LOWER, NOT_SPACE, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
 
 TREES, LEVELS, BRANCH, NODE = 8, 3, 2, 128
-SKETCH, SKETCH_LEAST = 96, 60
-BLOCK, SLAB, SIEVE = 512, 4096, 1 << 23
+TOKENS = TREES * BRANCH * (LEVELS - 1)
+#: Minwise functions; two bits of each are a class's sketch. The first TREES give the roots, the next TOKENS the children.
+SKETCH, SKETCH_LEAST = 128, 92
+MARKS = 4 * TREES + TOKENS + SKETCH // 4
+#: Full sets that one task holds at a time: rows, each counted once and once more for every HEAVY shingles.
+BLOCK, HEAVY, SLAB = 512, 512, 4096
 _SEEDS = np.random.default_rng(88172645).integers(1, 1 << 62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,24 +79,30 @@ def minwise(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(least: np.ndarray) -> np.ndarray:
+    """(rows, 32 + TOKENS + 32) bytes: the roots' tokens, the children's (a byte each), the sketch."""
+    bits = ((least >> np.uint32(10)) & np.uint32(3)).astype(np.uint8).reshape(-1, SKETCH // 4, 4)
+    sketch = bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6
+    return np.concatenate([np.ascontiguousarray(least[:, :TREES]).view(np.uint8), least[:, TREES : TREES + TOKENS].astype(np.uint8), sketch], axis=1)
+
+
 def _described(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """Each row's columns but the text, with n_shingles, cls (the set's 128-bit key), the root of each tree, and the sketch."""
+    """Each row's columns but the text, with n_shingles, cls (the set's 128-bit key) and marks."""
     keep = [c for c in docs.columns if c != text_col]
-    schema = plus(docs, keep, "n_shingles bigint, cls binary, roots array<bigint>, sketch binary")
+    schema = plus(docs, keep, "n_shingles bigint, cls binary, marks binary")
 
     def describe(batches):
         for b in batches:
             buf, offsets = utf8(b.column(text_col))
-            n, keys, tokens = [np.zeros(0, np.int64)], [np.zeros((0, 2), ">u8")], [np.zeros((0, SKETCH), np.uint32)]
+            n, keys, found = [np.zeros(0, np.int64)], [np.zeros((0, 2), ">u8")], [marks(np.zeros((0, SKETCH), np.uint32))]
             for _, _, part, at in slices(buf, offsets):
                 v, bounds = shingle_sets(part, at, width)
                 n.append(np.diff(bounds))
                 keys.append(_keys(v, bounds))
-                tokens.append(minwise(v, bounds))
-            tokens = np.concatenate(tokens)
-            roots = mix64(tokens[:, :TREES].astype(np.uint64) + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40)))
-            cols = [pa.array(np.concatenate(n), pa.int64()), _binary(np.concatenate(keys).astype(">u8"), 16), list_array(roots.ravel().view(np.int64), np.arange(len(roots) + 1) * TREES, pa.int64()), _binary(tokens.astype(np.uint8), SKETCH)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, "n_shingles", "cls", "roots", "sketch"])
+                found.append(marks(minwise(v, bounds)))
+            found = np.concatenate(found)
+            cols = [pa.array(np.concatenate(n), pa.int64()), _binary(np.concatenate(keys).astype(">u8"), 16), _binary(found, found.shape[1])]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, "n_shingles", "cls", "marks"])
 
     return docs.transform(arrow, describe, schema)
 
@@ -101,16 +119,56 @@ def _binary(rows: np.ndarray, width: int) -> pa.Array:
     return pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
 
 
-def _roots(classes: DataFrame) -> DataFrame:
-    return classes.select(F.posexplode("roots").alias("tree", "node"), "cls", "n_shingles", "sketch")
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, width) bytes of a column whose values have that width."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _children(nodes: DataFrame, depth: int) -> DataFrame:
-    """BRANCH rows for each, one level further down its tree by other minwise tokens (their low bytes)."""
-    place = (F.lit((depth - 1) * TREES) + F.col("tree")) * BRANCH + F.col("b") + TREES
-    token = F.col("sketch").substr(place + 1, F.lit(1))
-    branched = nodes.withColumn("b", F.explode(F.array(*map(F.lit, range(BRANCH)))))
-    return branched.select("tree", F.xxhash64("node", "b", token).alias("node"), "cls", "n_shingles", "sketch")
+def _paths(found: np.ndarray, large: list[np.ndarray]):
+    """For each level down to the one under the last sieve given: rows of ``found`` (marks) and their nodes there.
+
+    A node is a hash of the tokens on its path, so it is known where the class is. Rows whose node is in its level's sieve of
+    large nodes descend by BRANCH other tokens.
+    """
+    roots = np.ascontiguousarray(found[:, : 4 * TREES]).view(np.uint32).astype(np.uint64)
+    tokens = found[:, 4 * TREES : 4 * TREES + TOKENS].astype(np.uint64)
+    node = mix64(roots + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40))).ravel()
+    row, tree = np.repeat(np.arange(len(found)), TREES), np.tile(np.arange(TREES), len(found))
+    yield row, node
+    for depth, sieve in enumerate(large):
+        hit = in_sieve(sieve, node)
+        row, tree, node = row[hit], tree[hit], node[hit]
+        place = [((depth * TREES) + tree) * BRANCH + b for b in range(BRANCH)]
+        node = np.concatenate([mix64(node + mix64(tokens[row, p] + np.uint64(((depth + 1) * BRANCH + b + 1) << 20))) for b, p in enumerate(place)])
+        row, tree = np.tile(row, BRANCH), np.tile(tree, BRANCH)
+        yield row, node
+
+
+def _trees(classes: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """Sieves of the nodes of 2..NODE classes and of larger ones by level, and whether the last level has large ones.
+
+    Only (node, count) pairs are shuffled, summed on the map side, so no node's rows meet here.
+    """
+    leaf: list[np.ndarray] = []
+    large: list[np.ndarray] = []
+    some = True
+    while some and len(large) < LEVELS:
+        shared = classes.sparkSession.sparkContext.broadcast(large)
+
+        def count(batches, shared=shared):
+            for b in batches:
+                *_, (_, node) = _paths(_bytes(b.column("marks"), MARKS), shared.value)
+                node, n = np.unique(node, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n.astype(np.int64))], names=["node", "n"])
+
+        counts = classes.select("marks").transform(arrow, count, "node:bigint,n:bigint").groupBy("node").agg(F.sum("n").alias("n")).where("n > 1")
+        counts = stored(counts, "nodes")
+        of = counts.agg(F.count_if(F.col("n") <= NODE).alias("small"), F.count_if(F.col("n") > NODE).alias("big")).first()
+        leaf.append(sieve_array(counts.where(F.col("n") <= NODE).select("node"), of.small))
+        large.append(sieve_array(counts.where(F.col("n") > NODE).select("node"), of.big))
+        drop_stored(counts)
+        some = of.big > 0
+    return leaf, large, some
 
 
 def _runs(batches, columns):
@@ -131,17 +189,16 @@ def _runs(batches, columns):
 def _compared(node, n, sketch):
     """Index pairs in the same node that sizes and sketches allow; all pairs, offset by offset."""
     end = np.searchsorted(node, node, "right")
-    k, left = 1, np.arange(len(node))
+    k, left, low = 1, np.arange(len(node)), np.uint64(0x5555555555555555)
     while len(left := left[left + k < end[left]]):
         for part in np.array_split(left, max(1, len(left) >> 16)):
-            other = part + k
-            small, large = np.minimum(n[part], n[other]), np.maximum(n[part], n[other])
+            small, large = np.minimum(n[part], n[part + k]), np.maximum(n[part], n[part + k])
             part = part[5 * small >= 4 * large]
-            other = part + k
             if len(part):
-                hit = (sketch[part] == sketch[other]).sum(axis=1) >= SKETCH_LEAST
+                differ = sketch[part] ^ sketch[part + k]
+                hit = np.bitwise_count((differ | differ >> np.uint64(1)) & low).sum(axis=1) <= SKETCH - SKETCH_LEAST
                 if hit.any():
-                    yield part[hit], other[hit]
+                    yield part[hit], part[hit] + k
         k += 1
 
 
@@ -160,82 +217,61 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return moved, label[moved]
 
 
-def _edges(cls: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cls[u].tolist(), pa.binary()), pa.array(cls[v].tolist(), pa.binary())], names=["u", "v"])
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _candidates(leaves: DataFrame) -> DataFrame:
-    """Edges that span the candidate pairs of each small node."""
-    columns = ["node", "cls", "n_shingles", "sketch"]
+def _candidates(classes: DataFrame, leaf: list[np.ndarray], large: list[np.ndarray], hot: bool) -> DataFrame:
+    """Edges (u, v) that span the candidate pairs: of each small node by sketches, and of each large one at the last level."""
+    shared = classes.sparkSession.sparkContext.broadcast((leaf, large))
+
+    def place(batches):
+        small, big = shared.value
+        for b in batches:
+            found = _bytes(b.column("marks"), MARKS)
+            rows, nodes = [], []
+            for (row, node), s, l in zip(_paths(found, big[:-1]), small, big, strict=True):
+                hit = in_sieve(s, node) & ~in_sieve(l, node)
+                rows.append(row[hit])
+                nodes.append(node[hit])
+            row = np.concatenate(rows)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), b.column("k").take(at), b.column("n_shingles").take(at), _binary(found[row, 4 * TREES + TOKENS :], SKETCH // 4)], names=["node", "k", "n_shingles", "sketch"])
 
     def compare(batches):
-        for t in _runs(batches, columns):
-            node, n = t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
-            cls = np.array(t.column("cls").to_pylist(), object)
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            halves = np.frombuffer(b"".join(cls.tolist()), ">u8").astype(np.uint64).reshape(-1, 2)
-            by_rank = np.lexsort((halves[:, 1], halves[:, 0]))
-            rank = np.empty(len(cls), np.int64)
-            rank[by_rank] = np.arange(len(cls))
-            found = [(rank[a], rank[b]) for a, b in _compared(node, n, sketch)]
+        for t in _runs(batches, ["node", "k", "n_shingles", "sketch"]):
+            ks, at = np.unique(t.column("k").to_numpy(), return_inverse=True)
+            sketch = np.ascontiguousarray(_bytes(t.column("sketch"), SKETCH // 4)).view(np.uint64)
+            found = list(_compared(t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), sketch))
             if found:
-                u, v = _spanning(len(cls), *(np.concatenate(x) for x in zip(*found, strict=True)))
-                yield _edges(cls[by_rank], u, v)
-
-    return leaves.select(columns).repartition("node").sortWithinPartitions("node").transform(arrow, compare, "u:binary,v:binary").distinct()
-
-
-def _sets(base: DataFrame, classes: DataFrame, families: DataFrame, width: int) -> DataFrame:
-    """cls, family, members (the full set) of the classes in families, from the text of each one's least id.
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                u, v = _spanning(len(ks), at[a], at[b])
+                yield _edges(ks[u], ks[v])
 
-    Texts aren't shuffled: sets are made where the text is, for rows whose id is in a bitmap of SIEVE bits over the ids
-    wanted, and joined by class. The bitmap's size is fixed; where very many ids fill it, more sets than needed are made.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
-    wanted = classes.select("cls", "id").join(families, "cls").select(place("id").alias("h"))
-    bits = wanted.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).collect()
-    sieve = np.zeros(SIEVE // 64, np.int64)
-    sieve[[r.w for r in bits]] = [r.b for r in bits]
-    shared = base.sparkSession.sparkContext.broadcast(sieve.view(np.uint64))
-
-    def to_sets(batches):
-        for b in batches:
-            h = b.column("h").to_numpy().astype(np.uint64)
-            b = b.filter(pa.array(((shared.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)))
-            buf, offsets = utf8(b.column("text"))
-            for _, _, part, at in slices(buf, offsets):
-                v, bounds = shingle_sets(part, at, width)
-                yield pa.RecordBatch.from_arrays([_binary(_keys(v, bounds), 16), list_array(v.view(np.int64), bounds, pa.int64())], names=["cls", "members"])
-
-    return base.select("text", place("id").alias("h")).transform(arrow, to_sets, "cls:binary,members:array<bigint>").join(families, "cls").dropDuplicates(["cls"])
+    leaves = classes.select("k", "n_shingles", "marks").transform(arrow, place, "node:bigint,k:bigint,n_shingles:bigint,sketch:binary")
+    near = leaves.repartition("node").sortWithinPartitions("node").transform(arrow, compare, "u:bigint,v:bigint")
+    if hot:
+        rows = stored(_hot(classes, large).select("node", "k"), "nodes")
+        one = rows.groupBy("node").agg(F.min("k").alias("v"))
+        near = near.unionByName(salted_join(rows, one, "node", F.col("k")).where("k <> v").select(F.col("k").alias("u"), "v"))
+    return near
 
 
-def _starred(big: DataFrame, rank: DataFrame) -> DataFrame:
-    """Rows of large families with the class of their family's leader (of greatest rank) and whether they are linked with it."""
-    lead = big.select("cls", "family").join(rank, "cls").groupBy("family").agg(F.max_by("cls", F.struct("rank", "cls")).alias("lead"))
-    lead = lead.join(big.select(F.col("cls").alias("lead"), F.col("members").alias("lead_members")), "lead")
-    rows = big.join(lead, "family").select("cls", "family", "members", "lead", "lead_members")
+def _hot(classes: DataFrame, large: list[np.ndarray]) -> DataFrame:
+    """node, k of the classes in large nodes of the last level."""
+    shared = classes.sparkSession.sparkContext.broadcast(large)
 
-    def check(batches):
+    def pick(batches):
         for b in batches:
-            flags = []
-            for i, j in zip(b.column("members"), b.column("lead_members"), strict=True):
-                p, q = i.values.to_numpy(), j.values.to_numpy()
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                flags.append(100 * both >= 80 * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cls", "family", "members", "lead")), pa.array(flags, pa.bool_())], names=["cls", "family", "members", "lead", "linked"])
+            *_, (row, node) = _paths(_bytes(b.column("marks"), MARKS), shared.value[:-1])
+            hit = in_sieve(shared.value[-1], node)
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit].view(np.int64)), b.column("k").take(pa.array(row[hit]))], names=["node", "k"])
 
-    return rows.transform(arrow, check, "cls:binary,family:binary,members:array<bigint>,lead:binary,linked:boolean")
+    return classes.select("k", "marks").transform(arrow, pick, "node:bigint,k:bigint")
 
 
-def _grid(starred: DataFrame) -> DataFrame:
-    """Blocks of a large family: every row against every row that isn't linked with the leader, BLOCK by BLOCK."""
-    size = starred.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("nb"), F.ceil(F.sum((~F.col("linked")).cast("int")) / F.lit(BLOCK)).alias("rb")).where("rb > 0")
-    rows = starred.join(size, "family")
-    own = F.pmod(F.xxhash64("cls"), F.col("nb"))
-    every = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rb") - 1))).withColumns({"i": own, "a": F.lit(True), "b": F.lit(False)})
-    rest = rows.where(~F.col("linked")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).withColumns({"j": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rb")), "a": F.lit(False), "b": F.lit(True)})
-    return every.unionByName(rest).select(F.xxhash64("family", "i", "j").alias("node"), "cls", "members", "a", "b")
+def _weight() -> Column:
+    return F.lit(1) + F.expr(f"n_shingles div {HEAVY}")
 
 
 def _overlaps(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,76 +289,111 @@ def _overlaps(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarr
     return out
 
 
-def _confirmed(blocks: DataFrame) -> DataFrame:
-    """Edges that span the links of each block, every pair decided on full sets."""
-    columns = ["node", "cls", "members", "a", "b"]
+def _confirmed(blocks: DataFrame, width: int) -> DataFrame:
+    """Edges that span the links of each block (node) between its rows marked a and b, every pair decided on full sets."""
 
     def confirm(batches):
-        for t in _runs(batches, columns):
+        for t in _runs(batches, ["node", "k", "text", "a", "b"]):
             node = t.column("node").to_numpy()
             cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
             for x, y in zip(cuts, cuts[1:], strict=False):
-                part = t.slice(x, y - x)
-                cls = np.array(part.column("cls").to_pylist(), object)
-                lists = part.column("members").combine_chunks()
-                lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
-                bounds = np.asarray(lists.offsets.to_numpy()) - lists.offsets[0].as_py()
-                values = lists.values.slice(lists.offsets[0].as_py(), int(bounds[-1])).to_numpy()
+                part = t.slice(x, y - x).combine_chunks()
+                k = part.column("k").to_numpy()
+                text = part.column("text")
+                values, bounds = shingle_sets(*utf8(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text), width)
                 a, b = (np.flatnonzero(np.array(part.column(c).to_pylist(), bool)) for c in ("a", "b"))
                 n = np.diff(bounds).astype(np.float64)
                 both = _overlaps(values, bounds, a, b).astype(np.float64)
                 i, j = np.nonzero(100 * both >= 80 * (n[a][:, None] + n[b][None, :] - both))
-                u, v = _spanning(len(cls), a[i], b[j])
+                u, v = _spanning(len(k), a[i], b[j])
                 if len(u):
-                    yield _edges(cls, u, v)
-
-    return blocks.select(columns).repartition("node").sortWithinPartitions("node").transform(arrow, confirm, "u:binary,v:binary").where("u <> v").distinct()
-
-
-def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves (nodes of 2..NODE classes) of all levels, and the rows of nodes larger than that at the last."""
-    leaves, nodes = None, _roots(classes)
-    for depth in range(1, LEVELS + 1):
-        size = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = stored(nodes.join(size, "node"), "nodes")
-        small = sized.where(F.col("size") <= NODE).select("node", "cls", "n_shingles", "sketch", "size")
-        leaves = small if leaves is None else leaves.unionByName(small)
-        large = sized.where(F.col("size") > NODE)
-        if depth == LEVELS or large.isEmpty():
-            break
-        nodes = _children(large, depth)
-    return leaves, None if large.isEmpty() else large
+                    yield _edges(k[u], k[v])
+
+    return blocks.select("node", "k", "text", "a", "b").repartition("node").sortWithinPartitions("node").transform(arrow, confirm, "u:bigint,v:bigint").where("u <> v")
+
+
+def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (k, h, key, ...) with each one's text; only rows of ``base`` that a sieve of the keys lets through are shuffled."""
+    of = sieve(wanted.select("h"), wanted.count())
+    h = F.xxhash64("id", "key")
+    rows = base.where("text is not null").select("text", "key", h.alias("h")).where(of(h)).dropDuplicates(["h", "key"])
+    return rows.join(wanted, ["h", "key"])
+
+
+def _blocks(big: DataFrame, rest: DataFrame | None, lead: DataFrame | None) -> DataFrame:
+    """Blocks of the large families: all rows (a) against the leader (b), or against those not linked with it (b)."""
+    size = big.groupBy("family").agg(F.ceil(F.sum(_weight()) / F.lit(BLOCK)).alias("nb"))
+    if lead is not None:
+        size = size.join(lead, "family")
+        rows = salted_join(big, size, "family", F.col("k"))
+        own = F.pmod(F.xxhash64("k"), F.col("nb"))
+        every = rows.select("family", own.alias("i"), F.lit(0).cast("bigint").alias("j"), "k", "h", "key", F.lit(True).alias("a"), (F.col("k") == F.col("lead")).alias("b"))
+        heads = rows.where("k = lead").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).where(F.col("i") != own)
+        return every.unionByName(heads.select("family", "i", F.lit(0).cast("bigint").alias("j"), "k", "h", "key", F.lit(False).alias("a"), F.lit(True).alias("b")))
+    size = size.join(rest.groupBy("family").agg(F.ceil(F.sum(_weight()) / F.lit(BLOCK)).alias("rb")), "family")
+    rows, few = (salted_join(x, size, "family", F.col("k")) for x in (big, rest))
+    columns = ["family", "i", "j", "k", "h", "key", "a", "b"]
+    every = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rb") - 1))).withColumns({"i": F.pmod(F.xxhash64("k"), F.col("nb")), "a": F.lit(True), "b": F.lit(False)})
+    few = few.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).withColumns({"j": F.pmod(F.xxhash64("k", F.lit(1)), F.col("rb")), "a": F.lit(False), "b": F.lit(True)})
+    return every.select(columns).unionByName(few.select(columns))
+
+
+def _links(base: DataFrame, classes: DataFrame, families: DataFrame, hot: DataFrame | None, width: int) -> DataFrame:
+    """Edges that span the links between classes, decided on full sets family by family."""
+    wanted = stored(classes.select("k", "h", "key", "n_shingles").join(families, "k"), "wanted")
+    small_of = wanted.groupBy("family").agg(F.sum(_weight()).alias("weight"))
+    big_of = stored(small_of.where(F.col("weight") > BLOCK).select("family"), "big")
+    texts = stored(_texts(base, wanted.select("k", "h", "key", "family")).select("h", "key", "k", "family", "text"), "texts")
+    if big_of.isEmpty():
+        links = stored(_confirmed(texts.select(F.xxhash64("family").alias("node"), "k", "text", F.lit(True).alias("a"), F.lit(True).alias("b")), width), "links")
+        for x in (wanted, big_of, texts):
+            drop_stored(x)
+        return links
+    flag = big_of.withColumn("is_big", F.lit(True))
+    parted = lambda rows: salted_join(rows, flag, "family", F.col("k"), "left")
+    small = parted(texts).where("is_big is null")
+    links = stored(_confirmed(small.select(F.xxhash64("family").alias("node"), "k", "text", F.lit(True).alias("a"), F.lit(True).alias("b")), width), "links")
+    big = stored(parted(wanted).where("is_big").drop("is_big"), "big_rows")
+    rank = big.select("family", "k", "n_shingles") if hot is None else big.select("family", "k", "n_shingles").join(hot, "k", "left")
+    rank = rank.withColumn("r", F.lit(0) if hot is None else F.coalesce("times", F.lit(0)))
+    lead = rank.groupBy("family").agg(F.max_by("k", F.struct("r", F.col("k").alias("x"))).alias("lead"))
+    node = F.xxhash64("family", "i", "j").alias("node")
+    text_of = texts.select("k", "text")
+    star = stored(_confirmed(_blocks(big, None, lead).join(text_of, "k").select(node, "k", "text", "a", "b"), width), "links")
+    reached = star.select(F.explode(F.array("u", "v")).alias("k")).unionByName(lead.select(F.col("lead").alias("k"))).distinct()
+    rest = stored(big.join(reached, "k", "left_anti"), "rest")
+    links = links.unionByName(star)
+    if not rest.isEmpty():
+        links = links.unionByName(stored(_confirmed(_blocks(big, rest, None).join(text_of, "k").select(node, "k", "text", "a", "b"), width), "links"))
+    for x in (wanted, big_of, texts, big, rest):
+        drop_stored(x)
+    return links
 
 
 def _membership(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, key (the text's hash), n_shingles, component (a class; null without words) and component_id of every row."""
+    """id, key (the text's hash), n_shingles, component (null without words) and component_id of every row."""
     bounded_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = stored(_described(base.withColumn("key", F.xxhash64("text")), "text", width), "sets")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    seen = stored(_described(base, "text", width), "sets")
     some = seen.where("n_shingles > 0")
-    classes = stored(some.groupBy("cls").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "roots", "sketch"))), "classes")
-    leaves, hot = _split(classes)
-    near = _candidates(leaves)
-    rank = leaves.select("cls", "size")
-    if hot is not None:
-        near = near.unionByName(hot.join(hot.groupBy("node").agg(F.min("cls").alias("v")), "node").select(F.col("cls").alias("u"), "v").where("u <> v").distinct())
-        rank = rank.unionByName(hot.select("cls", "size"))
-    families = components(near).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    sets = stored(_sets(base, classes, families, width), "sets")
-    size = sets.groupBy("family").agg(F.count("*").alias("size"))
-    sized = sets.join(size, "family")
-    blocks = sized.where(F.col("size") <= BLOCK).select(F.xxhash64("family").alias("node"), "cls", "members", F.lit(True).alias("a"), F.lit(True).alias("b"))
-    links = _confirmed(blocks)
-    big = sized.where(F.col("size") > BLOCK).drop("size")
-    if not big.isEmpty():
-        starred = stored(_starred(big, rank.groupBy("cls").agg(F.sum("size").alias("rank"))), "starred")
-        links = links.unionByName(starred.where("linked and cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v"))).unionByName(_confirmed(_grid(starred)))
-    final = components(links)
-    names = final.withColumnRenamed("node", "cls").join(classes.select("cls", "id"), "cls")
-    least = names.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = classes.select("cls", "id").join(names.select("cls", "component").join(least, "component"), "cls", "left")
-    by_class = by_class.select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
-    out = seen.select("id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")
+    classes = some.groupBy("cls").agg(F.min(F.struct("id", "key")).alias("one"), F.min("id").alias("id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("marks").alias("marks"))
+    classes = classes.select("cls", "id", F.xxhash64("one.id", "one.key").alias("h"), "one.key", "n_shingles", "marks", F.monotonically_increasing_id().alias("k"))
+    classes = stored(classes, "classes")
+    leaf, large, hot = _trees(classes)
+    near = _candidates(classes, leaf, large, hot)
+    families = components(near).select(F.col("node").alias("k"), F.col("component").alias("family"))
+    times = _hot(classes, large).groupBy("k").agg(F.count("*").alias("times")) if hot else None
+    links = _links(base, classes, families, times, width)
+    final = components(links).withColumnRenamed("node", "k")
+    own = classes.select("cls", "k", "id")
+    least = final.join(own.select("k", "id"), "k").groupBy("component").agg(F.min("id").alias("component_id"))
+    named = salted_join(final, least, "component", F.col("k"))
+    by_class = own.join(named, "k", "left").select("cls", F.coalesce("component", "k").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
+    by_class = stored(by_class, "members")
+    members = seen.select("id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
+    copies = F.xxhash64("id", "key")
+    out = salted_join(members, by_class, "cls", copies, "left")
+    drop_stored(classes)
     return out.select("id", "key", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -333,14 +404,25 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``docs`` with one row of each component (of least id, then text hash), and every row without words."""
-    chosen = _membership(docs, id_col, text_col, width).where("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("c"))
-    key, = fresh(docs, "text_key")
-    rows = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
-    picks = chosen.select(F.col("c.id").alias("pick_id"), F.col("c.key").alias("pick_key"))
-    picked = rows.join(picks, rows[id_col].eqNullSafe(picks["pick_id"]) & (rows[key] == picks["pick_key"]), "left_semi").dropDuplicates([id_col, key]).drop(key)
-    wordless = docs.where(~F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return picked.unionByName(wordless)
+    """``docs`` with one row of each component (of least id, then text hash), and every row without words.
+
+    Only rows that a sieve of those to go, or that are repeated whole, lets through are shuffled with their texts.
+    """
+    members = stored(_membership(docs, id_col, text_col, width).select("id", "key", "component", F.xxhash64("id", "key").alias("h")), "members")
+    with_words = members.where("component is not null")
+    chosen = with_words.groupBy("component").agg(F.min(F.struct("id", "key", "h")).alias("c")).select(F.col("c.h").alias("h"), F.col("c.key").alias("key"), F.lit(True).alias("pick"))
+    marked = with_words.groupBy("h", "key").agg(F.count("*").alias("n")).join(chosen, ["h", "key"], "left")
+    odd = stored(marked.where("pick is null or n > 1").select("h", "key", F.col("pick").isNotNull().alias("pick")), "odd")
+    own, key = fresh(docs, "row_hash", "text_key")
+    text_key = F.xxhash64(F.col(text_col).cast("string"))
+    h = F.xxhash64(F.col(id_col), text_key)
+    may_be_odd = sieve(odd.select("h"), odd.count())(h)
+    rows = docs.withColumns({own: h, key: text_key})
+    doubtful = rows.where(may_be_odd).join(odd.select(F.col("h").alias("odd_h"), F.col("key").alias("odd_key"), "pick"), (rows[own] == F.col("odd_h")) & (rows[key] == F.col("odd_key")), "left")
+    back = [rows[c] for c in docs.columns]
+    fine = doubtful.where("odd_h is null").select(back)
+    again = doubtful.where("pick").select(*back, rows[own], rows[key]).dropDuplicates([own, key]).select(docs.columns)
+    return docs.where(~may_be_odd).unionByName(fine).unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
