@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import SALTS, drop_stored, stored
 
 #: A vertex is a hub over FEW edges and a share 1 / HUBS of all.
-HUBS, FEW = 1 << 14, 1 << 12
+HUBS, FEW = 1 << 14, 1 << 9
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:

@@ -24,12 +24,15 @@ characters or more.
 Defined results: a null text stays null and an empty one empty; blank lines stay
 and belong to no template. A null id never counts as a document and never as a
 first one. Repeated rows are treated alike. Extra columns stay. The text's lines
-are what line feeds separate.
+are what line feeds separate; a text of very many lines costs no more for each. An empty
+table gives an empty result.
 
 Scale: lines are carried by 64-bit hashes; a template's documents are counted
 after a partial distinct, so the commonest line is one row for each task and
 document. Only lines of leaves that enough documents share meet again with their
-text. No leaf is ever gathered in one task.
+text, and of the texts only those are shuffled that a bitmap of bounded size lets
+through. Joins on a line, a leaf's token or a text's hash are salted, so no leaf is
+ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, stored
+from .common import drop_stored, fresh, read, salted_join, sieve, stored
 
 DEPTH, MIN_DOCS, KEPT_SHARE, COPY_SHARE = 3, 5, 0.6, 0.5
 _BLANK = "\t\n\x0b\f\r "
@@ -64,50 +67,75 @@ def _recurring(rows: DataFrame, by: list[str], min_docs: int) -> DataFrame:
     return rows.select(*by, "id").distinct().groupBy(*by).agg(F.count("id").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs).drop("docs")
 
 
-def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, kept_share: float) -> DataFrame:
-    """id, key, pos, n_chars, first of lines that recur once their variable positions are generalised."""
+def _generalised(docs: DataFrame, rest: DataFrame, depth: int, min_docs: int, kept_share: float) -> tuple[DataFrame, list[DataFrame]]:
+    """id, key, pos, n_chars, first of lines that recur once their variable positions are generalised; and the stored stages it reads."""
     leaves = _recurring(rest, ["leaf"], min_docs).select("leaf")
     chosen = stored(rest.join(leaves, "leaf", "left_semi").select("id", "key", "pos").distinct(), "chosen")
     wanted = chosen.select(F.col("id").alias("i"), F.col("key").alias("k")).distinct()
-    again = _lines(docs.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi"), depth)
+    may_be = sieve(wanted.select(F.xxhash64("i", "k").alias("h")), wanted.count())
+    some = docs.where(may_be(F.xxhash64("id", "key")))
+    again = _lines(some.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi"), depth)
     marks = chosen.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("pos").alias("p"))
     lines = again.join(marks, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p")), "left_semi").select("id", "key", "pos", "n_chars", "leaf", "n_tokens", "canon").distinct()
     lines = stored(lines, "lines")
+    drop_stored(chosen)
     single = lines.select("leaf", "id", "canon").distinct()
     spots = single.select("leaf", F.posexplode(F.split("canon", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    kept = spots.select("leaf", "at", "token", "n", F.xxhash64("at", "token").alias("h"))
-    each = lines.select("id", "key", "pos", "n_chars", "leaf", "n_tokens", F.posexplode(F.split("canon", " ")).alias("at", "token")).join(kept, ["leaf", "at", "token"])
+    spots = spots.select(F.xxhash64("leaf", "at", "token").alias("spot"), "n", F.xxhash64("at", "token").alias("h"))
+    # the leading tokens are the leaf's own, so a leaf's lines share their spots: these are hot, and salted
+    each = lines.select("id", "key", "pos", "n_chars", "leaf", "n_tokens", F.posexplode(F.split("canon", " ")).alias("at", "token")).withColumn("spot", F.xxhash64("leaf", "at", "token"))
+    each = salted_join(each.drop("token", "at"), spots, "spot", F.struct("id", "pos"))
     line = ["id", "key", "pos", "n_chars", "leaf", "n_tokens"]
     least = F.ceil(kept_share * F.col("n_tokens")).cast("int")
     sorted_by = each.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("n", "h")), asc=False).alias("s")).where(F.size("s") >= least)
     n = lambda i: F.get("s", i)["n"]
     cuts = F.filter(F.sequence(least, F.size("s")), lambda i: (i == F.size("s")) | (n(i - 1) > n(i)))
     shape = F.aggregate(F.slice("s", 1, F.col("cut")), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x["h"]))
-    shaped = stored(sorted_by.withColumn("cut", F.explode(cuts)).select(*line, shape.alias("shape")), "shapes")
-    return shaped.join(_recurring(shaped, ["leaf", "shape"], min_docs), ["leaf", "shape"]).select("id", "key", "pos", "n_chars", "first")
+    shaped = stored(sorted_by.withColumn("cut", F.explode(cuts)).select(*line[:4], F.xxhash64("leaf", shape).alias("shape")), "shapes")
+    found = salted_join(shaped, _recurring(shaped, ["shape"], min_docs), "shape", F.struct("id", "pos"))
+    return found.select("id", "key", "pos", "n_chars", "first"), [lines, shaped]
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, kept_share: float = KEPT_SHARE, copy_share: float = COPY_SHARE) -> DataFrame:
-    """``docs`` with recurring lines dropped from the text, n_lines (before) and n_dropped."""
-    key, lost, chars, gone_id, gone_key, new, copied = fresh(docs, "text_key", "lost_lines", "lost_chars", "gone_id", "gone_key", "new_text", "is_copied")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+def _gone(base: DataFrame, depth: int, min_docs: int, kept_share: float) -> DataFrame:
+    """id, key, h (their hash), lost (positions, ascending), chars and whether other rows have the same text, of texts that lose lines."""
     lines = stored(_lines(base, depth).select("id", "key", "pos", "n_chars", "leaf", "masked"), "lines")
     exact = stored(_recurring(lines, ["masked"], min_docs), "templates")
-    rest = lines.join(exact, "masked", "left_anti")
-    gone = lines.join(exact, "masked").select("id", "key", "pos", "n_chars", "first")
-    gone = gone.unionByName(_generalised(base, rest, depth, min_docs, kept_share))
+    more, read_by = _generalised(base, lines.join(exact, "masked", "left_anti"), depth, min_docs, kept_share)
+    gone = salted_join(lines, exact, "masked", F.struct("id", "pos")).select("id", "key", "pos", "n_chars", "first").unionByName(more)
     gone = gone.where(F.col("id").isNull() | (F.col("id") > F.col("first"))).select("id", "key", "pos", "n_chars").distinct()
-    gone = gone.groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.collect_list("pos").alias(lost), F.sum("n_chars").alias(chars))
-    copies = lines.select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias(gone_key), F.lit(True).alias(copied))
-    gone = gone.join(copies, gone_key, "left")
+    gone = gone.groupBy("id", "key").agg(F.sort_array(F.collect_list("pos")).alias("lost"), F.sum("n_chars").alias("chars"))
+    copies = lines.select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
+    gone = stored(salted_join(gone, copies, "key", F.col("id"), "left").withColumn("h", F.xxhash64("id", "key")), "gone")
+    for x in (lines, exact, *read_by):
+        drop_stored(x)
+    return gone
+
+
+def _without(text: Column, lost: Column) -> Column:
+    """The text without the lines at ``lost`` (ascending): the runs between them are sliced out, so the cost is linear."""
+    parts = F.split(text, "\n")
+    ends = F.concat(lost.cast("array<int>"), F.array(F.size(parts)))
+    runs = F.transform(ends, lambda end, i: F.slice(parts, F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1) + 1, end - F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1)))
+    return F.array_join(F.flatten(runs), "\n")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, kept_share: float = KEPT_SHARE, copy_share: float = COPY_SHARE) -> DataFrame:
+    """``docs`` with recurring lines dropped from the text, n_lines (before) and n_dropped."""
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    gone = _gone(base, depth, min_docs, kept_share)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept).withColumn(key, F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left")
+    key, h, lost, chars, copied, new, gone_h, gone_key = fresh(docs, "text_key", "row_hash", "lost_lines", "lost_chars", "is_copied", "new_text", "gone_hash", "gone_key")
+    rows = docs.select(*kept).withColumn(key, F.xxhash64(text_col)).withColumn(h, F.xxhash64(F.col(id_col), F.col(key)))
+    may_be = sieve(gone.select("h"), gone.count())
+    n_lines = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("bigint").alias("n_lines")
+    whole = rows.where(~may_be(F.col(h))).select(*kept, n_lines, F.lit(0).cast("bigint").alias("n_dropped"))
+    own = gone.select(F.col("h").alias(gone_h), F.col("key").alias(gone_key), F.col("lost").alias(lost), F.col("chars").alias(chars), F.col("copied").alias(copied))
+    joined = rows.where(may_be(F.col(h))).join(own, (F.col(h) == F.col(gone_h)) & (F.col(key) == F.col(gone_key)), "left")
     some = F.coalesce(F.col(chars), F.lit(0))
     drops = (some > 0) & (F.col(copied).isNull() | (some < copy_share * F.char_length(text_col)))
-    split = F.split(text_col, "\n")
-    text = F.when(drops, F.array_join(F.filter(split, lambda _, i: ~F.array_contains(lost, i)), "\n")).otherwise(F.col(text_col))
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("bigint"), "n_dropped": F.when(drops, F.size(lost)).otherwise(0).cast("bigint"), new: text})
-    return out.select(*(F.col(new).alias(c) if c == text_col else F.col(c) for c in kept), "n_lines", "n_dropped")
+    text = F.when(drops, _without(F.col(text_col), F.col(lost))).otherwise(F.col(text_col))
+    out = joined.withColumn(new, text).select(*(F.col(new).alias(c) if c == text_col else F.col(c) for c in kept), n_lines, F.when(drops, F.size(lost)).otherwise(0).cast("bigint").alias("n_dropped"))
+    return whole.unionByName(out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
