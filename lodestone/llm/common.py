@@ -99,11 +99,14 @@ SALTS = 16
 
 
 def salted_join(rows: DataFrame, small: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
-    """``rows`` joined with at most one row of ``small`` for each ``on``; a hot key's rows are dealt to SALTS tasks by ``by``."""
+    """``rows`` joined with at most one row of ``small`` for each ``on``; a hot key's rows are dealt to SALTS tasks by ``by``.
+
+    The join is always by merging, for its right side grows with the data and the copies would be broadcast on a guess.
+    """
     salt, = fresh(rows, "salt")
     left = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     right = small.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return left.join(right, [on, salt], how).drop(salt)
+    return left.join(right.hint("merge"), [on, salt], how).drop(salt)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -100,8 +100,11 @@ def _gone(base: DataFrame, depth: int, min_docs: int, kept_share: float) -> Data
     """id, key, h (their hash), lost (positions, ascending), chars and whether other rows have the same text, of texts that lose lines."""
     lines = stored(_lines(base, depth).select("id", "key", "pos", "n_chars", "leaf", "masked"), "lines")
     exact = stored(_recurring(lines, ["masked"], min_docs), "templates")
-    more, read_by = _generalised(base, lines.join(exact, "masked", "left_anti"), depth, min_docs, kept_share)
-    gone = salted_join(lines, exact, "masked", F.struct("id", "pos")).select("id", "key", "pos", "n_chars", "first").unionByName(more)
+    may_recur = sieve(exact.select("masked"), exact.count())(F.col("masked"))
+    looked_up = salted_join(lines.where(may_recur), exact, "masked", F.struct("id", "pos"), "left")
+    rest = lines.where(~may_recur).unionByName(looked_up.where("first is null").drop("first"))
+    more, read_by = _generalised(base, rest, depth, min_docs, kept_share)
+    gone = looked_up.where("first is not null").select("id", "key", "pos", "n_chars", "first").unionByName(more)
     gone = gone.where(F.col("id").isNull() | (F.col("id") > F.col("first"))).select("id", "key", "pos", "n_chars").distinct()
     gone = gone.groupBy("id", "key").agg(F.sort_array(F.collect_list("pos")).alias("lost"), F.sum("n_chars").alias("chars"))
     copies = lines.select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
