@@ -50,6 +50,14 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sampled(rows: DataFrame, by: Column, most: int) -> DataFrame:
+    """About ``most`` of the rows, or all if there are no more, by a hash of ``by`` under a cut; no row leaves its task."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64(by, F.lit(41)), 11) < int((1 << 53) * (most / n)))
+
+
 #: Bits of a sieve: at least SIEVE_BITS for each key it is made of, between these bounds, so that it is 32 MB at most.
 SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 16, 1 << 28
 

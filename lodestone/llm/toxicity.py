@@ -12,16 +12,19 @@ holds (1 + ln tf) * idf for its terms, with idf from all documents, and one
 constant component, so that the cosine also tells one mention from many.
 
 Examples. Training texts with equal vectors are one example with its count of
-either label. At most ``MAX_EXAMPLES`` are indexed, those of most texts first (a
-bound on the classifier's labelled sample).
+either label. About ``MAX_EXAMPLES`` with toxic texts and as many without are
+indexed, chosen by a hash of the vector (a bound on the classifier's labelled
+sample); ``Index.left_out`` tells how many were not.
 
 Search. Postings are cut into blocks of ``BLOCK`` examples with each block's
 greatest weight. A query takes blocks in order of the bound these give and
 stops where the bound falls under the k-th best cosine, so the ``K`` nearest
 are exact. Each votes with the label share of its texts, by 1 / (``NEAR`` +
-distance) ** 2, against a prior; neighbours and cosines are kept as evidence.
+distance) ** 2, against a prior; the nearest ``EVIDENCE`` are given as evidence,
+each with the id of one of its texts, its cosine and its toxic share.
 
-Defined results: a null or empty text has the constant component alone; without
+Defined results: a null or empty text has the constant component alone; a very
+long one has a vector as any other; an empty table gives an empty result; without
 training labels every score is 0. Label rows whose label is null or whose text
 is missing teach nothing; a text labelled twice counts once for either label.
 Rows are scored one by one; other columns stay.
@@ -38,13 +41,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow, bounded_batches, fresh, plus, read, remainder, stored
+from .common import arrow, bounded_batches, drop_stored, fresh, plus, read, remainder, sampled, stored
 
 PREFIXES = (4, 5, 6)
 PURITY, MAX_TERMS, MAX_EXAMPLES = 0.6, 4096, 4096
 TOXIC_TEXTS, CLEAN_TEXTS = 16_384, 32_768
-K, BLOCK, NEAR, PRIOR_WEIGHT = 15, 64, 0.02, 0.5
+K, BLOCK, NEAR, PRIOR_WEIGHT, EVIDENCE = 15, 64, 0.02, 0.5, 3
 CONSTANT = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -124,8 +128,12 @@ def parse(key: str) -> list[tuple[int, int]]:
 class Index:
     """Blocked postings of the examples' unit vectors, with block maxima; component 0 is the constant."""
 
-    def __init__(self, examples: list[tuple[str, int, int]], idf: dict[int, float], prior: float):
-        self.idf, self.prior = idf, prior
+    #: Distinct example vectors that the sample left out.
+    left_out = 0
+
+    def __init__(self, examples: list[tuple[str, int, int]], idf: dict[int, float], prior: float, texts: dict | None = None):
+        """``examples``: vector, toxic and clean texts; ``texts``: the id of one text by vector, for evidence."""
+        self.idf, self.prior, self.texts = idf, prior, texts or {}
         examples = sorted(examples)
         self.keys = [k for k, _, _ in examples]
         n = np.array([a + b for _, a, b in examples], np.float64)
@@ -183,28 +191,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null and i is not null").distinct()
-    ranked = lambda rows, most: rows.orderBy(F.xxhash64("i"), "i").limit(most)
-    taught = ranked(marks.where("toxic > 0"), TOXIC_TEXTS).unionByName(ranked(marks.where("toxic <= 0"), CLEAN_TEXTS))
+    taught = sampled(marks.where("toxic > 0"), F.col("i"), TOXIC_TEXTS).unionByName(sampled(marks.where("toxic <= 0"), F.col("i"), CLEAN_TEXTS))
     terms = choose_terms(texts.join(F.broadcast(taught), "i").select("text", (F.col("toxic") > 0).alias("toxic")))
     name, = fresh(docs, "vector")
     vectors = stored(with_vectors(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, terms, name), "vectors")
     n = vectors.count()
     df = vectors.select(F.explode(F.split(F.col(name), " ")).alias("x")).where("x <> ''").groupBy(F.split_part("x", F.lit(":"), F.lit(1)).cast("int").alias("t")).count()
     idf = {r.t: math.log((1 + n) / (1 + r["count"])) + 1 for r in df.collect()}
-    taught = vectors.select(F.col(id_col).alias("i"), F.col(name).alias("key")).join(marks, "i").groupBy("key").agg(F.sum((F.col("toxic") > 0).cast("bigint")).alias("a"), F.count("*").alias("n"))
-    total = taught.agg(F.sum("a").alias("a"), F.sum("n").alias("n")).first()
-    rows = taught.orderBy(F.desc("n"), F.xxhash64("key"), "key").limit(MAX_EXAMPLES).collect()
+    taught = vectors.select(F.col(id_col).alias("i"), F.col(name).alias("key")).join(marks, "i").groupBy("key").agg(F.sum((F.col("toxic") > 0).cast("bigint")).alias("a"), F.count("*").alias("n"), F.min("i").alias("i"))
+    taught = stored(taught, "examples")
+    total = taught.agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.count_if(F.col("a") > 0).alias("marked"), F.count_if(F.col("a") == 0).alias("clean")).first()
+    kept = sampled(taught.where("a > 0"), F.col("key"), MAX_EXAMPLES).unionByName(sampled(taught.where("a = 0"), F.col("key"), MAX_EXAMPLES))
+    rows = kept.collect()
     prior = total.a / total.n if total.n else 0.0
-    return terms, vectors.withColumnRenamed(name, "vector") if name == "vector" else vectors, Index([(r.key, r.a, r.n - r.a) for r in rows], idf, prior)
+    index = Index([(r.key, r.a, r.n - r.a) for r in rows], idf, prior, {r.key: r.i for r in rows})
+    index.left_out = (total.marked or 0) + (total.clean or 0) - len(rows)
+    drop_stored(taught)
+    return terms, vectors, index
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, evidence: bool = True, **columns) -> DataFrame:
-    """``docs`` without the text, with score and neighbours (array of example vector, cosine, toxic share)."""
+def scored(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
+    """``docs`` without the text, with score and neighbours (array of id of one text, cosine, toxic share)."""
     name, = fresh(docs, "vector")
     _, vectors, index = fit(docs, labels, **columns)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     keep = [c for c in vectors.columns if c not in (name, "score", "neighbours")]
-    kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
+    id_type = docs.schema[columns.get("id_col", "doc_id")].dataType.simpleString()
+    schema = plus(vectors, keep, f"score double, neighbours array<struct<example:{id_type},cosine:double,toxic_share:double>>")
+    kind = to_arrow_type(schema["neighbours"].dataType)
 
     def score(batches):
         own = shared.value
@@ -216,16 +230,16 @@ def scored(docs: DataFrame, labels: DataFrame, *, evidence: bool = True, **colum
                     if len(known) > 50_000:
                         known.clear()
                     s, near = own.score(key)
-                    known[key] = s, [{"example": own.keys[e], "cosine": c, "toxic_share": float(own.share[e])} for e, c in near] if evidence else None
+                    known[key] = s, [{"example": own.texts.get(own.keys[e]), "cosine": c, "toxic_share": float(own.share[e])} for e, c in near[:EVIDENCE]]
                 out.append(known[key][0])
                 why.append(known[key][1])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.float64()), pa.array(why, kind)], names=[*keep, "score", "neighbours"])
 
-    return vectors.transform(arrow, score, plus(vectors, keep, "score double, neighbours array<struct<example:string,cosine:double,toxic_share:double>>"))
+    return vectors.transform(arrow, score, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(F.col("doc_id"), 3) != 1)
-    out = scored(docs, labels, evidence=False)
-    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    out = scored(docs, labels)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "neighbours")
