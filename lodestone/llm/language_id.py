@@ -8,11 +8,12 @@ there; a byte no context has seen costs 8 bits. Statistics are frozen after
 training, so a text's code length is a sum of table look-ups and is exact. The
 language with the shortest code wins.
 
-Training is on a bounded sample: at most ``sample_docs`` documents per language,
-chosen by a hash of their id, of which at most ``sample_chars`` characters each
-are learned. Every text is scored whole.
+Training is on a bounded sample of labelled rows: at most ``sample_docs`` documents
+per language, whole, chosen by a hash of their id; texts of over ``long_chars``
+characters are only taken where a language has too few others. There may be at most
+``MOST_LANGUAGES`` languages, which is checked. Every text is scored whole.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
+Defined results: an empty table gives an empty result; a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing could be learned. Ties go to the first language in
 order of name. Rows are scored one by one, repeated or not; other columns stay,
 and a column named lang_pred or score is replaced.
@@ -30,7 +31,8 @@ from .textkit import LOWER, mix64, slices, utf8
 
 ORDER = 4
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 16_384
+LONG_CHARS = 16_384
+MOST_LANGUAGES = 1000
 #: The score is the posterior as it would be from so many bytes at the text's mean code length per byte.
 EVIDENCE_BYTES = 64
 SLICE = 1 << 18
@@ -157,14 +159,18 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, long_chars: int = LONG_CHARS) -> Model:
     """Learn from the rows given; only ids are ranked, and the texts of those chosen are fetched."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where("l is not null and t is not null and t <> ''")
-    order_by = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = rows.select("i", "l").withColumn("r", F.row_number().over(order_by)).where(F.col("r") <= sample_docs).select("i", "l").distinct()
-    picked = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").groupBy("i", "l").agg(F.min(F.left("t", F.lit(sample_chars))).alias("t"))
+    order_by = Window.partitionBy("l").orderBy("long", F.xxhash64("i"), "i")
+    ranked = rows.select("i", "l", (F.char_length("t") > long_chars).alias("long")).withColumn("r", F.row_number().over(order_by))
+    chosen = ranked.where(F.col("r") <= sample_docs).select("i", "l").distinct().limit(MOST_LANGUAGES * sample_docs + 1).toArrow()
+    if chosen.num_rows > MOST_LANGUAGES * sample_docs:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    wanted = docs.sparkSession.createDataFrame(chosen) if chosen.num_rows else rows.select("i", "l").limit(0)
+    picked = rows.join(F.broadcast(wanted), ["i", "l"], "left_semi").groupBy("i", "l").agg(F.min("t").alias("t"))
     samples: dict[str, list[str]] = {}
-    for r in picked.collect():
+    for r in picked.toLocalIterator():
         samples.setdefault(r.l, []).append(r.t)
     return Model({k: sorted(v) for k, v in samples.items()}, order)
 
