@@ -6,14 +6,17 @@ window of ``window`` consecutive words of every benchmark item; an item with
 fewer words is one window. Each text is scanned once, and hits are mapped back
 to words and to code-point offsets of the original text.
 
-Defined results: a null or empty text has no words and no hits; items without
+Defined results: an empty table gives an empty result; a text of any length is
+scanned whole; a null or empty text has no words and no hits; items without
 words, and items without an id, are ignored; repeated rows are scored row by
 row; an empty benchmark hits nothing. Other columns of the input stay; where one
 has the name of a result, the result replaces it.
 
-The automaton is bounded: items are split into shards of at most
-``shard_bytes`` of window text and the texts pass each shard in turn, so a
-larger benchmark costs more passes, never more memory.
+The automaton is bounded: the windows, those of one item too if it is long, are
+split into shards of at most ``shard_bytes`` of window text, which bounds the
+automaton's nodes. A larger benchmark takes more passes, one job after another
+with what was found so far written between them, so one worker holds one
+automaton at a time.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, fresh, plus, read
+from .common import arrow, bounded_batches, drop_stored, fresh, plus, read, stored
 from .textkit import ALNUM, LOWER
 
 WINDOW = 10
-SHARD_BYTES = 16 << 20
+#: Bytes of the windows of one pass; an automaton takes about 45 bytes for each.
+SHARD_BYTES = 4 << 20
 _TO_WORDS = bytes(int(LOWER[b]) if ALNUM[b] else 0x20 for b in range(256))
 _automata: dict[str, object] = {}
 
@@ -114,9 +118,9 @@ def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_byt
                 size += len(key)
             if r.i not in shard[key]:
                 shard[key].append(r.i)
-        if size >= shard_bytes:
-            yield dict(shard)
-            shard, size = defaultdict(list), 0
+            if size >= shard_bytes:
+                yield dict(shard)
+                shard, size = defaultdict(list), 0
     yield dict(shard)
 
 
@@ -136,7 +140,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     while shard is not None:
         after = next(shards, None)
         scan = _pass(uuid.uuid4().hex, spark.sparkContext.broadcast(shard), base, held, ranges, who, number == 0, after is None, spans)
-        df = df.transform(arrow, scan, result if after is None else state)
+        earlier, df = df, df.transform(arrow, scan, result if after is None else state)
+        if after is not None:
+            df = stored(df, "scanned")
+            if number:
+                drop_stored(earlier)
         shard, number = after, number + 1
     return df
 
