@@ -3,7 +3,7 @@
 A text's paragraphs are its non-empty runs between line feeds. Each is hashed to
 a wide vector, and a text's fingerprint is the sum of its paragraphs' vectors:
 
-* ``EXACT`` lanes of 64 bits hashed from the whole paragraph, summed modulo 2^64;
+* ``EXACT`` lanes of 64 bits, the paragraph's BLAKE2b digest of 512 bits, summed modulo 2^64;
 * ``LIKE`` lanes of 16 bits, the signed count sketch of the paragraph's 2-word
   shingles (a lone word counts as one), summed modulo 2^16.
 
@@ -16,7 +16,8 @@ for equal fingerprints.
 Defined results: a null text is the empty text, whose fingerprint is all zeros;
 the likeness of an empty text to another is 0. Documents follow each other by
 id, nulls first, then by text; after the last comes the first. Repeated rows
-stay. A lone document is its own successor. An empty table gives an empty result.
+stay. A lone document is its own successor. A text of any length is hashed whole. An empty
+table gives an empty result. Other columns don't enter.
 
 Plan: ids are cut into ranges by approximate quantiles, texts are shuffled once
 to their range, and the first document of a range is also sent to the range
@@ -34,14 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow, bounded_batches, read
-from .textkit import LOWER, NOT_SPACE, mix64, pair_hashes, slices, span_hashes, utf8, words
+from .textkit import LOWER, NOT_SPACE, pair_hashes, slices, span_hashes, utf8, words
 
 EXACT, LIKE = 8, 256
 RANGE_ROWS = 4096
 MOST_RANGES = 1 << 16
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
-_LANE_SEEDS = np.random.default_rng(5772156).integers(1, 1 << 62, EXACT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def vectors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +52,9 @@ def vectors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         starts, ends, bounds = words(part, at, _LINE)
         if not len(starts):
             continue
-        h = span_hashes(part, starts, ends)
-        some = np.flatnonzero(np.diff(bounds))
-        for j, seed in enumerate(_LANE_SEEDS):
-            exact[first + some, j] = np.add.reduceat(mix64(h * seed), bounds[some])
+        some, raw = np.flatnonzero(np.diff(bounds)), part.tobytes()
+        digests = b"".join([hashlib.blake2b(raw[a:b]).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        exact[first + some] = np.add.reduceat(np.frombuffer(digests, "<u8").reshape(-1, EXACT), bounds[some], axis=0)
         low = LOWER[part]
         w0, w1, inside = words(low, np.append(starts, len(low)), NOT_SPACE)
         units, paragraph = pair_hashes(span_hashes(low, w0, w1), inside)
@@ -144,7 +143,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to), pa.array(np.ones(len(to), np.int32))], names=names)
 
     sent = dealt.transform(arrow, deal, "id:bigint,text:string,rank:bigint,bucket:int,guest:int")
-    sent = sent.repartition("bucket").sortWithinPartitions("bucket", "guest", "rank", "text")
+    sent = sent.repartition(len(order) or 1, "bucket").sortWithinPartitions("bucket", "guest", "rank", "text")
 
     def work(batches):
         held = None
