@@ -4,9 +4,16 @@ Documents fall into cells of source, language and topic; a cell's mass is its
 documents' tokens (runs of non-space characters). Cells' weights start at 1 and
 are raked in turn so that weighted mass meets the target shares of the sources,
 of the languages and of the topics, until no marginal is off by more than
-``TOLERANCE`` or after ``SWEEPS`` sweeps. A document is then kept with
-probability min(1, scale * weight), where ``scale`` makes the expected tokens
-``KEEP`` of all; the draw is a hash of id, text and seed, so it is repeatable.
+``TOLERANCE``; after ``SWEEPS`` sweeps, or ``STILL`` without getting nearer (targets that
+no weights can meet), a warning tells how far off they are.
+
+A document's probability follows from its cell's weight so that the expected tokens
+are ``KEEP`` of all. Probabilities end at 1, and that is raked in: cells whose
+probability would be over 1 are taken whole, what they hold is taken off the targets,
+and the others are raked anew to what is left, until no further cell fills up. So
+the sample's expected marginals are the targets wherever the corpus has the tokens;
+``shortfalls`` lists the values where it hasn't. The draw is a hash of id, text and
+seed, so it is repeatable.
 
 Targets default to tempered shares (mass ** exponent, renormalised); explicit
 ones are given as a table (value, share) for sources and as dicts for languages
@@ -16,25 +23,29 @@ is any column expression; the default tells tables, symbol noise, shouting,
 short texts and prose by cheap character counts.
 
 Defined results: a null source, language or topic is the value ``unknown``; a
-null or empty text has 0 tokens; its cell may have weight 1 by lack of mass.
-Repeated rows draw alike. Extra columns stay. An empty table gives an empty
-result.
+null or empty text has 0 tokens; a cell without mass has weight 1 and probability
+``KEEP``. A very long text counts whole. Repeated rows draw alike. Extra columns stay.
+An empty table gives an empty result.
 
 Scale: sources stay distributed (their weights are solved in a window over the
 cells, at most languages x topics rows each); only the language x topic matrix,
-checked against ``MOST_KINDS``, reaches the driver, once a sweep.
+checked against ``MOST_KINDS``, reaches the driver, once a sweep. Cells are sent to all
+tasks where there are at most ``FEW_CELLS``; more are joined, salted, so that a cell
+that holds a third of all rows is dealt to several tasks.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, read, stored
+from .common import drop_stored, fresh, read, salted_join, stored
 
-SWEEPS, TOLERANCE, KEEP, SEED = 50, 1e-6, 0.5, 11
-MOST_KINDS = 1 << 16
+SWEEPS, STILL, TOLERANCE, KEEP, SEED = 50, 4, 1e-6, 0.5, 11
+MOST_KINDS, FEW_CELLS = 1 << 16, 100_000
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 
 
@@ -98,6 +109,8 @@ def raked(cells: DataFrame, *, source_targets: DataFrame | None = None, lang_tar
     base = stored(cells.where("mass > 0").join(of_source.select("source", (F.col("raw") / raw * total).alias("want")), "source"), "cells")
     schema = "lang string, topic string, x double"
     b, c = np.ones(len(langs)), np.ones(len(topics))
+    row_of, column_of = ({v: i for i, v in enumerate(x)} for x in (langs, topics))
+    still, least = 0, float("inf")
     # a kind's factor is that of its language times that of its topic
     for _ in range(max(1, sweeps)):
         table = spark.createDataFrame([(v, t, float(b[i] * c[j])) for i, v in enumerate(langs) for j, t in enumerate(topics)], schema)
@@ -107,15 +120,18 @@ def raked(cells: DataFrame, *, source_targets: DataFrame | None = None, lang_tar
         got = solved.groupBy("lang", "topic").agg(F.sum(F.col("mass") * F.col("factor")).alias("g"))
         grid = np.zeros((len(langs), len(topics)))
         for r in got.collect():
-            grid[langs.index(r.lang), topics.index(r.topic)] = r.g
+            grid[row_of[r.lang], column_of[r.topic]] = r.g
         now_l = b * (grid @ c)
         off = np.abs(now_l - want_l).max() / total
         b = np.divide(want_l, grid @ c, out=np.zeros_like(b), where=grid @ c > 0)
         now_t = c * (b @ grid)
         off = max(off, np.abs(now_t - want_t).max() / total)
         c = np.divide(want_t, b @ grid, out=np.zeros_like(c), where=b @ grid > 0)
-        if off <= tolerance:
+        still, least = (still + 1, least) if off > 0.98 * least else (0, off)
+        if off <= tolerance or still >= STILL:
             break
+    if off > tolerance:
+        warnings.warn(f"raking ended with a marginal off by {off:.2g} of all tokens", stacklevel=2)
     table = spark.createDataFrame([(v, t, float(b[i] * c[j])) for i, v in enumerate(langs) for j, t in enumerate(topics)], schema)
     solved = base.join(table, ["lang", "topic"])
     reach = F.sum(F.col("mass") * F.col("x")).over(Window.partitionBy("source"))
@@ -123,23 +139,68 @@ def raked(cells: DataFrame, *, source_targets: DataFrame | None = None, lang_tar
     return stored(cells.join(solved, ["source", "lang", "topic"], "left").fillna(1.0, ["weight"]), "cells")
 
 
-def _scale(cells: DataFrame, keep: float) -> float:
-    """The factor that makes sum(mass * min(1, factor * weight)) the wanted tokens, by bisection on sums of the cells."""
-    r = cells.agg(F.sum("mass").alias("m"), F.sum(F.col("mass") * F.col("weight")).alias("w"), F.sum(F.when(F.col("weight") > 0, F.col("mass"))).alias("most"), F.min(F.when((F.col("weight") > 0) & (F.col("mass") > 0), F.col("weight"))).alias("least")).first()
-    if not r.m or not r.w:
-        return 1.0
-    goal = keep * r.m
-    if goal >= (r.most or 0):
-        return 1.0 / r.least
-    low, high = goal / r.w, 1.0 / r.least
-    for _ in range(8):  # each pass sums 64 factors at once
-        tries = np.linspace(low, high, 64)
-        sums = cells.agg(*(F.sum(F.col("mass") * F.least(F.lit(1.0), F.lit(float(s)) * F.col("weight"))).alias(f"s{i}") for i, s in enumerate(tries))).first()
-        k = next((i for i in range(64) if sums[i] >= goal), 63)
-        low, high = float(tries[max(0, k - 1)]), float(tries[k])
-        if high - low <= 1e-9 * high:
-            break
-    return high
+def _default_targets(cells: DataFrame, source_targets: DataFrame | None, lang_targets: dict | None, topic_targets: dict | None) -> tuple[DataFrame, dict, dict]:
+    """Shares of sources (value, share), languages and topics that add up to 1 over the values with mass."""
+    kinds = cells.where("mass > 0").groupBy("lang", "topic").agg(F.sum("mass").alias("mass")).limit(MOST_KINDS + 1).collect()
+    by = [{}, {}]
+    for r in kinds:
+        for own, v in zip(by, (r.lang, r.topic), strict=True):
+            own[v] = own.get(v, 0.0) + r.mass
+    langs, topics = (_shares(m, given, EXPONENTS[k]) for m, given, k in ((by[0], lang_targets, "lang"), (by[1], topic_targets, "topic")))
+    own = cells.groupBy(F.col("source").alias("value")).agg(F.sum("mass").alias("own")).where("own > 0")
+    if source_targets is None:
+        raw = own.select("value", F.pow("own", F.lit(EXPONENTS["source"])).alias("raw"))
+    else:
+        raw = own.join(source_targets.select("value", F.col("share").alias("raw")), "value", "left").select("value", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    total = raw.agg(F.sum("raw").alias("s")).first().s or 1.0
+    return raw.select("value", (F.col("raw") / total).alias("share")), langs, topics
+
+
+def bounded(cells: DataFrame, keep: float, *, source_targets: DataFrame | None = None, lang_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None) -> DataFrame:
+    """``cells`` (source, lang, topic, mass) with weight (raked, unbounded) and probability (raked with its bound of 1)."""
+    cells = stored(cells, "cells")
+    total = cells.agg(F.sum("mass").alias("m")).first().m or 0.0
+    if not total:
+        return cells.withColumns({"weight": F.lit(1.0), "probability": F.lit(float(keep))})
+    goal = keep * total
+    sources, langs, topics = _default_targets(cells, source_targets, lang_targets, topic_targets)
+    sources = stored(sources, "sources")
+    names = ["source", "lang", "topic"]
+    state = stored(cells.join(raked(cells, source_targets=sources, lang_targets=langs, topic_targets=topics).drop("mass"), names), "cells")
+    drop_stored(cells)
+    state = state.withColumns({"probability": F.when(F.col("mass") > 0, F.col("weight") * keep).otherwise(F.lit(float(keep))), "full": F.lit(False)})
+    while True:
+        over = (F.col("mass") > 0) & (F.col("full") | (F.col("probability") > 1 + 1e-9))
+        state = stored(state.withColumn("now", over), "cells")
+        news, left = state.agg(F.count_if(F.col("now") & ~F.col("full")), F.count_if((F.col("mass") > 0) & ~F.col("now") & (F.col("weight") > 0))).first()
+        state = state.withColumns({"full": F.col("now"), "probability": F.when(F.col("now"), 1.0).otherwise(F.col("probability"))}).drop("now")
+        if not news or not left:
+            return state.drop("full")
+        full = state.where("full")
+        taken = full.groupBy("lang", "topic").agg(F.sum("mass").alias("m")).collect()
+        rest = goal - sum(r.m for r in taken)
+        if rest <= 0:
+            return state.withColumn("probability", F.when(F.col("full") | (F.col("mass") <= 0), F.col("probability")).otherwise(0.0)).drop("full")
+        left_of = lambda shares, i: {v: max(0.0, x * goal - sum(r.m for r in taken if r[i] == v)) for v, x in shares.items()}
+        of_source = full.groupBy(F.col("source").alias("value")).agg(F.sum("mass").alias("m"))
+        left_source = sources.join(of_source, "value", "left").select("value", F.greatest(F.lit(0.0), F.col("share") * goal - F.coalesce("m", F.lit(0.0))).alias("share"))
+        free = state.where(~F.col("full") & (F.col("mass") > 0)).select(*names, "mass")
+        again = raked(free, source_targets=left_source, lang_targets=left_of(langs, 0), topic_targets=left_of(topics, 1))
+        got = again.agg(F.sum(F.col("mass") * F.col("weight")).alias("m")).first().m or 0.0
+        if not got:
+            return state.withColumn("probability", F.when(F.col("full") | (F.col("mass") <= 0), F.col("probability")).otherwise(0.0)).drop("full")
+        state = state.join(again.select(*names, (F.col("weight") * (rest / got)).alias("p")), names, "left").withColumn("probability", F.when(F.col("full") | F.col("p").isNull(), F.col("probability")).otherwise(F.col("p"))).drop("p")
+
+
+def shortfalls(cells: DataFrame, keep: float, tolerance: float = 1e-3, **targets) -> DataFrame:
+    """dimension, value, target, expected (shares of the sample) where ``bounded`` cells (with probability) miss a target."""
+    sources, langs, topics = _default_targets(cells, targets.get("source_targets"), targets.get("lang_targets"), targets.get("topic_targets"))
+    goal = keep * (cells.agg(F.sum("mass").alias("m")).first().m or 0.0) or 1.0
+    expected = lambda name: cells.groupBy(F.col(name).alias("value")).agg((F.sum(F.col("mass") * F.col("probability")) / goal).alias("expected"))
+    spark = cells.sparkSession
+    wanted = {"source": sources.withColumnRenamed("share", "target"), **{k: spark.createDataFrame(list(v.items()), "value string, target double") for k, v in (("lang", langs), ("topic", topics))}}
+    parts = [wanted[k].join(expected(k), "value").select(F.lit(k).alias("dimension"), "value", "target", "expected") for k in wanted]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.abs(F.col("target") - F.col("expected")) > tolerance)
 
 
 def mixed(docs: DataFrame, *, source: Column | None = None, lang: Column | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, seed: int = SEED, **targets) -> DataFrame:
@@ -149,17 +210,19 @@ def mixed(docs: DataFrame, *, source: Column | None = None, lang: Column | None
     topic = topic_of(F.col(text_col)) if topic is None else topic
     kept = [c for c in docs.columns if c not in ("mix_topic", "n_tokens", "weight", "probability", "selected")]
     names = fresh(docs, "mix_source", "mix_lang", "cell_topic", "cell_tokens")
-    a, b, c, w = fresh(docs, "w_source", "w_lang", "w_topic", "cell_weight")
+    a, b, c, w, q = fresh(docs, "w_source", "w_lang", "w_topic", "cell_weight", "cell_probability")
     rows = _described(docs.select(*kept), source, lang, topic, text_col, names)
     s, k, t, n = names
     cells = rows.groupBy(F.col(s).alias("source"), F.col(k).alias("lang"), F.col(t).alias("topic")).agg(F.sum(n).alias("mass"))
-    cells = raked(cells, **targets)
-    scale = _scale(cells, keep)
-    weights = cells.select(F.col("source").alias(a), F.col("lang").alias(b), F.col("topic").alias(c), F.col("weight").alias(w))
-    out = rows.join(weights, (rows[s] == weights[a]) & (rows[k] == weights[b]) & (rows[t] == weights[c]))
-    p = F.least(F.lit(1.0), F.lit(scale) * F.col(w))
+    cells = stored(bounded(cells, keep, **targets), "cells")
+    cell, = fresh(rows, "cell")
+    number = lambda *c: F.xxhash64(*c, F.lit(3))
+    found = cells.select(number("source", "lang", "topic").alias(cell), F.col("source").alias(a), F.col("lang").alias(b), F.col("topic").alias(c), F.col("weight").alias(w), F.col("probability").alias(q))
+    rows = rows.withColumn(cell, number(s, k, t))
+    out = rows.join(F.broadcast(found), cell) if cells.count() <= FEW_CELLS else salted_join(rows, found, cell, F.struct(id_col, text_col))
+    p = F.least(F.lit(1.0), F.col(q))
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return out.select(*(rows[x] for x in kept), F.col(t).alias("mix_topic"), F.col(n).cast("bigint").alias("n_tokens"), F.col(w).alias("weight"), p.alias("probability"), (draw < p).alias("selected"))
+    return out.select(*(F.col(x) for x in kept), F.col(t).alias("mix_topic"), F.col(n).cast("bigint").alias("n_tokens"), F.col(w).alias("weight"), p.alias("probability"), (draw < p).alias("selected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,3 +238,23 @@ def test_mixing_odd_rows(spark, odd, none):
     assert out.count() == odd.count() and out.where("probability is null or probability < 0 or probability > 1").count() == 0
     assert {r.n_tokens for r in out.where("doc_id in (1, 2)").collect()} == {0}
     assert I.mixed(none).count() == 0 and set(odd.columns) < set(out.columns)
+
+
+def test_sample_meets_its_targets_under_the_bound(spark):
+    cells = [(f"s{i}", l, t, 1000.0) for i in range(3) for l in ("x", "y") for t in ("p", "q")]
+    cells[1] = ("s0", "x", "q", 150.0)
+    cells[4] = ("s1", "x", "p", 300.0)
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, mass double")
+    total = sum(c[3] for c in cells)
+    src = spark.createDataFrame([(f"s{i}", 1.0) for i in range(3)], "value string, share double")
+    options = {"source_targets": src, "lang_targets": {"x": 1.0, "y": 1.0}, "topic_targets": {"p": 2.0, "q": 3.0}}
+    out = I.bounded(df, 0.7, **options).collect()
+    assert all(0 <= x.probability <= 1 for x in out) and any(x.weight * 0.7 > 1.05 for x in out)
+    want = [{f"s{i}": 1 / 3 for i in range(3)}, {"x": 0.5, "y": 0.5}, {"p": 0.4, "q": 0.6}]
+    for d, name in enumerate(("source", "lang", "topic")):
+        for v, share in want[d].items():
+            assert sum(x.mass * x.probability for x in out if x[name] == v) == pytest.approx(share * 0.7 * total, rel=1e-3)
+    again = spark.createDataFrame(out)
+    assert I.shortfalls(again, 0.7, **options).count() == 0
+    short = I.shortfalls(again.withColumn("probability", F.lit(0.7)), 0.7, **options)
+    assert {r.dimension for r in short.collect()} == {"source", "lang", "topic"}
