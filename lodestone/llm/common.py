@@ -88,13 +88,13 @@ def in_sieve(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def sieve(keys: DataFrame, n: int) -> Callable[[Column], Column]:
-    """The same as a condition on a column of hashes: a scalar subquery holds the bitmap, so rows that fail it aren't shuffled."""
+    """The same as a condition on a column of hashes: the bitmap is stored, and a scalar subquery reads it, so rows that fail aren't shuffled."""
     bits = _sieve_size(n)
     spark = keys.sparkSession
     words = spark.range(bits // 64).join(_sieve_words(keys, bits), F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
     listed = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("id", name))), lambda y: y[name]).alias(name)
     pages = words.groupBy(F.shiftright("id", 10).alias("page")).agg(listed("b")).select(F.col("page").alias("id"), "b")
-    whole = pages.agg(listed("b")).select(F.flatten("b").alias("x"))
+    whole = stored(pages.agg(listed("b")).select(F.flatten("b").alias("x")), "sieve")
 
     def test(h: Column) -> Column:
         place = h.bitwiseAND(F.lit(bits - 1))

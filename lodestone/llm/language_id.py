@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, fresh, plus, read, remainder
+from .common import arrow, bounded_batches, fresh, plus, read, remainder, trim
 from .textkit import LOWER, mix64, slices, utf8
 
 ORDER = 4
@@ -172,7 +172,9 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     samples: dict[str, list[str]] = {}
     for r in picked.toLocalIterator():
         samples.setdefault(r.l, []).append(r.t)
-    return Model({k: sorted(v) for k, v in samples.items()}, order)
+    model = Model({k: sorted(v) for k, v in samples.items()}, order)
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
