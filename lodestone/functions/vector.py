@@ -8,8 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNROLL = 128
-
 
 def _double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -21,13 +19,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dot_with(v: Column, query: Sequence[float]) -> Column:
-    """Product with a literal vector, unrolled as a balanced sum so that it stays in generated code; longer vectors use ``dot``."""
-    if len(query) > UNROLL or not query:
-        return dot(v, F.array(*(F.lit(float(x)) for x in query)).cast("array<double>"))
-    terms = [F.get(v, F.lit(i)).cast("double") * F.lit(float(x)) for i, x in enumerate(query)]
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
+    """Product with a literal vector."""
+    return dot(v, F.array(*(F.lit(float(x)) for x in query)).cast("array<double>"))
 
 
 def norm(v: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,66 @@ def product_decoded(rows: DataFrame, codebook: list[list[list[float]]], dims: in
     return rows.join(F.broadcast(table)).withColumn(name, F.slice(whole, 1, dims)).drop("codebook")
 
 
+#: Codecs by name: "learned" is scalar quantisation under another name.
+CODECS = {"none": "none", "scalar": "scalar", "learned": "scalar", "product": "product"}
+
+
+def little_endian(vector: Column) -> Column:
+    """The identity codec's bytes: 32-bit floats, least significant byte first."""
+
+    @F.pandas_udf("binary")
+    def to_bytes(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return to_bytes(vector.cast("array<float>"))
+
+
+def from_little_endian(codes: Column) -> Column:
+    @F.pandas_udf("array<float>")
+    def to_floats(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return to_floats(codes)
+
+
+def encoded(rows: DataFrame, codec: str, key: str, vector: str = "embedding", k: int = CODEBOOK) -> tuple[DataFrame, dict]:
+    """``rows`` with binary codes in place of the vector, and what decoding needs: codec, dims and a range or a codebook."""
+    if codec not in CODECS:
+        raise ValueError(f"no codec {codec!r}; there are {sorted(CODECS)}")
+    dims = rows.agg(F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")).first().d
+    kind, about = CODECS[codec], {"codec": CODECS[codec], "dims": dims}
+    if kind == "none":
+        return rows.withColumn("codes", little_endian(F.col(vector))).drop(vector), about
+    if kind == "scalar":
+        r = value_range(rows, vector).first()
+        out = rows.withColumn("codes", _packed(V.quantized(F.col(vector), r.low, r.high)))
+        return out.drop(vector), about | {"low": r.low, "high": r.high}
+    book = product_codebook(rows, key, vector, k=k)
+    out = product_encoded(rows, key, book, vector).withColumn("codes", _packed(F.col("codes")))
+    return out.drop(vector), about | {"codebook": book}
+
+
+def decoded(rows: DataFrame, about: dict, name: str = "embedding") -> DataFrame:
+    """``rows`` with the vector that the codes stand for."""
+    if about["codec"] == "none":
+        return rows.withColumn(name, from_little_endian(F.col("codes"))).drop("codes")
+    numbers = rows.withColumn("codes", _unpacked(F.col("codes")))
+    if about["codec"] == "scalar":
+        return numbers.withColumn(name, V.dequantized(F.col("codes"), about["low"], about["high"]).cast("array<float>")).drop("codes")
+    out = product_decoded(numbers, about["codebook"], about["dims"], name)
+    return out.withColumn(name, F.col(name).cast("array<float>")).drop("codes")
+
+
+def _packed(codes: Column) -> Column:
+    """A byte for each code."""
+    return F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+
+
+def _unpacked(codes: Column) -> Column:
+    text = F.hex(codes)
+    return F.when(F.length(codes) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(codes) - 1), lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+
+
 def compression(original: Column, compressed: Column) -> Column:
     """Struct of ratio and percentage saved."""
     return F.struct((original / compressed).alias("ratio"), ((1 - compressed / original) * 100).alias("percent"))

@@ -34,3 +34,11 @@ def update_result(indexed: DataFrame, current: DataFrame, before: int, after: in
     n = lambda k: F.count(F.when(F.col("k") == k, 1))
     r = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).agg(n("a").alias("added"), n("u").alias("updated"), n("r").alias("removed"))
     return r.withColumns({"before": F.lit(before).cast("bigint"), "after": F.lit(after).cast("bigint"), "delta": F.lit(after - before).cast("bigint"), "has_changes": (F.col("added") + F.col("updated") + F.col("removed")) > 0})
+
+
+def united(*listings: DataFrame) -> DataFrame:
+    """Every path of the listings once."""
+    out = listings[0].select("path")
+    for x in listings[1:]:
+        out = out.unionByName(x.select("path"))
+    return out.distinct()

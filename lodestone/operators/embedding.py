@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +14,25 @@ from ..functions import text as T
 DIMENSIONS, CONTEXT = 384, 256
 
 
+def code_point_sum(text: Column) -> Column:
+    """Sum of the text's code points, by Arrow batches: one pass of numpy over a batch's UTF-32."""
+
+    @F.pandas_udf("bigint")
+    def sums(texts: pd.Series) -> pd.Series:
+        whole = texts.fillna("")
+        ends = whole.str.len().cumsum().to_numpy(np.int64)
+        units = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(units, dtype=np.int64)))
+        return pd.Series(np.diff(np.concatenate((total[:1], total[ends]))))
+
+    return F.when(text.isNotNull(), sums(text))
+
+
 def mock_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """0.1 + ((sum of code points + i) mod 100) / 1000 at i; zeros for the empty text."""
-    base = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda s, c: s + F.ascii(c))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: 0.1 + F.pmod(base + i, F.lit(100)) * 0.001)
-    return F.when(text == "", F.array_repeat(F.lit(0.0), dimensions)).otherwise(value)
+    cycle = F.array(*(F.lit(0.1 + (i % 100) * 0.001) for i in range(100 + dimensions)))
+    start = F.pmod(code_point_sum(text), F.lit(100)).cast("int")
+    return F.when(text == "", F.array_repeat(F.lit(0.0), dimensions)).otherwise(F.slice(cycle, start + 1, F.lit(dimensions)))
 
 
 def placeholder_embedding(text: Column, dimensions: int = 768, context: int = CONTEXT) -> Column:
@@ -78,8 +93,15 @@ def embedded_once(rows: DataFrame, embed: Callable[[Column], Column], text: str
     return rows.join(vectors, rows[text].eqNullSafe(vectors["_t"]), "left").drop("_t")
 
 
+def batch_size_of(average_bytes: Column, base: int, memory_gb: float | None = None) -> Column:
+    """Records in a batch by mean text length and memory, 1 to 256 (128 where the memory isn't known)."""
+    n = F.when(average_bytes > 1000, base // 2).when(average_bytes < 100, base * 2).otherwise(base)
+    most, factor = (128, 1.0) if memory_gb is None else (256, 2.0 if memory_gb >= 16 else 1.5 if memory_gb >= 8 else 0.75)
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n * factor).cast("int")))
+
+
 def batch_size(average_bytes: float, base: int, memory_gb: float | None = None) -> int:
-    """Records in a batch by mean text length and memory, 1 to 256; for Arrow's maxRecordsPerBatch."""
+    """The same for one number; for Arrow's maxRecordsPerBatch."""
     n = base // 2 if average_bytes > 1000 else base * 2 if average_bytes < 100 else base
     if memory_gb is None:
         return max(1, min(128, n))

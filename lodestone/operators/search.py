@@ -1,10 +1,10 @@
 """Exact cosine search.
 
 A single query is a literal: rows are filtered, scored and cut by a
-TakeOrderedAndProject, without a shuffle of the rows. Many queries are a small
-broadcast table, checked against ``MOST_QUERIES``, and each keeps its own k by a
-ranked window, which Spark limits on the map side; ``search_all`` takes any number
-of queries in blocks of that size. Ties are broken by path and
+TakeOrderedAndProject, without a shuffle of the rows. Many queries are a
+matrix, checked against ``MOST_QUERIES``, that batches of vectors are multiplied
+with; each task keeps its own k for a query and a ranked window merges them.
+``search_all`` takes any number of queries in blocks of that size. Ties are broken by path and
 chunk index. Only ids and paths are carried until the limit; text is joined to
 the few rows that are left.
 """
@@ -16,13 +16,19 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import glob as G
 from ..functions import vector as V
 
-LIMIT, MOST_QUERIES, MOST_QUERY_BYTES = 10, 10_000, 1000
+LIMIT, MOST_QUERIES, MOST_QUERY_BYTES, DIGITS = 10, 10_000, 1000, 12
+SCORED_AT_ONCE, MOST_RESULTS = 4_000_000, 10_000
+
 
 
 def validate_query(text: str) -> str:
@@ -91,17 +97,78 @@ def filter_results(results: DataFrame, *, path: str, glob: str | None = None, ex
     return results
 
 
-def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_vector: str, vector: str = "embedding", limit: int = LIMIT, threshold: float | None = None, ties: Sequence[str] = ()) -> DataFrame:
-    """Top rows for each of a bounded table of queries."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+def _best(table: pa.Table, query: np.ndarray, score: np.ndarray, ties: Sequence[str], limit: int) -> np.ndarray:
+    """Places of each query's ``limit`` best rows, by falling score, then by the tie columns as Spark orders them."""
+    order = pc.sort_indices(table, [(t, "ascending") for t in ties], null_placement="at_start").to_numpy() if ties else np.arange(len(query))
+    place = np.empty(len(query), np.int64)
+    place[order] = np.arange(len(query))
+    by = np.lexsort((place, -score, query))
+    q = query[by]
+    return by[np.arange(len(q)) - np.searchsorted(q, q) < limit]
+
+
+def _similarities(vectors: pa.Array, matrices: dict[int, tuple[np.ndarray, np.ndarray]], n_queries: int) -> np.ndarray:
+    """(rows, queries) cosines; 0 for unequal lengths, a zero norm or anything that isn't finite."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(vectors), n_queries))
+    for size, (who, unit) in matrices.items():
+        rows = np.flatnonzero(sizes == size)
+        if len(rows) and size:
+            own = vectors.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), size)
+            with np.errstate(all="ignore"):
+                found = own @ unit.T / np.sqrt((own * own).sum(axis=1))[:, None]
+            out[np.ix_(rows, who)] = np.where(np.isfinite(found), found, 0.0)
+    return out
+
+
+def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_vector: str, vector: str = "embedding", limit: int = LIMIT, threshold: float | None = None, ties: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
+    """Top rows for each of a bounded table of queries, by products of each batch of vectors with the matrix of queries.
+
+    A task hands on ``limit`` rows for each query, whatever it has read. Similarities are compared at ``digits`` decimals.
+    """
+    asked = queries.select(F.col(query_id), F.col(query_vector)).limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    own = queries.select(F.col(query_id), F.col(query_vector).alias("_q"))
-    rows = index.join(F.broadcast(own)).withColumn("similarity", V.cosine(F.col(vector), F.col("_q"))).drop(vector, "_q")
-    if threshold is not None:
-        rows = rows.where(F.col("similarity") >= threshold)
-    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), *map(F.asc, ties))
-    top = rows.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where(F.col("rank") < limit)
-    return top.withColumn("similarity", V.clamped_score(F.col("similarity")))
+    matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {len(r[1] or ()) for r in asked}:
+        who = [i for i, r in enumerate(asked) if len(r[1] or ()) == size]
+        own = np.array([list(asked[i][1] or ()) for i in who], np.float64).reshape(len(who), size)
+        with np.errstate(all="ignore"):
+            matrices[size] = np.array(who), own / np.sqrt((own * own).sum(axis=1))[:, None]
+    keep = [c for c in index.columns if c != vector]
+    shared = index.sparkSession.sparkContext.broadcast(matrices)
+    n_queries, ties = len(asked), list(ties)
+
+    def nearest(batches):
+        held: list[tuple[pa.Table, np.ndarray, np.ndarray]] = []
+        step = max(1, SCORED_AT_ONCE // max(1, n_queries))
+
+        def pruned():
+            table, query, score = pa.concat_tables([t for t, _, _ in held]), *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+            best = _best(table, query, score, ties, limit)
+            return table.take(pa.array(best)), query[best], score[best]
+
+        for b in batches:
+            for first in range(0, b.num_rows, step):
+                part = b.slice(first, step)
+                s = np.round(_similarities(part.column(vector), shared.value, n_queries), digits)
+                least = np.partition(s, len(s) - limit, axis=0)[len(s) - limit] if len(s) > limit else np.full(n_queries, -np.inf)
+                if threshold is not None:
+                    least = np.maximum(least, threshold)
+                row, query = np.nonzero(s >= least)
+                held.append((pa.Table.from_batches([part]).select(keep).take(pa.array(row)), query, s[row, query]))
+                held[:] = [pruned()]
+        if held:
+            table, query, score = held[0]
+            for batch in table.append_column("query_number", pa.array(query.astype(np.int32))).append_column("similarity", pa.array(score)).combine_chunks().to_batches():
+                yield batch
+
+    types = StructType([*index.select(keep).schema.fields, *StructType.fromDDL("query_number int, similarity double").fields])
+    best = index.select(*keep, vector).mapInArrow(nearest, types)
+    order = Window.partitionBy("query_number").orderBy(F.desc("similarity"), *map(F.asc, ties))
+    top = best.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where(F.col("rank") < limit)
+    names = index.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(asked)], StructType([*StructType.fromDDL("query_number int").fields, queries.schema[query_id]]))
+    return top.join(F.broadcast(names), "query_number").drop("query_number").withColumn("similarity", V.clamped_score(F.col("similarity")))
 
 
 def search_all(index: DataFrame, queries: DataFrame, *, query_id: str, **options) -> DataFrame:
@@ -124,8 +191,17 @@ def search_text(index: DataFrame, text: str, embed: Callable[[Column], Column],
 
 
 def rehydrated(results: DataFrame, files: DataFrame, *, path: str = "file_path", text: str = "text") -> DataFrame:
-    """Results with ``content`` cut from the file's text by code points; rows without a file keep theirs."""
+    """Results with ``content`` cut from the file's text by code points; rows without a file keep theirs.
+
+    Results are sent to the files where there are at most ``MOST_RESULTS``; more are joined by path.
+    """
     own = files.select(F.col(path).alias("_p"), F.col(text).alias("_t"))
     cut = F.substring(F.col("_t"), F.col("start_char").cast("int") + 1, (F.col("end_char") - F.col("start_char")).cast("int"))
-    joined = own.join(F.broadcast(results), F.col("_p") == F.col(path), "right")
+    few = results.limit(MOST_RESULTS + 1).count() <= MOST_RESULTS
+    joined = own.join(F.broadcast(results) if few else results, F.col("_p") == F.col(path), "right")
     return joined.withColumn("content", F.coalesce(cut, F.col("content")) if "content" in results.columns else cut).drop("_p", "_t")
+
+
+def chunks_of(index: DataFrame, paths: DataFrame, *, path: str = "file_path") -> DataFrame:
+    """The index's chunks of some files (column path)."""
+    return index.join(paths.select(F.col(paths.columns[0]).alias(path)).distinct(), path, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import glob as G
@@ -115,10 +115,10 @@ _path_filter("filter_wildcard", "contains(lower(path), '/de/') OR suffix(lower(p
 _path_filter("known_extensions", f"{EXT} IN ('rs','py','js','ts','md','json')", lambda p: T.extension(p).isin(T.COMMON_EXTENSIONS))
 
 
-@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '^http(s)?://[^/]*[.]com/.*$') AND regexp_matches(url, '/en/')")
+@query("SELECT page_id, url FROM pages WHERE (url LIKE 'http://%.com/%' OR url LIKE 'https://%.com/%') AND url LIKE '%/en/%'")
 def filter_url_glob(spark, d):
     p = table(spark, d, "pages")
-    return p.where((G.matches(F.col("url"), "http://*.com/**") | G.matches(F.col("url"), "https://*.com/**")) & G.matches(F.col("url"), "*/en/*")).where(F.col("url").rlike("^https?://[^/]*[.]com/")).select("page_id", "url")
+    return p.where((G.matches(F.col("url"), "http://*.com/**") | G.matches(F.col("url"), "https://*.com/**")) & G.matches(F.col("url"), "*/en/*")).select("page_id", "url")
 
 
 _HITS = f"(SELECT vec_id, path, {COS} AS s FROM embeddings JOIN {FILES} f ON f.doc_id = vec_id, {Q0})"
@@ -227,15 +227,13 @@ _MOCK16 = "list_transform(range(16), lambda i: 0.1 + (({b} + i) % 100) * 0.001):
 
 
 @query(f"""WITH c AS (SELECT id, {_MOCK16.format(b='b')} AS e FROM (SELECT id, {_BASE.format(t='content')} AS b FROM {_chunk_sql(300, 50, 100)})),
-q AS (SELECT item_id, {_MOCK16.format(b='b')} AS v FROM (SELECT item_id, {_BASE.format(t='text')} AS b FROM benchmark WHERE item_id < 5))
+q AS (SELECT item_id, {_MOCK16.format(b='b')} AS v FROM (SELECT item_id, {_BASE.format(t='text')} AS b FROM benchmark))
 SELECT item_id, id, round(s, 6) AS similarity, CAST(r - 1 AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, id) AS r FROM (SELECT item_id, id, round(list_cosine_similarity(e, v), 9) AS s FROM c, q)) WHERE r <= 3""")
 def mock_search(spark, d):
     embed = lambda t: embedding.mock_embedding(t, 16)
     index = embedding.embedded(chunks(files(spark, d), offsets=False).select("id", "content"), embed).select("id", "embedding")
-    asked = embedding.embedded(table(spark, d, "benchmark").where("item_id < 5").withColumnRenamed("text", "content"), embed, name="query").select("item_id", "query")
-    rows = index.join(F.broadcast(asked)).select("item_id", "id", F.round(V.cosine(F.col("embedding"), F.col("query")), 9).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("similarity"), "id")) - 1
-    return _shown(rows.withColumn("rank", rank.cast("bigint")).where("rank < 3"), "item_id", "id")
+    asked = embedding.embedded(table(spark, d, "benchmark").withColumnRenamed("text", "content"), embed, name="query").select("item_id", "query")
+    return _shown(search.search_all(index, asked, query_id="item_id", query_vector="query", limit=3, ties=["id"], digits=9), "item_id", "id")
 
 
 @query("SELECT conv_id, turn, CASE WHEN octet_length(encode(text)) BETWEEN 1 AND 1024 THEN list_transform(range(4), lambda i: round(0.1 + (octet_length(encode(text)) % 100) * 0.001, 9)::DOUBLE) END AS embedding FROM conversations")
@@ -292,15 +290,15 @@ def index_retained(spark, d):
     return diff.retained(chunks(files(spark, d), offsets=False), diff.removed(old, new), diff.changed(old, new)).select("id")
 
 
-@query(f"SELECT a AS added, u AS updated, r AS removed, CAST(10 AS BIGINT) AS before, CAST(15 AS BIGINT) AS after, CAST(5 AS BIGINT) AS delta, a + u + r > 0 AS has_changes FROM (SELECT (SELECT count(*) FROM ({_ADDED})) AS a, (SELECT count(*) FROM ({_CHANGED})) AS u, (SELECT count(*) FROM ({_REMOVED})) AS r)")
+@query(f"SELECT a AS added, u AS updated, r AS removed, o AS before, n AS after, n - o AS delta, a + u + r > 0 AS has_changes FROM (SELECT (SELECT count(*) FROM {_OLD}) AS o, (SELECT count(*) FROM {_NEW}) AS n, (SELECT count(*) FROM ({_ADDED})) AS a, (SELECT count(*) FROM ({_CHANGED})) AS u, (SELECT count(*) FROM ({_REMOVED})) AS r)")
 def update_result(spark, d):
-    return diff.update_result(*_listings(spark, d), before=10, after=15)
+    old, new = _listings(spark, d)
+    return diff.update_result(old, new, before=old.count(), after=new.count())
 
 
 @query(f"SELECT path FROM {_OLD} UNION SELECT path FROM {_NEW}")
 def union_tracked(spark, d):
-    old, new = _listings(spark, d)
-    return old.select("path").union(new.select("path")).distinct()
+    return diff.united(*_listings(spark, d))
 
 
 @query("SELECT min(list_min(embedding))::DOUBLE AS low, max(list_max(embedding))::DOUBLE AS high FROM embeddings")
@@ -468,32 +466,34 @@ def memory_estimate(spark, d):
     return table(spark, d, "part").select("p_partkey", T.memory_estimate(F.col("p_size").cast("bigint") * 1_000_000, backend).cast("bigint").alias("memory"))
 
 
-@query("SELECT doc_id, suffix(text, '.') AS ends, CASE WHEN NOT prefix(c, '[PLACEHOLDER_CONTENT_FROM:') THEN c END AS real FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '[PLACEHOLDER_CONTENT_FROM:' || doc_id || ':1]' ELSE left(text, 20) END AS c FROM documents)")
+@query("SELECT doc_id, suffix(text, '.') AS ends, CASE WHEN NOT prefix(c, '[PLACEHOLDER_CONTENT_FROM:') THEN c END AS real FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '[PLACEHOLDER_CONTENT_FROM:' || doc_id || ':1]' ELSE text END AS c FROM documents)")
 def real_content(spark, d):
     i = F.col("doc_id")
-    c = F.when(i % 2 == 0, F.concat(F.lit(T.PLACEHOLDER), i.cast("string"), F.lit(":1]"))).otherwise(F.left("text", F.lit(20)))
+    c = F.when(i % 2 == 0, F.concat(F.lit(T.PLACEHOLDER), i.cast("string"), F.lit(":1]"))).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.col("text").endswith(".").alias("ends"), T.real_content(c).alias("real"))
 
 
-@query(f"SELECT path AS file_path, substring(text, doc_id % 50 + 1, 30) AS content FROM {FILES} WHERE doc_id % 100 = 5")
+@query(f"SELECT path AS file_path, substring(text, doc_id % 50 + 1, 30) AS content FROM {FILES}")
 def rehydrate(spark, d):
     f = files(spark, d)
-    hits = f.where("doc_id % 100 = 5").select(F.col("path").alias("file_path"), (F.col("doc_id") % 50).alias("start_char"), (F.col("doc_id") % 50 + 30).alias("end_char"))
+    hits = f.select(F.col("path").alias("file_path"), (F.col("doc_id") % 50).alias("start_char"), (F.col("doc_id") % 50 + 30).alias("end_char"))
     return search.rehydrated(hits, f.select(F.col("path").alias("file_path"), "text")).select("file_path", "content")
 
 
-@query(f"SELECT count(*) AS files FROM {FILES} WHERE path = 'src5/en/doc_5.json'")
+@query(f"SELECT id, path AS file_path, md5(content) AS digest FROM {_chunk_sql(300, 50, 100)} WHERE path IN (SELECT path FROM {FILES} WHERE suffix(path, '.py') AND lang = 'en')")
 def chunks_of_file(spark, d):
-    return files(spark, d).where(F.col("path") == "src5/en/doc_5.json").agg(F.count("*").alias("files"))
+    f = files(spark, d)
+    some = f.where("lang = 'en'").where(F.col("path").endswith(".py")).select("path")
+    return search.chunks_of(chunks(f, offsets=False), some).select("id", "file_path", F.md5("content").alias("digest"))
 
 
 def _sample_results(spark, d):
     hits = search.search(_indexed(spark, d), first_vector(spark, d), search.SearchRequest(limit=12), ties=["path"])
     texts = files(spark, d).select("path", "text")
-    return texts.join(F.broadcast(hits), "path").select(F.col("path").alias("file_path"), F.lit(1).alias("start_line"), T.line_count(F.col("text")).cast("int").alias("end_line"), F.round("similarity", 3).alias("similarity"), F.left("text", F.lit(300)).alias("content"), "rank")
+    return texts.join(F.broadcast(hits), "path").select(F.col("path").alias("file_path"), F.lit(1).alias("start_line"), T.line_count(F.col("text")).cast("int").alias("end_line"), F.round("similarity", 3).alias("similarity"), F.col("text").alias("content"), "rank")
 
 
-_RESULTS = f"(SELECT h.path AS file_path, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT suffix(text, chr(10)) THEN 1 ELSE 0 END AS INT) AS end_line, round(greatest(s, 0), 3) AS similarity, left(text, 300) AS content, CAST(r - 1 AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY s DESC, path) AS r FROM {_HITS} ORDER BY s DESC, path LIMIT 12) h JOIN {FILES} f ON f.path = h.path)"
+_RESULTS = f"(SELECT h.path AS file_path, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT suffix(text, chr(10)) THEN 1 ELSE 0 END AS INT) AS end_line, round(greatest(s, 0), 3) AS similarity, text AS content, CAST(r - 1 AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY s DESC, path) AS r FROM {_HITS} ORDER BY s DESC, path LIMIT 12) h JOIN {FILES} f ON f.path = h.path)"
 
 
 @query(f"SELECT to_json({{'file': file_path, 'line_start': start_line, 'line_end': end_line, 'score': similarity, 'content': content, 'rank': rank}})::VARCHAR AS value FROM {_RESULTS}")
@@ -511,15 +511,43 @@ def tool_results(spark, d):
     return output.tool_rows(_sample_results(spark, d), "src0")
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS bytes, CASE WHEN octet_length(encode(text)) > 4000 THEN 16 WHEN octet_length(encode(text)) < 500 THEN 64 ELSE 32 END AS batch FROM documents")
+@query("SELECT source, lang, least(256, floor(CASE WHEN b > 1000 THEN 16 WHEN b < 100 THEN 64 ELSE 32 END * 1.5))::INT AS batch, least(128, CASE WHEN b > 1000 THEN 5 WHEN b < 100 THEN 20 ELSE 10 END)::INT AS unknown_memory FROM (SELECT source, lang, floor(avg(octet_length(encode(text)))) AS b FROM documents GROUP BY ALL)")
 def batch_sizing(spark, d):
-    size = F.octet_length("text").cast("bigint")
-    return table(spark, d, "documents").select("doc_id", size.alias("bytes"), F.when(size > 4000, 16).when(size < 500, 64).otherwise(32).alias("batch"))
+    mean = table(spark, d, "documents").groupBy("source", "lang").agg(F.floor(F.avg(F.octet_length("text"))).alias("b"))
+    return mean.select("source", "lang", embedding.batch_size_of(F.col("b"), 32, 8.0).alias("batch"), embedding.batch_size_of(F.col("b"), 10).alias("unknown_memory"))
 
 
-@query("SELECT doc_id, a, b, CASE WHEN doc_id % 3 = 0 THEN chr(0) ELSE '' END <> '' AS is_binary FROM (SELECT doc_id, CAST(length(left(text, 10)) AS BIGINT) AS a, CAST(octet_length(encode(left(text, 10))) AS BIGINT) AS b FROM documents)")
+@query("SELECT event_type, n AS files, bad AS failed, n - bad AS successful, round(coalesce(s, 0), 6) AS average_ms FROM (SELECT event_type, count(*) AS n, count(*) FILTER (value > 80) AS bad, avg(value) FILTER (value <= 80) AS s FROM events GROUP BY event_type)")
+def parallel_stats(spark, d):
+    rows = table(spark, d, "events").select("event_type", (F.col("value") > 80).alias("failed"), F.col("value").alias("ms"))
+    kinds = ("click", "signup", "error", "purchase", "view")
+    parts = [statistics.parallel_stats(rows.where(F.col("event_type") == k)).select(F.lit(k).alias("event_type"), "files", "failed", "successful", F.round("average_ms", 6).alias("average_ms")) for k in kinds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("files > 0")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'binary' WHEN 3 THEN 'UTF-16LE' ELSE 'UTF-8' END AS encoding, doc_id % 4 = 0 AS is_binary, md5(t) AS digest, CAST(length(t) AS BIGINT) AS char_count, CAST(length(t) - length(replace(t, chr(10), '')) + CASE WHEN t <> '' AND NOT suffix(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS t FROM documents)")
 def decode_files(spark, d):
-    head = F.left("text", F.lit(10))
-    content = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.repeat(F.lit("00"), 50))).otherwise(F.encode(head, "UTF-8"))
-    raw = table(spark, d, "documents").select("doc_id", F.char_length(head).cast("bigint").alias("a"), F.octet_length(head).cast("bigint").alias("b"), content.alias("content"))
-    return decoded(raw).select("doc_id", "a", "b", "is_binary")
+    """Every text as a file: with NUL bytes, as plain UTF-8, as UTF-8 and as UTF-16 behind a byte order mark."""
+    t, kind, utf8 = F.col("text"), F.col("doc_id") % 4, F.encode("text", "UTF-8")
+    content = F.when(kind == 0, F.concat(F.unhex(F.repeat(F.lit("00"), 100)), utf8)).when(kind == 1, utf8).when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode(t, "UTF-16LE")))
+    out = decoded(table(spark, d, "documents").select("doc_id", content.alias("content")))
+    return out.select("doc_id", "encoding", "is_binary", F.md5("text").alias("digest"), "char_count", "line_count")
+
+
+_DECODED = f"list_transform({_CODES}, lambda c: (lo + c * ((hi - lo) / 255.0::DOUBLE))::FLOAT)"
+
+
+@query(f"SELECT vec_id, round(greatest(s, 0), 6) AS similarity, CAST(row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS BIGINT) AS rank FROM (SELECT vec_id, list_cosine_similarity({_DECODED}::DOUBLE[], q::DOUBLE[]) AS s FROM embeddings, {_RANGE}, {Q0}) ORDER BY s DESC, vec_id LIMIT 10")
+def codes_topk(spark, d):
+    """Search over scalar codes of one byte a component."""
+    coded, about = codec.encoded(table(spark, d, "embeddings").select("vec_id", "embedding"), "scalar", "vec_id")
+    return _shown(search.search(codec.decoded(coded, about), first_vector(spark, d), ties=["vec_id"]), "vec_id")
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 8)) AS embedding FROM embeddings")
+def identity_codec(spark, d):
+    coded, about = codec.encoded(table(spark, d, "embeddings").select("vec_id", "embedding"), "none", "vec_id")
+    return codec.decoded(coded, about).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 8)).alias("embedding"))
