@@ -27,9 +27,10 @@ null or empty text has 0 tokens; a cell without mass has weight 1 and probabilit
 ``KEEP``. A very long text counts whole. Repeated rows draw alike. Extra columns stay.
 An empty table gives an empty result.
 
-Scale: sources stay distributed (their weights are solved in a window over the
-cells, at most languages x topics rows each); only the language x topic matrix,
-checked against ``MOST_KINDS``, reaches the driver, once a sweep. Cells are sent to all
+Scale: sources stay distributed, a row each with at most languages x topics masses,
+and are solved where they are; only the language x topic matrix, checked against
+``MOST_KINDS``, reaches the driver, once a sweep. There languages and topics are fitted
+to it in turn before the sources are solved again. Cells are sent to all
 tasks where there are at most ``FEW_CELLS``; more are joined, salted, so that a cell
 that holds a third of all rows is dealt to several tasks.
 """
@@ -39,12 +40,13 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fresh, read, salted_join, stored
+from .common import arrow, drop_stored, fresh, read, salted_join, stored
 
-SWEEPS, STILL, TOLERANCE, KEEP, SEED = 50, 4, 1e-6, 0.5, 11
+SWEEPS, INNER, STILL, TOLERANCE, KEEP, SEED = 50, 100, 4, 1e-6, 0.5, 11
 MOST_KINDS, FEW_CELLS = 1 << 16, 100_000
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 
@@ -106,37 +108,57 @@ def raked(cells: DataFrame, *, source_targets: DataFrame | None = None, lang_tar
     else:
         of_source = of_source.join(source_targets.select(F.col("value").alias("source"), F.col("share").alias("raw")), "source", "left").fillna(0.0, ["raw"])
     raw = of_source.agg(F.sum("raw").alias("s")).first().s or 1.0
-    base = stored(cells.where("mass > 0").join(of_source.select("source", (F.col("raw") / raw * total).alias("want")), "source"), "cells")
-    schema = "lang string, topic string, x double"
-    b, c = np.ones(len(langs)), np.ones(len(topics))
-    row_of, column_of = ({v: i for i, v in enumerate(x)} for x in (langs, topics))
-    still, least = 0, float("inf")
     # a kind's factor is that of its language times that of its topic
+    at = {v: i for i, v in enumerate(langs)}, {v: i for i, v in enumerate(topics)}
+    row, column = (np.array([at[d][r[d]] for r in kinds]) for d in (0, 1))
+    numbers = F.broadcast(spark.createDataFrame([(r.lang, r.topic, i) for i, r in enumerate(kinds)], "lang string, topic string, kind int"))
+    base = cells.where("mass > 0").join(numbers, ["lang", "topic"]).groupBy("source").agg(F.collect_list("kind").alias("kinds"), F.collect_list("mass").alias("masses"))
+    base = stored(base.join(of_source.select("source", (F.col("raw") / raw * total).alias("want")), "source"), "sources")
+    b, c = np.ones(len(langs)), np.ones(len(topics))
+    still, least, off = 0, float("inf"), float("inf")
     for _ in range(max(1, sweeps)):
-        table = spark.createDataFrame([(v, t, float(b[i] * c[j])) for i, v in enumerate(langs) for j, t in enumerate(topics)], schema)
-        solved = base.join(table, ["lang", "topic"])
-        reach = F.sum(F.col("mass") * F.col("x")).over(Window.partitionBy("source"))
-        solved = solved.withColumn("factor", F.when(reach > 0, F.col("want") / reach).otherwise(0.0))
-        got = solved.groupBy("lang", "topic").agg(F.sum(F.col("mass") * F.col("factor")).alias("g"))
         grid = np.zeros((len(langs), len(topics)))
-        for r in got.collect():
-            grid[row_of[r.lang], column_of[r.topic]] = r.g
-        now_l = b * (grid @ c)
-        off = np.abs(now_l - want_l).max() / total
-        b = np.divide(want_l, grid @ c, out=np.zeros_like(b), where=grid @ c > 0)
-        now_t = c * (b @ grid)
-        off = max(off, np.abs(now_t - want_t).max() / total)
-        c = np.divide(want_t, b @ grid, out=np.zeros_like(c), where=b @ grid > 0)
+        for r in _solved(base, b[row] * c[column], False).groupBy("kind").agg(F.sum("weight").alias("g")).collect():
+            grid[row[r.kind], column[r.kind]] = r.g
+        off = max(np.abs(b * (grid @ c) - want_l).max(), np.abs(c * (b @ grid) - want_t).max()) / total
         still, least = (still + 1, least) if off > 0.98 * least else (0, off)
         if off <= tolerance or still >= STILL:
             break
+        for _ in range(INNER):
+            before = b
+            b = np.divide(want_l, grid @ c, out=np.zeros_like(b), where=grid @ c > 0)
+            c = np.divide(want_t, b @ grid, out=np.zeros_like(c), where=b @ grid > 0)
+            if np.allclose(before, b, rtol=1e-9, atol=0):
+                break
     if off > tolerance:
         warnings.warn(f"raking ended with a marginal off by {off:.2g} of all tokens", stacklevel=2)
-    table = spark.createDataFrame([(v, t, float(b[i] * c[j])) for i, v in enumerate(langs) for j, t in enumerate(topics)], schema)
-    solved = base.join(table, ["lang", "topic"])
-    reach = F.sum(F.col("mass") * F.col("x")).over(Window.partitionBy("source"))
-    solved = solved.select("source", "lang", "topic", F.when(reach > 0, F.col("want") / reach * F.col("x")).otherwise(0.0).alias("weight"))
-    return stored(cells.join(solved, ["source", "lang", "topic"], "left").fillna(1.0, ["weight"]), "cells")
+    weights = _solved(base, b[row] * c[column], True).join(numbers, "kind").select("source", "lang", "topic", "weight")
+    out = stored(cells.join(weights, ["source", "lang", "topic"], "left").fillna(1.0, ["weight"]), "cells")
+    for x in (cells, base):
+        drop_stored(x)
+    return out
+
+
+def _solved(base: DataFrame, factors: np.ndarray, each: bool) -> DataFrame:
+    """source, kind, weight with every source's factor solved for the given ones of the kinds; or, not ``each``, kind and
+    the mass times source factor of a batch of sources."""
+
+    def solve(batches):
+        for x in batches:
+            kinds, masses = x.column("kinds"), x.column("masses")
+            n = np.diff(kinds.offsets.to_numpy())
+            kind, mass = kinds.flatten().to_numpy(), masses.flatten().to_numpy()
+            of = np.repeat(np.arange(len(n)), n)
+            reach = np.bincount(of, mass * factors[kind], len(n))
+            own = np.divide(x.column("want").to_numpy(), reach, out=np.zeros(len(n)), where=reach > 0)[of]
+            if each:
+                yield pa.RecordBatch.from_arrays([x.column("source").take(pa.array(of)), pa.array(kind, pa.int32()), pa.array(own * factors[kind])], names=["source", "kind", "weight"])
+            else:
+                total = np.bincount(kind, mass * own, len(factors))
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["kind", "weight"])
+
+    return base.transform(arrow, solve, "source string, kind int, weight double" if each else "kind int, weight double")
 
 
 def _default_targets(cells: DataFrame, source_targets: DataFrame | None, lang_targets: dict | None, topic_targets: dict | None) -> tuple[DataFrame, dict, dict]:
