@@ -8,11 +8,11 @@ of the languages and of the topics, until no marginal is off by more than
 no weights can meet), a warning tells how far off they are.
 
 A document's probability follows from its cell's weight so that the expected tokens
-are ``KEEP`` of all. Probabilities end at 1, and that is raked in: cells whose
-probability would be over 1 are taken whole, what they hold is taken off the targets,
-and the others are raked anew to what is left, until no further cell fills up. So
-the sample's expected marginals are the targets wherever the corpus has the tokens;
-``shortfalls`` lists the values where it hasn't. The draw is a hash of id, text and
+are ``KEEP`` of all. Probabilities end at 1, and that is raked in: from the raked
+weights on, every sweep solves each source with its full cells held at 1, and fits
+languages and topics to what full cells leave of their targets. So the sample's expected
+marginals are the targets wherever the corpus has the tokens; ``shortfalls`` lists the
+values where it hasn't, and what those lack is missing from the sample. The draw is a hash of id, text and
 seed, so it is repeatable.
 
 Targets default to tempered shares (mass ** exponent, renormalised); explicit
@@ -88,77 +88,106 @@ def _shares(mass: dict[str, float], given: dict[str, float] | None, exponent: fl
     return {k: v / total for k, v in raw.items()} if total else {}
 
 
-def raked(cells: DataFrame, *, source_targets: DataFrame | None = None, lang_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (source, lang, topic, mass) with weight. IPF with the sources' factors solved where they are."""
-    spark = cells.sparkSession
-    cells = stored(cells, "cells")
-    kinds = cells.where("mass > 0").groupBy("lang", "topic").agg(F.sum("mass").alias("mass")).limit(MOST_KINDS + 1).collect()
-    if len(kinds) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} pairs of language and topic")
-    if not kinds:
-        return cells.withColumn("weight", F.lit(1.0))
-    langs, topics = sorted({r.lang for r in kinds}), sorted({r.topic for r in kinds})
-    total = sum(r.mass for r in kinds)
-    by_lang, by_topic = ({v: sum(r.mass for r in kinds if r[i] == v) for v in values} for i, values in ((0, langs), (1, topics)))
-    want_l = np.array([_shares(by_lang, lang_targets, EXPONENTS["lang"]).get(v, 0.0) for v in langs]) * total
-    want_t = np.array([_shares(by_topic, topic_targets, EXPONENTS["topic"]).get(v, 0.0) for v in topics]) * total
-    of_source = cells.groupBy("source").agg(F.sum("mass").alias("own")).where("own > 0")
-    if source_targets is None:
-        of_source = of_source.withColumn("raw", F.pow("own", F.lit(EXPONENTS["source"])))
-    else:
-        of_source = of_source.join(source_targets.select(F.col("value").alias("source"), F.col("share").alias("raw")), "source", "left").fillna(0.0, ["raw"])
-    raw = of_source.agg(F.sum("raw").alias("s")).first().s or 1.0
-    # a kind's factor is that of its language times that of its topic
-    at = {v: i for i, v in enumerate(langs)}, {v: i for i, v in enumerate(topics)}
-    row, column = (np.array([at[d][r[d]] for r in kinds]) for d in (0, 1))
-    numbers = F.broadcast(spark.createDataFrame([(r.lang, r.topic, i) for i, r in enumerate(kinds)], "lang string, topic string, kind int"))
-    base = cells.where("mass > 0").join(numbers, ["lang", "topic"]).groupBy("source").agg(F.collect_list("kind").alias("kinds"), F.collect_list("mass").alias("masses"))
-    base = stored(base.join(of_source.select("source", (F.col("raw") / raw * total).alias("want")), "source"), "sources")
-    b, c = np.ones(len(langs)), np.ones(len(topics))
-    still, least, off = 0, float("inf"), float("inf")
-    for _ in range(max(1, sweeps)):
-        grid = np.zeros((len(langs), len(topics)))
-        for r in _solved(base, b[row] * c[column], False).groupBy("kind").agg(F.sum("weight").alias("g")).collect():
-            grid[row[r.kind], column[r.kind]] = r.g
-        off = max(np.abs(b * (grid @ c) - want_l).max(), np.abs(c * (b @ grid) - want_t).max()) / total
-        still, least = (still + 1, least) if off > 0.98 * least else (0, off)
-        if off <= tolerance or still >= STILL:
-            break
-        for _ in range(INNER):
-            before = b
-            b = np.divide(want_l, grid @ c, out=np.zeros_like(b), where=grid @ c > 0)
-            c = np.divide(want_t, b @ grid, out=np.zeros_like(c), where=b @ grid > 0)
-            if np.allclose(before, b, rtol=1e-9, atol=0):
+class Raking:
+    """Cells laid out by source, with the targets' shares; ``fit`` finds the factors of languages and topics."""
+
+    def __init__(self, cells: DataFrame, source_targets: DataFrame | None, lang_targets: dict[str, float] | None, topic_targets: dict[str, float] | None):
+        """``cells``: stored, some with mass."""
+        spark = cells.sparkSession
+        kinds = cells.where("mass > 0").groupBy("lang", "topic").agg(F.sum("mass").alias("mass")).limit(MOST_KINDS + 1).collect()
+        if len(kinds) > MOST_KINDS:
+            raise ValueError(f"more than {MOST_KINDS} pairs of language and topic")
+        self.cells, self.total = cells, sum(r.mass for r in kinds)
+        sources, *shares = _default_targets(cells, source_targets, lang_targets, topic_targets)
+        values = [sorted({r[d] for r in kinds}) for d in (0, 1)]
+        self.want = [np.array([own.get(v, 0.0) for v in by]) for own, by in zip(shares, values, strict=True)]
+        at = [{v: i for i, v in enumerate(by)} for by in values]
+        # a kind's factor is that of its language times that of its topic
+        self.row, self.column = (np.array([at[d][r[d]] for r in kinds]) for d in (0, 1))
+        self.factors = [np.ones(len(x)) for x in self.want]
+        self.numbers = F.broadcast(spark.createDataFrame([(r.lang, r.topic, i) for i, r in enumerate(kinds)], "lang string, topic string, kind int"))
+        base = cells.where("mass > 0").join(self.numbers, ["lang", "topic"]).groupBy("source").agg(F.collect_list("kind").alias("kinds"), F.collect_list("mass").alias("masses"))
+        self.base = stored(base.join(sources.select(F.col("value").alias("source"), (F.col("share") * self.total).alias("want")), "source"), "sources")
+
+    def fit(self, share: float | None, sweeps: int, tolerance: float) -> None:
+        """Rake to the targets, or to ``share`` of them with no cell over 1; starts where the last call ended."""
+        scale = self.total * (1.0 if share is None else share)
+        want_l, want_t = (x * scale for x in self.want)
+        (b, c), still, least, off = self.factors, 0, float("inf"), float("inf")
+        for _ in range(max(1, sweeps)):
+            free, full = np.zeros((2, len(b), len(c)))
+            for r in _solved(self.base, b[self.row] * c[self.column], share, False).groupBy("kind").agg(F.sum("free").alias("free"), F.sum("full").alias("full")).collect():
+                free[self.row[r.kind], self.column[r.kind]], full[self.row[r.kind], self.column[r.kind]] = r.free, r.full
+            left_l, left_t = np.maximum(0, want_l - full.sum(axis=1)), np.maximum(0, want_t - full.sum(axis=0))
+            off = max(np.abs(b * (free @ c) + full.sum(axis=1) - want_l).max(), np.abs(c * (b @ free) + full.sum(axis=0) - want_t).max()) / scale
+            still, least = (still + 1, least) if off > 0.98 * least else (0, off)
+            if off <= tolerance or still >= STILL:
                 break
-    if off > tolerance:
-        warnings.warn(f"raking ended with a marginal off by {off:.2g} of all tokens", stacklevel=2)
-    weights = _solved(base, b[row] * c[column], True).join(numbers, "kind").select("source", "lang", "topic", "weight")
-    out = stored(cells.join(weights, ["source", "lang", "topic"], "left").fillna(1.0, ["weight"]), "cells")
-    for x in (cells, base):
-        drop_stored(x)
-    return out
-
-
-def _solved(base: DataFrame, factors: np.ndarray, each: bool) -> DataFrame:
-    """source, kind, weight with every source's factor solved for the given ones of the kinds; or, not ``each``, kind and
-    the mass times source factor of a batch of sources."""
+            for _ in range(INNER):
+                before = b
+                b = np.divide(left_l, free @ c, out=b.copy() if share else np.zeros_like(b), where=free @ c > 0)
+                c = np.divide(left_t, b @ free, out=c.copy() if share else np.zeros_like(c), where=b @ free > 0)
+                if np.allclose(before, b, rtol=1e-9, atol=0):
+                    break
+        self.factors = [b, c]
+        if off > tolerance:
+            warnings.warn(f"raking ended with a marginal off by {off:.2g} of all tokens", stacklevel=3)
+
+    def weights(self, share: float | None) -> DataFrame:
+        """source, lang, topic, weight."""
+        b, c = self.factors
+        return _solved(self.base, b[self.row] * c[self.column], share, True).join(self.numbers, "kind").select("source", "lang", "topic", "weight")
+
+
+def _solved(base: DataFrame, factors: np.ndarray, share: float | None, each: bool) -> DataFrame:
+    """source, kind, weight with every source's factor solved for the given ones of the kinds; or, not ``each``, by kind
+    the sums of mass times source factor of cells that aren't full, and of the mass of full ones."""
 
     def solve(batches):
         for x in batches:
             kinds, masses = x.column("kinds"), x.column("masses")
             n = np.diff(kinds.offsets.to_numpy())
             kind, mass = kinds.flatten().to_numpy(), masses.flatten().to_numpy()
-            of = np.repeat(np.arange(len(n)), n)
-            reach = np.bincount(of, mass * factors[kind], len(n))
-            own = np.divide(x.column("want").to_numpy(), reach, out=np.zeros(len(n)), where=reach > 0)[of]
+            of, f, want = np.repeat(np.arange(len(n)), n), factors[kind], x.column("want").to_numpy()
+            reach = np.bincount(of, mass * f, len(n))
+            own = np.divide(want, reach, out=np.zeros(len(n)), where=reach > 0)
+            weight = own[of] * f
+            full = np.zeros(len(f), bool)
+            if share is not None:
+                own = _bounded_factors(of, f, mass, share * want, share * own)
+                weight = np.minimum(1.0, own[of] * f)
+                full = weight >= 1
             if each:
-                yield pa.RecordBatch.from_arrays([x.column("source").take(pa.array(of)), pa.array(kind, pa.int32()), pa.array(own * factors[kind])], names=["source", "kind", "weight"])
+                yield pa.RecordBatch.from_arrays([x.column("source").take(pa.array(of)), pa.array(kind, pa.int32()), pa.array(weight)], names=["source", "kind", "weight"])
             else:
-                total = np.bincount(kind, mass * own, len(factors))
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["kind", "weight"])
+                sums = [np.bincount(kind, mass * part, len(factors)) for part in (np.where(full, 0.0, own[of]), full)]
+                some = np.flatnonzero(sums[0] + sums[1])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(v[some]) for v in sums)], names=["kind", "free", "full"])
+
+    return base.transform(arrow, solve, "source string, kind int, weight double" if each else "kind int, free double, full double")
+
 
-    return base.transform(arrow, solve, "source string, kind int, weight double" if each else "kind int, weight double")
+def _bounded_factors(of: np.ndarray, f: np.ndarray, mass: np.ndarray, want: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """By source the factor x with sum(mass * min(1, x * f)) = want, by bisection; where all is too little, all is full."""
+    top = least.copy()
+    some = f > 0
+    np.maximum.at(top, of[some], 1 / f[some])
+    low, high = least, top
+    for _ in range(200):  # factors may be many powers of two apart
+        middle = (low + high) / 2
+        short = np.bincount(of, mass * np.minimum(1.0, middle[of] * f), len(want)) < want
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    return np.where(want > 0, high, 0.0)
+
+
+def raked(cells: DataFrame, *, source_targets: DataFrame | None = None, lang_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (source, lang, topic, mass) with weight. IPF with the sources' factors solved where they are."""
+    cells = stored(cells, "cells")
+    if cells.where("mass > 0").isEmpty():
+        return cells.withColumn("weight", F.lit(1.0))
+    raking = Raking(cells, source_targets, lang_targets, topic_targets)
+    raking.fit(None, sweeps, tolerance)
+    return cells.join(raking.weights(None), ["source", "lang", "topic"], "left").fillna(1.0, ["weight"])
 
 
 def _default_targets(cells: DataFrame, source_targets: DataFrame | None, lang_targets: dict | None, topic_targets: dict | None) -> tuple[DataFrame, dict, dict]:
@@ -178,40 +207,20 @@ def _default_targets(cells: DataFrame, source_targets: DataFrame | None, lang_ta
     return raw.select("value", (F.col("raw") / total).alias("share")), langs, topics
 
 
-def bounded(cells: DataFrame, keep: float, *, source_targets: DataFrame | None = None, lang_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None) -> DataFrame:
+def bounded(cells: DataFrame, keep: float, *, source_targets: DataFrame | None = None, lang_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (source, lang, topic, mass) with weight (raked, unbounded) and probability (raked with its bound of 1)."""
     cells = stored(cells, "cells")
-    total = cells.agg(F.sum("mass").alias("m")).first().m or 0.0
-    if not total:
+    if cells.where("mass > 0").isEmpty():
         return cells.withColumns({"weight": F.lit(1.0), "probability": F.lit(float(keep))})
-    goal = keep * total
-    sources, langs, topics = _default_targets(cells, source_targets, lang_targets, topic_targets)
-    sources = stored(sources, "sources")
-    names = ["source", "lang", "topic"]
-    state = stored(cells.join(raked(cells, source_targets=sources, lang_targets=langs, topic_targets=topics).drop("mass"), names), "cells")
-    drop_stored(cells)
-    state = state.withColumns({"probability": F.when(F.col("mass") > 0, F.col("weight") * keep).otherwise(F.lit(float(keep))), "full": F.lit(False)})
-    while True:
-        over = (F.col("mass") > 0) & (F.col("full") | (F.col("probability") > 1 + 1e-9))
-        state = stored(state.withColumn("now", over), "cells")
-        news, left = state.agg(F.count_if(F.col("now") & ~F.col("full")), F.count_if((F.col("mass") > 0) & ~F.col("now") & (F.col("weight") > 0))).first()
-        state = state.withColumns({"full": F.col("now"), "probability": F.when(F.col("now"), 1.0).otherwise(F.col("probability"))}).drop("now")
-        if not news or not left:
-            return state.drop("full")
-        full = state.where("full")
-        taken = full.groupBy("lang", "topic").agg(F.sum("mass").alias("m")).collect()
-        rest = goal - sum(r.m for r in taken)
-        if rest <= 0:
-            return state.withColumn("probability", F.when(F.col("full") | (F.col("mass") <= 0), F.col("probability")).otherwise(0.0)).drop("full")
-        left_of = lambda shares, i: {v: max(0.0, x * goal - sum(r.m for r in taken if r[i] == v)) for v, x in shares.items()}
-        of_source = full.groupBy(F.col("source").alias("value")).agg(F.sum("mass").alias("m"))
-        left_source = sources.join(of_source, "value", "left").select("value", F.greatest(F.lit(0.0), F.col("share") * goal - F.coalesce("m", F.lit(0.0))).alias("share"))
-        free = state.where(~F.col("full") & (F.col("mass") > 0)).select(*names, "mass")
-        again = raked(free, source_targets=left_source, lang_targets=left_of(langs, 0), topic_targets=left_of(topics, 1))
-        got = again.agg(F.sum(F.col("mass") * F.col("weight")).alias("m")).first().m or 0.0
-        if not got:
-            return state.withColumn("probability", F.when(F.col("full") | (F.col("mass") <= 0), F.col("probability")).otherwise(0.0)).drop("full")
-        state = state.join(again.select(*names, (F.col("weight") * (rest / got)).alias("p")), names, "left").withColumn("probability", F.when(F.col("full") | F.col("p").isNull(), F.col("probability")).otherwise(F.col("p"))).drop("p")
+    raking, names = Raking(cells, source_targets, lang_targets, topic_targets), ["source", "lang", "topic"]
+    raking.fit(None, sweeps, tolerance)
+    plain = stored(raking.weights(None), "weights")
+    raking.fit(keep, sweeps, tolerance)
+    found = plain.join(raking.weights(keep).withColumnRenamed("weight", "probability"), names)
+    out = stored(cells.join(found, names, "left").fillna({"weight": 1.0, "probability": float(keep)}), "cells")
+    for x in (cells, raking.base, plain):
+        drop_stored(x)
+    return out
 
 
 def shortfalls(cells: DataFrame, keep: float, tolerance: float = 1e-3, **targets) -> DataFrame:
