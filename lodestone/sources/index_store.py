@@ -77,9 +77,12 @@ class IndexStore:
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(asdict(m)).encode()))
         out.close()
-        fs.delete(final, False)
-        if not fs.rename(new, final):
-            raise StoreError("the manifest couldn't be replaced")
+        # FileContext's rename replaces its target in one step, so a reader always finds one manifest or the other
+        jvm = self.spark._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark._sc._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, final, options)
         return m
 
     def load(self, model: str | None = None) -> DataFrame:
