@@ -21,7 +21,7 @@ def indexed(texts: DataFrame, settings: Settings, embed: Callable[[Column], Colu
 
 def build(spark: SparkSession, root: str, store: IndexStore, settings: Settings = Settings(), embed: Callable[[Column], Column] = embedding.mock_embedding, model: str = "mock") -> Manifest:
     """Discover, decode, chunk, embed and save. No files is an error; nothing to index saves nothing."""
-    listing = S.discover(spark, root, settings.max_file_bytes, settings.include_untracked)
+    listing = S.discover(spark, root, settings.max_file_bytes, settings.include_untracked, leave=store.root)
     if listing.isEmpty():
         raise DiscoveryError(f"no files found in {root}")
     texts = S.read_files(spark, listing).where(~F.col("is_binary"))
@@ -33,7 +33,7 @@ def build(spark: SparkSession, root: str, store: IndexStore, settings: Settings
 
 def update(spark: SparkSession, root: str, store: IndexStore, settings: Settings = Settings(), embed: Callable[[Column], Column] = embedding.mock_embedding) -> Manifest:
     """Only new and changed files are read again."""
-    listing = S.discover(spark, root, settings.max_file_bytes, settings.include_untracked).withColumnRenamed("last_modified", "mtime")
+    listing = S.discover(spark, root, settings.max_file_bytes, settings.include_untracked, leave=store.root).withColumnRenamed("last_modified", "mtime")
     return store.update(listing, lambda todo: indexed(S.read_files(spark, todo).where(~F.col("is_binary")), settings, embed))
 
 

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any, TextIO
 
 from ..functions import glob as G
+from ..functions import text as T
 from ..functions.vector import clamp_threshold
 from ..operators import search
 from ..operators.embedding import EMBEDDERS, embedded
 from ..operators.statistics import benchmark_means
 from ..sources import output
-from ..sources.files import sample_texts
+from ..sources.files import discover, load_config, sample_texts
 from ..sources.index_store import IndexStore
-from .config import MODELS, Settings
-from .pipeline import ask, build
+from .config import MODELS, Settings, merged
+from .pipeline import ask, build, update
 
 MOST_LINE, PER_MINUTE, BURST = 1 << 20, 60, 10
+CONFIG_FILES = (".lodestone.yml", ".lodestone.yaml", ".lodestone.json")
 DEFAULT_LIMIT, MOST_LIMIT, MOST_CONTEXT, LONGEST_WORD = 10, 100, 10, 200
 # JSON-RPC error codes, the last four our own.
 PARSE, INVALID, NO_METHOD, BAD_PARAMS, INTERNAL, NOT_READY, TOO_MANY, NO_TOOL, FAILED = -32700, -32600, -32601, -32602, -32603, -32000, -32001, -32002, -32003
@@ -153,17 +157,45 @@ def benchmark(spark, backends: list[str], texts: int, iterations: int, file: str
     return "\n".join(f"{r['backend']:<20} {r['texts_per_s']:>12.1f} texts/s {r['ms']:>10.1f} ms" for r in found)
 
 
+def settings_for(path: str, a: argparse.Namespace) -> Settings:
+    """Checked settings: the command line, then the file named by --config or found under ``path``, then defaults."""
+    base = path.rstrip("/")
+    if a.config and not os.path.isfile(a.config):
+        raise FileNotFoundError(a.config)
+    names = [a.config] if a.config else [f"{base}/{n}" for n in CONFIG_FILES]
+    given = {"max_file_bytes": getattr(a, "max_filesize", None), "limit": getattr(a, "limit", None), "min_similarity": getattr(a, "threshold", None), "include_untracked": getattr(a, "untracked", None)}
+    out = merged(given, load_config(*names))
+    if isinstance(out.max_file_bytes, str):
+        out = replace(out, max_file_bytes=T.parse_filesize(out.max_file_bytes))
+    return out.validate()
+
+
+def keep_up(spark, root: str, store: IndexStore, settings: Settings, every: float, rounds: int | None = None, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Look at the files every so many seconds and apply what changed; endless without ``rounds``."""
+    while rounds is None or rounds > 0:
+        sleep(every)
+        update(spark, root, store, settings)
+        rounds = None if rounds is None else rounds - 1
+
+
 def main(argv: list[str] | None = None) -> int:
-    """index PATH, search PATH QUERY, serve PATH, benchmark, models."""
+    """index PATH, list PATH, search PATH QUERY, serve PATH, benchmark, models."""
     p = argparse.ArgumentParser(prog="lodestone")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("index", "search", "serve"):
+    for name in ("index", "list", "search", "serve"):
         c = sub.add_parser(name)
         c.add_argument("path")
         c.add_argument("--index")
+        c.add_argument("--config")
+        if name in ("index", "list"):
+            c.add_argument("--max-filesize")
+            c.add_argument("--untracked", action="store_true", default=None)
+        if name == "index":
+            c.add_argument("--update", action="store_true")
+            c.add_argument("--watch", type=float, metavar="SECONDS")
         if name == "search":
             c.add_argument("query")
-            c.add_argument("--limit", type=int, default=DEFAULT_LIMIT)
+            c.add_argument("--limit", type=int)
             c.add_argument("--threshold", type=float)
             c.add_argument("--filetype")
             c.add_argument("--filter")
@@ -186,13 +218,20 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "benchmark":
         print(benchmark(spark, a.backend or ["mock"], a.texts, a.iterations, a.file, a.format))
         return 0
-    store = IndexStore(spark, a.index or f"{a.path.rstrip('/')}/.lodestone")
+    settings = settings_for(a.path, a)
+    store = IndexStore(spark, a.index or f"{a.path.rstrip('/')}/{settings.index_dir}")
+    if a.command == "list":
+        for r in discover(spark, a.path, settings.max_file_bytes, settings.include_untracked, leave=store.root).orderBy("path").toLocalIterator():
+            print(f"{r.size_bytes}\t{r.path}")
+        return 0
     if a.command == "index":
-        print(build(spark, a.path, store))
+        print((update if a.update and store.exists() else build)(spark, a.path, store, settings))
+        if a.watch:
+            keep_up(spark, a.path, store, settings, a.watch)
     elif a.command == "serve":
-        Service(store, a.path).serve()
+        Service(store, a.path, settings).serve()
     else:
-        hits = ask(store, a.query, search.SearchRequest(a.limit, a.threshold))
+        hits = ask(store, a.query, search.SearchRequest(settings.limit, settings.min_similarity))
         hits = search.filter_results(hits, path="file_path", glob=a.filter, ext=a.filetype)
         rows = (output.json_lines(hits) if a.json else output.text_lines(hits)).collect()
         print("\n".join(r.value for r in rows) if rows or a.json else "\n".join(output.no_result_hints(a.query)))

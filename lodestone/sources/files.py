@@ -52,10 +52,10 @@ def _listed(root: Path, names: list[str], tracked: bool) -> list[tuple]:
     return rows
 
 
-def discover(spark: SparkSession, root: str, max_bytes: int | None = None, untracked: bool = False) -> DataFrame:
+def discover(spark: SparkSession, root: str, max_bytes: int | None = None, untracked: bool = False, leave: str | None = None) -> DataFrame:
     """The files under ``root``: git's listing inside a repository (refreshed, and untracked ones if asked), else a walk.
 
-    A walk follows no links and includes dotfiles.
+    A walk follows no links and includes dotfiles. What is below ``leave`` (the index itself) isn't listed.
     """
     base = Path(root)
     if not base.exists():
@@ -68,6 +68,9 @@ def discover(spark: SparkSession, root: str, max_bytes: int | None = None, untra
         rows = _listed(base, names, True)
         if untracked:
             rows += _listed(base, _git(base, "ls-files", "-z", "-o", "--exclude-standard") or [], False)
+    if leave is not None:
+        below = os.path.join(os.path.abspath(leave), "")
+        rows = [r for r in rows if not os.path.abspath(r[0]).startswith(below)]
     df = spark.createDataFrame(rows, SCHEMA)
     return df if max_bytes is None else df.where(F.col("size_bytes") <= max_bytes)
 

@@ -222,3 +222,25 @@ def test_service(spark, tree, tmp_path):
     assert service.main(["models"]) == 0
     assert service.benchmark(spark, ["mock"], 5, 2, form="csv").startswith("backend,texts_per_s,ms\nmock,")
     assert json.loads(service.benchmark(spark, ["mock", "placeholder"], 3, 1, form="json"))[1]["backend"] == "placeholder"
+
+
+def test_command_line_reads_settings(spark, tree, tmp_path, capsys):
+    (tree / ".lodestone.yml").write_text("indexing:\n  max_file_size: 1kb\nsearch:\n  limit: 1\n  min_similarity: 0.0\n")
+    (tree / "long.md").write_text("words " * 400)
+    run = lambda *a: (service.main(list(a)), capsys.readouterr().out)[1]
+    assert "long.md" not in run("list", str(tree)) and "long.md" in run("list", str(tree), "--max-filesize", "1mb")
+    run("index", str(tree))
+    store = IndexStore(spark, str(tree / ".lodestone"))
+    assert not [p for p in run("list", str(tree)).splitlines() if "/.lodestone/" in p]
+    assert len(run("search", str(tree), "words", "--json").splitlines()) == 1
+    assert len(run("search", str(tree), "words", "--json", "--limit", "3").splitlines()) == 3
+    before = store.manifest().files
+    (tree / "new.md").write_text("something new")
+    run("index", str(tree), "--update")
+    assert store.manifest().files == before + 1 and not store.load().where("file_path like '%/.lodestone/%'").count()
+    (tree / "new.md").unlink()
+    service.keep_up(spark, str(tree), store, C.Settings(max_file_bytes=1024), 0, rounds=1)
+    assert store.manifest().files == before
+    for bad in (["search", str(tree), "words", "--threshold", "2"], ["search", str(tree), "words", "--limit", "0"], ["serve", str(tree), "--config", str(tree / "none.json")], ["list", str(tree), "--max-filesize", "many"]):
+        with pytest.raises((C.ConfigError, FileNotFoundError, ValueError)):
+            service.main(bad)
