@@ -231,7 +231,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "serve":
         Service(store, a.path, settings).serve()
     else:
-        hits = ask(store, a.query, search.SearchRequest(settings.limit, settings.min_similarity))
+        hits = ask(store, a.query, search.SearchRequest(settings.limit, a.threshold))  # min_similarity is the service's default
         hits = search.filter_results(hits, path="file_path", glob=a.filter, ext=a.filetype)
         rows = (output.json_lines(hits) if a.json else output.text_lines(hits)).collect()
         print("\n".join(r.value for r in rows) if rows or a.json else "\n".join(output.no_result_hints(a.query)))

@@ -225,7 +225,7 @@ def test_service(spark, tree, tmp_path):
 
 
 def test_command_line_reads_settings(spark, tree, tmp_path, capsys):
-    (tree / ".lodestone.yml").write_text("indexing:\n  max_file_size: 1kb\nsearch:\n  limit: 1\n  min_similarity: 0.0\n")
+    (tree / ".lodestone.yml").write_text("indexing:\n  max_file_size: 1kb\nsearch:\n  limit: 1\n  min_similarity: 1.0\n")
     (tree / "long.md").write_text("words " * 400)
     run = lambda *a: (service.main(list(a)), capsys.readouterr().out)[1]
     assert "long.md" not in run("list", str(tree)) and "long.md" in run("list", str(tree), "--max-filesize", "1mb")
