@@ -122,9 +122,12 @@ class IndexStore:
 
     def update(self, current: DataFrame, make: callable, *, batch: int = -1) -> Manifest:
         """Incremental update: ``current`` (path, mtime, ...) is compared with the stored times; ``make`` turns new and
-        changed rows into indexed chunks, and the others' chunks are carried over."""
+        changed rows into indexed chunks, and the others' chunks are carried over. Without a difference nothing is written,
+        unless a batch's number is to be kept."""
         old, m = self.times(), self.manifest()
         gone, fresh, edited = diff.removed(old, current), diff.added(old, current), diff.changed(old, current)
+        if batch < 0 and gone.select("path").union(fresh.select("path")).union(edited.select("path")).isEmpty():
+            return m
         kept = diff.retained(self.load(), gone, edited).drop("norm")
         todo = current.join(fresh.unionByName(edited), "path", "left_semi")
         made = make(todo)
