@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_text, language_id, line_dedup, lm_score, mixing, near_dedup, tokens, toxicity
+from . import decontaminate, filter_audit, fingerprint, html_text, language_id, line_dedup, lm_score, mixing, near_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_filter_audit": filter_audit.query,
 }
 
 SQL = {
     "op4_line_dedup": line_dedup.SQL,
     "op8_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
