@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["op8_near_dedup", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op8_near_dedup", "op10_decontaminate", "op11_filter_audit"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

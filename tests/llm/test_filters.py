@@ -164,11 +164,12 @@ def test_recurring_and_generalised_lines(spark):
         assert got[i] == ("\n".join([lines[0], lines[3]]), 4, 2)
 
 
-def test_copies_stay_whole_and_rare_lines_stay(spark):
+def test_copies_lose_recurring_lines_and_rare_lines_stay(spark):
     body = "\n".join(f"line {c} of a text that was copied" for c in "abcdef")
     texts = [body] * 8 + ["a line of its own\nanother line of its own"] * 4
     got = drops(spark, texts)
-    assert all(v[2] == 0 and v[0] == t for v, t in zip((got[i] for i in range(12)), texts))
+    assert got[0] == (body, 6, 0) and all(got[i] == ("", 6, 6) for i in range(1, 8))
+    assert all(got[i] == (texts[i], 2, 0) for i in range(8, 12))
 
 
 def test_documents_of_shared_lines_lose_them(spark):
