@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, fingerprint, html_text, language_id, line_dedup, lm_score, mixing, near_dedup, tokens, toxicity
+from . import decontaminate, filter_audit, fingerprint, html_text, language_id, line_dedup, lm_score, mixing, near_dedup, quality, spelling, tokens, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_decontaminate": decontaminate.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_spelling": spelling.query,
+    "op13_quality_rules": quality.query,
 }
 
 SQL = {
@@ -23,4 +25,5 @@ SQL = {
     "op8_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_spelling": spelling.SQL,
 }
