@@ -7,10 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The word pattern (UAX-29 words for Latin-like scripts) and what makes a match a word.
-WORD = r"(?:\p{L}\p{M}*(?:[.:'’·]?\p{L}\p{M}*)*|\p{Nd}(?:[.,;'’]?\p{Nd})*|_)+"
-WORDLIKE = r"[\p{L}\p{Nd}]"
-
 # Languages by file extension.
 LANGUAGES = {
     "rs": "rust", "js": "javascript", "ts": "typescript", "py": "python", "java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "c", "h": "c", "hpp": "c",
@@ -37,11 +33,6 @@ ERROR_CLASSES = (
 PLACEHOLDER = "[PLACEHOLDER_CONTENT_FROM:"
 
 
-def words(text: Column) -> Column:
-    """The words of a text, punctuation dropped."""
-    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda t: t.rlike(WORDLIKE))
-
-
 def line_count(text: Column) -> Column:
     """Lines without a last empty one."""
     feeds = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
@@ -82,28 +73,6 @@ def real_content(text: Column) -> Column:
     return F.when(~text.startswith(PLACEHOLDER), text)
 
 
-def token_offsets(text: Column) -> Column:
-    """(start, end) in code points of each word: gaps and matches alternate, and running lengths give the offsets."""
-    every = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    gaps = F.split(text, WORD)
-    pairs = F.zip_with(every, F.slice(gaps, 1, F.size(every)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(s, p):
-        begin = s["at"] + F.char_length(p["g"])
-        end = begin + F.char_length(p["w"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(p["w"].rlike(WORDLIKE), F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
-
-    return F.aggregate(pairs, start, step, lambda s: s["spans"])
-
-
-def line_at(text: Column, offset: Column) -> Column:
-    """1-based line of a code-point offset."""
-    before = F.left(text, offset)
-    return 1 + F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit("")))
-
-
 def parse_filesize(text: str) -> int:
     """Bytes of '100', '100b', '2kb', '5mb', '1gb'; ValueError otherwise."""
     m = re.fullmatch(r"(\d+)(b|kb|mb|gb)?", text.lower(), re.ASCII)

@@ -1,15 +1,18 @@
-"""Vector codecs: scalar and product quantisation, their training and their errors."""
+"""Vector codecs by name: none, scalar and product quantisation (``operators.product``), and what they save."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from . import product
+from .product import CODEBOOK
 
-BITS, SUBVECTOR, CODEBOOK, ITERATIONS, OVERHEAD = 8, 8, 256, 10, 128
+BITS, OVERHEAD = 8, 128
 
 
 def value_range(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -27,102 +30,43 @@ def scalar_decoded(rows: DataFrame, bits: int = BITS, name: str = "decoded") ->
     return rows.withColumn(name, V.dequantized(F.col("codes"), F.col("low"), F.col("high"), bits))
 
 
-def subvectors(rows: DataFrame, key: str, vector: str = "embedding", width: int = SUBVECTOR) -> DataFrame:
-    """key, sub_id, part: the vector cut into slices of ``width``."""
-    v = F.col(vector).cast("array<double>")
-    return rows.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / F.lit(width)).cast("int") - 1), lambda i: F.slice(v, i * width + 1, F.lit(width)))).alias("sub_id", "part"))
-
-
-def initial_codebook(parts: DataFrame, key: str, k: int = CODEBOOK) -> list[list[list[float]]]:
-    """By slice, the parts of rows floor(i * n / k) in order of key; k is at most the number of rows.
-
-    Row numbers come from counts of key ranges, so no window runs in one task.
-    """
-    n = parts.where("sub_id = 0").count()
-    k = min(k, n)
-    wanted = sorted({i * n // k for i in range(k)}) if k else []
-    numbered = _numbered(parts.where("sub_id = 0").select(key), key)
-    at = {r.row: r[key] for r in numbered.where(F.col("row").isin(wanted)).collect()}
-    found: dict[object, dict[int, list[float]]] = {}
-    for r in parts.where(F.col(key).isin(list(at.values()))).collect():
-        found.setdefault(r[key], {})[r.sub_id] = list(r.part)
-    slices = max((len(v) for v in found.values()), default=0)
-    return [[found[at[i * n // k]][s] for i in range(k)] for s in range(slices)]
-
-
-def _numbered(keys: DataFrame, key: str) -> DataFrame:
-    """``row``, the place of each key in order: sorted ranges, counted, then numbered within."""
-    from pyspark.sql import Window
-
-    ranges = keys.repartitionByRange(key).withColumn("p", F.spark_partition_id())
-    ranges = ranges.persist()
-    before, offsets = 0, []
-    for r in sorted(ranges.groupBy("p").count().collect(), key=lambda r: r.p):
-        offsets.append((r.p, before))
-        before += r["count"]
-    table = keys.sparkSession.createDataFrame(offsets or [(0, 0)], "p int, before bigint")
-    within = F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1
-    return ranges.join(F.broadcast(table), "p").select(key, (F.col("before") + within).alias("row"))
-
-
-def assigned(parts: DataFrame, codebook: list[list[list[float]]]) -> DataFrame:
-    """``parts`` with the nearest centroid of their slice (the first on ties)."""
-    table = parts.sparkSession.createDataFrame([(i, c) for i, c in enumerate(codebook)], "sub_id int, centroids array<array<double>>")
-    return parts.join(F.broadcast(table), "sub_id").withColumn("cluster", V.nearest(F.col("part"), F.col("centroids"))).drop("centroids")
-
-
-def kmeans_step(parts: DataFrame, codebook: list[list[list[float]]]) -> list[list[list[float]]]:
-    """All slices' means in one aggregation; an empty cluster becomes the zero vector."""
-    each = assigned(parts, codebook).select("sub_id", "cluster", F.posexplode("part").alias("dim", "x"))
-    means = each.groupBy("sub_id", "cluster", "dim").agg(F.avg("x").alias("x"))
-    out = [[[0.0] * len(c) for c in book] for book in codebook]
-    for r in means.collect():  # at most dims * codebook rows
-        out[r.sub_id][r.cluster][r.dim] = r.x
-    return out
-
-
-def product_codebook(rows: DataFrame, key: str, vector: str = "embedding", width: int = SUBVECTOR, k: int = CODEBOOK, iterations: int = ITERATIONS) -> list[list[list[float]]]:
-    parts = subvectors(rows, key, vector, width).persist()
-    book = initial_codebook(parts, key, k)
-    for _ in range(iterations):
-        book = kmeans_step(parts, book)
-    parts.unpersist()
-    return book
-
-
-def product_encoded(rows: DataFrame, key: str, codebook: list[list[list[float]]], vector: str = "embedding", width: int = SUBVECTOR) -> DataFrame:
-    """``rows`` with product codes, as one expression over the broadcast codebook: no shuffle."""
-    table = rows.sparkSession.createDataFrame([(codebook,)], "codebook array<array<array<double>>>")
-    v = F.col(vector).cast("array<double>")
-    codes = F.transform(F.col("codebook"), lambda book, i: V.nearest(F.slice(v, i * width + 1, F.lit(width)), book))
-    return rows.join(F.broadcast(table)).withColumn("codes", codes).drop("codebook")
-
-
-def product_decoded(rows: DataFrame, codebook: list[list[list[float]]], dims: int, name: str = "decoded") -> DataFrame:
-    """Centroids put together and cut to ``dims``; a code outside the codebook is an error."""
-    table = rows.sparkSession.createDataFrame([(codebook,)], "codebook array<array<array<double>>>")
-    whole = F.flatten(F.zip_with(F.col("codes"), F.col("codebook"), lambda c, book: F.element_at(book, c + 1)))
-    return rows.join(F.broadcast(table)).withColumn(name, F.slice(whole, 1, dims)).drop("codebook")
-
-
 #: Codecs by name: "learned" is scalar quantisation under another name.
 CODECS = {"none": "none", "scalar": "scalar", "learned": "scalar", "product": "product"}
 
 
+def _binary(sizes: np.ndarray, raw: bytes, nulls: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pc.if_else(pa.array(nulls), None, pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(raw)]))
+
+
 def little_endian(vector: Column) -> Column:
     """The identity codec's bytes: 32-bit floats, least significant byte first."""
 
-    @F.pandas_udf("binary")
-    def to_bytes(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def to_bytes(vectors: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+        return _binary(4 * sizes, flat.tobytes(), vectors.is_null().to_numpy(zero_copy_only=False))
 
     return to_bytes(vector.cast("array<float>"))
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """Sizes, bytes one after another, and which are null, of a binary column."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, b"".join(x or b"" for x in column.to_pylist()), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _listed(sizes: np.ndarray, values: np.ndarray, nulls: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pc.if_else(pa.array(nulls), None, pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+
+
 def from_little_endian(codes: Column) -> Column:
-    @F.pandas_udf("array<float>")
-    def to_floats(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+    @F.arrow_udf("array<float>")
+    def to_floats(raw: pa.Array) -> pa.Array:
+        sizes, flat, nulls = _flat(raw)
+        return _listed(sizes // 4, np.frombuffer(flat, "<f4").astype(np.float32), nulls)
 
     return to_floats(codes)
 
@@ -139,30 +83,37 @@ def encoded(rows: DataFrame, codec: str, key: str, vector: str = "embedding", k:
         r = value_range(rows, vector).first()
         out = rows.withColumn("codes", _packed(V.quantized(F.col(vector), r.low, r.high)))
         return out.drop(vector), about | {"low": r.low, "high": r.high}
-    book = product_codebook(rows, key, vector, k=k)
-    out = product_encoded(rows, key, book, vector).withColumn("codes", _packed(F.col("codes")))
-    return out.drop(vector), about | {"codebook": book}
+    book = product.trained(rows, key, vector, k=k)
+    return product.encoded(rows, book, vector), about | {"codebook": book}
 
 
 def decoded(rows: DataFrame, about: dict, name: str = "embedding") -> DataFrame:
     """``rows`` with the vector that the codes stand for."""
     if about["codec"] == "none":
         return rows.withColumn(name, from_little_endian(F.col("codes"))).drop("codes")
-    numbers = rows.withColumn("codes", _unpacked(F.col("codes")))
-    if about["codec"] == "scalar":
-        return numbers.withColumn(name, V.dequantized(F.col("codes"), about["low"], about["high"]).cast("array<float>")).drop("codes")
-    out = product_decoded(numbers, about["codebook"], about["dims"], name)
-    return out.withColumn(name, F.col(name).cast("array<float>")).drop("codes")
+    if about["codec"] == "product":
+        return product.decoded(rows, about["codebook"], name=name)
+    return rows.withColumn(name, V.dequantized(_unpacked(F.col("codes")), about["low"], about["high"]).cast("array<float>")).drop("codes")
 
 
 def _packed(codes: Column) -> Column:
     """A byte for each code."""
-    return F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+
+    @F.arrow_udf("binary")
+    def pack(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return _binary(sizes, lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), lists.is_null().to_numpy(zero_copy_only=False))
+
+    return pack(codes.cast("array<int>"))
 
 
 def _unpacked(codes: Column) -> Column:
-    text = F.hex(codes)
-    return F.when(F.length(codes) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(codes) - 1), lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    @F.arrow_udf("array<int>")
+    def unpack(raw: pa.Array) -> pa.Array:
+        sizes, flat, nulls = _flat(raw)
+        return _listed(sizes, np.frombuffer(flat, np.uint8).astype(np.int32), nulls)
+
+    return unpack(codes)
 
 
 def compression(original: Column, compressed: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import glob as G
 from ..functions import vector as V
@@ -121,22 +121,20 @@ def _similarities(vectors: pa.Array, matrices: dict[int, tuple[np.ndarray, np.nd
     return out
 
 
-def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_vector: str, vector: str = "embedding", limit: int = LIMIT, threshold: float | None = None, ties: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
-    """Top rows for each of a bounded table of queries, by products of each batch of vectors with the matrix of queries.
-
-    A task hands on ``limit`` rows for each query, whatever it has read. Similarities are compared at ``digits`` decimals.
-    """
+def asked_queries(queries: DataFrame, query_id: str, query_vector: str) -> list[tuple]:
+    """(id, vector) of a table of queries of checked size."""
     asked = queries.select(F.col(query_id), F.col(query_vector)).limit(MOST_QUERIES + 1).collect()
     if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {len(r[1] or ()) for r in asked}:
-        who = [i for i, r in enumerate(asked) if len(r[1] or ()) == size]
-        own = np.array([list(asked[i][1] or ()) for i in who], np.float64).reshape(len(who), size)
-        with np.errstate(all="ignore"):
-            matrices[size] = np.array(who), own / np.sqrt((own * own).sum(axis=1))[:, None]
-    keep = [c for c in index.columns if c != vector]
-    shared = index.sparkSession.sparkContext.broadcast(matrices)
+    return [tuple(r) for r in asked]
+
+
+def best_of_batches(index: DataFrame, score: Callable[[pa.Array], np.ndarray], scored: str, asked: list[tuple], id_field: StructField, *, limit: int, threshold: float | None, ties: Sequence[str], digits: int = DIGITS) -> DataFrame:
+    """The best rows for each query, where ``score`` gives (rows, queries) of the column ``scored`` of a batch.
+
+    A task hands on ``limit`` rows for each query, whatever it has read. Similarities are compared at ``digits`` decimals.
+    """
+    keep = [c for c in index.columns if c != scored]
     n_queries, ties = len(asked), list(ties)
 
     def nearest(batches):
@@ -151,7 +149,7 @@ def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_ve
         for b in batches:
             for first in range(0, b.num_rows, step):
                 part = b.slice(first, step)
-                s = np.round(_similarities(part.column(vector), shared.value, n_queries), digits)
+                s = np.round(score(part.column(scored)), digits)
                 least = np.partition(s, len(s) - limit, axis=0)[len(s) - limit] if len(s) > limit else np.full(n_queries, -np.inf)
                 if threshold is not None:
                     least = np.maximum(least, threshold)
@@ -159,18 +157,32 @@ def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_ve
                 held.append((pa.Table.from_batches([part]).select(keep).take(pa.array(row)), query, s[row, query]))
                 held[:] = [pruned()]
         if held:
-            table, query, score = held[0]
-            for batch in table.append_column("query_number", pa.array(query.astype(np.int32))).append_column("similarity", pa.array(score)).combine_chunks().to_batches():
+            table, query, found = held[0]
+            for batch in table.append_column("query_number", pa.array(query.astype(np.int32))).append_column("similarity", pa.array(found)).combine_chunks().to_batches():
                 yield batch
 
     types = StructType([*index.select(keep).schema.fields, *StructType.fromDDL("query_number int, similarity double").fields])
-    best = index.select(*keep, vector).mapInArrow(nearest, types)
+    best = index.select(*keep, scored).mapInArrow(nearest, types)
     order = Window.partitionBy("query_number").orderBy(F.desc("similarity"), *map(F.asc, ties))
     top = best.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where(F.col("rank") < limit)
-    names = index.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(asked)], StructType([*StructType.fromDDL("query_number int").fields, queries.schema[query_id]]))
+    names = index.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(asked)], StructType([*StructType.fromDDL("query_number int").fields, id_field]))
     return top.join(F.broadcast(names), "query_number").drop("query_number").withColumn("similarity", V.clamped_score(F.col("similarity")))
 
 
+def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_vector: str, vector: str = "embedding", limit: int = LIMIT, threshold: float | None = None, ties: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
+    """Top rows for each of a bounded table of queries, by products of each batch of vectors with the matrix of queries."""
+    asked = asked_queries(queries, query_id, query_vector)
+    matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {len(v or ()) for _, v in asked}:
+        who = [i for i, (_, v) in enumerate(asked) if len(v or ()) == size]
+        own = np.array([list(asked[i][1] or ()) for i in who], np.float64).reshape(len(who), size)
+        with np.errstate(all="ignore"):
+            matrices[size] = np.array(who), own / np.sqrt((own * own).sum(axis=1))[:, None]
+    shared, n_queries = index.sparkSession.sparkContext.broadcast(matrices), len(asked)
+    score = lambda column: _similarities(column, shared.value, n_queries)
+    return best_of_batches(index, score, vector, asked, queries.schema[query_id], limit=limit, threshold=threshold, ties=ties, digits=digits)
+
+
 def search_all(index: DataFrame, queries: DataFrame, *, query_id: str, **options) -> DataFrame:
     """``search_many`` of any number of queries, block by block; a query's rows, if its id is repeated, share a block."""
     n, blocks = queries.count(), 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +20,49 @@ def indexed(texts: DataFrame, settings: Settings, embed: Callable[[Column], Colu
     return embedding.embedded(chunks(texts, settings.chunk), embed)
 
 
+def read(spark: SparkSession, listing: DataFrame, settings: Settings, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Indexed chunks of a listing's text files, and rejects (path, error): files that can't be read and those whose vectors can't be made."""
+    files = S.read_files(spark, listing)
+    rows = indexed(files.where(F.col("error").isNull() & ~F.col("is_binary")), settings, embed)
+    no_vector = rows.where(F.col("embedding").isNull()).select(F.col("file_path").alias("path"), F.lit("embed: no vector").alias("error")).distinct()
+    return rows, files.where(F.col("error").isNotNull()).select("path", "error").unionByName(no_vector)
+
+
+def kept_settings(settings: Settings) -> dict:
+    """What an index must be searched and updated with."""
+    c = settings.chunk
+    return {"chunk": {"target": c.target, "overlap": c.overlap, "most": c.most, "least": c.least}}
+
+
+def same_settings(m: Manifest, settings: Settings) -> Settings:
+    """``settings`` with the chunk sizes the index was made with."""
+    kept = m.settings
+    return replace(settings, chunk=ChunkConfig(**kept["chunk"])) if kept else settings
+
+
 def build(spark: SparkSession, root: str, store: IndexStore, settings: Settings = Settings(), embed: Callable[[Column], Column] = embedding.mock_embedding, model: str = "mock") -> Manifest:
-    """Discover, decode, chunk, embed and save. No files is an error; nothing to index saves nothing."""
+    """Discover, decode, chunk, embed and save. No files is an error; nothing to index saves nothing. A bad file is a
+    reject beside the result (``IndexStore.rejects``)."""
     listing = S.discover(spark, root, settings.max_file_bytes, settings.include_untracked, leave=store.root)
     if listing.isEmpty():
         raise DiscoveryError(f"no files found in {root}")
-    texts = S.read_files(spark, listing).where(~F.col("is_binary"))
-    rows = indexed(texts, settings, embed)
-    if rows.isEmpty():
+    rows, rejects = read(spark, listing, settings, embed)
+    sound = rows.where(F.col("embedding").isNotNull())
+    if sound.isEmpty():
         raise DiscoveryError(f"nothing to index in {root}")
-    return store.save(rows, listing.select("path", F.col("last_modified").alias("mtime")), model=model)
+    return store.save(sound, listing.select("path", F.col("last_modified").alias("mtime")), model=model, rejects=rejects, settings=kept_settings(settings))
 
 
 def update(spark: SparkSession, root: str, store: IndexStore, settings: Settings = Settings(), embed: Callable[[Column], Column] = embedding.mock_embedding) -> Manifest:
-    """Only new and changed files are read again."""
+    """Only new and changed files are read again, and a delta is written; the index's own chunk sizes hold."""
+    settings = same_settings(store.manifest(), settings)
     listing = S.discover(spark, root, settings.max_file_bytes, settings.include_untracked, leave=store.root).withColumnRenamed("last_modified", "mtime")
-    return store.update(listing, lambda todo: indexed(S.read_files(spark, todo).where(~F.col("is_binary")), settings, embed))
+
+    def make(todo: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows, rejects = read(spark, todo, settings, embed)
+        return rows.where(F.col("embedding").isNotNull()), rejects
+
+    return store.update(listing, make)
 
 
 def ask(store: IndexStore, text: str, request: search.SearchRequest = search.SearchRequest(), embed: Callable[[Column], Column] = embedding.mock_embedding, model: str | None = None) -> DataFrame:

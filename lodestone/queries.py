@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import glob as G
+from .functions import segment
 from .functions import text as T
 from .functions import vector as V
-from .operators import codec, diff, embedding, events, search, statistics
-from .operators.chunking import ChunkConfig, chunks
+from .operators import codec, diff, embedding, events, product, search, statistics
+from .operators.chunking import ChunkConfig, chunk_counts, chunks
 from .sources import output
 from .sources.files import decoded
 
@@ -41,7 +42,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES = """(SELECT *, source || '/' || lang || '/doc_' || doc_id || CASE doc_id % 8 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.js' WHEN 3 THEN '.ts' WHEN 4 THEN '.md' WHEN 5 THEN '.json' WHEN 6 THEN '.RS' ELSE '' END AS path FROM documents)"""
 EXT = r"regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\.([^.]*)$', 1)"
-WORDS = "list_filter(regexp_extract_all(text, '" + T.WORD.replace("'", "''") + "'), lambda t: regexp_matches(t, '[\\p{L}\\p{Nd}]'))"
+# Word boundaries restated for the scripts of the tables: letters with marks, joined by one of . : ' ’ · between letters; digits, joined by one of . , ; ' ’
+# between digits; underscores join both.
+PATTERN = r"(?:\p{L}\p{M}*(?:[.:''’·]?\p{L}\p{M}*)*|\p{Nd}(?:[.,;''’]?\p{Nd})*|_)+"
+WORDS = f"list_filter(regexp_extract_all(text, '{PATTERN}'), lambda t: regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]'))"
 Q0 = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 COS = "list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[])"
 
@@ -180,7 +184,7 @@ def format_bytes(spark, d):
 
 @query(f"SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_distinct(w)) AS BIGINT) AS distinct_words, coalesce(array_to_string(list_slice(w, 1, 3), ' '), '') AS head FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
 def tokenize_counts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    rows = table(spark, d, "documents").select("doc_id", segment.words(F.col("text")).alias("w"))
     return rows.select("doc_id", F.size("w").cast("bigint").alias("words"), F.size(F.array_distinct("w")).cast("bigint").alias("distinct_words"), F.array_join(F.slice("w", 1, 3), " ").alias("head"))
 
 
@@ -203,14 +207,25 @@ def chunk_small_config(spark, d):
     return rows.select("id", "file_path", F.md5("content").alias("digest"), "token_count", "chunk_index", "total_chunks")
 
 
-@query()
+_OFFSETS = f"""WITH f AS (SELECT path, text, regexp_extract_all(text, '{PATTERN}') AS m, string_split_regex(text, '{PATTERN}') AS g FROM {FILES} WHERE text <> ''),
+m AS (SELECT path, i, m[i] AS w, length(m[i]) AS n, length(g[i]) AS gap FROM (SELECT path, m, g, unnest(range(1, len(m) + 1)) AS i FROM f)),
+p AS (SELECT path, i, w, n, sum(gap + n) OVER (PARTITION BY path ORDER BY i) AS e FROM m),
+t AS (SELECT path, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY path) AS tokens FROM p WHERE regexp_matches(w, '[\\p{{L}}\\p{{Nd}}]')),
+c AS (SELECT c.*, text, coalesce(a.tokens, 0) <= 300 AS whole, a.s, z.e FROM {_chunk_sql(300, 50, 100)} c JOIN f ON f.path = c.path LEFT JOIN t a ON a.path = c.path AND a.j = 250 * chunk_index LEFT JOIN t z ON z.path = c.path AND z.j = 250 * chunk_index + token_count - 1),
+o AS (SELECT *, CASE WHEN whole THEN 0 ELSE s END AS start_char, CASE WHEN whole THEN length(text) ELSE e END AS end_char FROM c)
+SELECT id, path AS file_path, token_count, chunk_index, total_chunks, CAST(1 + length(left(text, start_char)) - length(replace(left(text, start_char), chr(10), '')) AS BIGINT) AS start_line,
+CAST(CASE WHEN whole THEN greatest(1, length(text) - length(replace(text, chr(10), '')) + CASE WHEN suffix(text, chr(10)) THEN 0 ELSE 1 END) ELSE 1 + length(left(text, end_char)) - length(replace(left(text, end_char), chr(10), '')) END AS BIGINT) AS end_line,
+CAST(start_char AS BIGINT) AS start_char, CAST(end_char AS BIGINT) AS end_char FROM o"""
+
+
+@query(_OFFSETS)
 def chunk_offsets(spark, d):
     return chunks(files(spark, d)).drop("content")
 
 
 @query(f"SELECT count(*) AS total_chunks, count(DISTINCT path) AS total_files, CAST(sum(token_count) AS BIGINT) AS total_tokens, round(avg(token_count), 9) AS average_tokens, CAST(0 AS BIGINT) AS dimensions FROM {_chunk_sql(300, 50, 100)}")
 def chunk_stats(spark, d):
-    out = statistics.index_stats(chunks(files(spark, d), offsets=False), vector=None)
+    out = statistics.index_stats(chunk_counts(files(spark, d)), vector=None)
     return out.withColumn("average_tokens", F.round("average_tokens", 9))
 
 
@@ -330,34 +345,57 @@ def l2_nearest_centroid(spark, d):
     return rows.join(F.broadcast(books)).select("vec_id", V.nearest(F.col("embedding"), F.col("c")).cast("bigint").alias("centroid"))
 
 
-_SEED = "(SELECT s, k, embedding[s * 8 + 1 : s * 8 + 8]::DOUBLE[] AS c FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings), range(4) t(k), range(8) u(s) WHERE r = (k * n) // 4)"
-_ASSIGN = f"(SELECT vec_id, s, p, arg_min(k, (dist, k)) AS k FROM (SELECT vec_id, e.s, p, k, list_sum(list_transform(list_zip(p, c), lambda z: power(z[1] - z[2], 2))) AS dist FROM (SELECT vec_id, s, embedding[s * 8 + 1 : s * 8 + 8]::DOUBLE[] AS p FROM embeddings, range(8) u(s)) e JOIN {_SEED} b ON b.s = e.s) GROUP BY ALL)"
+# Slices of 8 components; rows floor(i * n / k) in order of id are the first centroids, k = 256 or the rows there are. A step's means; clusters
+# without rows are zeros.
+_SLICES = "sl AS MATERIALIZED (SELECT vec_id, s, embedding[s * 8 + 1 : s * 8 + 8]::DOUBLE[] AS p FROM embeddings, range(8) u(s))"
+_BOOK = "b0 AS MATERIALIZED (SELECT s, k, p AS c FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings) JOIN range(256) t(k) ON k < least(256, n) AND r = (k * n) // least(256, n) JOIN sl USING (vec_id))"
+
+
+def _assign(i: int) -> str:
+    return f"a{i} AS MATERIALIZED (SELECT vec_id, s, any_value(p) AS p, arg_min(k, (d, k)) AS k FROM (SELECT vec_id, sl.s, p, k, list_distance(p, c) AS d FROM sl JOIN b{i} ON b{i}.s = sl.s) GROUP BY vec_id, s)"
+
+
+def _means(i: int) -> str:
+    each = ", ".join(f"coalesce(avg(p[{j}]), 0.0)" for j in range(1, 9))
+    return f"b{i + 1} AS MATERIALIZED (SELECT b{i}.s, b{i}.k, [{each}] AS c FROM b{i} LEFT JOIN a{i} ON a{i}.s = b{i}.s AND a{i}.k = b{i}.k GROUP BY b{i}.s, b{i}.k)"
+
 
+_TRAINED = f"WITH {_SLICES}, {_BOOK}, " + ", ".join(f"{_assign(i)}, {_means(i)}" for i in range(10)) + f", {_assign(10)}"
 
-def _book(spark, d):
-    parts = codec.subvectors(table(spark, d, "embeddings"), "vec_id")
-    return parts, codec.initial_codebook(parts, "vec_id", 4)
+
+def _first_book(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return rows, product.first_codebook(rows, "vec_id")
 
 
-@query(f"SELECT CAST(s AS BIGINT) AS sub_id, CAST(k AS BIGINT) AS cluster, CAST(dim AS BIGINT) AS dim, round(avg(x), 9) AS x FROM (SELECT s, k, unnest(p) AS x, unnest(range(8)) AS dim FROM {_ASSIGN}) GROUP BY ALL")
+@query(f"WITH {_SLICES}, {_BOOK}, {_assign(0)} SELECT s AS sub_id, k AS cluster, dim, round(avg(x), 9) AS x FROM (SELECT s, k, unnest(p) AS x, unnest(range(8)) AS dim FROM a0) GROUP BY ALL")
 def kmeans_iter1(spark, d):
-    parts, book = _book(spark, d)
-    each = codec.assigned(parts, book).select("sub_id", "cluster", F.posexplode("part").alias("dim", "x"))
-    return each.groupBy(F.col("sub_id").cast("bigint"), F.col("cluster").cast("bigint"), F.col("dim").cast("bigint")).agg(F.round(F.avg("x"), 9).alias("x"))
+    rows, book = _first_book(spark, d)
+    means = F.array(*(F.col(f"x{j}") / F.col("n") for j in range(8)))
+    return product.kmeans_sums(rows, book).select("sub_id", "cluster", F.posexplode(means).alias("dim", "x")).select("sub_id", "cluster", F.col("dim").cast("bigint").alias("dim"), F.round("x", 9).alias("x"))
 
 
-@query(f"SELECT vec_id, list(CAST(k AS INT) ORDER BY s) AS codes FROM {_ASSIGN} GROUP BY vec_id")
+@query(f"WITH {_SLICES}, {_BOOK}, {_assign(0)} SELECT vec_id, list(CAST(k AS INT) ORDER BY s) AS codes FROM a0 GROUP BY vec_id")
 def pq_encode(spark, d):
-    _, book = _book(spark, d)
-    return codec.product_encoded(table(spark, d, "embeddings"), "vec_id", book).select("vec_id", "codes")
+    rows, book = _first_book(spark, d)
+    return product.code_lists(product.encoded(rows, book)).select("vec_id", "codes")
 
 
-@query()
+@query(f"{_TRAINED} SELECT vec_id, round(sqrt(sum(list_distance(p, c) ** 2)), 5) AS error FROM a10 JOIN b10 ON b10.s = a10.s AND b10.k = a10.k GROUP BY vec_id")
 def pq_trained_error(spark, d):
-    rows = table(spark, d, "embeddings")
-    book = codec.product_codebook(rows, "vec_id", k=16)
-    out = codec.product_decoded(codec.product_encoded(rows, "vec_id", book), book, 64)
-    return out.select("vec_id", F.sqrt(V.squared_l2(F.col("embedding"), F.col("decoded"))).alias("error"))
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    book = product.trained(rows, "vec_id")
+    out = product.decoded(product.encoded(rows, book, keep_vector=True), book, name="decoded")
+    return out.select("vec_id", F.round(F.sqrt(V.squared_l2(F.col("embedding"), F.col("decoded"))), 5).alias("error"))
+
+
+@query(f"WITH {_SLICES}, {_BOOK}, {_assign(0)}, {_means(0)}, {_assign(1)}, q AS (SELECT vec_id AS query_id, s, p, sqrt(sum(list_dot_product(p, p)) OVER (PARTITION BY vec_id)) AS norm FROM sl WHERE vec_id % 50 = 0), c AS (SELECT vec_id, a1.s, c FROM a1 JOIN b1 ON b1.s = a1.s AND b1.k = a1.k), f AS (SELECT query_id, vec_id, round(sum(list_dot_product(p, c)) / (any_value(norm) * sqrt(sum(list_dot_product(c, c)))), 12) AS f FROM q JOIN c ON c.s = q.s GROUP BY query_id, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, vec_id) AS r FROM f) SELECT query_id, vec_id, round(greatest(f, 0), 6) AS similarity, CAST(r - 1 AS BIGINT) AS rank FROM r WHERE r <= 5")
+def pq_topk(spark, d):
+    """Search over product codes of a byte for eight components, by lookup tables."""
+    rows, book = _first_book(spark, d)
+    book = product.kmeans_step(rows, book)
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _shown(product.search(product.encoded(rows, book), book, asked, query_id="query_id", query_vector="query", limit=5, ties=["vec_id"]), "query_id", "vec_id")
 
 
 @query("SELECT 'sq' AS codec, round(sum(o) / sum(c), 6) AS ratio, round(100 * (1 - sum(c) / sum(o)), 6) AS percent FROM (SELECT 4.0 * len(embedding) AS o, 1.0 * len(embedding) + 128 AS c FROM embeddings)")

@@ -11,6 +11,7 @@ import os
 import subprocess
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from ..functions import text as T
 
 SCHEMA = "path string, size_bytes bigint, last_modified timestamp, is_git_tracked boolean"
 SAMPLE_BYTES, NUL_SHARE = 8000, 0.01
+#: Bytes of contents that a task hands on at once.
+BATCH_BYTES = 8 << 20
+_OPENED = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 
 # The sample texts of the benchmark command are of our own making; it cycles through them.
 SAMPLES = (
@@ -112,25 +116,29 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_files(spark: SparkSession, listing: DataFrame) -> DataFrame:
-    """Contents of a driver-made listing: path, size_bytes, text, encoding, language and counts.
+    """Contents of a listing: path, size_bytes, text, encoding, language, counts, and an error where a file couldn't be read.
 
-    Spark's source passes over empty files and names with a leading dot or underscore; tasks open those themselves.
+    Tasks open the files themselves, so one that can't be read is a row with an error and doesn't end the job; a batch holds
+    about ``BATCH_BYTES``, whatever the listing's length. The paths must be visible to the executors.
     """
-    shown, passed_over = [], []
-    for r in listing.select("path", "size_bytes").collect():
-        (passed_over if not r.size_bytes or Path(r.path).name[0] in "._" else shown).append((r.path, r.size_bytes))
 
     def opened(batches):
         for b in batches:
-            yield b.assign(content=[Path(p).read_bytes() for p in b["path"]])
-
-    schema = "path string, size_bytes bigint, content binary"
-    rows = spark.createDataFrame(passed_over, "path string, size_bytes bigint").mapInPandas(opened, schema)
-    if shown:
-        raw = spark.read.format("binaryFile").load([p for p, _ in shown])
-        path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
-        rows = rows.unionByName(raw.select(path.alias("path"), F.col("length").alias("size_bytes"), "content"))
-    return decoded(rows).withColumn("language", T.language(F.col("path")))
+            rows, held = [], 0
+            for path in b.column("path").to_pylist():
+                try:
+                    content, error = Path(path).read_bytes(), None
+                except OSError as e:
+                    content, error = None, f"read: {e.strerror or type(e).__name__}"
+                rows.append({"path": path, "size_bytes": len(content or b""), "content": content, "error": error})
+                held += len(content or b"")
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _OPENED)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, _OPENED)
+
+    raw = listing.select("path").mapInArrow(opened, "path string, size_bytes bigint, content binary, error string")
+    return decoded(raw).withColumn("language", T.language(F.col("path")))
 
 
 def gguf_version(path: str) -> int:

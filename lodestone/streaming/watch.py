@@ -48,42 +48,37 @@ def debounce(stream: DataFrame, debounce_ms: int = DEBOUNCE_MS, late: str = "10
     return E.debounced(stream.withWatermark("ts", late), f"{debounce_ms} milliseconds")
 
 
-def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[list[str]], DataFrame | None], number: int, visible: Callable[[list[str]], list[str]] | None = None) -> dict[str, int]:
-    """Apply one batch; ``make`` turns paths into indexed chunks (None: none of them could be read).
+def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame | None] | None], number: int, visible: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+    """Apply one batch as a delta of the index; ``make`` turns rows (path) into indexed chunks, and rejects (path, error) if it has
+    any. A path without chunks that isn't rejected is one that failed; its old chunks go.
 
-    Counters: added, updated, removed, failed. A path that fails doesn't stop the batch.
+    ``visible`` keeps those of the rows (path) that may be indexed. Counters: added, updated, removed, failed. The paths stay
+    rows of tables throughout; nothing of the index is rewritten but what merging by size asks for.
     """
     m = store.manifest()
     counts = {"added": 0, "updated": 0, "removed": 0, "failed": 0}
     if number >= 0 and m.batch >= number:
         return counts
-    acts = {r.path: r.action for r in E.last_wins(E.expanded(batch)).select("path", "action").collect()}
+    acts = E.last_wins(E.expanded(batch)).select("path", "action")
+    gone, wanted = acts.where("action = 'deleted'").select("path"), acts.where("action <> 'deleted'").select("path")
     if visible is not None:
-        allowed = set(visible(list(acts)))
-        acts = {p: a for p, a in acts.items() if p in allowed or a == "deleted"}
-    if not acts:
+        wanted = visible(wanted)
+    acts = gone.withColumn("deleted", F.lit(True)).unionByName(wanted.withColumn("deleted", F.lit(False)))
+    if acts.isEmpty():
         return counts
-    spark = store.spark
-    rows = store.load().drop("norm")
-    known = {r.file_path for r in rows.select("file_path").distinct().join(F.broadcast(spark.createDataFrame([(p,) for p in acts], "file_path string")), "file_path").collect()}
-    gone = spark.createDataFrame([(p,) for p in acts], "path string")
-    kept = rows.join(F.broadcast(gone), rows["file_path"] == gone["path"], "left_anti")
-    wanted = [p for p, a in acts.items() if a != "deleted"]
-    made = make(wanted) if wanted else None
-    done = {r.file_path for r in made.select("file_path").distinct().collect()} if made is not None else set()
-    after = kept.unionByName(made) if made is not None else kept
-    times = store.times().join(F.broadcast(gone), "path", "left_anti")
-    if done:
-        times = times.unionByName(spark.createDataFrame([(p,) for p in sorted(done)], "path string").withColumn("mtime", F.current_timestamp()))
-    store.save(after, times, model=m.model, batch=number)
-    counts["removed"] = sum(a == "deleted" and p in known for p, a in acts.items())
-    counts["updated"] = len(done & known)
-    counts["added"] = len(done - known)
-    counts["failed"] = len(set(wanted) - done)
+    # only what the index knows can be deleted
+    gone = acts.where("deleted").select("path").join(store.times().select("path"), "path", "left_semi")
+    wanted = acts.where("not deleted").select("path")
+    made = make(wanted)
+    rows, rejects = made if isinstance(made, tuple) else (made, None)
+    done = rows.select(F.col("file_path").alias("path")).distinct() if rows is not None else None
+    lost = (wanted.join(done, "path", "left_anti") if done is not None else wanted).withColumn("error", F.lit("no chunks"))
+    failed = lost if rejects is None else rejects.select("path", "error").unionByName(lost.join(rejects, "path", "left_anti"))
+    _, counts = store.upsert(rows, wanted.withColumn("mtime", F.current_timestamp()), gone, rejects=failed, batch=number)
     return counts
 
 
-def watch(stream: DataFrame, store: IndexStore, make: Callable[[list[str]], DataFrame | None], checkpoint: str, *, every: str | None = None, seen: list[dict[str, int]] | None = None, visible: Callable[[list[str]], list[str]] | None = None) -> StreamingQuery:
+def watch(stream: DataFrame, store: IndexStore, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame | None] | None], checkpoint: str, *, every: str | None = None, seen: list[dict[str, int]] | None = None, visible: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Start applying ``stream`` to ``store``; without ``every`` it takes what is there and ends."""
 
     def each(batch: DataFrame, number: int) -> None:

@@ -38,14 +38,6 @@ def test_vector_functions(spark):
     assert [V.clamp_threshold(t) for t in (-0.5, 0.4, 1.5)] == [0, 0.4, 1]
 
 
-def test_words_and_offsets(spark):
-    text = "Hello, world! This is a test. don't 3.14 snake_case _ é__"
-    assert one(spark, T.words(F.lit("Hello, world! This is a test."))) == ["Hello", "world", "This", "is", "a", "test"]
-    spans = one(spark, T.token_offsets(F.lit(text)))
-    assert [text[s.start : s.end] for s in spans] == one(spark, T.words(F.lit(text)))
-    assert one(spark, T.words(F.lit(""))) == [] and one(spark, T.token_offsets(F.lit(""))) == []
-
-
 @pytest.mark.parametrize("text,lines", [("", 0), ("a", 1), ("a\n", 1), ("a\nb", 2), ("\n\n", 2)])
 def test_line_count(spark, text, lines):
     assert one(spark, T.line_count(F.lit(text))) == lines
@@ -56,7 +48,6 @@ def test_text_functions(spark):
     assert one(spark, T.preview(F.lit("short"), 10)) == "short"
     assert one(spark, T.location(F.lit("test.rs"), F.lit(1))) == "test.rs:1"
     assert one(spark, T.squeezed(F.lit("  a \n\t b  "))) == "a b"
-    assert one(spark, T.line_at(F.lit("a\nb\nc"), F.lit(4))) == 3
     assert [one(spark, T.format_bytes(F.lit(n))) for n in (0, 512, 1024, 1536, 1 << 20, 1 << 30)] == ["0.0 B", "512.0 B", "1.0 KB", "1.5 KB", "1.0 MB", "1.0 GB"]
     assert [one(spark, T.backoff_ms(F.lit(a), 100, 2, 1000)) for a in range(4)] == [0, 100, 200, 400]
     assert one(spark, T.backoff_ms(F.lit(9), 100, 2, 250)) == 250

@@ -116,24 +116,18 @@ def test_codecs(spark):
     df = spark.createDataFrame(rows, "id int, embedding array<float>")
     back = codec.scalar_decoded(codec.scalar_encoded(df)).collect()
     assert max(abs(x - y) for r in back for x, y in zip(r.embedding, r.decoded)) < 2 / 255
-    book = codec.product_codebook(df, "id", k=8, iterations=3)
-    assert len(book) == 2 and all(len(b) == 8 for b in book)
-    out = codec.product_decoded(codec.product_encoded(df, "id", book), book, 16).collect()
-    for r in out:
-        for s, c in enumerate(r.codes):
-            part = r.embedding[s * 8 : s * 8 + 8]
-            d = [sum((x - y) ** 2 for x, y in zip(part, b)) for b in book[s]]
-            assert d[c] == pytest.approx(min(d))
-            assert r.decoded[s * 8 : s * 8 + 8] == pytest.approx(book[s][c])
+    for name, off in (("none", 1e-7), ("scalar", 2 / 255), ("learned", 2 / 255), ("product", 2)):
+        coded, about = codec.encoded(df.unionByName(spark.createDataFrame([], df.schema)), name, "id", k=16)
+        assert coded.columns == ["id", "codes"] and {r.id: len(r.codes) for r in coded.collect()}[3] == {"none": 64, "product": 2}.get(name, 16)
+        held = {r.id: r.embedding for r in codec.decoded(coded, about).collect()}
+        assert len(held) == 40 and max(abs(x - y) for i, v in rows for x, y in zip(v, held[i])) < off
+    odd = spark.createDataFrame([(0, None), (1, []), (2, [1.5, -2.0])], "id int, embedding array<float>")
+    coded, about = codec.encoded(odd, "none", "id")
+    assert {r.id: r.embedding for r in codec.decoded(coded, about).collect()} == {0: None, 1: [], 2: [1.5, -2.0]}
     r = codec.value_range(df.limit(0)).first()
     assert (r.low, r.high) == (float("inf"), float("-inf"))
-
-
-def test_kmeans_step_keeps_empty_clusters_at_zero(spark):
-    df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0])], "id int, embedding array<float>")
-    parts = codec.subvectors(df, "id", width=2)
-    assert codec.kmeans_step(parts, [[[0.0, 0.0], [1.0, 1.0], [9.0, 9.0]]]) == [[[0, 0], [1, 1], [0, 0]]]
-    assert codec.initial_codebook(parts, "id", 256) == [[[0, 0], [1, 1]]]
+    with pytest.raises(ValueError):
+        codec.encoded(df, "zip", "id")
 
 
 def test_diffs(spark):

@@ -103,18 +103,16 @@ def test_mixed_dimensions_and_format(spark, tmp_path):
     store.save(rows.limit(1))
     p = tmp_path / "i" / "manifest.json"
     (tmp_path / "i" / ".manifest.json.crc").unlink(missing_ok=True)
-    p.write_text(p.read_text().replace('"1.0.0"', '"0.9"'))
+    p.write_text(p.read_text().replace('"2.0.0"', '"0.9"'))
     with pytest.raises(StoreError):
         store.manifest()
 
 
 def make(spark, known):
+    texts = spark.createDataFrame(sorted(known.items()), "file_path string, content string")
+
     def f(paths):
-        rows = [(p, 0, known[p], EMBED) for p in paths if p in known]
-        if not rows:
-            return None
-        df = spark.createDataFrame([(p, t) for p, _, t, _ in rows], "file_path string, content string")
-        return embedding.embedded(df, EMBED)
+        return embedding.embedded(texts.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi"), EMBED)
 
     return f
 
