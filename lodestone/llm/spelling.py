@@ -69,18 +69,19 @@ def _value(letter: Column) -> Column:
 
 
 def _keyed(vocabulary: DataFrame) -> DataFrame:
-    """word, n, key (the word's own) and for each letter less (the key without it) and whether it starts a run of one letter."""
-    letters = vocabulary.select("word", "n", F.split("word", "").alias("letters"))
-    key = F.aggregate(F.transform("letters", _value), F.lit(0).cast("bigint"), lambda a, x: (a + x) % RING)
-    keyed = letters.withColumn("key", key)
-    less = F.transform("letters", lambda x, i: F.struct(F.pmod(F.col("key") - _value(x), F.lit(RING)).alias("less"), ((i == 0) | (x != F.get("letters", i - 1))).alias("starts")))
-    return keyed.select("word", "n", "key", less.alias("each"))
+    """word, n, values (of its letters) and key (their sum)."""
+    valued = vocabulary.select("word", "n", F.transform(F.split("word", ""), _value).alias("values"))
+    return valued.withColumn("key", F.aggregate("values", F.lit(0).cast("bigint"), lambda a, x: (a + x) % RING))
+
+
+def _less(key: Column, value: Column) -> Column:
+    return F.pmod(key - value, F.lit(RING))
 
 
 def _meeting(keyed: DataFrame) -> DataFrame:
     """key: those that at least two words are listed under, a word once under each."""
-    listed = F.array_distinct(F.concat(F.array("key"), F.transform("each", lambda x: x["less"])))
-    return keyed.select(F.explode(listed).alias("key")).groupBy("key").agg(F.count("*").alias("words")).where("words > 1").select("key")
+    listed = keyed.select("key", F.explode(F.array_append(F.array_distinct("values"), F.lit(0).cast("bigint"))).alias("value"))
+    return listed.groupBy(_less(F.col("key"), F.col("value")).alias("key")).agg(F.count("*").alias("words")).where("words > 1").select("key")
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
@@ -88,7 +89,9 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     keyed = _keyed(vocabulary)
     meeting = stored(_meeting(keyed), "meeting")
     may_meet = sieve(meeting.select(F.xxhash64("key")), meeting.count())
-    places = keyed.select("word", "n", F.posexplode("each").alias("at", "x")).select("word", "n", "at", "x.less", "x.starts")
+    # a letter's value is exploded before the key is reduced by it, so that the key is summed up once for each word
+    marked = F.transform("values", lambda v, i: F.struct(v.alias("value"), ((i == 0) | (v != F.get("values", i - 1))).alias("starts")))
+    places = keyed.select("word", "n", "key", F.posexplode(marked).alias("at", "x")).select("word", "n", "at", _less(F.col("key"), F.col("x.value")).alias("less"), "x.starts")
     rest = F.concat(F.left("word", F.col("at")), F.substr("word", F.col("at") + 2, F.char_length("word")))
     some = places.where(may_meet(F.xxhash64("less"))).select("less", rest.alias("rest"), "at", "starts", "word", "n")
     best = F.struct((-F.col("n")).alias("minus_n"), "word")
