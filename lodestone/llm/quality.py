@@ -137,8 +137,8 @@ def _estimate(centre: np.ndarray, cov: np.ndarray, scale: float) -> dict:
     return {"centre": [float(c) for c in centre], "inverse": [float(inverse[i, j] * (2 - (i == j))) for i, j in _PAIRS], "det": float(np.linalg.slogdet(full)[1])}
 
 
-_ESTIMATE = "unit bigint, start int, centre array<double>, inverse array<double>, det double"
-_ARROW = pa.schema([("unit", pa.int64()), ("start", pa.int32()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("det", pa.float64())])
+_ESTIMATE = "unit bigint, start int, fell boolean, centre array<double>, inverse array<double>, det double"
+_ARROW = pa.schema([("unit", pa.int64()), ("start", pa.int32()), ("fell", pa.bool_()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("det", pa.float64())])
 
 
 def _weighted_median(values: np.ndarray, n: np.ndarray) -> float:
@@ -173,12 +173,12 @@ def _moments(row: list[dict]) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _next(within: float | None) -> callable:
-    """The next estimate of each unit and start from its bins: those that first reach the share, or those within a distance."""
+    """The next estimate of each unit and start from its bins: those that first reach the share, or those within a distance; and whether the determinant fell."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for unit, start, centre, cells in zip(*(batch.column(c).to_pylist() for c in ("unit", "start", "centre", "cells"))):
+            for unit, start, centre, before, cells in zip(*(batch.column(c).to_pylist() for c in ("unit", "start", "centre", "det", "cells"))):
                 cells.sort(key=lambda c: c["bin"])
                 total, seen, k = sum(c["n"] for c in cells), 0, 0
                 if within is None:
@@ -188,7 +188,8 @@ def _next(within: float | None) -> callable:
                 else:
                     k = max(1, sum(c["bin"] <= math.floor(BINS * math.log2(within)) for c in cells))
                 n, moved, cov = _moments(cells[:k])
-                out.append({"unit": unit, "start": start} | _estimate(np.rint(centre) + moved, cov, _consistent(min(n / total, 0.975))))
+                made = _estimate(np.rint(centre) + moved, cov, _consistent(min(n / total, 0.975)))
+                out.append({"unit": unit, "start": start, "fell": made["det"] < before - 1e-6} | made)
             yield pa.RecordBatch.from_pylist(out, _ARROW)
 
     return step
@@ -203,7 +204,7 @@ def _plain(squashed: bool) -> callable:
             for unit, centre, spread, cell in zip(*(batch.column(c).to_pylist() for c in ("unit", "centre", "spread", "cell"))):
                 _, mean, cov = _moments([cell])
                 scale = np.array(spread) / UNIT if squashed else np.ones(DIMS)
-                out.append({"unit": unit, "start": 1 if squashed else 2} | _estimate(np.rint(centre) + mean * scale, cov * np.outer(scale, scale), 1.0))
+                out.append({"unit": unit, "start": 1 if squashed else 2, "fell": True} | _estimate(np.rint(centre) + mean * scale, cov * np.outer(scale, scale), 1.0))
             yield pa.RecordBatch.from_pylist(out, _ARROW)
 
     return start
@@ -240,7 +241,7 @@ def fitted(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         totals = joined.select("unit", *(o.alias(f"o{i}") for i, o in enumerate(of))).groupBy("unit").agg(*_sums([F.col(f"o{i}") for i in range(DIMS)]))
         cell = first.join(totals.hint("merge"), "unit").select("unit", "centre", "spread", F.struct(*(c for c in totals.columns if c != "unit")).alias("cell"))
         begin.append(arrow(cell, _plain(kind), _ESTIMATE))
-    median = first.select("unit", F.lit(0).alias("start"), "centre", F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _PAIRS)), lambda p: F.when(p["i"] == p["j"], 1 / F.pow(F.get("spread", p["i"]), 2)).otherwise(0.0)).alias("inverse"), F.lit(float("inf")).alias("det"))
+    median = first.select("unit", F.lit(0).alias("start"), F.lit(True).alias("fell"), "centre", F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _PAIRS)), lambda p: F.when(p["i"] == p["j"], 1 / F.pow(F.get("spread", p["i"]), 2)).otherwise(0.0)).alias("inverse"), F.lit(float("inf")).alias("det"))
     now = stored(median.unionByName(begin[0]).unionByName(begin[1]), "starts")
 
     def stepped(now: DataFrame, within: float | None) -> DataFrame:
@@ -250,12 +251,11 @@ def fitted(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         placed = placed.select("unit", "start", F.least(F.floor(BINS * F.log2(d)), F.lit(BINS * HIGH)).cast("int").alias("bin"), *((F.col(x) - F.rint(F.get("centre", F.lit(i)))).cast("bigint").alias(f"o{i}") for i, x in enumerate(names)))
         bins = placed.groupBy("unit", "start", "bin").agg(*_sums([F.col(f"o{i}") for i in range(DIMS)]))
         cells = bins.groupBy("unit", "start").agg(F.collect_list(F.struct("bin", *(c for c in bins.columns if c not in ("unit", "start", "bin")))).alias("cells"))
-        return stored(arrow(cells.join(now.select("unit", "start", "centre").hint("merge"), ["unit", "start"]), _next(within), _ESTIMATE), "estimates")
+        return stored(arrow(cells.join(now.select("unit", "start", "centre", "det").hint("merge"), ["unit", "start"]), _next(within), _ESTIMATE), "estimates")
 
     for _ in range(steps):
         after = stepped(now, None)
-        fell = after.join(now.select("unit", "start", F.col("det").alias("before")), ["unit", "start"]).where("det < before - 1e-6")
-        done = fell.isEmpty()
+        done = after.where("fell").isEmpty()
         drop_stored(now)
         now = after
         if done:
@@ -264,7 +264,7 @@ def fitted(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     out = stepped(stored(best.select("unit", "start", "centre", "inverse", "det"), "best"), WITHIN)
     for x in (first, now):
         drop_stored(x)
-    return out.drop("start")
+    return out.drop("start", "fell")
 
 
 def judged(docs: DataFrame, *, cut: float = CUT, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", **columns: str) -> DataFrame:
