@@ -30,9 +30,11 @@ def normalize_glob(pattern: str) -> str:
         out = out.replace("//", "/")
     if len(out) > 1:
         out = out.removesuffix("/")
-    while "**/**/" in out:
-        out = out.replace("**/**/", "**/")
-    return out.replace("**/*/**", "**/**")
+    while "**/**" in out:
+        out = out.replace("**/**", "**")
+    while "**/*/**" in out:
+        out = out.replace("**/*/**", "**/**")
+    return out
 
 
 def _escape(c: str) -> str:

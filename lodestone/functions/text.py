@@ -55,6 +55,13 @@ def preview(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 
 
+def cut_bytes(text: Column, n: int) -> Column:
+    """At most the first ``n`` bytes of UTF-8; a character that would be cut in two is left out."""
+    raw = F.encode(text, "UTF-8")
+    ends = [F.substring(raw, 1, max(0, n - k)).cast("string") for k in range(4)]
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.coalesce(*(F.when(F.is_valid_utf8(e), e) for e in ends)))
+
+
 def location(path: Column, line: Column) -> Column:
     return F.concat_ws(":", path, line.cast("string"))
 

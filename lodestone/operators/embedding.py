@@ -45,10 +45,15 @@ def embed_single(text: Column, embed: Callable[[Column], Column], dimensions: in
     return F.when(text == "", F.array_repeat(F.lit(0.0), dimensions)).otherwise(embed(text))
 
 
-def embed_with_options(text: Column, embed: Callable[[Column], Column], max_length: int | None = None, instruction: str | None = None) -> Column:
-    """Cut to ``max_length`` code points, then instructed, then embedded."""
-    cut = F.left(text, F.lit(max_length)) if max_length else text
-    return embed(T.instructed(F.lit(instruction), cut) if instruction else cut)
+def embed_with_options(text: Column, embed: Callable[[Column], Column], max_length: int | None = None, instruction: str | None = None, model: str | None = None) -> Column:
+    """Cut to ``max_length`` bytes, then instructed, if the model takes instructions, then embedded."""
+    cut = T.cut_bytes(text, max_length) if max_length else text
+    return embed(T.instructed(F.lit(instruction), cut) if instruction and model and "qwen3" in model.lower() else cut)
+
+
+def placeholder_error(text: Column, context: int = CONTEXT) -> Column:
+    """Why the placeholder has no vector for a text; null where it has one."""
+    return F.when(F.coalesce(F.octet_length(text), F.lit(0)) == 0, "the text is empty").when(F.octet_length(text) > 4 * context, F.concat(F.lit("the text has "), F.octet_length(text).cast("string"), F.lit(f" bytes, more than {4 * context}")))
 
 
 def model_udf(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[Column], Column]:
@@ -87,10 +92,14 @@ def embedded(rows: DataFrame, embed: Callable[[Column], Column], text: str = "co
 
 
 def embedded_once(rows: DataFrame, embed: Callable[[Column], Column], text: str = "content", name: str = "embedding") -> DataFrame:
-    """Each distinct text is embedded once and joined back; worth it where the model costs more than a shuffle."""
-    distinct = rows.select(F.col(text).alias("_t")).distinct()
-    vectors = distinct.withColumn(name, embed(F.col("_t")).cast("array<float>"))
-    return rows.join(vectors, rows[text].eqNullSafe(vectors["_t"]), "left").drop("_t")
+    """Each distinct text is embedded once and joined back; worth it where the model costs more than a shuffle.
+
+    Rows are joined by their text's SHA-256, one vector for each: a common text's rows are split by the adaptive skew join.
+    """
+    keyed = rows.withColumn("_d", F.sha2(F.col(text).cast("binary"), 256))
+    distinct = keyed.groupBy(F.col("_d").alias("_k")).agg(F.first(text).alias("_t"))
+    vectors = distinct.select("_k", embed(F.col("_t")).cast("array<float>").alias(name))
+    return keyed.join(vectors, F.col("_d").eqNullSafe(F.col("_k")), "left").drop("_d", "_k")
 
 
 def batch_size_of(average_bytes: Column, base: int, memory_gb: float | None = None) -> Column:

@@ -201,9 +201,9 @@ def search(rows: DataFrame, codebook: Codebook, queries: DataFrame, *, query_id:
     lengths = [(b * b).sum(axis=1) for b in books]
     shared = rows.sparkSession.sparkContext.broadcast((tables, lengths))
 
-    def score(column: pa.Array) -> np.ndarray:
+    def score(part: pa.RecordBatch) -> np.ndarray:
         t, n = shared.value
-        c = _bytes(column, len(t))
+        c = _bytes(part.column(codes), len(t))
         with np.errstate(all="ignore"):
             found = sum(t[s][:, c[:, s]] for s in range(len(t))).T / np.sqrt(sum(n[s][c[:, s]] for s in range(len(t))))[:, None]
         return np.where(np.isfinite(found), found, 0.0)

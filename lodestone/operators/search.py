@@ -82,10 +82,10 @@ def search(index: DataFrame, query: Sequence[float], request: SearchRequest = Se
         rows = rows.where(G.has_extension(F.col(path), request.filetype))
     if path and request.glob is not None:
         rows = rows.where(G.matches(F.col(path), request.glob))
-    rows = rows.withColumn("similarity", V.cosine_with(F.col(vector), query, F.col(norm) if norm else None)).drop(vector)
-    if request.threshold is not None:
-        rows = rows.where(F.col("similarity") >= request.threshold)
-    return ranked(rows, request.limit, *ties)
+    score = _by_norms(query, vector, norm) if norm else _scorer({len(query): (np.zeros(1, np.int64), _units([query]))}, vector, 1)
+    keep = [c for c in rows.columns if c != vector]
+    best = _best_of_tasks(rows, score, [vector], keep, 1, request.limit, request.threshold, ties, DIGITS)
+    return ranked(best.drop("query_number"), request.limit, *ties)
 
 
 def filter_results(results: DataFrame, *, path: str, glob: str | None = None, ext: str | None = None) -> DataFrame:
@@ -129,13 +129,10 @@ def asked_queries(queries: DataFrame, query_id: str, query_vector: str) -> list[
     return [tuple(r) for r in asked]
 
 
-def best_of_batches(index: DataFrame, score: Callable[[pa.Array], np.ndarray], scored: str, asked: list[tuple], id_field: StructField, *, limit: int, threshold: float | None, ties: Sequence[str], digits: int = DIGITS) -> DataFrame:
-    """The best rows for each query, where ``score`` gives (rows, queries) of the column ``scored`` of a batch.
-
-    A task hands on ``limit`` rows for each query, whatever it has read. Similarities are compared at ``digits`` decimals.
-    """
-    keep = [c for c in index.columns if c != scored]
-    n_queries, ties = len(asked), list(ties)
+def _best_of_tasks(index: DataFrame, score: Callable[[pa.RecordBatch], np.ndarray], scored: list[str], keep: list[str], n_queries: int, limit: int, threshold: float | None, ties: Sequence[str], digits: int) -> DataFrame:
+    """``keep``, query_number and similarity: each task's ``limit`` best rows for each query, whatever it has read; ``score`` gives
+    (rows, queries) of a batch that has ``keep`` and ``scored``."""
+    ties = list(ties)
 
     def nearest(batches):
         held: list[tuple[pa.Table, np.ndarray, np.ndarray]] = []
@@ -149,7 +146,7 @@ def best_of_batches(index: DataFrame, score: Callable[[pa.Array], np.ndarray], s
         for b in batches:
             for first in range(0, b.num_rows, step):
                 part = b.slice(first, step)
-                s = np.round(score(part.column(scored)), digits)
+                s = np.round(score(part), digits)
                 least = np.partition(s, len(s) - limit, axis=0)[len(s) - limit] if len(s) > limit else np.full(n_queries, -np.inf)
                 if threshold is not None:
                     least = np.maximum(least, threshold)
@@ -162,24 +159,57 @@ def best_of_batches(index: DataFrame, score: Callable[[pa.Array], np.ndarray], s
                 yield batch
 
     types = StructType([*index.select(keep).schema.fields, *StructType.fromDDL("query_number int, similarity double").fields])
-    best = index.select(*keep, scored).mapInArrow(nearest, types)
+    return index.select(*keep, *(c for c in scored if c not in keep)).mapInArrow(nearest, types)
+
+
+def best_of_batches(index: DataFrame, score: Callable[[pa.RecordBatch], np.ndarray], scored: str, asked: list[tuple], id_field: StructField, *, limit: int, threshold: float | None, ties: Sequence[str], digits: int = DIGITS) -> DataFrame:
+    """The best rows for each query, where ``score`` gives (rows, queries) of a batch; the column ``scored`` is for it alone.
+
+    A task hands on ``limit`` rows for each query, whatever it has read. Similarities are compared at ``digits`` decimals.
+    """
+    best = _best_of_tasks(index, score, [scored], [c for c in index.columns if c != scored], len(asked), limit, threshold, ties, digits)
     order = Window.partitionBy("query_number").orderBy(F.desc("similarity"), *map(F.asc, ties))
     top = best.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where(F.col("rank") < limit)
     names = index.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(asked)], StructType([*StructType.fromDDL("query_number int").fields, id_field]))
     return top.join(F.broadcast(names), "query_number").drop("query_number").withColumn("similarity", V.clamped_score(F.col("similarity")))
 
 
+def _units(vectors: Sequence[Sequence[float]]) -> np.ndarray:
+    own = np.array([list(v) for v in vectors], np.float64).reshape(len(vectors), -1)
+    with np.errstate(all="ignore"):
+        return own / np.sqrt((own * own).sum(axis=1))[:, None]
+
+
+def _scorer(matrices: dict[int, tuple[np.ndarray, np.ndarray]], vector: str, n_queries: int) -> Callable[[pa.RecordBatch], np.ndarray]:
+    return lambda part: _similarities(part.column(vector), matrices, n_queries)
+
+
+def _by_norms(query: Sequence[float], vector: str, norm: str) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Scores of one query by the rows' stored norms: a product with the query and a division."""
+    unit = _units([query])[0]
+
+    def score(part: pa.RecordBatch) -> np.ndarray:
+        vectors, out = part.column(vector), np.zeros((part.num_rows, 1))
+        rows = np.flatnonzero(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False) == len(unit))
+        norms = pc.fill_null(part.column(norm), 0.0).to_numpy(zero_copy_only=False)[rows]
+        own = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), len(unit))
+        with np.errstate(all="ignore"):
+            found = own @ unit / norms
+        out[rows, 0] = np.where(np.isfinite(found), found, 0.0)
+        return out
+
+    return score
+
+
 def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_vector: str, vector: str = "embedding", limit: int = LIMIT, threshold: float | None = None, ties: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
     """Top rows for each of a bounded table of queries, by products of each batch of vectors with the matrix of queries."""
     asked = asked_queries(queries, query_id, query_vector)
     matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(v or ()) for _, v in asked}:
         who = [i for i, (_, v) in enumerate(asked) if len(v or ()) == size]
-        own = np.array([list(asked[i][1] or ()) for i in who], np.float64).reshape(len(who), size)
-        with np.errstate(all="ignore"):
-            matrices[size] = np.array(who), own / np.sqrt((own * own).sum(axis=1))[:, None]
+        matrices[size] = np.array(who), _units([asked[i][1] or () for i in who])
     shared, n_queries = index.sparkSession.sparkContext.broadcast(matrices), len(asked)
-    score = lambda column: _similarities(column, shared.value, n_queries)
+    score = lambda part: _similarities(part.column(vector), shared.value, n_queries)
     return best_of_batches(index, score, vector, asked, queries.schema[query_id], limit=limit, threshold=threshold, ties=ties, digits=digits)
 
 

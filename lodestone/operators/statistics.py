@@ -30,10 +30,10 @@ def indexing_stats(files: DataFrame, most_files: int = 10_000_000, most_chunks:
     return files.agg(n.alias("files"), bad.alias("failed"), F.coalesce(F.sum(F.least("chunks", F.lit(most_chunks))), F.lit(0)).alias("chunks")).withColumn("success_rate", success_rate(F.col("files") - F.col("failed"), F.col("failed")))
 
 
-def parallel_stats(files: DataFrame, *, failed: str = "failed", ms: str = "ms") -> DataFrame:
-    """Files, failures and the mean milliseconds of a file that didn't fail (0 of none)."""
+def parallel_stats(files: DataFrame, *by: str, failed: str = "failed", ms: str = "ms") -> DataFrame:
+    """By some columns, or of all: files, failures and the mean milliseconds of a file that didn't fail (0 of none)."""
     bad = F.count_if(F.col(failed))
-    return files.agg(F.count("*").alias("files"), bad.alias("failed"), (F.count("*") - bad).alias("successful"), F.coalesce(F.avg(F.when(~F.col(failed), F.col(ms))), F.lit(0.0)).alias("average_ms"))
+    return files.groupBy(*by).agg(F.count("*").alias("files"), bad.alias("failed"), (F.count("*") - bad).alias("successful"), F.coalesce(F.avg(F.when(~F.col(failed), F.col(ms))), F.lit(0.0)).alias("average_ms"))
 
 
 def file_times(rows: DataFrame, path: str, mtime: str) -> DataFrame:

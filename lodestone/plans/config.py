@@ -25,11 +25,7 @@ class DiscoveryError(LodestoneError):
     pass
 
 
-class EmbeddingError(LodestoneError):
-    pass
-
-
-class SearchError(LodestoneError):
+class IndexingError(LodestoneError):
     pass
 
 
@@ -154,31 +150,3 @@ class Retry:
 
 # Tries and first delay by kind of work.
 RETRIES = {"network": Retry(3, 0.5), "file": Retry(2, 0.1), "download": Retry(5, 1.0)}
-
-
-def resources(memory_gb: float, cores: int, large: bool = False) -> tuple[int, int]:
-    """Workers and batch size by machine."""
-    workers, batch = (4 * cores, 128) if memory_gb >= 16 else (2 * cores, 64) if memory_gb >= 8 else (cores, 32)
-    return (2 * workers, 2 * batch) if large else (workers, batch)
-
-
-def is_large_model(m: Model) -> bool:
-    return m.size_bytes > 1_000_000_000
-
-
-class Running:
-    """Running count, total, mean and peak of a metric."""
-
-    def __init__(self):
-        self.n, self.total, self.peak = 0, 0.0, 0.0
-
-    def add(self, value: float, n: int = 1) -> None:
-        self.n, self.total, self.peak = self.n + n, self.total + value, max(self.peak, value)
-
-    @property
-    def mean(self) -> float:
-        return self.total / self.n if self.n else 0.0
-
-
-def fill_ratio(entries: int, capacity: int) -> float:
-    return entries / capacity if capacity else 0.0

@@ -20,8 +20,9 @@ from ..operators.statistics import benchmark_means
 from ..sources import output
 from ..sources.files import discover, load_config, sample_texts
 from ..sources.index_store import IndexStore
-from .config import MODELS, Settings, merged
-from .pipeline import ask, build, update
+from ..sources.vector_cache import VectorCache
+from .config import MODELS, ConfigError, DiscoveryError, Settings, merged, model
+from .pipeline import ask, build, fresh_content, update
 
 MOST_LINE, PER_MINUTE, BURST = 1 << 20, 60, 10
 CONFIG_FILES = (".lodestone.yml", ".lodestone.yaml", ".lodestone.json")
@@ -200,7 +201,10 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--filetype")
             c.add_argument("--filter")
             c.add_argument("--json", action="store_true")
-    sub.add_parser("models")
+    c = sub.add_parser("models")
+    c.add_argument("--info", metavar="NAME")
+    c.add_argument("--clear", metavar="NAME", help="forget the vectors of a model that an index keeps")
+    c.add_argument("--index")
     b = sub.add_parser("benchmark")
     b.add_argument("--backend", action="append", default=None)
     b.add_argument("--texts", type=int, default=100)
@@ -208,20 +212,32 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--iterations", type=int, default=3)
     b.add_argument("--format", choices=("table", "json", "csv"), default="table")
     a = p.parse_args(argv)
-    if a.command == "models":
-        for m in MODELS.values():
-            print(f"{m.name}\t{m.dimensions}\t{m.backend}\t{m.description}")
+    if a.command == "models" and not a.clear:
+        for m in [model(a.info)] if a.info else MODELS.values():
+            print(f"{m.name}\t{m.dimensions}\t{m.backend}\t{m.description}" + (f"\t{m.size_bytes}" if a.info else ""))
         return 0
+    if a.command == "models" and not a.index:
+        raise ConfigError("--clear needs --index")
+    # what can be told without a session is told before one starts
+    if getattr(a, "path", None) is not None and not os.path.isdir(a.path):
+        raise DiscoveryError(f"no folder {a.path}")
+    if getattr(a, "threshold", None) is not None and not 0 <= a.threshold <= 1:
+        raise ConfigError("the threshold must be from 0 to 1")
+    if a.command == "search":
+        search.validate_query(a.query)
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
+    if a.command == "models":
+        VectorCache(spark, a.index, a.clear).clear()
+        return 0
     if a.command == "benchmark":
         print(benchmark(spark, a.backend or ["mock"], a.texts, a.iterations, a.file, a.format))
         return 0
     settings = settings_for(a.path, a)
     store = IndexStore(spark, a.index or f"{a.path.rstrip('/')}/{settings.index_dir}")
     if a.command == "list":
-        for r in discover(spark, a.path, settings.max_file_bytes, settings.include_untracked, leave=store.root).orderBy("path").toLocalIterator():
+        for r in discover(spark, a.path, settings.max_file_bytes, settings.include_untracked, leave=store.root, respect_gitignore=settings.respect_gitignore).orderBy("path").toLocalIterator():
             print(f"{r.size_bytes}\t{r.path}")
         return 0
     if a.command == "index":
@@ -233,6 +249,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         hits = ask(store, a.query, search.SearchRequest(settings.limit, a.threshold))  # min_similarity is the service's default
         hits = search.filter_results(hits, path="file_path", glob=a.filter, ext=a.filetype)
+        hits = fresh_content(hits) if settings.rehydrate else hits
         rows = (output.json_lines(hits) if a.json else output.text_lines(hits)).collect()
         print("\n".join(r.value for r in rows) if rows or a.json else "\n".join(output.no_result_hints(a.query)))
     return 0

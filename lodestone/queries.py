@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import glob as G
@@ -97,6 +97,16 @@ def l2_normalize(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform(V.l2_normalized(F.col("embedding")), lambda x: F.round(x, 8)).alias("unit"))
 
 
+@query("SELECT vec_id, list_transform(range(1, 9), lambda j: round(coalesce(list_avg(list_transform(list_filter(range(8), lambda s: embedding[s * 8 + 1] > 0), lambda s: embedding[s * 8 + j]::DOUBLE)), 0.0), 8)) AS pooled FROM embeddings")
+def mean_pool(spark, d):
+    """Each vector as eight token vectors, of which those with a positive first component count."""
+    v = F.col("embedding")
+    slices = F.sequence(F.lit(0), F.lit(7))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform(slices, lambda s: F.slice(v, s * 8 + 1, F.lit(8))).alias("tokens"))
+    rows = rows.withColumn("mask", F.transform("tokens", lambda t: F.when(F.get(t, F.lit(0)) > 0, 1.0).otherwise(0.0)))
+    return rows.select("vec_id", F.transform(V.mean_pooled(F.col("tokens"), F.col("mask")), lambda x: F.round(x, 8)).alias("pooled"))
+
+
 def _path_filter(name: str, sql: str, test):
     def f(spark, d):
         return files(spark, d).where(test(F.col("path"))).select("doc_id", "path")
@@ -436,22 +446,33 @@ def events_batches(spark, d):
     return events.batches(watch_events(spark, d)).select("user_id", F.col("batch").cast("bigint"), "seq")
 
 
-def _update_batches(spark, d):
-    e = table(spark, d, "events")
-    n = lambda t: F.count(F.when(F.col("event_type") == t, 1))
-    return e.groupBy(F.floor(F.col("event_id") / 100).alias("batch")).agg(F.count("*").alias("processed"), n("signup").alias("added"), n("click").alias("updated"), n("view").alias("removed"), n("purchase").alias("chunks_added"), n("view").alias("chunks_removed"), n("error").alias("failed"))
+_RUN = f"(SELECT k, f.path, lang, {EXT.replace('path', 'f.path')} AS ext, coalesce(n, 0) AS n FROM (SELECT 'a' AS k, path FROM ({_ADDED}) UNION ALL SELECT 'u', path FROM ({_CHANGED}) UNION ALL SELECT 'r', path FROM ({_REMOVED})) r JOIN {FILES} f ON f.path = r.path LEFT JOIN (SELECT path, count(*) AS n FROM {_chunk_sql(300, 50, 100)} GROUP BY path) c ON c.path = f.path)"
+
+
+def _update_run(spark, d):
+    """What an update of one listing to the other does, by file: kind (a, u, r), lang, language and chunks."""
+    old, new = _listings(spark, d)
+    kinds = [x.select("path", F.lit(k).alias("k")) for k, x in (("a", diff.added(old, new)), ("u", diff.changed(old, new)), ("r", diff.removed(old, new)))]
+    sizes = chunk_counts(files(spark, d)).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))
+    known = files(spark, d).select("path", "lang", T.language(F.col("path")).alias("language"))
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).join(known, "path").join(sizes, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("SELECT p AS processed, a AS added, u AS updated, r AS removed, ca AS chunks_added, r AS chunks_removed, f AS failed, round(100.0 * (p - f) / p, 9) AS success_rate FROM (SELECT count(*) AS p, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'click') AS u, count(*) FILTER (event_type = 'view') AS r, count(*) FILTER (event_type = 'purchase') AS ca, count(*) FILTER (event_type = 'error') AS f FROM events)")
+@query(f"SELECT p AS processed, a AS added, u AS updated, r AS removed, ca AS chunks_added, cr AS chunks_removed, f AS failed, round(100.0 * (p - f) / p, 9) AS success_rate FROM (SELECT count(*) AS p, count(*) FILTER (k = 'a') AS a, count(*) FILTER (k = 'u') AS u, count(*) FILTER (k = 'r') AS r, CAST(coalesce(sum(n) FILTER (k <> 'r'), 0) AS BIGINT) AS ca, CAST(coalesce(sum(n) FILTER (k = 'r'), 0) AS BIGINT) AS cr, count(*) FILTER (ext = '') AS f FROM {_RUN})")
 def incremental_stats(spark, d):
-    out = statistics.incremental_stats(_update_batches(spark, d))
-    return out.withColumn("success_rate", F.round("success_rate", 9))
+    """An update in batches, one for each language; a file of no known kind counts as failed."""
+    n = lambda c: F.count_if(c)
+    k, chunk = F.col("k"), lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    run = _update_run(spark, d).groupBy("lang").agg(F.count("*").alias("processed"), n(k == "a").alias("added"), n(k == "u").alias("updated"), n(k == "r").alias("removed"), chunk(k != "r").alias("chunks_added"), chunk(k == "r").alias("chunks_removed"), n(F.col("language").isNull()).alias("failed"))
+    return statistics.incremental_stats(run).withColumn("success_rate", F.round("success_rate", 9))
 
 
-@query("SELECT count(*) AS files, count(*) FILTER (event_type = 'error') AS failed, CAST(sum(least(event_id % 1000, 500)) AS BIGINT) AS chunks, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 9) AS success_rate FROM events")
+@query(f"SELECT count(*) AS files, count(*) FILTER (n = 0) AS failed, CAST(sum(least(n, 5)) AS BIGINT) AS chunks, round(100.0 * count(*) FILTER (n > 0) / count(*), 9) AS success_rate FROM (SELECT f.path, count(c.id) AS n FROM {FILES} f LEFT JOIN {_chunk_sql(300, 50, 100)} c ON c.path = f.path GROUP BY f.path)")
 def indexing_stats(spark, d):
-    rows = table(spark, d, "events").select((F.col("event_id") % 1000).alias("chunks"), (F.col("event_type") == "error").alias("failed"))
-    return statistics.indexing_stats(rows, most_chunks=500).withColumn("success_rate", F.round("success_rate", 9))
+    """The chunks of each file, counted up to five; a file without any counts as failed."""
+    sizes = chunk_counts(files(spark, d)).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"))
+    rows = files(spark, d).select("path").join(sizes, "path", "left").select(F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("chunks").isNull().alias("failed"))
+    return statistics.indexing_stats(rows, most_chunks=5).withColumn("success_rate", F.round("success_rate", 9))
 
 
 @query("SELECT event_type, round(100.0 * count(*) FILTER (value > 50) / count(*), 9) AS success_rate FROM events GROUP BY event_type")
@@ -460,20 +481,26 @@ def success_rate(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(statistics.success_rate(good, F.count("*") - good), 9).alias("success_rate"))
 
 
-@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice, round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) AS l_tax FROM lineitem GROUP BY l_returnflag")
+@query(f"SELECT source, round(avg(words), 6) AS words, round(avg(chars), 6) AS chars, round(avg(bytes), 6) AS bytes FROM (SELECT source, len({WORDS}) AS words, length(text) AS chars, strlen(text) AS bytes FROM documents) GROUP BY source")
 def benchmark_average(spark, d):
-    out = statistics.benchmark_means(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return out.select("l_returnflag", *(F.round(c, 4 if c == "l_extendedprice" else 6).alias(c) for c in out.columns[1:]))
+    """Means of what the texts of each source ask of an embedder."""
+    rows = table(spark, d, "documents").select("source", segment.word_count(F.col("text")).alias("words"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    out = statistics.benchmark_means(rows, "source", "words", "chars", "bytes")
+    return out.select("source", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-@query("SELECT o_custkey, max(o_orderdate) AS mtime FROM orders GROUP BY o_custkey")
+@query(f"SELECT c.path AS file_path, make_timestamp((1700000000 + any_value(n.mtime)) * 1000000) AS mtime FROM {_chunk_sql(300, 50, 100)} c JOIN {_NEW} n ON n.path = c.path GROUP BY c.path")
 def index_file_mtimes(spark, d):
-    return statistics.file_times(table(spark, d, "orders"), "o_custkey", "o_orderdate")
+    """The file times of an index's chunks."""
+    _, new = _listings(spark, d)
+    rows = chunk_counts(files(spark, d)).join(new.withColumnRenamed("path", "file_path"), "file_path")
+    return statistics.file_times(rows, "file_path", "mtime").withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
 
 
-@query("SELECT max(s_acctbal) AS peak, CAST(floor(avg(s_acctbal)) AS BIGINT) AS mean FROM supplier")
+@query("SELECT max(strlen(text)) AS peak, CAST(floor(avg(strlen(text))) AS BIGINT) AS mean FROM documents")
 def resource_summary(spark, d):
-    return statistics.resource_summary(table(spark, d, "supplier"), "s_acctbal")
+    """Greatest and mean bytes that a task holds of a text."""
+    return statistics.resource_summary(table(spark, d, "documents").select(F.octet_length("text").cast("bigint").alias("bytes")), "bytes")
 
 
 _MESSAGE = "CASE event_type WHEN 'click' THEN 'No files found in ' WHEN 'error' THEN 'Permission denied: ' WHEN 'signup' THEN 'Network down ' WHEN 'view' THEN 'out of disk ' ELSE 'odd ' END || props"
@@ -486,9 +513,12 @@ def error_classify(spark, d):
     return table(spark, d, "events").select("event_id", T.error_class(F.concat(m, F.col("props"))).alias("class"))
 
 
-@query("SELECT CAST(a AS BIGINT) AS attempt, CASE WHEN a <= 0 THEN 0 ELSE least(250, 100 * power(2, a - 1)) END::DOUBLE AS delay_ms FROM range(8) t(a)")
+@query("SELECT event_id, CAST(a AS BIGINT) AS attempt, CASE WHEN a <= 0 THEN 0 ELSE least(250, 100 * power(2, a - 1)) END::DOUBLE AS delay_ms FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS a FROM events WHERE event_type = 'error')")
 def backoff_table(spark, d):
-    return spark.range(8).select(F.col("id").alias("attempt"), T.backoff_ms(F.col("id"), 100, 2, 250).alias("delay_ms"))
+    """Each user's errors as tries of one piece of work, and the pause before each."""
+    tries = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = table(spark, d, "events").where("event_type = 'error'").select("event_id", tries.cast("bigint").alias("attempt"))
+    return rows.withColumn("delay_ms", T.backoff_ms(F.col("attempt"), 100, 2, 250))
 
 
 @query("SELECT page_id, translate(url, '/:<>\"|?*.', '_________') AS dir, regexp_matches(url, '^[\\p{L}\\p{N}_.-]+/[\\p{L}\\p{N}_.-]+$') AS is_name, contains(url, 'qwen3') OR contains(url, 'Qwen3') AS instructed, coalesce(NULL, CASE WHEN page_id % 3 = 0 THEN url END, 'default') AS model FROM pages")
@@ -558,12 +588,7 @@ def batch_sizing(spark, d):
 @query("SELECT event_type, n AS files, bad AS failed, n - bad AS successful, round(coalesce(s, 0), 6) AS average_ms FROM (SELECT event_type, count(*) AS n, count(*) FILTER (value > 80) AS bad, avg(value) FILTER (value <= 80) AS s FROM events GROUP BY event_type)")
 def parallel_stats(spark, d):
     rows = table(spark, d, "events").select("event_type", (F.col("value") > 80).alias("failed"), F.col("value").alias("ms"))
-    kinds = ("click", "signup", "error", "purchase", "view")
-    parts = [statistics.parallel_stats(rows.where(F.col("event_type") == k)).select(F.lit(k).alias("event_type"), "files", "failed", "successful", F.round("average_ms", 6).alias("average_ms")) for k in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("files > 0")
+    return statistics.parallel_stats(rows, "event_type").withColumn("average_ms", F.round("average_ms", 6))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'binary' WHEN 3 THEN 'UTF-16LE' ELSE 'UTF-8' END AS encoding, doc_id % 4 = 0 AS is_binary, md5(t) AS digest, CAST(length(t) AS BIGINT) AS char_count, CAST(length(t) - length(replace(t, chr(10), '')) + CASE WHEN t <> '' AND NOT suffix(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS t FROM documents)")

@@ -1,7 +1,7 @@
 """File discovery, decoding and small driver-side readers.
 
-Listings come from the driver (git and dotfiles are invisible to Spark's file
-sources) and are turned into DataFrames; contents are read by the executors.
+Git's list of tracked names comes from the driver; folders are walked, files looked at and contents read by tasks (git and
+dotfiles are invisible to Spark's file sources).
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import subprocess
+from functools import partial
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.config import RETRIES
+from . import ignore, walk
 
-SCHEMA = "path string, size_bytes bigint, last_modified timestamp, is_git_tracked boolean"
 SAMPLE_BYTES, NUL_SHARE = 8000, 0.01
 #: Bytes of contents that a task hands on at once.
 BATCH_BYTES = 8 << 20
@@ -44,20 +46,21 @@ def _git(root: Path, *args: str) -> list[str] | None:
     return [x for x in out.stdout.decode("utf-8", "surrogateescape").split("\0") if x] if out.returncode == 0 else None
 
 
-def _listed(root: Path, names: list[str], tracked: bool) -> list[tuple]:
-    from datetime import datetime, timezone
+def _first_rules(root: Path) -> tuple[tuple[ignore.Rule, ...], ...]:
+    """Rules that any ignore file in the tree overrides: the user's, then the repository's own."""
+    out = []
+    named = _git(root, "config", "-z", "--get", "--type=path", "core.excludesFile")
+    config = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    own = _git(root, "rev-parse", "--git-path", "info/exclude")
+    for name in ((named or [f"{config}/git/ignore"])[0], str(root / own[0].strip()) if own else None):
+        if name and os.path.isfile(name):
+            out.append(tuple(ignore.parsed(Path(name).read_text(errors="surrogateescape"))))
+    return tuple(out)
 
-    rows = []
-    for name in dict.fromkeys(names):
-        p = root / name
-        if p.is_file() and not p.is_symlink():
-            s = p.stat()
-            rows.append((str(p), s.st_size, datetime.fromtimestamp(s.st_mtime_ns // 1000 / 1e6, timezone.utc), tracked))
-    return rows
 
-
-def discover(spark: SparkSession, root: str, max_bytes: int | None = None, untracked: bool = False, leave: str | None = None) -> DataFrame:
-    """The files under ``root``: git's listing inside a repository (refreshed, and untracked ones if asked), else a walk.
+def discover(spark: SparkSession, root: str, max_bytes: int | None = None, untracked: bool = False, leave: str | None = None, respect_gitignore: bool = True) -> DataFrame:
+    """The files under ``root`` that git tracks, inside a repository (and untracked ones if asked, without the ignored ones
+    unless ``respect_gitignore`` is off); else all that a walk finds. Tasks walk and look at files.
 
     A walk follows no links and includes dotfiles. What is below ``leave`` (the index itself) isn't listed.
     """
@@ -65,32 +68,44 @@ def discover(spark: SparkSession, root: str, max_bytes: int | None = None, untra
     if not base.exists():
         raise FileNotFoundError(root)
     names = _git(base, "ls-files", "-z")
+    shown = lambda found, tracked: found.where("error is null").select("path", "size_bytes", "last_modified", F.lit(tracked).alias("is_git_tracked"))
     if names is None:
-        found = [str(Path(d, f).relative_to(base)) for d, _, fs in os.walk(base, onerror=_fail) for f in fs]
-        rows = _listed(base, sorted(found), False)
+        out = shown(walk.walked(spark, root, leave=leave), False)
     else:
-        rows = _listed(base, names, True)
+        listed = spark.createDataFrame([(os.path.join(os.path.abspath(root), n),) for n in dict.fromkeys(names)], "path string")
+        out = shown(walk.stated(listed), True)
         if untracked:
-            rows += _listed(base, _git(base, "ls-files", "-z", "-o", "--exclude-standard") or [], False)
+            top = (_git(base, "rev-parse", "--show-toplevel") or [root])[0].strip()
+            rules = _first_rules(base) if respect_gitignore else None
+            below = walk.walked(spark, root, ignored=rules, leave=leave) if not respect_gitignore or os.path.samefile(top, root) else visible(spark, top, walk.walked(spark, root, leave=leave).where("path not like '%/.git/%'"), tracked=False)
+            out = out.unionByName(shown(below.where("path not like '%/.git/%'").join(listed, "path", "left_anti"), False))
     if leave is not None:
-        below = os.path.join(os.path.abspath(leave), "")
-        rows = [r for r in rows if not os.path.abspath(r[0]).startswith(below)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    return df if max_bytes is None else df.where(F.col("size_bytes") <= max_bytes)
+        out = out.where(~F.col("path").startswith(os.path.join(os.path.abspath(leave), "")))
+    return out if max_bytes is None else out.where(F.col("size_bytes") <= max_bytes)
 
 
-def _fail(error: OSError) -> None:
-    raise error
+def visible(spark: SparkSession, root: str, rows: DataFrame, *, tracked: bool = True) -> DataFrame:
+    """Those of the rows (path, absolute) below ``root`` that git doesn't ignore; all of them outside a repository. What it tracks is never
+    ignored. Tasks read the ignore files."""
+    base = Path(root)
+    names = _git(base, "ls-files", "-z")
+    top = os.path.join(os.path.abspath(root), "")
+    below = rows.where(F.col("path").startswith(top))
+    if names is None:
+        return below
+    first = _first_rules(base)
 
+    def keep(batches):
+        rules = ignore.Rules(top.rstrip("/"), first)
+        for b in batches:
+            flags = [not (p[len(top) :].startswith(".git/") or rules.ignores(p[len(top) :])) for p in b.column("path").to_pylist()]
+            yield b.filter(pa.array(flags, pa.bool_()))
 
-def not_ignored(root: str, paths: list[str]) -> list[str]:
-    """Those of the paths that git doesn't ignore; all of them outside a repository."""
-    try:
-        out = subprocess.run(["git", "-C", root, "check-ignore", "-z", "--stdin"], input="\0".join(paths).encode(), capture_output=True, timeout=60)
-    except (OSError, subprocess.TimeoutExpired):
-        return paths
-    gone = set(out.stdout.decode().split("\0")) if out.returncode == 0 else set()
-    return [p for p in paths if p not in gone]
+    kept = below.mapInArrow(keep, below.schema)
+    if not tracked:
+        return kept
+    listed = spark.createDataFrame([(top + n,) for n in dict.fromkeys(names)], "path string")
+    return kept.unionByName(below.join(listed, "path", "left_semi")).distinct() if below.columns == ["path"] else kept.unionByName(below.join(listed, "path", "left_semi").join(kept.select("path"), "path", "left_anti"))
 
 
 def is_binary(content: Column) -> Column:
@@ -115,6 +130,14 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     return out.withColumns({"is_binary": F.col("encoding") == "binary", "line_count": T.line_count(F.col("text")).cast("bigint"), "char_count": F.char_length("text").cast("bigint")}).drop(content)
 
 
+def _content(path: str) -> bytes | OSError:
+    """A file's bytes; an error that another try can't mend is returned instead of raised."""
+    try:
+        return Path(path).read_bytes()
+    except (FileNotFoundError, IsADirectoryError, NotADirectoryError, PermissionError) as e:
+        return e
+
+
 def read_files(spark: SparkSession, listing: DataFrame) -> DataFrame:
     """Contents of a listing: path, size_bytes, text, encoding, language, counts, and an error where a file couldn't be read.
 
@@ -127,7 +150,9 @@ def read_files(spark: SparkSession, listing: DataFrame) -> DataFrame:
             rows, held = [], 0
             for path in b.column("path").to_pylist():
                 try:
-                    content, error = Path(path).read_bytes(), None
+                    content, error = RETRIES["file"].run(partial(_content, path)), None
+                    if isinstance(content, OSError):
+                        raise content
                 except OSError as e:
                     content, error = None, f"read: {e.strerror or type(e).__name__}"
                 rows.append({"path": path, "size_bytes": len(content or b""), "content": content, "error": error})

@@ -37,6 +37,8 @@ from ..operators import diff
 FORMAT = "2.0.0"
 #: Buckets of a new index, the size ratio that merging keeps, and how many changed paths a broadcast may hold.
 BUCKETS, RATIO, SMALL_PATHS = 64, 4, 100_000
+#: Where chunks lie whose vector couldn't be made; they are never read but as rejects.
+NO_VECTOR = -1
 #: Seconds after which files that no commit names are left-overs.
 GRACE = 3600.0
 
@@ -71,6 +73,7 @@ class Manifest:
     buckets: int = BUCKETS
     parts: tuple[Part, ...] = ()
     settings: dict = field(default_factory=dict)
+    stats: dict = field(default_factory=dict)
 
     @classmethod
     def parsed(cls, text: str) -> Manifest:
@@ -147,12 +150,15 @@ class IndexStore:
         """One part and its dimensions (0 without vectors). ``changes``: path, mtime, deleted, error; chunks are counted here."""
         name = f"p{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.root}/parts/{name}"
-        counts, low, high, chunks = None, None, None, 0
+        counts, unmade, low, high, chunks = None, None, None, None, 0
         if rows is not None:
-            placed = rows.drop("norm", "bucket").withColumns({"norm": V.norm(F.col(vector)), "bucket": self._bucket("file_path", buckets)})
-            placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{at}/chunks")
+            placed = rows.drop("norm", "bucket").withColumns({"norm": V.norm(F.col(vector)), "bucket": F.when(F.col(vector).isNull(), NO_VECTOR).otherwise(self._bucket("file_path", buckets))})
+            # in order of path, so that a lookup of a few paths skips row groups
+            placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "file_path").write.partitionBy("bucket").parquet(f"{at}/chunks")
             if self._names(f"parts/{name}/chunks") not in ([], ["_SUCCESS"]):
-                stored = self.spark.read.parquet(f"{at}/chunks")
+                every = self.spark.read.parquet(f"{at}/chunks")
+                stored, bad = every.where(F.col("bucket") != NO_VECTOR), every.where(F.col("bucket") == NO_VECTOR)
+                unmade = bad.select(F.col("file_path").alias("path"), F.lit("embed: no vector").alias("unmade")).distinct()
                 counts = stored.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"))
                 r = stored.agg(F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high"), F.count("*").alias("n")).first()
                 low, high, chunks = r.low, r.high, r.n
@@ -160,6 +166,8 @@ class IndexStore:
                     raise StoreError(f"vectors of {low} to {high} dimensions in one index")
         named = changes.select("path", "mtime", "deleted", "error")
         named = named.join(counts, "path", "left") if counts is not None else named.withColumn("chunks", F.lit(0))
+        if unmade is not None:
+            named = named.join(unmade, "path", "left").withColumn("error", F.coalesce("error", "unmade")).drop("unmade")
         named = named.withColumns({"chunks": F.coalesce("chunks", F.lit(0)).cast("bigint"), "bucket": self._bucket("path", buckets)})
         named.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{at}/changes")
         r = self._changes(name).agg(F.count("*").alias("n"), F.sum(F.col("deleted").cast("int")).alias("d")).first()
@@ -185,16 +193,16 @@ class IndexStore:
         return self.spark.read.schema(self._CHANGES).parquet(f"{self.root}/{at}")
 
     def _rows(self, part: Part) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/parts/{part.name}/chunks") if part.chunks else None
+        return self.spark.read.parquet(f"{self.root}/parts/{part.name}/chunks").where(F.col("bucket") != NO_VECTOR) if part.chunks else None
 
-    def save(self, rows: DataFrame, times: DataFrame | None = None, *, model: str = "mock", batch: int = -1, vector: str = "embedding", rejects: DataFrame | None = None, settings: dict | None = None) -> Manifest:
+    def save(self, rows: DataFrame, times: DataFrame | None = None, *, model: str = "mock", batch: int = -1, vector: str = "embedding", rejects: DataFrame | None = None, settings: dict | None = None, stats: dict | None = None) -> Manifest:
         """Write ``rows`` (file_path, ..., vector) as a new base and make it current; ``times``: path, mtime; ``rejects``: path, error."""
         before = self.manifest() if self.exists() else None
         if times is None:
             times = rows.select(F.col("file_path").alias("path")).distinct().withColumn("mtime", F.current_timestamp())
         part, dimensions = self._write(rows, self._listed(times, None, rejects), self.buckets, vector)
         files = self._changes(part.name).where("error is null").count()
-        m = Manifest("", FORMAT, model, dimensions, part.chunks, files, 0.0, batch, 0, self.buckets, (part,), settings or {})
+        m = Manifest("", FORMAT, model, dimensions, part.chunks, files, 0.0, batch, 0, self.buckets, (part,), settings or {}, stats or {})
         return self._commit(m, before)
 
     @staticmethod
@@ -206,7 +214,7 @@ class IndexStore:
             return out.withColumn("error", F.lit(None).cast("string"))
         return out.join(rejects.groupBy("path").agg(F.min("error").alias("error")), "path", "left")
 
-    def upsert(self, rows: DataFrame | None, times: DataFrame, gone: DataFrame | None = None, *, rejects: DataFrame | None = None, batch: int = -1, vector: str = "embedding", merge: bool = True) -> tuple[Manifest, dict[str, int]]:
+    def upsert(self, rows: DataFrame | None, times: DataFrame, gone: DataFrame | None = None, *, rejects: DataFrame | None = None, batch: int = -1, vector: str = "embedding", merge: bool = True, stats: dict | None = None) -> tuple[Manifest, dict[str, int]]:
         """Commit a delta: ``times`` (path, mtime) are set to the chunks in ``rows``, ``gone`` (path) are deleted.
 
         Counters: added, updated, removed, failed. A path may be in ``times`` or in ``gone``, once. What is rewritten
@@ -227,7 +235,7 @@ class IndexStore:
         done = part.paths - part.deleted - failed
         counts = {"added": done - updated, "updated": updated, "removed": removed, "failed": failed}
         parts = (*m.parts, part)
-        m2 = replace(m, chunks=m.chunks - had + part.chunks, files=m.files - files + done, dimensions=m.dimensions or dimensions, batch=batch if batch >= 0 else m.batch, parts=parts)
+        m2 = replace(m, chunks=m.chunks - had + part.chunks, files=m.files - files + done, dimensions=m.dimensions or dimensions, batch=batch if batch >= 0 else m.batch, parts=parts, stats=stats or {})
         return self._commit(replace(m2, parts=self._merged(m2)) if merge else m2, m), counts
 
     def _merged(self, m: Manifest) -> tuple[Part, ...]:
@@ -387,9 +395,9 @@ class IndexStore:
         fs, path = self._fs()
         fs.delete(path(self.root), True)
 
-    def update(self, current: DataFrame, make: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]], *, batch: int = -1) -> Manifest:
+    def update(self, current: DataFrame, make: Callable[[DataFrame], tuple[DataFrame, DataFrame | None, dict]], *, batch: int = -1) -> Manifest:
         """Incremental update: ``current`` (path, mtime, ...) is compared with the stored times; ``make`` turns new and
-        changed rows into indexed chunks and rejects (path, error). Without a difference nothing is written, unless a batch's number is to
+        changed rows into indexed chunks, rejects (path, error) and figures of the run. Without a difference nothing is written, unless a batch's number is to
         be kept."""
         old, m = self.times(), self.manifest()
         gone, fresh, edited = diff.removed(old, current), diff.added(old, current), diff.changed(old, current)
@@ -397,5 +405,5 @@ class IndexStore:
         if batch < 0 and gone.isEmpty() and todo.isEmpty():
             return m
         wanted = current.join(todo, "path", "left_semi")
-        rows, rejects = make(wanted)
-        return self.upsert(rows, wanted.select("path", "mtime"), gone, rejects=rejects, batch=batch)[0]
+        rows, rejects, stats = make(wanted)
+        return self.upsert(rows, wanted.select("path", "mtime"), gone, rejects=rejects, batch=batch, stats=stats)[0]

@@ -8,6 +8,7 @@ manifest, so a batch that is replayed after a failure isn't applied twice.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import events as E
+from ..sources import walk
 from ..sources.index_store import IndexStore
+from ..sources.shared import checkpointed
 
 EVENTS = "seq bigint, ts timestamp, kind string, path string, from_path string"
 DEBOUNCE_MS, BATCH = 500, 100
-
-# Settings by profile.
-PROFILES = {
-    "large_codebase": {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.shuffle.partitions": "400"},
-    "memory_constrained": {"spark.sql.execution.arrow.maxRecordsPerBatch": "32", "spark.sql.files.maxPartitionBytes": "32m"},
-    "high_performance": {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.adaptive.enabled": "true"},
-}
+#: Failures of a batch after which a query stops, the one from which it pauses, and the longest pause in seconds.
+STOP_AFTER, PAUSE_FROM, MOST_PAUSE = 10, 3, 60.0
 
 
 def check_bounds(debounce_ms: int = DEBOUNCE_MS, batch: int = BATCH) -> tuple[int, int]:
@@ -48,6 +46,25 @@ def debounce(stream: DataFrame, debounce_ms: int = DEBOUNCE_MS, late: str = "10
     return E.debounced(stream.withWatermark("ts", late), f"{debounce_ms} milliseconds")
 
 
+def _of_folders(store: IndexStore, batch: DataFrame) -> DataFrame:
+    """path, action of what a batch's folder events stand for: the files below a new folder, and those the index has below one that went."""
+    last = E.last_wins(batch.where(F.col("kind").startswith("Directory")).select("path", "kind", "seq")).persist()
+    out = store.spark.createDataFrame([], "path string, action string")
+    try:
+        new, gone = last.where("kind = 'DirectoryCreated'"), last.where("kind = 'DirectoryDeleted'")
+        if not new.isEmpty():
+            out = out.unionByName(walk.unfolded(new).where("error is null").select("path", F.lit("created").alias("action")).distinct())
+        if not gone.isEmpty():
+            parts = F.split("path", "/")
+            folders = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+            held = store.times().select("path", F.explode(folders).alias("folder"))
+            below = held.join(gone.select(F.rtrim("path", F.lit("/")).alias("folder")), "folder", "left_semi").select("path").distinct()
+            out = out.unionByName(checkpointed(below.withColumn("action", F.lit("deleted"))))
+    finally:
+        last.unpersist()
+    return out
+
+
 def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame | None] | None], number: int, visible: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
     """Apply one batch as a delta of the index; ``make`` turns rows (path) into indexed chunks, and rejects (path, error) if it has
     any. A path without chunks that isn't rejected is one that failed; its old chunks go.
@@ -59,7 +76,8 @@ def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame],
     counts = {"added": 0, "updated": 0, "removed": 0, "failed": 0}
     if number >= 0 and m.batch >= number:
         return counts
-    acts = E.last_wins(E.expanded(batch)).select("path", "action")
+    acts = E.last_wins(E.expanded(batch.where(~F.col("kind").startswith("Directory")))).select("path", "action")
+    acts = acts.unionByName(_of_folders(store, batch).join(acts, "path", "left_anti"))
     gone, wanted = acts.where("action = 'deleted'").select("path"), acts.where("action <> 'deleted'").select("path")
     if visible is not None:
         wanted = visible(wanted)
@@ -78,11 +96,23 @@ def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame],
     return counts
 
 
-def watch(stream: DataFrame, store: IndexStore, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame | None] | None], checkpoint: str, *, every: str | None = None, seen: list[dict[str, int]] | None = None, visible: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Start applying ``stream`` to ``store``; without ``every`` it takes what is there and ends."""
+def watch(stream: DataFrame, store: IndexStore, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame | None] | None], checkpoint: str, *, every: str | None = None, seen: list[dict[str, int]] | None = None, visible: Callable[[DataFrame], DataFrame] | None = None, sleep: Callable[[float], None] = time.sleep) -> StreamingQuery:
+    """Start applying ``stream`` to ``store``; without ``every`` it takes what is there and ends.
+
+    A batch that fails is tried again, from the third time on after a pause that doubles; after ``STOP_AFTER`` failures in a row the
+    query stops with the last error, and starts there again. ``seen`` gets each batch's counters.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        counts = apply_batch(store, batch, make, number, visible)
+        for failures in range(STOP_AFTER):
+            try:
+                counts = apply_batch(store, batch, make, number, visible)
+                break
+            except Exception:
+                if failures + 1 == STOP_AFTER:
+                    raise
+                if failures + 1 >= PAUSE_FROM:
+                    sleep(min(MOST_PAUSE, 2.0 ** (failures + 1 - PAUSE_FROM)))
         if seen is not None:
             seen.append(counts)
 

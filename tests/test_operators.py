@@ -102,7 +102,9 @@ def test_embedders(spark):
     assert one(embedding.placeholder_embedding(F.lit("é" * 3), 2)) == pytest.approx([0.106] * 2)
     assert one(embedding.placeholder_embedding(F.lit("x" * 1025), 2)) is None
     assert one(embedding.embed_single(F.lit(""), embedding.placeholder_embedding, 4)) == [0] * 4
-    assert one(embedding.embed_with_options(F.lit("abcdef"), lambda t: t, 3, "go")) == "Instruct: go\nQuery: abc"
+    assert one(embedding.embed_with_options(F.lit("abcdef"), lambda t: t, 3, "go", "Qwen/Qwen3-Embedding-0.6B")) == "Instruct: go\nQuery: abc"
+    assert [one(embedding.embed_with_options(F.lit("aé漢🙂"), lambda t: t, n, "go", "MiniLM")) for n in (1, 2, 3, 5, 6, 9, 10)] == ["a", "a", "aé", "aé", "aé漢", "aé漢", "aé漢🙂"]
+    assert [one(embedding.placeholder_error(F.lit(t))) for t in ("", "x", "x" * 1025)] == ["the text is empty", None, "the text has 1025 bytes, more than 1024"]
     with pytest.raises(KeyError):
         embedding.EMBEDDERS.get("none")
     df = spark.createDataFrame([("a",), ("bb",), ("a",), (None,)], "content string")

@@ -51,7 +51,8 @@ def test_git_discovery(spark, tree):
     assert tracked.count() == 3 and tracked.where("is_git_tracked").count() == 3
     both = {os.path.relpath(r.path, tree) for r in S.discover(spark, str(tree), untracked=True).collect()}
     assert "doc/a b+c.md" in both and "bin.dat" not in both
-    assert S.not_ignored(str(tree), ["bin.dat", "x.rs"]) == ["x.rs"]
+    rows = spark.createDataFrame([(str(tree / n),) for n in ("bin.dat", "x.rs", "src/main.rs")], "path string")
+    assert {os.path.relpath(r.path, tree) for r in S.visible(spark, str(tree), rows).collect()} == {"x.rs", "src/main.rs"}
 
 
 def test_small_readers(spark, tmp_path):
@@ -173,11 +174,6 @@ def test_settings():
     with pytest.raises(OSError):
         C.RETRIES["network"].run(lambda: tries.append(1) or (_ for _ in ()).throw(OSError("x")), sleep=lambda s: None)
     assert len(tries) == 3
-    assert C.resources(16, 4) == (16, 128) and C.resources(8, 4, True) == (16, 128) and C.resources(4, 4) == (4, 32)
-    r = C.Running()
-    r.add(10)
-    r.add(20)
-    assert (r.mean, r.peak) == (15, 20)
 
 
 def results(spark):
