@@ -16,8 +16,10 @@ Under each rule the counts of a document's sections add up to its tokens.
 
 Defined results: a null or empty text has no tokens; its sections, if any, count
 0. Text after the last given end belongs to a section named ``rest``. Ends
-outside the text are held to it and must ascend. Rows are counted one by one,
-repeated or not. The vocabulary's path is a parameter; tokenizers aren't trained.
+outside the text are held to it, and one that is null or before the end before it equals
+that one, so its section is empty; a null section has neither name nor text. Ties of ``most`` go to the earlier section. Rows are counted one by one,
+repeated or not. Very long texts are encoded whole. Columns named ``n_tokens`` and ``section_tokens`` are replaced, other
+columns stay. An empty table gives an empty result. The vocabulary's path is a parameter; tokenizers aren't trained.
 """
 
 from __future__ import annotations
@@ -72,6 +74,15 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> np
     return out
 
 
+def held_ends(ends: list[int | None], size: int) -> list[int]:
+    """Ends that ascend within a text of ``size``: none is before the one before it, and a null one equals that."""
+    out, at = [], 0
+    for e in ends:
+        at = max(at, min(at if e is None else e, size))
+        out.append(at)
+    return out
+
+
 def section_tokens(docs: DataFrame, sections: Column, *, text_col: str = "text", rule: str = "start", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with section_tokens: an array of (name, start, end, n_tokens), and n_tokens of the whole text.
 
@@ -92,7 +103,7 @@ def section_tokens(docs: DataFrame, sections: Column, *, text_col: str = "text",
             totals, found = [], []
             for text, own in zip(b.column(text_col).to_pylist(), b.column(held).to_pylist(), strict=True):
                 text = text or ""
-                names, ends = [x["name"] for x in own or ()], [min(x["end"], len(text)) for x in own or ()]
+                names, ends = [x and x["name"] for x in own or ()], held_ends([x and x["end"] for x in own or ()], len(text))
                 if (ends[-1] if ends else 0) < len(text):
                     names, ends = [*names, "rest"], [*ends, len(text)]
                 ids = encoding.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)

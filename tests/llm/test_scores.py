@@ -159,6 +159,12 @@ def test_token_counts_of_odd_rows(spark, odd, none):
             n = len(enc.encode_ordinary(r.text or ""))
             assert r.n_tokens == n and sum(s.n_tokens for s in r.section_tokens) == pytest.approx(n)
             assert "".join((r.text or "")[s.start : s.end] for s in r.section_tokens) == (r.text or "")
+    bad = F.expr("array(named_struct('name', 'a', 'end', -4L), named_struct('name', 'b', 'end', cast(null as bigint)), named_struct('name', 'c', 'end', 5L), null, named_struct('name', 'd', 'end', 2L), named_struct('name', 'e', 'end', 999999L))")
+    for r in K.section_tokens(odd, bad).collect():
+        n = len(r.text or "")
+        c = min(5, n)
+        assert [(s.name, s.start, s.end) for s in r.section_tokens] == [("a", 0, 0), ("b", 0, 0), ("c", 0, c), (None, c, c), ("d", c, c), ("e", c, n)]
+        assert sum(s.n_tokens for s in r.section_tokens) == r.n_tokens
     rest = K.section_tokens(odd.where("doc_id = 6"), F.array(F.struct(F.lit("a").alias("name"), F.lit(3).alias("end")))).first()
     assert [s.name for s in rest.section_tokens] == ["a", "rest"]
     assert K.section_tokens(none, K.head_body_tail(F.col("text"))).count() == 0
