@@ -146,11 +146,11 @@ class IndexStore:
     def _bucket(self, column: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
-    def _write(self, rows: DataFrame | None, changes: DataFrame, buckets: int, vector: str = "embedding") -> tuple[Part, int]:
-        """One part and its dimensions (0 without vectors). ``changes``: path, mtime, deleted, error; chunks are counted here."""
+    def _write(self, rows: DataFrame | None, changes: DataFrame, buckets: int, vector: str = "embedding") -> tuple[Part, int, dict[str, int]]:
+        """One part, its dimensions (0 without vectors) and figures of its chunks. ``changes``: path, mtime, deleted, error; chunks are counted here."""
         name = f"p{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.root}/parts/{name}"
-        counts, unmade, low, high, chunks = None, None, None, None, 0
+        counts, unmade, low, high, chunks, figures = None, None, None, None, 0, {"chunks": 0}
         if rows is not None:
             placed = rows.drop("norm", "bucket").withColumns({"norm": V.norm(F.col(vector)), "bucket": F.when(F.col(vector).isNull(), NO_VECTOR).otherwise(self._bucket("file_path", buckets))})
             # in order of path, so that a lookup of a few paths skips row groups
@@ -160,8 +160,9 @@ class IndexStore:
                 stored, bad = every.where(F.col("bucket") != NO_VECTOR), every.where(F.col("bucket") == NO_VECTOR)
                 unmade = bad.select(F.col("file_path").alias("path"), F.lit("embed: no vector").alias("unmade")).distinct()
                 counts = stored.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"))
-                r = stored.agg(F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high"), F.count("*").alias("n")).first()
+                r = stored.agg(F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high"), F.count("*").alias("n"), *([F.sum("token_count").alias("tokens")] if "token_count" in stored.columns else [])).first()
                 low, high, chunks = r.low, r.high, r.n
+                figures = {"chunks": r.n} | ({"tokens": r.tokens or 0} if "token_count" in stored.columns else {})
                 if low != high:
                     raise StoreError(f"vectors of {low} to {high} dimensions in one index")
         named = changes.select("path", "mtime", "deleted", "error")
@@ -172,7 +173,7 @@ class IndexStore:
         named.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{at}/changes")
         r = self._changes(name).agg(F.count("*").alias("n"), F.sum(F.col("deleted").cast("int")).alias("d")).first()
         self._sums(name).write.parquet(f"{at}/sums")
-        return Part(name, chunks, r.n, r.d or 0), low or 0
+        return Part(name, chunks, r.n, r.d or 0), low or 0, figures
 
     def _sums(self, name: str) -> DataFrame:
         """file, length and checksum of what lies in a part, by the executors."""
@@ -200,9 +201,10 @@ class IndexStore:
         before = self.manifest() if self.exists() else None
         if times is None:
             times = rows.select(F.col("file_path").alias("path")).distinct().withColumn("mtime", F.current_timestamp())
-        part, dimensions = self._write(rows, self._listed(times, None, rejects), self.buckets, vector)
+        began = time.monotonic()
+        part, dimensions, figures = self._write(rows, self._listed(times, None, rejects), self.buckets, vector)
         files = self._changes(part.name).where("error is null").count()
-        m = Manifest("", FORMAT, model, dimensions, part.chunks, files, 0.0, batch, 0, self.buckets, (part,), settings or {}, stats or {})
+        m = Manifest("", FORMAT, model, dimensions, part.chunks, files, 0.0, batch, 0, self.buckets, (part,), settings or {}, (stats or {}) | figures | {"write_seconds": round(time.monotonic() - began, 3)})
         return self._commit(m, before)
 
     @staticmethod
@@ -220,8 +222,8 @@ class IndexStore:
         Counters: added, updated, removed, failed. A path may be in ``times`` or in ``gone``, once. What is rewritten
         besides is what merging by size asks for.
         """
-        m = self.manifest()
-        part, dimensions = self._write(rows, self._listed(times, gone, rejects), m.buckets, vector)
+        m, began = self.manifest(), time.monotonic()
+        part, dimensions, figures = self._write(rows, self._listed(times, gone, rejects), m.buckets, vector)
         if dimensions and m.dimensions and dimensions != m.dimensions:
             raise StoreError(f"vectors of {dimensions} dimensions for an index of {m.dimensions}")
         new = self._changes(part.name)
@@ -235,7 +237,7 @@ class IndexStore:
         done = part.paths - part.deleted - failed
         counts = {"added": done - updated, "updated": updated, "removed": removed, "failed": failed}
         parts = (*m.parts, part)
-        m2 = replace(m, chunks=m.chunks - had + part.chunks, files=m.files - files + done, dimensions=m.dimensions or dimensions, batch=batch if batch >= 0 else m.batch, parts=parts, stats=stats or {})
+        m2 = replace(m, chunks=m.chunks - had + part.chunks, files=m.files - files + done, dimensions=m.dimensions or dimensions, batch=batch if batch >= 0 else m.batch, parts=parts, stats=(stats or {}) | figures | counts | {"write_seconds": round(time.monotonic() - began, 3)})
         return self._commit(replace(m2, parts=self._merged(m2)) if merge else m2, m), counts
 
     def _merged(self, m: Manifest) -> tuple[Part, ...]:

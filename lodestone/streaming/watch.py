@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import events as E
 from ..sources import walk
@@ -65,6 +65,43 @@ def _of_folders(store: IndexStore, batch: DataFrame) -> DataFrame:
     return out
 
 
+class Figures(StreamingQueryListener):
+    """What a session's streaming queries have done so far, by query name or id: batches, rows, milliseconds, what ``watch`` observes of its
+    events, and the error a query ended with. Register it with ``spark.streams.addListener``."""
+
+    def __init__(self):
+        self.of: dict[str, dict] = {}
+
+    def _entry(self, key: str) -> dict:
+        return self.of.setdefault(key, {"batches": 0, "rows": 0, "ms": 0, "events": {}, "error": None, "running": True})
+
+    def onQueryStarted(self, event) -> None:
+        self._entry(str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        e = self._entry(str(p.id))
+        if p.numInputRows:
+            e["batches"] += 1
+            e["rows"] += p.numInputRows
+        e["ms"] += p.batchDuration
+        for row in p.observedMetrics.values():
+            for k, v in row.asDict().items():
+                e["events"][k] = e["events"].get(k, 0) + (v or 0)
+
+    def onQueryTerminated(self, event) -> None:
+        self._entry(str(event.id)).update(error=event.exception, running=False)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+
+def observed(stream: DataFrame, name: str = "events") -> DataFrame:
+    """``stream`` with its events counted by kind on the way, for ``Figures``."""
+    kinds = {k.lower(): F.count_if(F.col("kind") == k) for k in ("Created", "Modified", "Deleted", "Renamed", "DirectoryCreated", "DirectoryDeleted")}
+    return stream.observe(name, F.count(F.lit(1)).alias("all"), *(c.alias(k) for k, c in kinds.items()))
+
+
 def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame | None] | None], number: int, visible: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
     """Apply one batch as a delta of the index; ``make`` turns rows (path) into indexed chunks, and rejects (path, error) if it has
     any. A path without chunks that isn't rejected is one that failed; its old chunks go.
@@ -76,6 +113,15 @@ def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame],
     counts = {"added": 0, "updated": 0, "removed": 0, "failed": 0}
     if number >= 0 and m.batch >= number:
         return counts
+    # several jobs read the batch; the source is read once
+    batch = batch.persist()
+    try:
+        return _applied(store, batch, make, number, visible) or counts
+    finally:
+        batch.unpersist()
+
+
+def _applied(store: IndexStore, batch: DataFrame, make: Callable, number: int, visible: Callable | None) -> dict[str, int] | None:
     acts = E.last_wins(E.expanded(batch.where(~F.col("kind").startswith("Directory")))).select("path", "action")
     acts = acts.unionByName(_of_folders(store, batch).join(acts, "path", "left_anti"))
     gone, wanted = acts.where("action = 'deleted'").select("path"), acts.where("action <> 'deleted'").select("path")
@@ -83,7 +129,7 @@ def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame],
         wanted = visible(wanted)
     acts = gone.withColumn("deleted", F.lit(True)).unionByName(wanted.withColumn("deleted", F.lit(False)))
     if acts.isEmpty():
-        return counts
+        return None
     # only what the index knows can be deleted
     gone = acts.where("deleted").select("path").join(store.times().select("path"), "path", "left_semi")
     wanted = acts.where("not deleted").select("path")
@@ -92,8 +138,7 @@ def apply_batch(store: IndexStore, batch: DataFrame, make: Callable[[DataFrame],
     done = rows.select(F.col("file_path").alias("path")).distinct() if rows is not None else None
     lost = (wanted.join(done, "path", "left_anti") if done is not None else wanted).withColumn("error", F.lit("no chunks"))
     failed = lost if rejects is None else rejects.select("path", "error").unionByName(lost.join(rejects, "path", "left_anti"))
-    _, counts = store.upsert(rows, wanted.withColumn("mtime", F.current_timestamp()), gone, rejects=failed, batch=number)
-    return counts
+    return store.upsert(rows, wanted.withColumn("mtime", F.current_timestamp()), gone, rejects=failed, batch=number)[1]
 
 
 def watch(stream: DataFrame, store: IndexStore, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame | None] | None], checkpoint: str, *, every: str | None = None, seen: list[dict[str, int]] | None = None, visible: Callable[[DataFrame], DataFrame] | None = None, sleep: Callable[[float], None] = time.sleep) -> StreamingQuery:
@@ -116,7 +161,7 @@ def watch(stream: DataFrame, store: IndexStore, make: Callable[[DataFrame], Data
         if seen is not None:
             seen.append(counts)
 
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = observed(stream).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -2,6 +2,7 @@
 
 import os
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,8 +74,18 @@ def test_a_batch_that_fails_is_tried_again(spark, tmp_path):
             raise OSError("no")
         return embedding.embedded(paths.select(F.col("path").alias("file_path"), F.lit("new").alias("content")), EMBED)
 
-    seen = []
-    W.watch(W.source(spark, str(tmp_path / "e")), store, make, str(tmp_path / "c"), seen=seen, sleep=slept.append).awaitTermination(120)
+    seen, figures = [], W.Figures()
+    spark.streams.addListener(figures)
+    q = W.watch(W.source(spark, str(tmp_path / "e")), store, make, str(tmp_path / "c"), seen=seen, sleep=slept.append)
+    q.awaitTermination(120)
+    for _ in range(100):
+        if not figures.of.get(str(q.id), {"running": True})["running"]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(figures)
+    got = figures.of[str(q.id)]
+    # the one event was read by each of four tries
+    assert (got["batches"], got["rows"], got["error"]) == (1, 4, None) and got["ms"] > 0 and got["events"]["all"] >= 1 and got["events"]["modified"] >= 1
     assert seen == [{"added": 0, "updated": 1, "removed": 0, "failed": 0}] and slept == [1.0]
     left[0], slept[:] = 1000, []
     events(spark, [(1, "Modified", "a", None)]).write.mode("append").parquet(str(tmp_path / "e"))
@@ -101,13 +112,14 @@ def test_figures_of_a_run_and_the_cache(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "i"))
     m = pipeline.build(spark, str(root), store, embed=embed)
     assert {k: m.stats[k] for k in ("files", "failed", "binary", "bytes")} == {"files": 2, "failed": 0, "binary": 1, "bytes": (root / "big.py").stat().st_size + 100}
+    assert m.stats["chunks"] == m.chunks and m.stats["tokens"] >= 1000 and m.stats["read_seconds"] > 0 and m.stats["write_seconds"] > 0
     assert made.value == m.chunks == store.load().count() and m.chunks > 2
     text = (root / "big.py").read_text()
     (root / "big.py").write_text(text[: text.rindex("again")] + "changed at the end")
     os.utime(root / "big.py", (1e9, 1e9))
     before = made.value
     m = pipeline.update(spark, str(root), store, embed=embed)
-    assert 1 <= made.value - before <= 2 and m.stats["files"] == 1
+    assert 1 <= made.value - before <= 2 and m.stats["files"] == 1 and m.stats["updated"] == 1
     hits = store.load().where("chunk_index = 0").withColumns({"similarity": F.lit(1.0), "rank": F.lit(0)})
     (root / "big.py").write_text("short now")
     assert [r.content for r in pipeline.fresh_content(hits.drop("embedding", "norm")).collect()] == ["short now"]
