@@ -78,6 +78,19 @@ def topk_stored_norm(spark, d):
     return _shown(search.search(rows, first_vector(spark, d), search.SearchRequest(limit=25), ties=["vec_id"], norm="norm"), "vec_id")
 
 
+_WIDE = "(SELECT vec_id, flatten(list_transform(range(6), lambda k: list_concat(embedding[k * 9 + 1 :], embedding[: k * 9])))::DOUBLE[] AS e FROM embeddings)"
+
+
+@query(f"SELECT vec_id, round(greatest(s, 0), 6) AS similarity, CAST(row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS BIGINT) AS rank FROM (SELECT a.vec_id, list_cosine_similarity(a.e, q.e) AS s FROM {_WIDE} a, {_WIDE} q WHERE q.vec_id = 0) ORDER BY s DESC, vec_id LIMIT 10")
+def topk_wide(spark, d):
+    """Search at 384 dimensions: each vector and five rotations of it."""
+    v = F.col("embedding")
+    turned = F.concat(*(F.concat(F.slice(v, k * 9 + 1, 64), F.slice(v, 1, k * 9)) for k in range(6)))
+    rows = table(spark, d, "embeddings").select("vec_id", turned.alias("embedding"))
+    q = rows.where("vec_id = 0").first().embedding
+    return _shown(search.search(rows, q, ties=["vec_id"]), "vec_id")
+
+
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, round(greatest(s, 0), 6) AS similarity, CAST(r - 1 AS BIGINT) AS rank FROM (SELECT q_id, v_id, s, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, v_id) AS r FROM (SELECT q.vec_id AS q_id, e.vec_id AS v_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)) t JOIN embeddings q ON q.vec_id = q_id JOIN embeddings e ON e.vec_id = v_id WHERE r <= 5")
 def topk_multi(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")

@@ -166,7 +166,8 @@ class IndexStore:
                 if low != high:
                     raise StoreError(f"vectors of {low} to {high} dimensions in one index")
         named = changes.select("path", "mtime", "deleted", "error")
-        named = named.join(counts, "path", "left") if counts is not None else named.withColumn("chunks", F.lit(0))
+        # a path that has chunks is a change, whether it is listed or not: else its older chunks would stay visible
+        named = named.join(counts, "path", "full").withColumn("deleted", F.coalesce("deleted", F.lit(False))) if counts is not None else named.withColumn("chunks", F.lit(0))
         if unmade is not None:
             named = named.join(unmade, "path", "left").withColumn("error", F.coalesce("error", "unmade")).drop("unmade")
         named = named.withColumns({"chunks": F.coalesce("chunks", F.lit(0)).cast("bigint"), "bucket": self._bucket("path", buckets)})

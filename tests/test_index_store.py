@@ -45,7 +45,7 @@ def test_many_updates_equal_a_dictionary(spark, tmp_path):
     held = {f"p{i}": i for i in range(30)}
     m = store.save(rows(spark, held))
     assert (m.chunks, m.files, len(m.parts)) == (len(expected(held)), 30, 1)
-    for step in range(7):
+    for step in range(4):
         new = {f"p{r.randrange(45)}": r.randrange(100) for _ in range(r.randrange(1, 6))}
         out = [p for p in r.sample(sorted(held), 3) if p not in new]
         m, counts = store.upsert(rows(spark, new), times(spark, new), gone(spark, out))
@@ -69,6 +69,8 @@ def test_deleting_everything_and_starting_again(spark, tmp_path):
     assert (m.chunks, m.files) == (0, 0) and store.load().count() == 0 and store.times().count() == 0
     store.upsert(rows(spark, {"a": 4}), times(spark, ["a"]))
     assert content(store) == expected({"a": 4})
+    _, counts = store.upsert(rows(spark, {"a": 5, "b": 1}), times(spark, ["b"]), merge=False)
+    assert content(store) == expected({"a": 5, "b": 1}) and (counts["added"], counts["updated"]) == (1, 1)
 
 
 def test_ten_paths_of_ten_thousand_write_few_files(spark, tmp_path):
