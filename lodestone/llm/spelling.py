@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import drop_stored, read, salted_join, sieve, stored
 
 LETTERS, LEAST_CHARS, LEAST_N, RATIO, POWER, RING = r"A-Za-zÀ-ÿ", 7, 2, 10, 5, 1 << 61
+#: Words whose letters a task explodes.
+WORDS_A_TASK = 50_000
 #: One in so many occurrences loses a letter in the registered query, so that there are variants to find.
 LOSES = 31
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,7 +88,8 @@ def _meeting(keyed: DataFrame) -> DataFrame:
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """word, n_near, best (minus n and word of the best near word) of the words that have near ones; ``vocabulary``: word, n, each word once."""
-    keyed = _keyed(vocabulary)
+    # a row becomes one for each letter, so tasks get rows by number, not by the table's bytes
+    keyed = _keyed(vocabulary.repartition(1 + vocabulary.count() // WORDS_A_TASK, "word"))
     meeting = stored(_meeting(keyed), "meeting")
     may_meet = sieve(meeting.select(F.xxhash64("key")), meeting.count())
     # a letter's value is exploded before the key is reduced by it, so that the key is summed up once for each word
