@@ -13,7 +13,9 @@ Parquet and read again for the next. All but the last return the columns of
   with mix_topic, n_tokens, weight and probability.
 
 Nulls: a null text has no letter, so it goes at the first stage; empty tables
-pass through every stage as empty tables.
+pass through every stage as empty tables. Texts are read whole, whatever their length. A row that repeats another one, id and all,
+goes with the near copies. A copy whose every line recurs leaves the second stage as an empty text, is linked with nothing and stays. Ties go to the
+least id. Further columns stay through all stages, whatever their names, but for those that mixture adds, which replace theirs.
 """
 
 from __future__ import annotations
