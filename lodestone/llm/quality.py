@@ -117,8 +117,10 @@ def units(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     own = F.when(F.col("n") >= least_rows, F.xxhash64(F.lit(2), "lang", "source"))
     rest = sizes.where(F.col("n") < least_rows).groupBy("lang").agg(F.sum("n").alias("left"))
     both = sizes.join(rest.hint("merge"), "lang", "left").withColumn("unit", F.coalesce(own, F.when(F.col("left") >= least_rows, F.xxhash64(F.lit(1), "lang"))))
-    last = both.where("unit is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("left"))
-    return both.crossJoin(F.broadcast(last.select(F.when(F.col("left") >= least_rows, F.lit(0).cast("bigint")).alias("pool")))).select("lang", "source", F.coalesce("unit", "pool").alias("unit"))
+    both = stored(both.select("lang", "source", "n", "unit"), "groups")
+    left = both.where("unit is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("left")).first().left
+    pool = F.lit(0 if left >= least_rows else None).cast("bigint")
+    return both.select("lang", "source", F.coalesce("unit", pool).alias("unit"))
 
 
 def _consistent(share: float) -> float:
@@ -272,7 +274,7 @@ def judged(docs: DataFrame, *, cut: float = CUT, least_rows: int = LEAST_ROWS, i
     bounded_batches(docs.sparkSession)
     rows = stored(statistics(docs, id_col=id_col, **columns), "statistics")
     passed = rows.where("not base_failed")
-    groups = stored(units(passed, least_rows), "units")
+    groups = units(passed, least_rows)
     n = groups.count()
     key = F.xxhash64("lang", "source")
     named = groups.select(F.col("lang").alias("l"), F.col("source").alias("s"), "unit").where("unit is not null")
