@@ -6,24 +6,47 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 DIMENSIONS, CONTEXT = 384, 256
+#: Bytes of text that are summed at once.
+PIECE = 1 << 18
+
+
+def code_points(texts: pa.Array) -> np.ndarray:
+    """Sums of the texts' code points, by pieces of ``PIECE`` bytes wherever texts end, so memory grows neither with a batch nor with a text."""
+    out = np.zeros(len(texts), np.int64)
+    if not len(texts) or texts.null_count == len(texts):
+        return out
+    wide = pa.types.is_large_string(texts.type)
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    lo, last = int(ends[0]), int(ends[-1])
+    while lo < last:
+        hi = min(lo + PIECE, last)
+        while hi < last and raw[hi] & 0xC0 == 0x80:
+            hi += 1
+        part = raw[lo:hi]
+        units = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(units, dtype=np.int64)))
+        first = np.flatnonzero(part & 0xC0 != 0x80)
+        a, b = int(np.searchsorted(ends, lo, "right")) - 1, int(np.searchsorted(ends, hi, "left"))
+        out[a:b] += np.diff(total[np.searchsorted(first, np.clip(ends[a : b + 1], lo, hi) - lo)])
+        lo = hi
+    return out
 
 
 def code_point_sum(text: Column) -> Column:
-    """Sum of the text's code points, by Arrow batches: one pass of numpy over a batch's UTF-32."""
+    """Sum of the text's code points, by Arrow batches."""
 
-    @F.pandas_udf("bigint")
-    def sums(texts: pd.Series) -> pd.Series:
-        whole = texts.fillna("")
-        ends = whole.str.len().cumsum().to_numpy(np.int64)
-        units = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
-        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(units, dtype=np.int64)))
-        return pd.Series(np.diff(np.concatenate((total[:1], total[ends]))))
+    @F.arrow_udf("bigint")
+    def sums(texts: pa.Array) -> pa.Array:
+        return pa.array(code_points(texts))
 
     return F.when(text.isNotNull(), sums(text))
 

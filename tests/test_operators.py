@@ -1,7 +1,9 @@
 """Chunking, search, codecs, diffs, events and statistics."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,20 @@ def test_norms_agree(spark):
     df = spark.createDataFrame(vectors(spark), "id int, embedding array<float>").withColumn("norm", V.norm(F.col("embedding")))
     a = search.search(df, [0.3] * 6, search.SearchRequest(5), ties=["id"], norm="norm").select("id", F.round("similarity", 9)).collect()
     assert a == search.search(df.drop("norm"), [0.3] * 6, search.SearchRequest(5), ties=["id"]).select("id", F.round("similarity", 9)).collect()
+
+
+def test_code_points_are_summed_in_bounded_memory(spark):
+    texts = ["", None, "aé漢🙂", "x" * 700_001 + "🙂", "é漢" * 300_000, None, "end"]
+    whole = pa.array(texts * 3)
+    plain = [sum(map(ord, t or "")) for t in texts]
+    for part, want in ((whole, plain * 3), (whole.slice(2, 6), (plain * 3)[2:8]), (whole.cast(pa.large_string()), plain * 3), (pa.array([None], pa.string()), [0]), (pa.array([], pa.string()), [])):
+        assert embedding.code_points(part).tolist() == want
+    many = pa.array([f"text {i} " * 40 for i in range(60_000)])
+    tracemalloc.start()
+    embedding.code_points(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many.nbytes > 25e6 and peak < many.nbytes / 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in rows.select("i", embedding.code_point_sum(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if t is None else n for i, (t, n) in enumerate(zip(texts, plain))}
