@@ -10,7 +10,7 @@ most ``overlap`` tokens, which are tiled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import segment as S
-from ..functions import text as T
+from ..sources.shared import bounded_batches
 
 TARGET, OVERLAP, MOST, LEAST = 300, 50, 500, 100
 #: Characters of windows that a task hands on at once.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 1 << 20
+#: Texts that it makes strings of at once.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -110,14 +112,9 @@ class _Windows:
         return line(start), line(end), start, end
 
 
-def chunks(files: DataFrame, config: ChunkConfig = ChunkConfig(), *, path: str = "path", text: str = "text", offsets: bool = True) -> DataFrame:
-    """One row for each window: id, file_path, content, token_count, chunk_index, total_chunks (and lines and characters).
-
-    Offsets are code points; lines are from 1. Null and empty texts have no window.
-    """
-    df = files.select(F.col(path).alias("file_path"), F.col(text).alias("body")).where("body <> ''")
-    runs, schema = S.ranges(), _schema(offsets)
-    names = [x.split()[0] for x in schema.split(", ")]
+def cutter(runs: tuple[np.ndarray, np.ndarray], config: ChunkConfig, offsets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of file_path and body to batches of windows; besides a batch and a text, what is held is bounded."""
+    names = [x.split()[0] for x in _schema(offsets).split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, windows = S.Table(runs), _Windows(config, offsets)
@@ -126,24 +123,37 @@ def chunks(files: DataFrame, config: ChunkConfig = ChunkConfig(), *, path: str =
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        for batch in batches:
-            paths, bodies = batch.column("file_path").to_pylist(), batch.column("body").to_pylist()
-            for lo, hi in S.slices(bodies):
-                held, chars = [], 0
-                for row in windows.rows(paths[lo:hi], S.Words(table, bodies[lo:hi])):
-                    held.append(row)
-                    chars += len(row[2])
-                    if chars >= BATCH_CHARS:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                paths, bodies = batch.column("file_path").to_pylist(), batch.column("body").to_pylist()
+                for lo, hi in S.slices(bodies):
+                    held, chars = [], 0
+                    for row in windows.rows(paths[lo:hi], S.Words(table, bodies[lo:hi])):
+                        held.append(row)
+                        chars += len(row[2])
+                        if chars >= BATCH_CHARS:
+                            yield packed(held)
+                            held, chars = [], 0
+                    if held:
                         yield packed(held)
-                        held, chars = [], 0
-                if held:
-                    yield packed(held)
 
-    return df.mapInArrow(cut, schema)
+    return cut
+
+
+def chunks(files: DataFrame, config: ChunkConfig = ChunkConfig(), *, path: str = "path", text: str = "text", offsets: bool = True) -> DataFrame:
+    """One row for each window: id, file_path, content, token_count, chunk_index, total_chunks (and lines and characters).
+
+    Offsets are code points; lines are from 1. Null and empty texts have no window.
+    """
+    bounded_batches(files.sparkSession)
+    df = files.select(F.col(path).alias("file_path"), F.col(text).alias("body")).where("body <> ''")
+    return df.mapInArrow(cutter(S.ranges(), config, offsets), _schema(offsets))
 
 
 def chunk_counts(files: DataFrame, config: ChunkConfig = ChunkConfig(), *, path: str = "path", text: str = "text") -> DataFrame:
     """file_path and token_count of each window, without the windows' texts."""
+    bounded_batches(files.sparkSession)
     df = files.select(F.col(path).alias("file_path"), F.col(text).alias("body")).where("body <> ''")
     counted = df.select("file_path", S.word_count(F.col("body")).alias("n"))
     return counted.select("file_path", F.explode(window_sizes(F.col("n"), config)).alias("token_count"))

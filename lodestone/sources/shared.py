@@ -1,11 +1,14 @@
-"""Cutting lineage in a folder that driver and executors share."""
+"""Cutting lineage in a folder that driver and executors share, and the size of what tasks in Python take at once."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows and bytes of an Arrow batch of texts that a Python task takes at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -20,3 +23,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             here = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
         spark.sparkContext.setCheckpointDir(here)
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to these bounds; fewer rows stay."""
+    rows, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))

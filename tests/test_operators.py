@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import segment
 from lodestone.functions import vector as V
-from lodestone.operators import codec, diff, embedding, events, search, statistics
+from lodestone.operators import chunking, codec, diff, embedding, events, search, statistics
 from lodestone.operators.chunking import ChunkConfig, chunks
 
 
@@ -213,3 +214,19 @@ def test_code_points_are_summed_in_bounded_memory(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.n for r in rows.select("i", embedding.code_point_sum(F.col("t")).alias("n")).collect()}
     assert got == {i: None if t is None else n for i, (t, n) in enumerate(zip(texts, plain))}
+
+
+def test_chunks_hold_little_of_a_batch(spark):
+    texts = [f"word{i} " * 400 for i in range(6000)]
+    batch = pa.RecordBatch.from_pydict({"file_path": [f"p{i}" for i in range(6000)], "body": texts})
+    cut = chunking.cutter(segment.ranges(), ChunkConfig(40, 10, 60, 20), False)
+    tracemalloc.start()
+    rows, most = 0, 0
+    for out in cut(iter([batch])):
+        rows, most = rows + out.num_rows, max(most, out.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    c = ChunkConfig(40, 10, 60, 20)
+    assert rows == 6000 * len(windows(400, c)) and peak < batch.nbytes and most < 4e6
+    chunks(spark.createDataFrame([("a", "one")], "path string, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
