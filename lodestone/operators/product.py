@@ -4,7 +4,7 @@ A vector is cut into slices of ``width`` components (the last is filled with zer
 centroid, the first on ties. Tasks hold the codebook, of at most dims x 256 numbers, and work on whole Arrow batches; a training step hands
 on a count and a sum for each slice and centroid, so what is shuffled doesn't grow with the rows.
 
-A search never decodes: for each query a table holds the products of its slices with all centroids, and a row's
+A search never decodes: for each query of a block a table holds the products of its slices with all centroids, made in the task, and a row's
 product is the sum of one entry for each byte; the same with the centroids' squared lengths gives the row's norm.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.shared import checkpointed
-from .search import LIMIT, asked_queries, best_of_batches
+from .search import LIMIT, asked_queries, best_of_batches, query_blocks
 
 WIDTH, CODEBOOK, ITERATIONS = 8, 256, 10
 #: Vectors whose distances to all centroids are held at once.
@@ -197,15 +197,27 @@ def search(rows: DataFrame, codebook: Codebook, queries: DataFrame, *, query_id:
         raise ValueError(f"a query isn't of {dims} dimensions")
     with np.errstate(all="ignore"):
         unit = q / np.sqrt((q * q).sum(axis=1))[:, None]
-    tables = [part @ b.T for part, b in zip(_sliced(unit, width), books)]  # (queries, centroids) for each slice
     lengths = [(b * b).sum(axis=1) for b in books]
-    shared = rows.sparkSession.sparkContext.broadcast((tables, lengths))
-
-    def score(part: pa.RecordBatch) -> np.ndarray:
-        t, n = shared.value
-        c = _bytes(part.column(codes), len(t))
+    shared = rows.sparkSession.sparkContext.broadcast((unit, books, lengths))
+    tables: dict[tuple[int, int], list[np.ndarray]] = {}  # of one block
+
+    def score(part: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
+        unit, books, n = shared.value
+        if (lo, hi) not in tables:
+            tables.clear()
+            tables[lo, hi] = [b @ own.T for own, b in zip(_sliced(unit[lo:hi], width), books)]  # (centroids, queries) for each slice
+        c = _bytes(part.column(codes), len(books))
+        found = np.zeros((len(c), hi - lo))
         with np.errstate(all="ignore"):
-            found = sum(t[s][:, c[:, s]] for s in range(len(t))).T / np.sqrt(sum(n[s][c[:, s]] for s in range(len(t))))[:, None]
-        return np.where(np.isfinite(found), found, 0.0)
+            for s, t in enumerate(tables[lo, hi]):
+                found += t[c[:, s]]
+            found /= np.sqrt(sum(n[s][c[:, s]] for s in range(len(n))))[:, None]
+        found[~np.isfinite(found)] = 0.0
+        return found
 
     return best_of_batches(rows, score, codes, asked, queries.schema[query_id], limit=limit, threshold=threshold, ties=ties)
+
+
+def search_all(rows: DataFrame, codebook: Codebook, queries: DataFrame, *, query_id: str, **options) -> DataFrame:
+    """``search`` of any number of queries, block by block."""
+    return reduce(DataFrame.unionByName, [search(rows, codebook, part, query_id=query_id, **options) for part in query_blocks(queries, query_id)])

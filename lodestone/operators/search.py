@@ -27,7 +27,9 @@ from ..functions import glob as G
 from ..functions import vector as V
 
 LIMIT, MOST_QUERIES, MOST_QUERY_BYTES, DIGITS = 10, 10_000, 1000, 12
-SCORED_AT_ONCE, MOST_RESULTS = 4_000_000, 10_000
+MOST_RESULTS = 10_000
+#: Similarities and queries that a task handles at once.
+SCORED_AT_ONCE, QUERIES_AT_ONCE = 1_000_000, 512
 
 
 
@@ -82,7 +84,7 @@ def search(index: DataFrame, query: Sequence[float], request: SearchRequest = Se
         rows = rows.where(G.has_extension(F.col(path), request.filetype))
     if path and request.glob is not None:
         rows = rows.where(G.matches(F.col(path), request.glob))
-    score = _by_norms(query, vector, norm) if norm else _scorer({len(query): (np.zeros(1, np.int64), _units([query]))}, vector, 1)
+    score = _by_norms(query, vector, norm) if norm else _scorer({len(query): (np.zeros(1, np.int64), _units([query]))}, vector)
     keep = [c for c in rows.columns if c != vector]
     best = _best_of_tasks(rows, score, [vector], keep, 1, request.limit, request.threshold, ties, DIGITS)
     return ranked(best.drop("query_number"), request.limit, *ties)
@@ -107,13 +109,15 @@ def _best(table: pa.Table, query: np.ndarray, score: np.ndarray, ties: Sequence[
     return by[np.arange(len(q)) - np.searchsorted(q, q) < limit]
 
 
-def _similarities(vectors: pa.Array, matrices: dict[int, tuple[np.ndarray, np.ndarray]], n_queries: int) -> np.ndarray:
-    """(rows, queries) cosines; 0 for unequal lengths, a zero norm or anything that isn't finite."""
+def _similarities(vectors: pa.Array, matrices: dict[int, tuple[np.ndarray, np.ndarray]], lo: int, hi: int) -> np.ndarray:
+    """(rows, queries lo to hi) cosines; 0 for unequal lengths, a zero norm or anything that isn't finite."""
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-    out = np.zeros((len(vectors), n_queries))
+    out = np.zeros((len(vectors), hi - lo))
     for size, (who, unit) in matrices.items():
+        some = slice(*np.searchsorted(who, [lo, hi]))
+        who, unit = who[some] - lo, unit[some]
         rows = np.flatnonzero(sizes == size)
-        if len(rows) and size:
+        if len(rows) and size and len(who):
             own = vectors.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), size)
             with np.errstate(all="ignore"):
                 found = own @ unit.T / np.sqrt((own * own).sum(axis=1))[:, None]
@@ -129,32 +133,33 @@ def asked_queries(queries: DataFrame, query_id: str, query_vector: str) -> list[
     return [tuple(r) for r in asked]
 
 
-def _best_of_tasks(index: DataFrame, score: Callable[[pa.RecordBatch], np.ndarray], scored: list[str], keep: list[str], n_queries: int, limit: int, threshold: float | None, ties: Sequence[str], digits: int) -> DataFrame:
+def _best_of_tasks(index: DataFrame, score: Callable[[pa.RecordBatch, int, int], np.ndarray], scored: list[str], keep: list[str], n_queries: int, limit: int, threshold: float | None, ties: Sequence[str], digits: int) -> DataFrame:
     """``keep``, query_number and similarity: each task's ``limit`` best rows for each query, whatever it has read; ``score`` gives
-    (rows, queries) of a batch that has ``keep`` and ``scored``."""
-    ties = list(ties)
+    (rows, queries lo to hi) of a batch that has ``keep`` and ``scored``, for a block of queries at a time."""
+    ties, at_once = list(ties), QUERIES_AT_ONCE
 
     def nearest(batches):
-        held: list[tuple[pa.Table, np.ndarray, np.ndarray]] = []
-        step = max(1, SCORED_AT_ONCE // max(1, n_queries))
+        blocks = [(lo, min(lo + at_once, n_queries)) for lo in range(0, n_queries, at_once)]
+        best_of: list[list[tuple[pa.Table, np.ndarray, np.ndarray]]] = [[] for _ in blocks]
 
-        def pruned():
+        def pruned(held):
             table, query, score = pa.concat_tables([t for t, _, _ in held]), *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
             best = _best(table, query, score, ties, limit)
             return table.take(pa.array(best)), query[best], score[best]
 
         for b in batches:
-            for first in range(0, b.num_rows, step):
-                part = b.slice(first, step)
-                s = np.round(score(part), digits)
-                least = np.partition(s, len(s) - limit, axis=0)[len(s) - limit] if len(s) > limit else np.full(n_queries, -np.inf)
-                if threshold is not None:
-                    least = np.maximum(least, threshold)
-                row, query = np.nonzero(s >= least)
-                held.append((pa.Table.from_batches([part]).select(keep).take(pa.array(row)), query, s[row, query]))
-                held[:] = [pruned()]
-        if held:
-            table, query, found = held[0]
+            for (lo, hi), held in zip(blocks, best_of, strict=True):
+                step = max(1, SCORED_AT_ONCE // (hi - lo))
+                for first in range(0, b.num_rows, step):
+                    part = b.slice(first, step)
+                    s = np.round(score(part, lo, hi), digits)
+                    least = np.partition(s, len(s) - limit, axis=0)[len(s) - limit] if len(s) > limit else np.full(hi - lo, -np.inf)
+                    if threshold is not None:
+                        least = np.maximum(least, threshold)
+                    row, query = np.nonzero(s >= least)
+                    held.append((pa.Table.from_batches([part]).select(keep).take(pa.array(row)), lo + query, s[row, query]))
+                    held[:] = [pruned(held)]
+        for table, query, found in (x for held in best_of for x in held):
             for batch in table.append_column("query_number", pa.array(query.astype(np.int32))).append_column("similarity", pa.array(found)).combine_chunks().to_batches():
                 yield batch
 
@@ -162,8 +167,8 @@ def _best_of_tasks(index: DataFrame, score: Callable[[pa.RecordBatch], np.ndarra
     return index.select(*keep, *(c for c in scored if c not in keep)).mapInArrow(nearest, types)
 
 
-def best_of_batches(index: DataFrame, score: Callable[[pa.RecordBatch], np.ndarray], scored: str, asked: list[tuple], id_field: StructField, *, limit: int, threshold: float | None, ties: Sequence[str], digits: int = DIGITS) -> DataFrame:
-    """The best rows for each query, where ``score`` gives (rows, queries) of a batch; the column ``scored`` is for it alone.
+def best_of_batches(index: DataFrame, score: Callable[[pa.RecordBatch, int, int], np.ndarray], scored: str, asked: list[tuple], id_field: StructField, *, limit: int, threshold: float | None, ties: Sequence[str], digits: int = DIGITS) -> DataFrame:
+    """The best rows for each query, where ``score`` gives (rows, queries lo to hi) of a batch; the column ``scored`` is for it alone.
 
     A task hands on ``limit`` rows for each query, whatever it has read. Similarities are compared at ``digits`` decimals.
     """
@@ -180,15 +185,15 @@ def _units(vectors: Sequence[Sequence[float]]) -> np.ndarray:
         return own / np.sqrt((own * own).sum(axis=1))[:, None]
 
 
-def _scorer(matrices: dict[int, tuple[np.ndarray, np.ndarray]], vector: str, n_queries: int) -> Callable[[pa.RecordBatch], np.ndarray]:
-    return lambda part: _similarities(part.column(vector), matrices, n_queries)
+def _scorer(matrices: dict[int, tuple[np.ndarray, np.ndarray]], vector: str) -> Callable[[pa.RecordBatch, int, int], np.ndarray]:
+    return lambda part, lo, hi: _similarities(part.column(vector), matrices, lo, hi)
 
 
-def _by_norms(query: Sequence[float], vector: str, norm: str) -> Callable[[pa.RecordBatch], np.ndarray]:
+def _by_norms(query: Sequence[float], vector: str, norm: str) -> Callable[[pa.RecordBatch, int, int], np.ndarray]:
     """Scores of one query by the rows' stored norms: a product with the query and a division."""
     unit = _units([query])[0]
 
-    def score(part: pa.RecordBatch) -> np.ndarray:
+    def score(part: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
         vectors, out = part.column(vector), np.zeros((part.num_rows, 1))
         rows = np.flatnonzero(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False) == len(unit))
         norms = pc.fill_null(part.column(norm), 0.0).to_numpy(zero_copy_only=False)[rows]
@@ -208,13 +213,13 @@ def search_many(index: DataFrame, queries: DataFrame, *, query_id: str, query_ve
     for size in {len(v or ()) for _, v in asked}:
         who = [i for i, (_, v) in enumerate(asked) if len(v or ()) == size]
         matrices[size] = np.array(who), _units([asked[i][1] or () for i in who])
-    shared, n_queries = index.sparkSession.sparkContext.broadcast(matrices), len(asked)
-    score = lambda part: _similarities(part.column(vector), shared.value, n_queries)
+    shared = index.sparkSession.sparkContext.broadcast(matrices)
+    score = lambda part, lo, hi: _similarities(part.column(vector), shared.value, lo, hi)
     return best_of_batches(index, score, vector, asked, queries.schema[query_id], limit=limit, threshold=threshold, ties=ties, digits=digits)
 
 
-def search_all(index: DataFrame, queries: DataFrame, *, query_id: str, **options) -> DataFrame:
-    """``search_many`` of any number of queries, block by block; a query's rows, if its id is repeated, share a block."""
+def query_blocks(queries: DataFrame, query_id: str) -> list[DataFrame]:
+    """Any number of queries as tables of at most ``MOST_QUERIES``; a query's rows, if its id is repeated, share a block."""
     n, blocks = queries.count(), 1
     sizes = [n]
     while max(sizes) > MOST_QUERIES:
@@ -222,8 +227,12 @@ def search_all(index: DataFrame, queries: DataFrame, *, query_id: str, **options
         sizes = [r["count"] for r in queries.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks))).count().collect()]
         if len(sizes) < blocks // 8:
             raise ValueError(f"more than {MOST_QUERIES} queries share an id")
-    parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [queries]
-    return reduce(DataFrame.unionByName, [search_many(index, part, query_id=query_id, **options) for part in parts])
+    return [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [queries]
+
+
+def search_all(index: DataFrame, queries: DataFrame, *, query_id: str, **options) -> DataFrame:
+    """``search_many`` of any number of queries, block by block."""
+    return reduce(DataFrame.unionByName, [search_many(index, part, query_id=query_id, **options) for part in query_blocks(queries, query_id)])
 
 
 def search_text(index: DataFrame, text: str, embed: Callable[[Column], Column], request: SearchRequest = SearchRequest(), **options) -> DataFrame:

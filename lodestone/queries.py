@@ -418,7 +418,7 @@ def pq_topk(spark, d):
     rows, book = _first_book(spark, d)
     book = product.kmeans_step(rows, book)
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return _shown(product.search(product.encoded(rows, book), book, asked, query_id="query_id", query_vector="query", limit=5, ties=["vec_id"]), "query_id", "vec_id")
+    return _shown(product.search_all(product.encoded(rows, book), book, asked, query_id="query_id", query_vector="query", limit=5, ties=["vec_id"]), "query_id", "vec_id")
 
 
 @query("SELECT 'sq' AS codec, round(sum(o) / sum(c), 6) AS ratio, round(100 * (1 - sum(c) / sum(o)), 6) AS percent FROM (SELECT 4.0 * len(embedding) AS o, 1.0 * len(embedding) + 128 AS c FROM embeddings)")

@@ -84,3 +84,21 @@ def test_wrong_shapes(spark):
         P.search(P.encoded(df, book), book, spark.createDataFrame([(1, [1.0])], "q int, v array<double>"), query_id="q", query_vector="v")
     null = spark.createDataFrame([(1, bytearray(b"\x00")), (2, bytearray(b"\x01"))], "id int, codes binary")
     assert P.code_lists(null).orderBy("id").collect()[1].codes == [1]
+
+
+def test_any_number_of_queries_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(300, 20))
+    df = table(spark, x)
+    book = P.first_codebook(df, "id", k=16)
+    coded, asked = P.encoded(df, book), df.where("id % 10 = 0").selectExpr("id as q", "embedding as v")
+    options = {"query_id": "q", "query_vector": "v", "limit": 5, "ties": ["id"]}
+    got = lambda d: {(t.q, t["rank"]): (t.id, round(t.similarity, 9)) for t in d.collect()}
+    whole = got(P.search(coded, book, asked, **options))
+    assert len(whole) == 150
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 4)
+    assert got(P.search(coded, book, asked, **options)) == whole
+    exact = got(search.search_many(df, asked, **options))
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 512)
+    assert got(search.search_many(df, asked, **options)) == exact
+    monkeypatch.setattr(search, "MOST_QUERIES", 12)
+    assert got(P.search_all(coded, book, asked, **options)) == whole
