@@ -21,7 +21,9 @@ from grows with the corpus and no text or part of one is left out.
 
 Corpus counts. Every training text is counted; a word's probability is the
 mixture of the attention model's and of the add-one unigram's over the whole
-training corpus, with a weight fitted to the end of the sample. Tasks share the
+training corpus. Its weight is fitted to all training words: the tasks' pass notes each one's log probability by
+the network before it learns from it, a join brings the counts, less the word itself, and a histogram of the differences is
+what the driver gets. Tasks share the
 counts of the commonest words, at most ``FREQUENT``; every other word's log probability
 by the network is carried to its exact count by a join on 64-bit word hashes, so
 score, base_score and n_known use exact counts for all words.
@@ -39,13 +41,14 @@ join, so no key is hot.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, read, remainder, sampled, stored
+from .common import arrow, bounded_batches, drop_stored, read, remainder, sampled, stored
 from .textkit import LOWER, NOT_SPACE, mix64, slices, span_hashes, utf8, words
 from .tokens import VOCABULARY, encoder
 
@@ -56,6 +59,8 @@ CHUNK, STRIDE = 1024, 128
 COUNTED_AT_ONCE = 4_000_000
 ENCODED_AT_ONCE = 100_000
 MERGED_BY = 16
+#: Steps of the histogram in a nat.
+FINE = 64
 END = np.uint64(0x454E4421)
 _LOWER = LOWER.tobytes()
 _CACHE = 300_000
@@ -219,7 +224,7 @@ class Attention:
         lc -= lc.max(axis=1, keepdims=True)
         pc = np.exp(lc)
         pc /= pc.sum(axis=1, keepdims=True)
-        loss = -np.log(pc[at, cls] + 1e-30).sum()
+        self.last = np.log(pc[at, cls] + 1e-30)
         pc[at, cls] -= 1
         pc /= n
         grad = {"c": hs.T @ pc, "cb": pc.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
@@ -230,7 +235,7 @@ class Attention:
             lm -= lm.max(axis=1, keepdims=True)
             pm = np.exp(lm)
             pm /= pm.sum(axis=1, keepdims=True)
-            loss -= np.log(pm[np.arange(len(rows)), member[rows]] + 1e-30).sum()
+            self.last[rows] += np.log(pm[np.arange(len(rows)), member[rows]] + 1e-30)
             pm[np.arange(len(rows)), member[rows]] -= 1
             pm /= n
             grad["m"][c], grad["mb"][c] = hs[rows].T @ pm, pm.sum(axis=0)
@@ -253,7 +258,7 @@ class Attention:
         at = np.concatenate((mine.ravel(), both.ravel())) % len(p["e"])  # padding, -1, has no gradient
         de = np.concatenate((flat(dr + dq @ p["q"].T), flat(dk @ p["k"].T + dv @ p["v"].T))).T
         grad["e"] = np.stack([np.bincount(at, x, len(p["e"])) for x in de], axis=1).astype(p["e"].dtype)
-        return float(loss / max(n, 1)), grad
+        return float(-self.last.sum() / max(n, 1)), grad
 
     def train(self, symbols: np.ndarray, bounds: np.ndarray, steps: int = STEPS, seed: int = 7) -> list[float]:
         """Adam on random blocks; returns the losses."""
@@ -272,7 +277,7 @@ class Blocks:
         self.ids, self.before, place = net.layout(symbols, bounds)
         target = np.full(self.ids.size, -1, np.int32)
         target[place] = symbols
-        self.target = target.reshape(-1, BLOCK)
+        self.target, self.place = target.reshape(-1, BLOCK), place
 
     def __len__(self) -> int:
         return len(self.before)
@@ -337,7 +342,7 @@ class Scorer:
         raw, cuts = flat.tobytes(), (wide * 2).tolist()
         self.cache.update(zip(missing, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+    def read(self, texts: list[str], score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
         """Words by text and each word's rank; by word or end in order: its text, network log probability and count; the rare words' places there and hashes."""
         split = [t.encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
         everything = [w for s in split for w in s]
@@ -364,7 +369,7 @@ class Scorer:
         is_end[ends] = True
         symbols[is_end], symbols[~is_end] = 1, flat[keep]
         bounds = np.concatenate(([0], ends + 1))
-        lp = self.net.score(symbols, bounds).astype(np.float64)
+        lp = (score or self.net.score)(symbols, bounds).astype(np.float64)
         starts = np.sort(np.concatenate((token_start[: len(size)], ends)))
         by_word = np.add.reduceat(lp, starts) if len(starts) else lp
         order_end = np.searchsorted(starts, ends)
@@ -392,20 +397,11 @@ class Scorer:
         logs = np.bincount(word_row, np.log10(self.counts[rank] + 1), len(n)).astype(np.float64)
         return (n + 1, known, logs, np.bincount(row, mixed, len(n)).astype(np.float64)), (row[rare], hashes, by_word[rare])
 
-    def fit_share(self, texts: list[str], counts: DataFrame) -> None:
-        """Expectation maximisation of the mixture's weight, held to 0.02..0.98; ``counts``: h, c of all training words."""
-        if not texts:
-            return
-        *_, a, count, rare, hashes = self.read(texts)
-        asked = np.unique(hashes).view(np.int64)
-        if len(asked):
-            own = counts.sparkSession.createDataFrame([(x,) for x in asked.tolist()], "h bigint")
-            found = {r.h: r.c for r in counts.join(F.broadcast(own), "h").collect()}
-            count[rare] = [found.get(x, 0) for x in hashes.view(np.int64).tolist()]
-        b = self.unigram(count)
-        for _ in range(20):
-            x, y = a + math.log(self.share), b + math.log1p(-self.share)
-            self.share = float(np.clip(np.exp(x - np.logaddexp(x, y)).mean(), 0.02, 0.98))
+    def fit_share(self, ahead: np.ndarray, n: np.ndarray) -> None:
+        """Expectation maximisation of the mixture's weight, held to 0.02..0.98; ``n`` words have a log probability by the network that is ``ahead`` of the unigram's."""
+        for _ in range(50 if len(n) else 0):
+            x, y = ahead + math.log(self.share), math.log1p(-self.share)
+            self.share = float(np.clip(np.average(np.exp(x - np.logaddexp(x, y)), weights=n), 0.02, 0.98))
 
 
 def _distinct(held: list[tuple[np.ndarray, ...]], path: str, ids: np.ndarray) -> pa.RecordBatch:
@@ -474,19 +470,40 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def learned(train: DataFrame, symbols: Symbols, net: Attention) -> None:
-    """Moves the network by one pass of every task over all of its training texts (column text)."""
-    shared = train.sparkSession.sparkContext.broadcast((symbols, net))
+def learned(train: DataFrame, scorer: Scorer, counts: DataFrame) -> None:
+    """Moves the network by one pass of every task over all of its training texts (column text), and fits the mixture's weight to what it finds.
+
+    ``counts``: h, c of all training words.
+    """
+    net = scorer.net
+    shared = train.sparkSession.sparkContext.broadcast(scorer)
 
     def result(n, total):
         return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
 
+    def found(n, h, step):
+        return pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary()), h, pa.array(step)], names=["n", "total", "h", "step"])
+
     def learn(batches):
-        symbols, start = shared.value
-        own = Attention()
-        own.p = {k: v.copy() for k, v in start.p.items()}
-        adam, rows, r = Adam(own), Rows(symbols), np.random.default_rng(7)
+        own, mine = Attention(), shared.value
+        own.p = {k: v.copy() for k, v in mine.net.p.items()}
+        adam, r = Adam(own), np.random.default_rng(7)
         n, total = 0, np.zeros(len(_flat(own.p)))
+
+        def train_on(symbols, bounds):
+            """Learns from the rows block by block; log probabilities of the symbols as they were before their own step."""
+            nonlocal n, total
+            blocks = Blocks(own, symbols, bounds)
+            lp = np.zeros(blocks.target.shape, np.float32)
+            for pick in np.array_split(r.permutation(len(blocks)), max(1, -(-len(blocks) // BATCH))):
+                adam.update(blocks, pick, TASK_RATE * min(1.0, (adam.t + 1) / 50))
+                part = lp[pick]
+                part[blocks.target[pick] >= 0] = own.last
+                lp[pick] = part
+                n += len(pick)
+                total += len(pick) * _flat(own.p)
+            return lp.ravel()[blocks.place]
+
         for b in batches:
             texts = b.column("text").to_pylist()
             size = np.cumsum([len(t) for t in texts])
@@ -494,13 +511,15 @@ def learned(train: DataFrame, symbols: Symbols, net: Attention) -> None:
             for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)], strict=True):
                 if x >= y:
                     continue
-                blocks = Blocks(own, *rows(texts[x:y]))
-                for pick in np.array_split(r.permutation(len(blocks)), -(-len(blocks) // BATCH)):
-                    adam.update(blocks, pick, TASK_RATE * min(1.0, (adam.t + 1) / 50))
-                    n += len(pick)
-                    total += len(pick) * _flat(own.p)
+                *_, by_word, count, rare, hashes = mine.read(texts[x:y], train_on)
+                common = np.ones(len(by_word), bool)
+                common[rare] = False
+                step, times = np.unique(np.floor((by_word - mine.unigram(np.maximum(count - 1, 0)))[common] * FINE).astype(np.int64), return_counts=True)
+                yield found(times, pa.nulls(len(step), pa.int64()), step)
+                yield found(np.ones(len(rare)), pa.array(hashes.view(np.int64)), np.floor(by_word[rare] * FINE).astype(np.int64))
         if n:
-            yield result(n, total)
+            more = [pa.nulls(1, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*result(n, total).columns, *more], names=["n", "total", "h", "step"])
 
     def merge(batches):
         n, total = 0, 0.0
@@ -511,13 +530,21 @@ def learned(train: DataFrame, symbols: Symbols, net: Attention) -> None:
             yield result(n, total)
 
     schema = "n:bigint,total:binary"
-    parts = train.select("text").transform(arrow, learn, schema).repartition(MERGED_BY).transform(arrow, merge, schema).collect()
+    passed = stored(train.select("text").transform(arrow, learn, f"{schema},h:bigint,step:bigint"), "learned")
+    parts = passed.where("total is not null").select("n", "total").repartition(MERGED_BY).transform(arrow, merge, schema).collect()
     if parts:
         mean, at = sum(np.frombuffer(x.total, np.float64) for x in parts) / sum(x.n for x in parts), 0
         for k in sorted(net.p):
             v = net.p[k]
             net.p[k] = mean[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
+    # a rare word's count is exact and leaves out the word itself, as a common one's does
+    rare = passed.where("h is not null").select("h", "step", "n").join(counts, "h")
+    less = F.log(F.col("c").cast("double")) - math.log(scorer.total + scorer.kinds + 1)
+    steps = rare.select(F.floor(F.col("step") - less * FINE).alias("step"), "n").unionByName(passed.where("h is null and total is null").select("step", "n"))
+    ahead = steps.groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toArrow()
+    scorer.fit_share((ahead.column("step").to_numpy() + 0.5) / FINE, ahead.column("n").to_numpy().astype(np.float64))
+    drop_stored(passed)
 
 
 def _commonest(counts: DataFrame, most: int) -> list:
@@ -547,9 +574,8 @@ def fitted(train: DataFrame, vocabulary: str = VOCABULARY) -> tuple[Scorer, Data
     symbols, net = Symbols(vocabulary, of_ids), Attention()
     if texts:
         net.train(*Rows(symbols)(texts))
-    learned(train, symbols, net)
     scorer = Scorer(symbols, net, np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64), (totals.n or 0) + ends, totals.v + (ends > 0), ends)
-    scorer.fit_share(texts[-200:], counts)
+    learned(train, scorer, counts)
     return scorer, counts
 
 

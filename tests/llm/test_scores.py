@@ -264,3 +264,28 @@ def test_sample_meets_its_targets_under_the_bound(spark):
     assert I.shortfalls(again, 0.7, **options).count() == 0
     short = I.shortfalls(again.withColumn("probability", F.lit(0.7)), 0.7, **options)
     assert {r.dimension for r in short.collect()} == {"source", "lang", "topic"}
+
+
+def test_the_weight_of_the_mixture_is_fitted_to_all_training_words(spark, monkeypatch):
+    monkeypatch.setattr(M, "STEPS", 5)
+    monkeypatch.setattr(M, "SAMPLE_DOCS", 1)
+    monkeypatch.setattr(M, "FREQUENT", 9)
+    rows = [(i, f"ab{i % 7} cd ef{i % 11} " * (i % 5 + 1)) for i in range(60)]
+    n_words, held = sum(len(t.split()) + 1 for _, t in rows), []
+    fit = M.Scorer.fit_share
+
+    def noted(self, ahead, n):
+        held.append(n.sum())
+        fit(self, ahead, n)
+
+    monkeypatch.setattr(M.Scorer, "fit_share", noted)
+    scorer = M.fitted(spark.createDataFrame(rows, "id bigint, text string"))[0]
+    assert held == [n_words] and 0.02 <= scorer.share <= 0.98
+    # a weight that is known is found again
+    r = np.random.default_rng(1)
+    from_a = r.random(4000) < 0.3
+    ahead = np.where(from_a, 3.0, -3.0)
+    one = M.Scorer(scorer.symbols, scorer.net, np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1, 1)
+    fit(one, ahead, np.ones(4000))
+    share = one.share
+    assert np.mean(np.exp(ahead) * share / (np.exp(ahead) * share + 1 - share)) == pytest.approx(share, abs=1e-3)
