@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,19 +67,24 @@ def _sieve_size(keys: int) -> int:
     return min(SIEVE_MOST, max(SIEVE_LEAST, 1 << (SIEVE_BITS * keys).bit_length()))
 
 
-def _sieve_words(keys: DataFrame, bits: int) -> DataFrame:
-    """w, b: the words of a bitmap of ``bits`` bits that are not zero; ``keys``: one column of 64-bit hashes."""
-    place = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
-    return keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+def _sieve_words(places: DataFrame) -> DataFrame:
+    """w, b: the words of a bitmap that are not zero, by the other columns; ``places``: p, the places of its bits."""
+    others = [c for c in places.columns if c != "p"]
+    return places.groupBy(*others, F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
 
 
-def sieve_array(keys: DataFrame, n: int) -> np.ndarray:
-    """A bitmap over the low bits of ``n`` hashes, as words, for tasks in Python; its size is bounded."""
-    bits = _sieve_size(n)
-    out = np.zeros(bits // 64, np.int64)
-    t = _sieve_words(keys, bits).toArrow()
-    out[t.column("w").to_numpy()] = t.column("b").to_numpy()
-    return out.view(np.uint64)
+def sieve_arrays(keys: DataFrame, *n: int) -> list[np.ndarray]:
+    """Two bitmaps over the low bits of hashes, as words, for tasks in Python; their sizes are bounded. ``keys``: hash, and whether it is one of the second's; ``n``: how many of each."""
+    bits = [_sieve_size(x) for x in n]
+    hashes, second = (F.col(f"`{c}`") for c in keys.columns)
+    place = hashes.bitwiseAND(F.when(second, F.lit(bits[1] - 1)).otherwise(F.lit(bits[0] - 1)))
+    t = _sieve_words(keys.select(second.alias("second"), place.alias("p"))).toArrow()
+    out = []
+    for which, size in enumerate(bits):
+        mine = t.filter(t.column("second") if which else pa.compute.invert(t.column("second")))
+        out.append(np.zeros(size // 64, np.int64))
+        out[-1][mine.column("w").to_numpy()] = mine.column("b").to_numpy()
+    return [x.view(np.uint64) for x in out]
 
 
 def in_sieve(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -91,7 +97,8 @@ def sieve(keys: DataFrame, n: int) -> Callable[[Column], Column]:
     """The same as a condition on a column of hashes: the bitmap is stored, and a scalar subquery reads it, so rows that fail aren't shuffled."""
     bits = _sieve_size(n)
     spark = keys.sparkSession
-    words = spark.range(bits // 64).join(_sieve_words(keys, bits), F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
+    place = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
+    words = spark.range(bits // 64).join(_sieve_words(keys.select(place.alias("p"))), F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
     listed = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("id", name))), lambda y: y[name]).alias(name)
     pages = words.groupBy(F.shiftright("id", 10).alias("page")).agg(listed("b")).select(F.col("page").alias("id"), "b")
     whole = stored(pages.agg(listed("b")).select(F.flatten("b").alias("x")), "sieve")

@@ -46,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, drop_stored, fresh, in_sieve, plus, read, salted_join, sieve, sieve_array, stored
-from .components import components
+from .common import arrow, bounded_batches, drop_stored, fresh, in_sieve, plus, read, salted_join, sieve, sieve_arrays, stored
+from .components import components, spanning
 from .textkit import LOWER, NOT_SPACE, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
 
 TREES, LEVELS, BRANCH, NODE = 8, 3, 2, 128
@@ -164,8 +164,8 @@ def _trees(classes: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], bool
         counts = classes.select("marks").transform(arrow, count, "node:bigint,n:bigint").groupBy("node").agg(F.sum("n").alias("n")).where("n > 1")
         counts = stored(counts, "nodes")
         of = counts.agg(F.count_if(F.col("n") <= NODE).alias("small"), F.count_if(F.col("n") > NODE).alias("big")).first()
-        leaf.append(sieve_array(counts.where(F.col("n") <= NODE).select("node"), of.small))
-        large.append(sieve_array(counts.where(F.col("n") > NODE).select("node"), of.big))
+        for sieves, x in zip((leaf, large), sieve_arrays(counts.select("node", F.col("n") > NODE), of.small, of.big), strict=True):
+            sieves.append(x)
         drop_stored(counts)
         some = of.big > 0
     return leaf, large, some
@@ -202,27 +202,12 @@ def _compared(node, n, sketch):
         k += 1
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each of n items to the least of its component in the graph of pairs (a, b), where it isn't that itself."""
-    label = np.arange(n)
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        old = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == old).all():
-            break
-    moved = np.flatnonzero(label < np.arange(n))
-    return moved, label[moved]
-
-
 def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _candidates(classes: DataFrame, leaf: list[np.ndarray], large: list[np.ndarray], hot: bool) -> DataFrame:
-    """Edges (u, v) that span the candidate pairs: of each small node by sketches, and of each large one at the last level."""
+    """Edges (u, v) that span the candidate pairs: of each small node by sketches, and of each large one at the last level, which is a vertex under 0."""
     shared = classes.sparkSession.sparkContext.broadcast((leaf, large))
 
     def place(batches):
@@ -245,15 +230,14 @@ def _candidates(classes: DataFrame, leaf: list[np.ndarray], large: list[np.ndarr
             found = list(_compared(t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), sketch))
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                u, v = _spanning(len(ks), at[a], at[b])
+                u, v = spanning(len(ks), at[a], at[b])
                 yield _edges(ks[u], ks[v])
 
     leaves = classes.select("k", "n_shingles", "marks").transform(arrow, place, "node:bigint,k:bigint,n_shingles:bigint,sketch:binary")
     near = leaves.repartition("node").sortWithinPartitions("node").transform(arrow, compare, "u:bigint,v:bigint")
     if hot:
-        rows = stored(_hot(classes, large).select("node", "k"), "nodes")
-        one = rows.groupBy("node").agg(F.min("k").alias("v"))
-        near = near.unionByName(salted_join(rows, one, "node", F.col("k")).where("k <> v").select(F.col("k").alias("u"), "v"))
+        # a large node is a vertex itself, of a name below all classes'
+        near = near.unionByName(_hot(classes, large).select(F.col("k").alias("u"), (F.lit(-1) - F.shiftrightunsigned("node", 1)).alias("v")))
     return near
 
 
@@ -305,7 +289,7 @@ def _confirmed(blocks: DataFrame, width: int) -> DataFrame:
                 n = np.diff(bounds).astype(np.float64)
                 both = _overlaps(values, bounds, a, b).astype(np.float64)
                 i, j = np.nonzero(100 * both >= 80 * (n[a][:, None] + n[b][None, :] - both))
-                u, v = _spanning(len(k), a[i], b[j])
+                u, v = spanning(len(k), a[i], b[j])
                 if len(u):
                     yield _edges(k[u], k[v])
 
@@ -320,52 +304,58 @@ def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, ["h", "key"])
 
 
-def _blocks(big: DataFrame, rest: DataFrame | None, lead: DataFrame | None) -> DataFrame:
-    """Blocks of the large families: all rows (a) against the leader (b), or against those not linked with it (b)."""
-    size = big.groupBy("family").agg(F.ceil(F.sum(_weight()) / F.lit(BLOCK)).alias("nb"))
-    if lead is not None:
-        size = size.join(lead, "family")
-        rows = salted_join(big, size, "family", F.col("k"))
-        own = F.pmod(F.xxhash64("k"), F.col("nb"))
-        every = rows.select("family", own.alias("i"), F.lit(0).cast("bigint").alias("j"), "k", "h", "key", F.lit(True).alias("a"), (F.col("k") == F.col("lead")).alias("b"))
-        heads = rows.where("k = lead").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).where(F.col("i") != own)
-        return every.unionByName(heads.select("family", "i", F.lit(0).cast("bigint").alias("j"), "k", "h", "key", F.lit(False).alias("a"), F.lit(True).alias("b")))
-    size = size.join(rest.groupBy("family").agg(F.ceil(F.sum(_weight()) / F.lit(BLOCK)).alias("rb")), "family")
-    rows, few = (salted_join(x, size, "family", F.col("k")) for x in (big, rest))
-    columns = ["family", "i", "j", "k", "h", "key", "a", "b"]
-    every = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rb") - 1))).withColumns({"i": F.pmod(F.xxhash64("k"), F.col("nb")), "a": F.lit(True), "b": F.lit(False)})
-    few = few.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).withColumns({"j": F.pmod(F.xxhash64("k", F.lit(1)), F.col("rb")), "a": F.lit(False), "b": F.lit(True)})
-    return every.select(columns).unionByName(few.select(columns))
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """``rows`` (family, k, text), each once for every one of ``blocks``, an array of (i, j, a, b)."""
+    return rows.select("family", "k", "text", F.explode(blocks).alias("x")).select(F.xxhash64("family", "x.i", "x.j").alias("node"), "k", "text", "x.a", "x.b")
+
+
+def _block(i: Column, j: Column, a: Column, b: Column) -> Column:
+    return F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), a.alias("a"), b.alias("b"))
+
+
+def _first(texts: DataFrame) -> DataFrame:
+    """Blocks of all families: a small one is a block; a large one's rows (a) meet its leader (b), of which every block gets a copy."""
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    own, is_lead = F.pmod(F.xxhash64("k"), F.col("nb")), F.col("k") == F.col("lead")
+    others = F.filter(F.sequence(zero.cast("bigint"), F.col("nb") - 1), lambda i: i != own)
+    mine = F.array(_block(own, zero, yes, is_lead))
+    heads = F.concat(mine, F.transform(others, lambda i: _block(i, zero, no, yes)))
+    return _dealt(texts, F.when(F.col("nb").isNull(), F.array(_block(zero, zero, yes, yes))).when(is_lead, heads).otherwise(mine))
+
+
+def _second(rows: DataFrame) -> DataFrame:
+    """Blocks of large families with rows that aren't linked with the leader: all rows (a), dealt to nb, against those (b), dealt to rb."""
+    yes, no = F.lit(True), F.lit(False)
+    count = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    every = F.transform(count("rb"), lambda j: _block(F.pmod(F.xxhash64("k"), F.col("nb")), j, yes, no))
+    few = F.transform(count("nb"), lambda i: _block(i, F.pmod(F.xxhash64("k", F.lit(1)), F.col("rb")), no, yes))
+    return _dealt(rows, F.when(F.col("is_rest"), F.concat(every, few)).otherwise(every))
 
 
 def _links(base: DataFrame, classes: DataFrame, families: DataFrame, hot: DataFrame | None, width: int) -> DataFrame:
     """Edges that span the links between classes, decided on full sets family by family."""
-    wanted = stored(classes.select("k", "h", "key", "n_shingles").join(families, "k"), "wanted")
-    small_of = wanted.groupBy("family").agg(F.sum(_weight()).alias("weight"))
-    big_of = stored(small_of.where(F.col("weight") > BLOCK).select("family"), "big")
-    texts = stored(_texts(base, wanted.select("k", "h", "key", "family")).select("h", "key", "k", "family", "text"), "texts")
-    if big_of.isEmpty():
-        links = stored(_confirmed(texts.select(F.xxhash64("family").alias("node"), "k", "text", F.lit(True).alias("a"), F.lit(True).alias("b")), width), "links")
-        for x in (wanted, big_of, texts):
-            drop_stored(x)
-        return links
-    flag = big_of.withColumn("is_big", F.lit(True))
-    parted = lambda rows: salted_join(rows, flag, "family", F.col("k"), "left")
-    small = parted(texts).where("is_big is null")
-    links = stored(_confirmed(small.select(F.xxhash64("family").alias("node"), "k", "text", F.lit(True).alias("a"), F.lit(True).alias("b")), width), "links")
-    big = stored(parted(wanted).where("is_big").drop("is_big"), "big_rows")
-    rank = big.select("family", "k", "n_shingles") if hot is None else big.select("family", "k", "n_shingles").join(hot, "k", "left")
-    rank = rank.withColumn("r", F.lit(0) if hot is None else F.coalesce("times", F.lit(0)))
-    lead = rank.groupBy("family").agg(F.max_by("k", F.struct("r", F.col("k").alias("x"))).alias("lead"))
-    node = F.xxhash64("family", "i", "j").alias("node")
-    text_of = texts.select("k", "text")
-    star = stored(_confirmed(_blocks(big, None, lead).join(text_of, "k").select(node, "k", "text", "a", "b"), width), "links")
-    reached = star.select(F.explode(F.array("u", "v")).alias("k")).unionByName(lead.select(F.col("lead").alias("k"))).distinct()
-    rest = stored(big.join(reached, "k", "left_anti"), "rest")
-    links = links.unionByName(star)
-    if not rest.isEmpty():
-        links = links.unionByName(stored(_confirmed(_blocks(big, rest, None).join(text_of, "k").select(node, "k", "text", "a", "b"), width), "links"))
-    for x in (wanted, big_of, texts, big, rest):
+    wanted = classes.select("k", "h", "key", "n_shingles").join(families, "k")
+    wanted = wanted.withColumn("times", F.lit(0).cast("bigint")) if hot is None else wanted.join(hot, "k", "left")
+    wanted = stored(wanted, "wanted")
+    blocks = F.ceil(F.col("weight") / F.lit(BLOCK)).alias("nb")
+    of = wanted.groupBy("family").agg(F.sum(_weight()).alias("weight"), F.max_by("k", F.struct(F.coalesce("times", F.lit(0)).alias("r"), F.col("k").alias("x"))).alias("lead"))
+    big_of = stored(of.where(F.col("weight") > BLOCK).select("family", "lead", blocks), "big")
+    some_big = not big_of.isEmpty()
+    light = wanted.select("k", "h", "key", "family", "n_shingles")
+    light = salted_join(light, big_of, "family", F.col("k"), "left") if some_big else light.withColumns({"lead": F.lit(None).cast("bigint"), "nb": F.lit(None).cast("bigint")})
+    light = stored(light, "marked")
+    texts = stored(_texts(base, light).select("k", "family", "n_shingles", "lead", "nb", "text"), "texts")
+    links = stored(_confirmed(_first(texts), width), "links")
+    done = [wanted, big_of, light, texts]
+    if some_big:
+        reached = links.select(F.explode(F.array("u", "v")).alias("k")).distinct().withColumn("is_reached", F.lit(True))
+        rest = F.col("is_reached").isNull() & (F.col("k") != F.col("lead"))
+        tested = stored(texts.where("nb is not null").join(reached, "k", "left").withColumn("is_rest", rest).drop("is_reached"), "tested")
+        rb = stored(tested.where("is_rest").groupBy("family").agg(F.ceil(F.sum(_weight()) / F.lit(BLOCK)).alias("rb")), "rest")
+        if not rb.isEmpty():
+            links = links.unionByName(stored(_confirmed(_second(salted_join(tested, rb, "family", F.col("k"))), width), "links"))
+        done += [tested, rb]
+    for x in done:
         drop_stored(x)
     return links
 
@@ -381,7 +371,7 @@ def _membership(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     classes = stored(classes, "classes")
     leaf, large, hot = _trees(classes)
     near = _candidates(classes, leaf, large, hot)
-    families = components(near).select(F.col("node").alias("k"), F.col("component").alias("family"))
+    families = components(near).where("node >= 0").select(F.col("node").alias("k"), F.col("component").alias("family"))
     times = _hot(classes, large).groupBy("k").agg(F.count("*").alias("times")) if hot else None
     links = _links(base, classes, families, times, width)
     final = components(links).withColumnRenamed("node", "k")

@@ -124,3 +124,26 @@ def test_hot_group_of_near_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     out = N.linked(df).where("kept")
     assert out.count() == 1
+
+
+def test_rounds_of_components_take_few_tasks(spark):
+    """Where partitions stay many, as with skewed tables, a round costs a shuffle for each star and one for its state."""
+    edges = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1040)]
+    r = random.Random(3)
+    r.shuffle(edges)
+    df = spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)
+    context, many = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("rounds", "")
+        got = {x.node: x.component for x in components.components(df).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**{i: 0 for i in range(700)}, **{i: 1000 for i in range(1000, 1041)}}
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("rounds") for s in told.getJobInfo(j).stageIds}
+    assert sum(x.numCompletedTasks for s in stages if (x := told.getStageInfo(s))) < 1200
