@@ -206,60 +206,80 @@ class Attention:
     def step(self, mine: np.ndarray, both: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss and gradients of a batch of blocks; targets under 0 don't count."""
         p, scale = self.p, np.float32(1 / math.sqrt(DIM))
+        flat = lambda m: m.reshape(-1, m.shape[-1])
+        times = lambda m, w: (flat(m) @ w).reshape(*m.shape[:-1], w.shape[1])
         x, y = p["e"][mine], p["e"][both]
-        q, k, v = x @ p["q"], y @ p["k"], y @ p["v"]
-        s = q @ k.transpose(0, 2, 1) * scale + p["d"][self.distance] + self.mask(both)
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        a = s / s.sum(axis=2, keepdims=True)
+        q, k, v = times(x, p["q"] * scale), times(y, p["k"]), times(y, p["v"])
+        a = q @ k.transpose(0, 2, 1)
+        a += p["d"][self.distance] + np.where(self.future, np.float32(-1e9), np.float32(0))
+        if (both < 0).any():
+            a += np.where(both < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+        self._exp(a)
         z = a @ v
-        r = x + z @ p["o"]
-        pre = r @ p["w"] + p["b"]
-        h = np.maximum(pre, 0)
-        real = target >= 0
-        hs, t = h[real], target[real]
-        cls, member, n = t // MEMBERS, t % MEMBERS, len(t)
-        at = np.arange(n)
-        lc = hs @ p["c"] + p["cb"]
-        lc -= lc.max(axis=1, keepdims=True)
-        pc = np.exp(lc)
-        pc /= pc.sum(axis=1, keepdims=True)
-        self.last = np.log(pc[at, cls] + 1e-30)
-        pc[at, cls] -= 1
-        pc /= n
+        r = times(z, p["o"])
+        r += x
+        h = times(r, p["w"])
+        h += p["b"]
+        np.maximum(h, 0, out=h)
+        # rows with a target, grouped by its class
+        real = np.flatnonzero(target.ravel() >= 0)
+        t = target.ravel()[real]
+        order = np.argsort((t // MEMBERS).astype(np.uint8), kind="stable")
+        cls, member, n = t[order] // MEMBERS, t[order] % MEMBERS, len(t)
+        hs, at = flat(h)[real[order]], np.arange(n)
+        pc = hs @ p["c"]
+        pc += p["cb"]
+        self._exp(pc)
+        pm = np.empty((n, MEMBERS), np.result_type(hs, p["m"]))
+        some, first = np.unique(cls, return_index=True)
+        runs = [(c, slice(*ab)) for c, *ab in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
+        for c, rows in runs:
+            np.matmul(hs[rows], p["m"][c], out=pm[rows])
+        pm += p["mb"][cls]
+        self._exp(pm)
+        self.last = np.empty(n, pm.dtype)
+        self.last[order] = np.log(pc[at, cls] + 1e-30) + np.log(pm[at, member] + 1e-30)
+        for m, of in ((pc, cls), (pm, member)):
+            m[at, of] -= 1
+            m /= max(n, 1)
         grad = {"c": hs.T @ pc, "cb": pc.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
+        if n:
+            grad["mb"][some] = np.add.reduceat(pm, first, axis=0)
         dh = pc @ p["c"].T
-        for c in np.unique(cls):
-            rows = np.flatnonzero(cls == c)
-            lm = hs[rows] @ p["m"][c] + p["mb"][c]
-            lm -= lm.max(axis=1, keepdims=True)
-            pm = np.exp(lm)
-            pm /= pm.sum(axis=1, keepdims=True)
-            self.last[rows] += np.log(pm[np.arange(len(rows)), member[rows]] + 1e-30)
-            pm[np.arange(len(rows)), member[rows]] -= 1
-            pm /= n
-            grad["m"][c], grad["mb"][c] = hs[rows].T @ pm, pm.sum(axis=0)
-            dh[rows] += pm @ p["m"][c].T
+        for c, rows in runs:
+            grad["m"][c] = hs[rows].T @ pm[rows]
+            dh[rows] += pm[rows] @ p["m"][c].T
+        dh *= hs > 0
         full = np.zeros_like(h)
-        full[real] = dh
-        full *= pre > 0
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        grad["w"], grad["b"] = flat(r).T @ flat(full), flat(full).sum(axis=0)
-        dr = full @ p["w"].T
+        flat(full)[real[order]] = dh
+        grad["w"], grad["b"] = flat(r).T @ flat(full), dh.sum(axis=0)
+        dr = times(full, p["w"].T)
         grad["o"] = flat(z).T @ flat(dr)
-        dz = dr @ p["o"].T
+        dz = times(dr, p["o"].T)
         dv = a.transpose(0, 2, 1) @ dz
-        da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        ds = dz @ v.transpose(0, 2, 1)
+        ds -= (dz * z).sum(axis=2, keepdims=True)
+        ds *= a
         grad["d"] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32)
-        ds *= scale
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq *= scale
         grad["q"], grad["k"], grad["v"] = flat(x).T @ flat(dq), flat(y).T @ flat(dk), flat(y).T @ flat(dv)
+        dr += times(dq, p["q"].T)
+        dy = times(dk, p["k"].T)
+        dy += times(dv, p["v"].T)
         at = np.concatenate((mine.ravel(), both.ravel())) % len(p["e"])  # padding, -1, has no gradient
-        de = np.concatenate((flat(dr + dq @ p["q"].T), flat(dk @ p["k"].T + dv @ p["v"].T))).T
-        grad["e"] = np.stack([np.bincount(at, x, len(p["e"])) for x in de], axis=1).astype(p["e"].dtype)
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        some, first = np.unique(at[order], return_index=True)
+        grad["e"] = np.zeros_like(p["e"])
+        grad["e"][some] = np.add.reduceat(np.concatenate((flat(dr), flat(dy)))[order], first, axis=0)
         return float(-self.last.sum() / max(n, 1)), grad
 
+    def _exp(self, s: np.ndarray) -> None:
+        """Rows of ``s`` to their softmax, in place."""
+        s -= s.max(axis=-1, keepdims=True)
+        np.exp(s, out=s)
+        s /= (s.reshape(-1, s.shape[-1]) @ np.ones((s.shape[-1], 1), s.dtype)).reshape(*s.shape[:-1], 1)
+
     def train(self, symbols: np.ndarray, bounds: np.ndarray, steps: int = STEPS, seed: int = 7) -> list[float]:
         """Adam on random blocks; returns the losses."""
         blocks = Blocks(self, symbols, bounds)
@@ -299,8 +319,15 @@ class Adam:
             m *= np.float32(0.9)
             m += np.float32(0.1) * g
             v *= np.float32(0.99)
-            v += np.float32(0.01) * g * g
-            self.net.p[k] = (self.net.p[k] - rate * m / (np.sqrt(v) * root + np.float32(1e-8))).astype(np.float32)
+            g *= g
+            g *= np.float32(0.01)
+            v += g
+            by = np.sqrt(v)
+            by *= root
+            by += np.float32(1e-8)
+            np.divide(m, by, out=by)
+            by *= rate
+            self.net.p[k] = self.net.p[k] - by
         return loss
 
 

@@ -289,3 +289,12 @@ def test_the_weight_of_the_mixture_is_fitted_to_all_training_words(spark, monkey
     fit(one, ahead, np.ones(4000))
     share = one.share
     assert np.mean(np.exp(ahead) * share / (np.exp(ahead) * share + 1 - share)) == pytest.approx(share, abs=1e-3)
+
+
+def test_a_training_step_makes_its_softmaxes_once_for_all_classes(monkeypatch):
+    net, r, calls, exp = M.Attention(), np.random.default_rng(4), [], np.exp
+    blocks = M.Blocks(net, r.integers(0, M.CLASSES * M.MEMBERS, 3000), np.array([0, 7, 1500, 3000]))
+    both = np.concatenate([blocks.ids[blocks.before], blocks.ids[:-1]], axis=1)
+    monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
+    loss, _ = net.step(np.maximum(blocks.ids[:-1], 0), both, blocks.target[: len(blocks)])
+    assert len(calls) == 3 and len(net.last) == 3000 and loss == pytest.approx(-net.last.mean(), rel=1e-5)
