@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -42,6 +43,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A few rows of the driver's as a table. Made from Arrow: from a list, every executor starts a second set of Python workers to unpickle them."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    kinds = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), schema)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing reads it."""
     spark = df.sparkSession
@@ -143,7 +152,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 #: The folder that holds the package, for the tasks' module path.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows and bytes of an Arrow batch that Python tasks take at once, so that long texts don't fill a worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

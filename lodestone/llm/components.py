@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, drop_stored, stored
+from .common import arrow, drop_stored, local_rows, stored
 
 #: A vertex is a hub over FEW edges and a share 1 / HUBS of all.
 HUBS, FEW = 1 << 14, 1 << 9
@@ -69,7 +69,7 @@ def _state(edges: DataFrame, n: int) -> tuple[bool, DataFrame | None]:
     hubs = F.collect_list(F.when(F.col("n") > max(FEW, n // HUBS), F.struct("u", F.coalesce("m", "u").alias("m"))))
     r = of.agg(open_.alias("open"), hubs.alias("hubs")).first()
     schema = edges.select("u", F.col("v").alias("m")).schema
-    return bool(r.open), edges.sparkSession.createDataFrame([(x.u, x.m) for x in r.hubs], schema) if r.hubs else None
+    return bool(r.open), local_rows(edges.sparkSession, [(x.u, x.m) for x in r.hubs], schema) if r.hubs else None
 
 
 def _large_star(edges: DataFrame, hubs: DataFrame | None) -> DataFrame:

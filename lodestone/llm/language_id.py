@@ -35,7 +35,7 @@ LONG_CHARS = 16_384
 MOST_LANGUAGES = 1000
 #: The score is the posterior as it would be from so many bytes at the text's mean code length per byte.
 EVIDENCE_BYTES = 64
-SLICE = 1 << 18
+SLICE = 1 << 16
 
 
 def _contexts(buf: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, drop_stored, fresh, read, salted_join, stored
+from .common import arrow, drop_stored, fresh, local_rows, read, salted_join, stored
 
 SWEEPS, INNER, STILL, TOLERANCE, KEEP, SEED = 50, 100, 4, 1e-6, 0.5, 11
 MOST_KINDS, FEW_CELLS = 1 << 16, 100_000
@@ -105,7 +105,7 @@ class Raking:
         # a kind's factor is that of its language times that of its topic
         self.row, self.column = (np.array([at[d][r[d]] for r in kinds]) for d in (0, 1))
         self.factors = [np.ones(len(x)) for x in self.want]
-        self.numbers = F.broadcast(spark.createDataFrame([(r.lang, r.topic, i) for i, r in enumerate(kinds)], "lang string, topic string, kind int"))
+        self.numbers = F.broadcast(local_rows(spark, [(r.lang, r.topic, i) for i, r in enumerate(kinds)], "lang string, topic string, kind int"))
         base = cells.where("mass > 0").join(self.numbers, ["lang", "topic"]).groupBy("source").agg(F.collect_list("kind").alias("kinds"), F.collect_list("mass").alias("masses"))
         self.base = stored(base.join(sources.select(F.col("value").alias("source"), (F.col("share") * self.total).alias("want")), "source"), "sources")
 
@@ -229,7 +229,7 @@ def shortfalls(cells: DataFrame, keep: float, tolerance: float = 1e-3, **targets
     goal = keep * (cells.agg(F.sum("mass").alias("m")).first().m or 0.0) or 1.0
     expected = lambda name: cells.groupBy(F.col(name).alias("value")).agg((F.sum(F.col("mass") * F.col("probability")) / goal).alias("expected"))
     spark = cells.sparkSession
-    wanted = {"source": sources.withColumnRenamed("share", "target"), **{k: spark.createDataFrame(list(v.items()), "value string, target double") for k, v in (("lang", langs), ("topic", topics))}}
+    wanted = {"source": sources.withColumnRenamed("share", "target"), **{k: local_rows(spark, list(v.items()), "value string, target double") for k, v in (("lang", langs), ("topic", topics))}}
     parts = [wanted[k].join(expected(k), "value").select(F.lit(k).alias("dimension"), "value", "target", "expected") for k in wanted]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.abs(F.col("target") - F.col("expected")) > tolerance)
 

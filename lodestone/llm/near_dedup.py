@@ -370,8 +370,10 @@ def _membership(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     classes = classes.select("cls", "id", F.xxhash64("one.id", "one.key").alias("h"), "one.key", "n_shingles", "marks", F.monotonically_increasing_id().alias("k"))
     classes = stored(classes, "classes")
     leaf, large, hot = _trees(classes)
-    near = _candidates(classes, leaf, large, hot)
+    # stored, or its tasks would hold a worker that compares and another that contracts
+    near = stored(_candidates(classes, leaf, large, hot), "near")
     families = components(near).where("node >= 0").select(F.col("node").alias("k"), F.col("component").alias("family"))
+    drop_stored(near)
     times = _hot(classes, large).groupBy("k").agg(F.count("*").alias("times")) if hot else None
     links = _links(base, classes, families, times, width)
     final = components(links).withColumnRenamed("node", "k")

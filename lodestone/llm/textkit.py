@@ -28,7 +28,8 @@ ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-SLICE_BYTES = 1 << 20
+#: A few hundred kB, so that a slice's arrays of 8 bytes for each of its own stay small beside a worker.
+SLICE_BYTES = 1 << 18
 _powers: list[np.ndarray] = []
 
 
