@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import re
@@ -170,6 +171,27 @@ def trim() -> None:
         pass
 
 
+#: glibc's mallopt: parameters, and the greatest values that it sets by itself.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _TRIM_MOST, _MMAP_MOST = -1, -3, 64 << 20, 32 << 20
+
+
+@contextlib.contextmanager
+def holding(most: int = 512 << 20) -> Iterator[None]:
+    """Freed memory, up to ``most``, stays with the process meanwhile: for steps that make and free the same arrays over and over, whose pages the system would clear each time."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # not glibc
+        yield
+        return
+    mallopt(_MMAP_THRESHOLD, _MMAP_MOST)
+    mallopt(_TRIM_THRESHOLD, most)
+    try:
+        yield
+    finally:
+        mallopt(_TRIM_THRESHOLD, _TRIM_MOST)
+        trim()
+
+
 def arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose tasks find this package and end lean."""
     env = df.sparkSession.sparkContext.environment

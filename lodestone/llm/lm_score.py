@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, drop_stored, read, remainder, sampled, stored
+from .common import arrow, bounded_batches, drop_stored, holding, read, remainder, sampled, stored
 from .textkit import LOWER, NOT_SPACE, mix64, slices, span_hashes, utf8, words
 from .tokens import VOCABULARY, encoder
 
@@ -208,7 +208,7 @@ class Attention:
         p, scale = self.p, np.float32(1 / math.sqrt(DIM))
         flat = lambda m: m.reshape(-1, m.shape[-1])
         times = lambda m, w: (flat(m) @ w).reshape(*m.shape[:-1], w.shape[1])
-        x, y = p["e"][mine], p["e"][both]
+        x, y = np.take(p["e"], mine, axis=0), np.take(p["e"], both, axis=0, mode="wrap")  # padding, -1, is the last row
         q, k, v = times(x, p["q"] * scale), times(y, p["k"]), times(y, p["v"])
         a = q @ k.transpose(0, 2, 1)
         a += p["d"][self.distance] + np.where(self.future, np.float32(-1e9), np.float32(0))
@@ -226,7 +226,7 @@ class Attention:
         t = target.ravel()[real]
         order = np.argsort((t // MEMBERS).astype(np.uint8), kind="stable")
         cls, member, n = t[order] // MEMBERS, t[order] % MEMBERS, len(t)
-        hs, at = flat(h)[real[order]], np.arange(n)
+        hs, at = np.take(flat(h), real[order], axis=0), np.arange(n)
         pc = hs @ p["c"]
         pc += p["cb"]
         self._exp(pc)
@@ -235,7 +235,7 @@ class Attention:
         runs = [(c, slice(*ab)) for c, *ab in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
         for c, rows in runs:
             np.matmul(hs[rows], p["m"][c], out=pm[rows])
-        pm += p["mb"][cls]
+        pm += np.take(p["mb"], cls, axis=0)
         self._exp(pm)
         self.last = np.empty(n, pm.dtype)
         self.last[order] = np.log(pc[at, cls] + 1e-30) + np.log(pm[at, member] + 1e-30)
@@ -258,7 +258,7 @@ class Attention:
         dz = times(dr, p["o"].T)
         dv = a.transpose(0, 2, 1) @ dz
         ds = dz @ v.transpose(0, 2, 1)
-        ds -= (dz * z).sum(axis=2, keepdims=True)
+        ds -= np.einsum("bij,bij->bi", dz, z)[:, :, None]
         ds *= a
         grad["d"] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
@@ -271,7 +271,7 @@ class Attention:
         order = np.argsort(at.astype(np.uint16), kind="stable")
         some, first = np.unique(at[order], return_index=True)
         grad["e"] = np.zeros_like(p["e"])
-        grad["e"][some] = np.add.reduceat(np.concatenate((flat(dr), flat(dy)))[order], first, axis=0)
+        grad["e"][some] = np.add.reduceat(np.take(np.concatenate((flat(dr), flat(dy))), order, axis=0), first, axis=0)
         return float(-self.last.sum() / max(n, 1)), grad
 
     def _exp(self, s: np.ndarray) -> None:
@@ -431,6 +431,16 @@ class Scorer:
             self.share = float(np.clip(np.average(np.exp(x - np.logaddexp(x, y)), weights=n), 0.02, 0.98))
 
 
+def _holding(f: Callable) -> Callable:
+    """``f`` with the memory it frees held until its task ends."""
+
+    def task(batches):
+        with holding():
+            yield from f(batches)
+
+    return task
+
+
 def _distinct(held: list[tuple[np.ndarray, ...]], path: str, ids: np.ndarray) -> pa.RecordBatch:
     """The held words' counts; the counts of their ids are added to ``ids``."""
     h, at, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in held)]), return_index=True, return_counts=True)
@@ -470,7 +480,7 @@ def word_counts(train: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         yield _distinct(held, vocabulary, ids)
         yield _counted(True, np.flatnonzero(ids), ids[ids > 0])
 
-    return train.select("text").transform(arrow, partial, "piece:boolean,h:bigint,c:bigint").groupBy("piece", "h").agg(F.sum("c").alias("c"))
+    return train.select("text").transform(arrow, _holding(partial), "piece:boolean,h:bigint,c:bigint").groupBy("piece", "h").agg(F.sum("c").alias("c"))
 
 
 class Rows:
@@ -557,7 +567,7 @@ def learned(train: DataFrame, scorer: Scorer, counts: DataFrame) -> None:
             yield result(n, total)
 
     schema = "n:bigint,total:binary"
-    passed = stored(train.select("text").transform(arrow, learn, f"{schema},h:bigint,step:bigint"), "learned")
+    passed = stored(train.select("text").transform(arrow, _holding(learn), f"{schema},h:bigint,step:bigint"), "learned")
     parts = passed.where("total is not null").select("n", "total").repartition(MERGED_BY).transform(arrow, merge, schema).collect()
     if parts:
         mean, at = sum(np.frombuffer(x.total, np.float64) for x in parts) / sum(x.n for x in parts), 0
@@ -600,7 +610,8 @@ def fitted(train: DataFrame, vocabulary: str = VOCABULARY) -> tuple[Scorer, Data
     of_ids[found.column("h").to_numpy()] = found.column("c").to_numpy()
     symbols, net = Symbols(vocabulary, of_ids), Attention()
     if texts:
-        net.train(*Rows(symbols)(texts))
+        with holding():
+            net.train(*Rows(symbols)(texts))
     scorer = Scorer(symbols, net, np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64), (totals.n or 0) + ends, totals.v + (ends > 0), ends)
     learned(train, scorer, counts)
     return scorer, counts
@@ -630,7 +641,7 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
                 cols = [np.concatenate((alone, hashes)).view(np.int64), np.concatenate((n, none.astype(np.int64))), np.concatenate((known, none.astype(np.int64))), np.concatenate((logs, none)), np.concatenate((mixed, lp))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("id", "key", "held_out")), *map(pa.array, cols)], names=["id", "key", "held_out", "h", "n_tokens", "known", "logs", "score"])
 
-    each = base.transform(arrow, score, "id:bigint,key:bigint,held_out:boolean,h:bigint,n_tokens:bigint,known:bigint,logs:double,score:double").join(counts, "h", "left")
+    each = base.transform(arrow, _holding(score), "id:bigint,key:bigint,held_out:boolean,h:bigint,n_tokens:bigint,known:bigint,logs:double,score:double").join(counts, "h", "left")
     c, is_rare = F.coalesce(F.col("c"), F.lit(0)), F.col("n_tokens") == 0
     mixed = F.log10(F.exp("score") * scorer.share + (c + 1) * ((1 - scorer.share) / (scorer.total + scorer.kinds + 1)))
     each = each.withColumns({"known": F.when(is_rare, (c > 0).cast("bigint")).otherwise(F.col("known")), "logs": F.when(is_rare, F.log10(c + 1)).otherwise(F.col("logs")), "score": F.when(is_rare, mixed).otherwise(F.col("score"))})

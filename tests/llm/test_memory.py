@@ -1,7 +1,10 @@
+import resource
+
+import numpy as np
 import pytest
 
 from lodestone.llm import near_dedup
-from lodestone.llm.common import local_rows
+from lodestone.llm.common import holding, local_rows
 
 
 @pytest.mark.parametrize("rows", [[("a", 1.5), (None, 2.0)], []])
@@ -19,3 +22,16 @@ def test_candidates_are_contracted_in_tasks_of_their_own(spark, monkeypatch):
     near_dedup.linked(docs).collect()
     assert plans
     assert not any("MapInArrow" in p for p in plans)
+
+
+def test_freed_memory_is_held_for_the_next_step():
+    def faults():
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        for _ in range(50):
+            held = [np.ones(1 << 17) for _ in range(8)]
+            del held
+        return resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before
+
+    with holding():
+        faults()
+        assert faults() < 50 * 8 * 256 / 10
