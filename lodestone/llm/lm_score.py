@@ -55,6 +55,10 @@ from .tokens import VOCABULARY, encoder
 CLASSES, MEMBERS, DIM, HIDDEN, BLOCK = 32, 32, 16, 32, 16
 SAMPLE_DOCS, STEPS, BATCH, RATE, TASK_RATE = 1500, 1000, 256, 1.5e-2, 2e-3
 FREQUENT = 65_535
+#: Neighbouring blocks that stay together in a batch of the tasks' pass, so that most are read once and not again as what stands before.
+RUN = 8
+#: Greatest logarithm whose exponential float32 takes as it is.
+STEEP = 60
 CHUNK, STRIDE = 1024, 128
 COUNTED_AT_ONCE = 4_000_000
 ENCODED_AT_ONCE = 100_000
@@ -98,6 +102,12 @@ class Symbols:
         return self.of[ids], np.add.reduceat(self.cost[ids], bounds[:-1]), bounds
 
 
+def _held(s: np.ndarray) -> None:
+    """Exponents held to STEEP, in place."""
+    if s.size and s.max() > STEEP:
+        np.minimum(s, STEEP, out=s)
+
+
 class Attention:
     """The network, its training and its scoring; log probabilities are natural."""
 
@@ -159,13 +169,13 @@ class Attention:
                 v, q = values[ids[lead:b]], queries[ids[a:b]]
                 s = np.matmul(q, k[skip:])
                 s += mine
-                np.minimum(s, 60, out=s)
+                _held(s)
                 np.exp(s, out=s)
                 h = np.matmul(s, v[skip:])
                 total = s @ ones
                 s = np.matmul(q[1 - skip :], k[:-1])
                 s += earlier
-                np.minimum(s, 60, out=s)
+                _held(s)
                 np.exp(s, out=s)
                 s[first[a + 1 - skip : b]] = 0
                 h[1 - skip :] += np.matmul(s, v[:-1])
@@ -186,7 +196,7 @@ class Attention:
         h, member = hidden[place[order]], (target % MEMBERS)[order]
         logits = h @ p["c"]
         logits += p["cb"]
-        np.minimum(logits, 60, out=logits)
+        _held(logits)
         picked, mass = np.empty(len(h), np.float32), np.empty((len(h), 1), np.float32)
         for c in range(CLASSES):
             s = slice(cuts[c], cuts[c + 1])
@@ -194,7 +204,7 @@ class Attention:
             if n:
                 x = h[s] @ p["m"][c]
                 x += p["mb"][c]
-                np.minimum(x, 60, out=x)
+                _held(x)
                 picked[s] = logits[s, c] + x.ravel()[np.arange(n) * MEMBERS + member[s]]
                 np.exp(x, out=x)
                 np.matmul(x, ones, out=mass[s])
@@ -204,80 +214,107 @@ class Attention:
         return out
 
     def step(self, mine: np.ndarray, both: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss and gradients of a batch of blocks; targets under 0 don't count."""
-        p, scale = self.p, np.float32(1 / math.sqrt(DIM))
+        """Mean loss and gradients of a batch of blocks, each given with the one before it; targets under 0 don't count."""
+        own = np.where(both[:, BLOCK:] < 0, -1, mine)
+        return self.gradient(np.concatenate((own, both[:, :BLOCK])), np.arange(len(own), 2 * len(own)), target)
+
+    def gradient(self, rows: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The same for the first blocks of ``rows``, as many as have targets; ``before``: the row of the block before each, none named twice. So a block that another follows is read once."""
+        p, scale, blocks = self.p, np.float32(1 / math.sqrt(DIM)), len(target)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        times = lambda m, w: (flat(m) @ w).reshape(*m.shape[:-1], w.shape[1])
-        x, y = np.take(p["e"], mine, axis=0), np.take(p["e"], both, axis=0, mode="wrap")  # padding, -1, is the last row
-        q, k, v = times(x, p["q"] * scale), times(y, p["k"]), times(y, p["v"])
+        kind, n = p["e"].dtype, blocks * BLOCK
+        wide = np.concatenate((p["q"] * scale, p["k"], p["v"]), axis=1)
+        x = np.take(p["e"], rows.ravel(), axis=0, mode="wrap")  # padding, -1, is the last row
+        qkv = (x @ wide).reshape(-1, BLOCK, 3 * DIM)
+        q, kv = qkv[:blocks, :, :DIM], np.empty((blocks, 2 * BLOCK, 2 * DIM), kind)
+        kv[:, :BLOCK], kv[:, BLOCK:] = qkv[before, :, DIM:], qkv[:blocks, :, DIM:]
+        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
         a = q @ k.transpose(0, 2, 1)
-        a += p["d"][self.distance] + np.where(self.future, np.float32(-1e9), np.float32(0))
-        if (both < 0).any():
-            a += np.where(both < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        self._exp(a)
+        a += p["d"][self.distance]
+        padded = np.concatenate((rows[before] < 0, rows[:blocks] < 0), axis=1)
+        some = np.flatnonzero(padded.any(axis=1))
+        self._exp(a, (slice(None), self.future), (some, padded[some][:, None, :]))
         z = a @ v
-        r = times(z, p["o"])
-        r += x
-        h = times(r, p["w"])
+        r = flat(z) @ p["o"]
+        r += x[:n]
+        h = r @ p["w"]
         h += p["b"]
         np.maximum(h, 0, out=h)
         # rows with a target, grouped by its class
-        real = np.flatnonzero(target.ravel() >= 0)
-        t = target.ravel()[real]
-        order = np.argsort((t // MEMBERS).astype(np.uint8), kind="stable")
-        cls, member, n = t[order] // MEMBERS, t[order] % MEMBERS, len(t)
-        hs, at = np.take(flat(h), real[order], axis=0), np.arange(n)
+        t = target.ravel()
+        real = np.flatnonzero(t >= 0)
+        order = np.argsort((t[real] // MEMBERS).astype(np.uint8), kind="stable")
+        at = real[order]
+        t, m = t[at], len(at)
+        cls, one = t // MEMBERS, np.ones(m, kind)
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=CLASSES)))).tolist()
+        runs = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+        hs = np.take(h, at, axis=0)
         pc = hs @ p["c"]
         pc += p["cb"]
         self._exp(pc)
-        pm = np.empty((n, MEMBERS), np.result_type(hs, p["m"]))
-        some, first = np.unique(cls, return_index=True)
-        runs = [(c, slice(*ab)) for c, *ab in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
-        for c, rows in runs:
-            np.matmul(hs[rows], p["m"][c], out=pm[rows])
+        pm = np.empty((m, MEMBERS), kind)
+        for c, s in runs:
+            np.matmul(hs[s], p["m"][c], out=pm[s])
         pm += np.take(p["mb"], cls, axis=0)
         self._exp(pm)
-        self.last = np.empty(n, pm.dtype)
-        self.last[order] = np.log(pc[at, cls] + 1e-30) + np.log(pm[at, member] + 1e-30)
-        for m, of in ((pc, cls), (pm, member)):
-            m[at, of] -= 1
-            m /= max(n, 1)
-        grad = {"c": hs.T @ pc, "cb": pc.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
-        if n:
-            grad["mb"][some] = np.add.reduceat(pm, first, axis=0)
-        dh = pc @ p["c"].T
-        for c, rows in runs:
-            grad["m"][c] = hs[rows].T @ pm[rows]
-            dh[rows] += pm[rows] @ p["m"][c].T
-        dh *= hs > 0
-        full = np.zeros_like(h)
-        flat(full)[real[order]] = dh
-        grad["w"], grad["b"] = flat(r).T @ flat(full), dh.sum(axis=0)
-        dr = times(full, p["w"].T)
-        grad["o"] = flat(z).T @ flat(dr)
-        dz = times(dr, p["o"].T)
-        dv = a.transpose(0, 2, 1) @ dz
+        lp = np.zeros(m, kind)
+        for y, of in ((pc, cls), (pm, t - cls * MEMBERS)):
+            place, y = np.arange(0, y.size, y.shape[1]) + of, y.ravel()
+            hit = y[place]
+            lp += np.log(hit + 1e-30)
+            y[place] = hit - 1
+            y *= np.float32(1 / max(m, 1))
+        self.last = np.empty(m, kind)
+        self.last[order] = lp
+        grad = {"c": hs.T @ pc, "cb": one @ pc, "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
+        dh, more = np.empty((m + 1, HIDDEN), kind), np.empty((m, HIDDEN), kind)
+        for c, s in runs:
+            np.matmul(hs[s].T, pm[s], out=grad["m"][c])
+            np.matmul(one[s], pm[s], out=grad["mb"][c])
+            np.matmul(pm[s], p["m"][c].T, out=more[s])
+        np.matmul(pc, p["c"].T, out=dh[:m])
+        dh[:m] += more
+        dh[:m] *= hs > 0
+        dh[m] = 0  # rows without a target
+        place = np.full(n, m)
+        place[at] = np.arange(m)
+        full = np.take(dh, place, axis=0)
+        grad["w"], grad["b"] = r.T @ full, one @ dh[:m]
+        dr = full @ p["w"].T
+        grad["o"] = flat(z).T @ dr
+        dz = (dr @ p["o"].T).reshape(z.shape)
         ds = dz @ v.transpose(0, 2, 1)
         ds -= np.einsum("bij,bij->bi", dz, z)[:, :, None]
         ds *= a
         grad["d"] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dq *= scale
-        grad["q"], grad["k"], grad["v"] = flat(x).T @ flat(dq), flat(y).T @ flat(dk), flat(y).T @ flat(dv)
-        dr += times(dq, p["q"].T)
-        dy = times(dk, p["k"].T)
-        dy += times(dv, p["v"].T)
-        at = np.concatenate((mine.ravel(), both.ravel())) % len(p["e"])  # padding, -1, has no gradient
+        back, dkv = np.zeros_like(qkv), np.empty_like(kv)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+        np.matmul(a.transpose(0, 2, 1), dz, out=dkv[:, :, DIM:])
+        np.matmul(ds, k, out=back[:blocks, :, :DIM])
+        back[:blocks, :, DIM:] = dkv[:, BLOCK:]
+        back[before, :, DIM:] += dkv[:, :BLOCK]
+        of = x.T @ flat(back)
+        grad["q"], grad["k"], grad["v"] = of[:, :DIM] * scale, of[:, DIM : 2 * DIM], of[:, 2 * DIM :]
+        dx = flat(back) @ wide.T
+        dx[:n] += dr
+        at = rows.ravel() % len(p["e"])  # padding, -1, has no gradient
         order = np.argsort(at.astype(np.uint16), kind="stable")
-        some, first = np.unique(at[order], return_index=True)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         grad["e"] = np.zeros_like(p["e"])
-        grad["e"][some] = np.add.reduceat(np.take(np.concatenate((flat(dr), flat(dy))), order, axis=0), first, axis=0)
-        return float(-self.last.sum() / max(n, 1)), grad
-
-    def _exp(self, s: np.ndarray) -> None:
-        """Rows of ``s`` to their softmax, in place."""
-        s -= s.max(axis=-1, keepdims=True)
+        grad["e"][at[first]] = np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
+        return float(-lp.sum() / max(m, 1)), grad
+
+    def _exp(self, s: np.ndarray, *hidden: tuple) -> None:
+        """Rows of ``s`` to their softmax, in place; ``hidden``: some blocks of it, and where they may not look. Only where an exponential could leave float32's range is a row's greatest subtracted."""
+        if s.size and max(s.max(), -s.min()) > STEEP:
+            for at, where in hidden:
+                s[at] += np.where(where, np.float32(-1e9), np.float32(0))
+            s -= s.max(axis=-1, keepdims=True)
         np.exp(s, out=s)
+        for at, where in hidden:
+            s[at] *= np.where(where, np.float32(0), np.float32(1))
         s /= (s.reshape(-1, s.shape[-1]) @ np.ones((s.shape[-1], 1), s.dtype)).reshape(*s.shape[:-1], 1)
 
     def train(self, symbols: np.ndarray, bounds: np.ndarray, steps: int = STEPS, seed: int = 7) -> list[float]:
@@ -303,34 +340,55 @@ class Blocks:
         return len(self.before)
 
 
+def picks(blocks: int, r: np.random.Generator) -> list[np.ndarray]:
+    """All blocks once in batches of about BATCH, by runs of RUN neighbours in random order."""
+    runs = np.array_split(r.permutation(-(-blocks // RUN)), max(1, -(-blocks // BATCH)))
+    return [x[x < blocks] for x in ((run[:, None] * RUN + np.arange(RUN)).ravel() for run in runs) if len(x)]
+
+
 class Adam:
+    """Steps on all weights as one vector; the network's are views of it."""
+
     def __init__(self, net: Attention):
-        self.net, self.t = net, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+        self.net, self.t, self.all = net, 0, _flat(net.p)
+        self.first, self.second = np.zeros_like(self.all), np.zeros_like(self.all)
+        net.p = _shaped(self.all, net.p)
 
     def update(self, blocks: Blocks, pick: np.ndarray, rate: float) -> float:
         """One step on the picked blocks; returns their loss."""
-        both = np.concatenate([blocks.ids[blocks.before[pick]], blocks.ids[pick]], axis=1)
-        loss, grad = self.net.step(np.maximum(blocks.ids[pick], 0), both, blocks.target[pick])
+        before, n = blocks.before[pick], len(pick)
+        apart = np.concatenate(([True], before[1:] != pick[:-1]))[:n]  # the block before isn't the one picked before
+        at = np.arange(-1, n - 1)
+        at[apart] = np.arange(n, n + apart.sum())
+        loss, grad = self.net.gradient(blocks.ids[np.concatenate((pick, before[apart]))], at, blocks.target[pick])
         self.t += 1
         rate, root = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / math.sqrt(1 - 0.99**self.t))
-        for k, g in grad.items():
-            m, v = self.first[k], self.second[k]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            v *= np.float32(0.99)
-            g *= g
-            g *= np.float32(0.01)
-            v += g
-            by = np.sqrt(v)
-            by *= root
-            by += np.float32(1e-8)
-            np.divide(m, by, out=by)
-            by *= rate
-            self.net.p[k] = self.net.p[k] - by
+        g, m, v = _flat(grad), self.first, self.second
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        v *= np.float32(0.99)
+        g *= g
+        g *= np.float32(0.01)
+        v += g
+        by = np.sqrt(v)
+        by *= root
+        by += np.float32(1e-8)
+        np.divide(m, by, out=by)
+        by *= rate
+        self.all -= by
         return loss
 
 
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Views of what ``_flat`` made."""
+    stops = np.cumsum([like[k].size for k in sorted(like)])
+    return {k: flat[i - like[k].size : i].reshape(like[k].shape) for k, i in zip(sorted(like), stops.tolist(), strict=True)}
+
+
 class Scorer:
     """What the tasks share: symbols, network, frequent words and the mixture's weight."""
 
@@ -374,7 +432,7 @@ class Scorer:
         split = [t.encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
         everything = [w for s in split for w in s]
         self.trim()
-        missing = list(set(everything) - self.cache.keys())
+        missing = list(set(everything).difference(self.cache))
         if missing:
             self.learn(missing)
         n = np.array([len(s) for s in split], np.int64)
@@ -493,7 +551,7 @@ class Rows:
         split = [t.encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
         if len(self.cache) > _CACHE:
             self.cache = {}
-        missing = list({w for s in split for w in s} - self.cache.keys())
+        missing = list({w for s in split for w in s}.difference(self.cache))
         if missing:
             found, _, bounds = self.symbols.encode(missing)
             raw, cuts = found.tobytes(), (2 * bounds).tolist()
@@ -503,10 +561,6 @@ class Rows:
         return np.frombuffer(b"".join(rows), np.uint16).astype(np.int64), np.concatenate(([0], np.cumsum([len(r) // 2 for r in rows]))).astype(np.int64)
 
 
-def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in sorted(p)])
-
-
 def learned(train: DataFrame, scorer: Scorer, counts: DataFrame) -> None:
     """Moves the network by one pass of every task over all of its training texts (column text), and fits the mixture's weight to what it finds.
 
@@ -532,13 +586,13 @@ def learned(train: DataFrame, scorer: Scorer, counts: DataFrame) -> None:
             nonlocal n, total
             blocks = Blocks(own, symbols, bounds)
             lp = np.zeros(blocks.target.shape, np.float32)
-            for pick in np.array_split(r.permutation(len(blocks)), max(1, -(-len(blocks) // BATCH))):
+            for pick in picks(len(blocks), r):
                 adam.update(blocks, pick, TASK_RATE * min(1.0, (adam.t + 1) / 50))
                 part = lp[pick]
                 part[blocks.target[pick] >= 0] = own.last
                 lp[pick] = part
                 n += len(pick)
-                total += len(pick) * _flat(own.p)
+                total += np.float64(len(pick)) * adam.all
             return lp.ravel()[blocks.place]
 
         for b in batches:
@@ -570,11 +624,8 @@ def learned(train: DataFrame, scorer: Scorer, counts: DataFrame) -> None:
     passed = stored(train.select("text").transform(arrow, _holding(learn), f"{schema},h:bigint,step:bigint"), "learned")
     parts = passed.where("total is not null").select("n", "total").repartition(MERGED_BY).transform(arrow, merge, schema).collect()
     if parts:
-        mean, at = sum(np.frombuffer(x.total, np.float64) for x in parts) / sum(x.n for x in parts), 0
-        for k in sorted(net.p):
-            v = net.p[k]
-            net.p[k] = mean[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+        mean = sum(np.frombuffer(x.total, np.float64) for x in parts) / sum(x.n for x in parts)
+        net.p = _shaped(mean.astype(np.float32), net.p)
     # a rare word's count is exact and leaves out the word itself, as a common one's does
     rare = passed.where("h is not null").select("h", "step", "n").join(counts, "h")
     less = F.log(F.col("c").cast("double")) - math.log(scorer.total + scorer.kinds + 1)

@@ -298,3 +298,35 @@ def test_a_training_step_makes_its_softmaxes_once_for_all_classes(monkeypatch):
     monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
     loss, _ = net.step(np.maximum(blocks.ids[:-1], 0), both, blocks.target[: len(blocks)])
     assert len(calls) == 3 and len(net.last) == 3000 and loss == pytest.approx(-net.last.mean(), rel=1e-5)
+
+
+def test_a_batch_reads_a_block_once_with_the_same_gradients(monkeypatch):
+    net, r, seen, real = M.Attention(), np.random.default_rng(5), [], M.Attention.gradient
+    blocks = M.Blocks(net, r.integers(0, M.CLASSES * M.MEMBERS, 9000), np.array([0, 7, 4000, 9000]))
+    batches, adam = M.picks(len(blocks), r), M.Adam(net)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(len(blocks)))
+    monkeypatch.setattr(M.Attention, "gradient", lambda self, rows, *x: (seen.append(len(rows)), real(self, rows, *x))[1])
+    for pick in (*batches, r.integers(0, len(blocks), 90)):
+        loss = adam.update(blocks, pick, 0.0)
+        if len(set(pick.tolist())) == len(pick):
+            assert seen[-1] <= len(pick) * (1 + 1 / M.RUN) + 5
+        both = np.concatenate([blocks.ids[blocks.before[pick]], blocks.ids[pick]], axis=1)
+        want, each = net.step(np.maximum(blocks.ids[pick], 0), both, blocks.target[pick])
+        assert loss == pytest.approx(want, rel=1e-5)
+        before, follows = blocks.before[pick], np.arange(-1, len(pick) - 1)
+        apart = np.concatenate(([True], before[1:] != pick[:-1]))
+        follows[apart] = np.arange(len(pick), len(pick) + apart.sum())
+        _, once = real(net, blocks.ids[np.concatenate((pick, before[apart]))], follows, blocks.target[pick])
+        assert all(np.allclose(once[k], each[k], rtol=1e-3, atol=1e-6) for k in each)
+
+
+def test_steep_logits_stay_in_range():
+    net, r = M.Attention(), np.random.default_rng(6)
+    blocks = M.Blocks(net, r.integers(0, M.CLASSES * M.MEMBERS, 600), np.array([0, 7, 300, 600]))
+    pick, p = np.arange(len(blocks)), {k: v * 40 for k, v in net.p.items()}
+    both = np.concatenate([blocks.ids[blocks.before], blocks.ids[:-1]], axis=1)
+    found = []
+    for kind in (np.float32, np.float64):
+        net.p = {k: v.astype(kind) for k, v in p.items()}
+        found.append(net.step(np.maximum(blocks.ids[pick], 0), both, blocks.target[pick])[1])
+    assert all(np.isfinite(g).all() and np.allclose(g, found[1][k], rtol=0.05, atol=1e-2 * abs(found[1][k]).max()) for k, g in found[0].items())
