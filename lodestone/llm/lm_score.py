@@ -15,7 +15,7 @@ symbol is scored once with BLOCK to 2 * BLOCK - 1 symbols of context where the
 text has them. Queries, keys and values of one layer depend on ids only, so they
 are tables when scoring. Training has two parts. The driver finds a start by Adam
 on about ``SAMPLE_DOCS`` whole texts, chosen by a hash. From that start every task goes
-once over all blocks of all its training texts, and the network is the mean of
+once over all blocks of all its training texts, in runs of ``RUN`` neighbours, and the network is the mean of
 the tasks' weights along the way, each weighed by its blocks; so what is learned
 from grows with the corpus and no text or part of one is left out.
 
@@ -40,6 +40,7 @@ join, so no key is hot.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -102,10 +103,10 @@ class Symbols:
         return self.of[ids], np.add.reduceat(self.cost[ids], bounds[:-1]), bounds
 
 
-def _held(s: np.ndarray) -> None:
-    """Exponents held to STEEP, in place."""
-    if s.size and s.max() > STEEP:
-        np.minimum(s, STEEP, out=s)
+def _range(s: np.ndarray) -> None:
+    """Rows of logits less each one's greatest, in place, only where an exponential could leave float32's range; softmaxes stay the same."""
+    if s.size and not max(s.max(), -s.min()) <= STEEP:
+        s -= s.max(axis=-1, keepdims=True)
 
 
 class Attention:
@@ -169,17 +170,21 @@ class Attention:
                 v, q = values[ids[lead:b]], queries[ids[a:b]]
                 s = np.matmul(q, k[skip:])
                 s += mine
-                _held(s)
+                e = np.matmul(q[1 - skip :], k[:-1])
+                e += earlier
+                e[first[a + 1 - skip : b]] = -1e9
+                # a query always sees its own key, so the least of these bounds the sums from below
+                if not max(s.max(), e.max(initial=-1e9), -np.einsum("bii->bi", s).min()) <= STEEP:
+                    top = s.max(axis=-1, keepdims=True)
+                    np.maximum(top[1 - skip :], e.max(axis=-1, keepdims=True), out=top[1 - skip :])
+                    s -= top
+                    e -= top[1 - skip :]
                 np.exp(s, out=s)
+                np.exp(e, out=e)
                 h = np.matmul(s, v[skip:])
                 total = s @ ones
-                s = np.matmul(q[1 - skip :], k[:-1])
-                s += earlier
-                _held(s)
-                np.exp(s, out=s)
-                s[first[a + 1 - skip : b]] = 0
-                h[1 - skip :] += np.matmul(s, v[:-1])
-                total[1 - skip :] += s @ ones
+                h[1 - skip :] += np.matmul(e, v[:-1])
+                total[1 - skip :] += e @ ones
                 h /= total
                 h += own[ids[a:b]]
                 np.maximum(h, 0, out=hidden[(a - x) * BLOCK : (b - x) * BLOCK].reshape(h.shape))
@@ -196,7 +201,7 @@ class Attention:
         h, member = hidden[place[order]], (target % MEMBERS)[order]
         logits = h @ p["c"]
         logits += p["cb"]
-        _held(logits)
+        _range(logits)
         picked, mass = np.empty(len(h), np.float32), np.empty((len(h), 1), np.float32)
         for c in range(CLASSES):
             s = slice(cuts[c], cuts[c + 1])
@@ -204,13 +209,13 @@ class Attention:
             if n:
                 x = h[s] @ p["m"][c]
                 x += p["mb"][c]
-                _held(x)
+                _range(x)
                 picked[s] = logits[s, c] + x.ravel()[np.arange(n) * MEMBERS + member[s]]
                 np.exp(x, out=x)
                 np.matmul(x, ones, out=mass[s])
         np.exp(logits, out=logits)
         out = np.empty(len(h), np.float32)
-        out[order] = picked - np.log((logits @ np.ones((CLASSES, 1), np.float32) * mass)[:, 0])
+        out[order] = picked - np.log(logits @ np.ones(CLASSES, np.float32)) - np.log(mass[:, 0])
         return out
 
     def step(self, mine: np.ndarray, both: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -308,7 +313,7 @@ class Attention:
 
     def _exp(self, s: np.ndarray, *hidden: tuple) -> None:
         """Rows of ``s`` to their softmax, in place; ``hidden``: some blocks of it, and where they may not look. Only where an exponential could leave float32's range is a row's greatest subtracted."""
-        if s.size and max(s.max(), -s.min()) > STEEP:
+        if s.size and not max(s.max(), -s.min()) <= STEEP:
             for at, where in hidden:
                 s[at] += np.where(where, np.float32(-1e9), np.float32(0))
             s -= s.max(axis=-1, keepdims=True)
@@ -399,76 +404,76 @@ class Scorer:
         self.counts = np.concatenate(([0], counts[order])).astype(np.float64)  # by rank; rank 0: any other word
         self.total, self.kinds, self.end_count = total, kinds, end_count
         self.share = 0.5
-        self.cache: dict[bytes, tuple[bytes, float]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the words' cache: each one's number in order of learning, and by number its rank, shared cost, hash, symbols and their bounds."""
+        self.cache: dict[bytes, int] = {}
+        self.rank, self.cost, self.hash = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.uint64)
+        self.pool, self.bounds = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        kept = self.__dict__.copy()
+        for k in ("cache", "rank", "cost", "hash", "pool", "bounds"):
+            kept.pop(k)
+        return kept
+
+    def __setstate__(self, kept):
+        self.__dict__.update(kept)
+        self.forget()
 
     def trim(self) -> None:
+        """Of a full cache, only frequent words are kept."""
         if len(self.cache) > _CACHE:
-            self.cache = {w: x for w, x in self.cache.items() if x[:2] != b"\0\0"}
+            keep, size = self.rank > 0, np.diff(self.bounds)
+            self.pool, self.bounds = self.pool[np.repeat(keep, size)], np.concatenate(([0], np.cumsum(size[keep])))
+            self.cache = {w: i for i, w in enumerate(itertools.compress(self.cache, keep.tolist()))}
+            self.rank, self.cost, self.hash = self.rank[keep], self.cost[keep], self.hash[keep]
 
     def learn(self, missing: list[bytes]) -> None:
-        """Cache words as 16-bit numbers: rank, shared cost (two), symbols."""
+        """Take new words into the cache."""
         at = np.concatenate(([0], np.cumsum([len(w) for w in missing]))).astype(np.int64)
         h = span_hashes(np.frombuffer(b"".join(missing), np.uint8), at[:-1], at[1:])
         where = np.minimum(np.searchsorted(self.frequent, h), max(0, len(self.frequent) - 1))
         rank = np.where(self.frequent[where] == h, where + 1, 0) if len(self.frequent) else np.zeros(len(h), np.int64)
         symbols, costs, bounds = self.symbols.encode(missing)
-        n = len(missing)
-        wide = bounds + 3 * np.arange(n + 1)
-        flat = np.empty(wide[-1], np.uint16)
-        head = wide[:-1]
-        body = np.ones(len(flat), bool)
-        body[head] = body[head + 1] = body[head + 2] = False
-        flat[head] = rank
-        flat[head + 1], flat[head + 2] = costs.astype(np.float32).view(np.uint16).reshape(-1, 2).T
-        flat[body] = symbols
-        raw, cuts = flat.tobytes(), (wide * 2).tolist()
-        self.cache.update(zip(missing, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        self.cache.update(zip(missing, range(len(self.cache), len(self.cache) + len(missing)), strict=True))
+        self.rank, self.cost, self.hash = np.append(self.rank, rank.astype(np.int32)), np.append(self.cost, costs.astype(np.float32)), np.append(self.hash, h)
+        self.pool, self.bounds = np.append(self.pool, symbols), np.append(self.bounds, bounds[1:] + self.bounds[-1])
 
     def read(self, texts: list[str], score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
         """Words by text and each word's rank; by word or end in order: its text, network log probability and count; the rare words' places there and hashes."""
         split = [t.encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
-        everything = [w for s in split for w in s]
+        everything = list(itertools.chain.from_iterable(split))
         self.trim()
-        missing = list(set(everything).difference(self.cache))
-        if missing:
-            self.learn(missing)
-        n = np.array([len(s) for s in split], np.int64)
-        parts = list(map(self.cache.__getitem__, everything))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-        flat = np.frombuffer(b"".join(parts), np.uint16)
-        start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64) if len(size) else size
-        rank = flat[start].astype(np.int64)
-        extra = np.stack([flat[start + 1], flat[start + 2]], axis=1).copy().view(np.float32)[:, 0] if len(start) else np.zeros(0, np.float32)
+        word = np.fromiter(map(self.cache.get, everything, itertools.repeat(-1)), np.int64, len(everything))
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            spelled = [everything[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(spelled)))
+            word[new] = np.fromiter(map(self.cache.__getitem__, spelled), np.int64, len(spelled))
+        n = np.array([len(x) for x in split], np.int64)
+        rank, size = self.rank[word].astype(np.int64), self.bounds[word + 1] - self.bounds[word]
         # words and ends in order: each text's words, then symbol 1
-        word_row = np.repeat(np.arange(len(n)), n)
-        token_start = np.concatenate(([0], np.cumsum(size - 3))).astype(np.int64) + np.concatenate((word_row, [len(n)]))[: len(size) + 1]
-        symbols = np.empty(int((size - 3).sum()) + len(n), np.int64)
-        keep = np.ones(len(flat), bool)
-        for k in range(3):
-            keep[start + k] = False
-        ends = np.cumsum(np.bincount(word_row, size - 3, len(n)).astype(np.int64) + 1) - 1
-        is_end = np.zeros(len(symbols), bool)
-        is_end[ends] = True
-        symbols[is_end], symbols[~is_end] = 1, flat[keep]
+        word_row, row = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n)), n + 1)
+        real = np.ones(len(row), bool)
+        real[np.cumsum(n + 1) - 1] = False
+        wide = np.ones(len(row), np.int64)
+        wide[real] = size
+        starts = np.cumsum(wide) - wide
+        ends = starts[~real]
         bounds = np.concatenate(([0], ends + 1))
+        symbols = np.ones(int(wide.sum()), np.int64)
+        spelt = np.ones(len(symbols), bool)
+        spelt[ends] = False
+        symbols[spelt] = self.pool[np.repeat(self.bounds[word] - np.cumsum(size) + size, size) + np.arange(len(symbols) - len(ends))]
         lp = (score or self.net.score)(symbols, bounds).astype(np.float64)
-        starts = np.sort(np.concatenate((token_start[: len(size)], ends)))
         by_word = np.add.reduceat(lp, starts) if len(starts) else lp
-        order_end = np.searchsorted(starts, ends)
-        real = np.ones(len(starts), bool)
-        real[order_end] = False
-        by_word[real] += extra
+        by_word[real] += self.cost[word]
         count = np.empty(len(starts))
-        count[order_end], count[real] = self.end_count, self.counts[rank]
-        row = np.searchsorted(bounds, starts, "right") - 1
+        count[~real], count[real] = self.end_count, self.counts[rank]
         rare = np.flatnonzero(rank == 0)
-        spelled = [everything[i] for i in rare.tolist()]
-        at = np.concatenate(([0], np.cumsum([len(w) for w in spelled]))).astype(np.int64)
-        hashes = span_hashes(np.frombuffer(b"".join(spelled), np.uint8), at[:-1], at[1:])
-        return n, word_row, rank, row, by_word, count, np.flatnonzero(real)[rare], hashes
+        return n, word_row, rank, row, by_word, count, np.flatnonzero(real)[rare], self.hash[word[rare]]
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.log(count + 1) - math.log(self.total + self.kinds + 1)

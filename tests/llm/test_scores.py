@@ -330,3 +330,37 @@ def test_steep_logits_stay_in_range():
         net.p = {k: v.astype(kind) for k, v in p.items()}
         found.append(net.step(np.maximum(blocks.ids[pick], 0), both, blocks.target[pick])[1])
     assert all(np.isfinite(g).all() and np.allclose(g, found[1][k], rtol=0.05, atol=1e-2 * abs(found[1][k]).max()) for k, g in found[0].items())
+
+
+def test_scores_of_steep_networks_are_those_of_the_softmax():
+    net, r = M.Attention(), np.random.default_rng(6)
+    symbols, bounds = r.integers(0, M.CLASSES * M.MEMBERS, 600), np.array([0, 7, 300, 600])
+    blocks, p = M.Blocks(net, symbols, bounds), net.p
+    both = np.concatenate([blocks.ids[blocks.before], blocks.ids[:-1]], axis=1)
+    for by in (1, 8, 12):
+        net.p = {k: v.astype(np.float64) * by for k, v in p.items()}
+        net.step(np.maximum(blocks.ids[:-1], 0), both, blocks.target[: len(blocks)])
+        likely = net.last > -60  # the step's own log probabilities have a floor
+        net.p = {k: v.astype(np.float32) for k, v in net.p.items()}
+        got = net.score(symbols, bounds)
+        assert np.isfinite(got).all() and np.allclose(got[likely], net.last[likely], rtol=1e-2, atol=1e-2), by
+
+
+def test_a_word_is_spelled_and_hashed_once(spark, monkeypatch):
+    rows = [(i, f"ab{i % 7} cd ef{i % 11} " * (i % 5 + 1)) for i in range(30)]
+    monkeypatch.setattr(M, "STEPS", 2)
+    monkeypatch.setattr(M, "FREQUENT", 5)
+    scorer, texts = M.fitted(spark.createDataFrame(rows, "id bigint, text string"))[0], [*(t for _, t in rows), "", "new Words"]
+    calls, real = [], M.span_hashes
+    monkeypatch.setattr(M, "span_hashes", lambda *a: calls.append(1) or real(*a))
+    scorer.forget()
+    first = scorer.read(texts)
+    assert len(calls) == 1
+    assert all(np.array_equal(a, b) for a, b in zip(first, scorer.read(texts), strict=True)) and len(calls) == 1
+    # a full cache keeps the frequent words, and what is read doesn't depend on it
+    monkeypatch.setattr(M, "_CACHE", 3)
+    for part in (texts[:7], texts[7:], texts):
+        again = scorer.read(part)
+    assert all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+    assert [x.tolist() for x in first[:2]] == [[len(t.split()) for t in texts], [i for i, t in enumerate(texts) for _ in t.split()]]
+    assert set(first[7].tolist()) == {int(real(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in {x.lower().encode() for t in texts for x in t.split()}} - set(scorer.frequent.tolist())
