@@ -13,9 +13,9 @@ tree with about 0.75 at any depth; eight trees miss fewer than 2 in 100,000 of
 the pairs right at the threshold and far fewer above. A node stops branching
 when it has at most ``NODE`` classes. Those are compared exhaustively by
 sketches of ``SKETCH`` two-bit minwise values, an estimate that only drops pairs
-about four standard deviations under the threshold. Nodes still larger at the
-last level hold near-identical copies; all their classes are candidates of each
-other.
+about four standard deviations under the threshold. There are ``LEVELS`` levels, so
+that unlike texts that share common words part; nodes still larger at the last one
+hold near copies for the most part, and all their classes are candidates of each other.
 
 A node is a hash of the tokens on its path, so a class's nodes are computed where
 the class is. Per level only (node, count) pairs meet; bitmaps of bounded size tell
@@ -28,9 +28,13 @@ and the components of those edges are families, each class in one. The families'
 texts are sent to blocks, where sets are made again and all pairs are decided on
 full sets by matrix products. A family of weight ``BLOCK`` (rows, long texts more)
 is one block. In a larger one every class is first tested against the family's most
-central one (that in most large nodes), of which each block gets a copy; all pairs
-with those not linked to it are then decided block by block, so no task holds the
-family, no partner is capped and no pair is emitted but edges that span the links.
+central one (that in most large nodes), of which each block gets a copy. Those not
+linked to it, the rest, then meet all the family's classes by sketches, ``WIDE`` at a
+time: this parts the family into smaller ones and drops classes that are like no other.
+What is left is decided on full sets, all pairs with the rest, block by block, and in
+passes of ``PASS`` blocks of the rest, so that no pass deals a text more than a few
+times, whatever the family's size. So no task holds the family, no partner is capped
+and no pair is emitted but edges that span the links.
 
 Defined results: rows are kept one for one, repeated ids included; a row with a
 null id takes part in links but represents none; a null text has no words. A very
@@ -41,6 +45,8 @@ component, and of rows repeated whole one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,13 +56,17 @@ from .common import arrow, bounded_batches, drop_stored, fresh, in_sieve, plus,
 from .components import components, spanning
 from .textkit import LOWER, NOT_SPACE, mix64, pair_hashes, row_unique, slices, span_hashes, utf8, words
 
-TREES, LEVELS, BRANCH, NODE = 8, 3, 2, 128
+TREES, LEVELS, BRANCH, NODE = 8, 5, 2, 128
 TOKENS = TREES * BRANCH * (LEVELS - 1)
 #: Minwise functions; two bits of each are a class's sketch. The first TREES give the roots, the next TOKENS the children.
 SKETCH, SKETCH_LEAST = 128, 92
 MARKS = 4 * TREES + TOKENS + SKETCH // 4
 #: Full sets that one task holds at a time: rows, each counted once and once more for every HEAVY shingles.
 BLOCK, HEAVY, SLAB = 512, 512, 4096
+#: Rows of a block of sketches, and blocks of the rest that a pass deals the rows of a large family to: of sketches, of texts.
+WIDE, WIDE_PASS, PASS = 8192, 16, 2
+#: Values that sketches agree in there: six standard deviations under the threshold, since all pairs of a family are tested by these alone.
+WIDE_LEAST = 84
 _SEEDS = np.random.default_rng(88172645).integers(1, 1 << 62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -186,17 +196,25 @@ def _runs(batches, columns):
         yield held.combine_chunks()
 
 
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: int = SKETCH_LEAST) -> np.ndarray:
+    """Whether sketches, as words along the last axis, agree in ``least`` values."""
+    differ = a ^ b
+    return np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1) <= SKETCH - least
+
+
 def _compared(node, n, sketch):
     """Index pairs in the same node that sizes and sketches allow; all pairs, offset by offset."""
     end = np.searchsorted(node, node, "right")
-    k, left, low = 1, np.arange(len(node)), np.uint64(0x5555555555555555)
+    k, left = 1, np.arange(len(node))
     while len(left := left[left + k < end[left]]):
         for part in np.array_split(left, max(1, len(left) >> 16)):
-            small, large = np.minimum(n[part], n[part + k]), np.maximum(n[part], n[part + k])
-            part = part[5 * small >= 4 * large]
+            part = part[_sizes_allow(n[part], n[part + k])]
             if len(part):
-                differ = sketch[part] ^ sketch[part + k]
-                hit = np.bitwise_count((differ | differ >> np.uint64(1)) & low).sum(axis=1) <= SKETCH - SKETCH_LEAST
+                hit = _alike(sketch[part], sketch[part + k])
                 if hit.any():
                     yield part[hit], part[hit] + k
         k += 1
@@ -304,9 +322,9 @@ def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, ["h", "key"])
 
 
-def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
-    """``rows`` (family, k, text), each once for every one of ``blocks``, an array of (i, j, a, b)."""
-    return rows.select("family", "k", "text", F.explode(blocks).alias("x")).select(F.xxhash64("family", "x.i", "x.j").alias("node"), "k", "text", "x.a", "x.b")
+def _dealt(rows: DataFrame, blocks: Column, *columns: str) -> DataFrame:
+    """``rows`` (family, k, columns), each once for every one of ``blocks``, an array of (i, j, a, b)."""
+    return rows.select("family", "k", *columns, F.explode(blocks).alias("x")).select(F.xxhash64("family", "x.i", "x.j").alias("node"), "k", *columns, "x.a", "x.b")
 
 
 def _block(i: Column, j: Column, a: Column, b: Column) -> Column:
@@ -320,16 +338,59 @@ def _first(texts: DataFrame) -> DataFrame:
     others = F.filter(F.sequence(zero.cast("bigint"), F.col("nb") - 1), lambda i: i != own)
     mine = F.array(_block(own, zero, yes, is_lead))
     heads = F.concat(mine, F.transform(others, lambda i: _block(i, zero, no, yes)))
-    return _dealt(texts, F.when(F.col("nb").isNull(), F.array(_block(zero, zero, yes, yes))).when(is_lead, heads).otherwise(mine))
+    return _dealt(texts, F.when(F.col("nb").isNull(), F.array(_block(zero, zero, yes, yes))).when(is_lead, heads).otherwise(mine), "text")
 
 
-def _second(rows: DataFrame) -> DataFrame:
-    """Blocks of large families with rows that aren't linked with the leader: all rows (a), dealt to nb, against those (b), dealt to rb."""
+def _second(rows: DataFrame, first: int, most: int, *columns: str) -> DataFrame:
+    """Blocks of large families with rows that aren't linked with the leader: all rows (a), dealt to nb, against those (b), dealt to rb, of which a pass takes ``most`` from ``first`` on."""
     yes, no = F.lit(True), F.lit(False)
-    count = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
-    every = F.transform(count("rb"), lambda j: _block(F.pmod(F.xxhash64("k"), F.col("nb")), j, yes, no))
-    few = F.transform(count("nb"), lambda i: _block(i, F.pmod(F.xxhash64("k", F.lit(1)), F.col("rb")), no, yes))
-    return _dealt(rows, F.when(F.col("is_rest"), F.concat(every, few)).otherwise(every))
+    start, end = F.lit(first).cast("bigint"), F.least(F.lit(first + most).cast("bigint"), "rb") - 1
+    count = F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)
+    every = F.transform(F.sequence(start, end), lambda j: _block(F.pmod(F.xxhash64("k"), F.col("nb")), j, yes, no))
+    mine = F.pmod(F.xxhash64("k", F.lit(1)), F.col("rb"))
+    few = F.transform(count, lambda i: _block(i, mine, no, yes))
+    one = (F.col("nb") == 1) & (F.col("rb") == 1)
+    blocks = F.when(one, F.array(_block(start, start, yes, F.col("is_rest")))).when(F.col("is_rest") & mine.between(start, end), F.concat(every, few)).otherwise(every)
+    return _dealt(rows.where(F.col("rb") > first), blocks, *columns)
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """Edges that span the pairs of each block (node) between its rows marked a and b that sizes and sketches allow."""
+
+    def meet(batches):
+        for t in _runs(batches, ["node", "k", "n_shingles", "sketch", "a", "b"]):
+            node = t.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                part = t.slice(x, y - x)
+                k, n = (part.column(c).to_numpy() for c in ("k", "n_shingles"))
+                sketch = np.ascontiguousarray(_bytes(part.column("sketch"), SKETCH // 4)).view(np.uint64)
+                a, b = (np.flatnonzero(np.array(part.column(c).to_pylist(), bool)) for c in ("a", "b"))
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for rows in np.array_split(a, max(1, len(a) >> 6)):
+                    i, j = np.nonzero(_sizes_allow(n[rows][:, None], n[b][None, :]) & _alike(sketch[rows][:, None], sketch[b][None, :], WIDE_LEAST))
+                    found.append(spanning(len(k), rows[i], b[j]))
+                u, v = spanning(len(k), *(np.concatenate(z) for z in zip(*found, strict=True)))
+                if len(u):
+                    yield _edges(k[u], k[v])
+
+    return blocks.repartition("node").sortWithinPartitions("node").transform(arrow, meet, "u:bigint,v:bigint").where("u <> v")
+
+
+def _with_blocks(rows: DataFrame, weight: Column, size: int) -> DataFrame:
+    """``rows`` (family, k, is_rest, ...) of families that have a rest, with nb and rb: blocks of all the family's rows and of its rest."""
+    blocks = lambda x: F.ceil(F.sum(x) / F.lit(size))
+    of = rows.groupBy("family").agg(blocks(weight).alias("nb"), blocks(F.when(F.col("is_rest"), weight)).alias("rb")).where("rb > 0")
+    return salted_join(rows, of, "family", F.col("k"))
+
+
+def _passes(rows: DataFrame, most: int, columns: tuple[str, ...], decide: Callable[[DataFrame], DataFrame], name: str) -> DataFrame | None:
+    """Edges that ``decide`` finds in the blocks of ``rows`` (family, k, is_rest, nb, rb, columns), pass by pass."""
+    out = None
+    for first in range(0, rows.agg(F.max("rb")).first()[0] or 0, most):
+        edges = stored(decide(_second(rows, first, most, *columns)), name)
+        out = edges if out is None else out.unionByName(edges)
+    return out
 
 
 def _links(base: DataFrame, classes: DataFrame, families: DataFrame, hot: DataFrame | None, width: int) -> DataFrame:
@@ -350,11 +411,20 @@ def _links(base: DataFrame, classes: DataFrame, families: DataFrame, hot: DataFr
     if some_big:
         reached = links.select(F.explode(F.array("u", "v")).alias("k")).distinct().withColumn("is_reached", F.lit(True))
         rest = F.col("is_reached").isNull() & (F.col("k") != F.col("lead"))
-        tested = stored(texts.where("nb is not null").join(reached, "k", "left").withColumn("is_rest", rest).drop("is_reached"), "tested")
-        rb = stored(tested.where("is_rest").groupBy("family").agg(F.ceil(F.sum(_weight()) / F.lit(BLOCK)).alias("rb")), "rest")
-        if not rb.isEmpty():
-            links = links.unionByName(stored(_confirmed(_second(salted_join(tested, rb, "family", F.col("k"))), width), "links"))
-        done += [tested, rb]
+        sketch = classes.select("k", F.substring("marks", MARKS - SKETCH // 4 + 1, SKETCH // 4).alias("sketch"))
+        tested = light.where("nb is not null").select("k", "family", "lead", "n_shingles").join(sketch, "k").join(reached, "k", "left")
+        tested = tested.select("k", "family", "n_shingles", "sketch", rest.alias("is_rest"))
+        tested = stored(_with_blocks(tested, F.lit(1), WIDE), "tested")
+        near = _passes(tested, WIDE_PASS, ("n_shingles", "sketch"), _met, "near")
+        done.append(tested)
+        if near is not None:
+            parts = components(near).select(F.col("node").alias("k"), F.col("component").alias("family"))
+            parts = stored(tested.select("k", "n_shingles", "is_rest").join(parts, "k"), "parts")
+            second = texts.where("nb is not null").select("k", "text").join(_with_blocks(parts, _weight(), BLOCK).drop("n_shingles"), "k")
+            second = stored(second, "second")
+            more = _passes(second, PASS, ("text",), lambda x: _confirmed(x, width), "links")
+            links = links if more is None else links.unionByName(more)
+            done += [near, parts, second]
     for x in done:
         drop_stored(x)
     return links

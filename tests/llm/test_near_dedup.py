@@ -126,6 +126,32 @@ def test_hot_group_of_near_copies(spark):
     assert out.count() == 1
 
 
+def test_large_family_of_unlike_texts_is_dealt_a_few_times(spark, monkeypatch):
+    """Most rows of the family aren't linked with its leader; what is dealt at a time follows the rows, not their square."""
+    for name, value in {"NODE": 4, "BLOCK": 16, "WIDE": 32, "WIDE_PASS": 1}.items():
+        monkeypatch.setattr(N, name, value, raising=False)
+    r = random.Random(9)
+    base = [f"c{i}" for i in range(60)]
+    texts = []
+    for changes in [2] * 120 + [1] * 8:
+        w = list(base)
+        for at in r.sample(range(60), changes):
+            w[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(r.choice("abcdefg") for _ in range(40)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    dealt, confirmed = [], N._confirmed
+
+    def counted(blocks, width):
+        dealt.append(blocks.count())
+        return confirmed(blocks, width)
+
+    monkeypatch.setattr(N, "_confirmed", counted)
+    got = N.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute(rows))
+    assert len(dealt) > 1 and max(dealt) < 6 * len(rows)
+
+
 def test_rounds_of_components_take_few_tasks(spark):
     """Where partitions stay many, as with skewed tables, a round costs a shuffle for each star and one for its state."""
     edges = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1040)]
