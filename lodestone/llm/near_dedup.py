@@ -254,22 +254,39 @@ def _candidates(classes: DataFrame, leaf: list[np.ndarray], large: list[np.ndarr
     leaves = classes.select("k", "n_shingles", "marks").transform(arrow, place, "node:bigint,k:bigint,n_shingles:bigint,sketch:binary")
     near = leaves.repartition("node").sortWithinPartitions("node").transform(arrow, compare, "u:bigint,v:bigint")
     if hot:
-        # a large node is a vertex itself, of a name below all classes'
-        near = near.unionByName(_hot(classes, large).select(F.col("k").alias("u"), (F.lit(-1) - F.shiftrightunsigned("node", 1)).alias("v")))
+        # a large node is a vertex itself
+        near = near.unionByName(_hot(classes, large))
     return near
 
 
 def _hot(classes: DataFrame, large: list[np.ndarray]) -> DataFrame:
-    """node, k of the classes in large nodes of the last level."""
+    """Edges (u, v) that span, batch by batch, the classes and the large nodes of the last level that they are in; a node's name is below all classes'."""
     shared = classes.sparkSession.sparkContext.broadcast(large)
 
     def pick(batches):
         for b in batches:
             *_, (row, node) = _paths(_bytes(b.column("marks"), MARKS), shared.value[:-1])
             hit = in_sieve(shared.value[-1], node)
-            yield pa.RecordBatch.from_arrays([pa.array(node[hit].view(np.int64)), b.column("k").take(pa.array(row[hit]))], names=["node", "k"])
+            k = b.column("k").to_numpy()[row[hit]]
+            names, at = np.unique(np.concatenate([k, -1 - (node[hit] >> np.uint64(1)).astype(np.int64)]), return_inverse=True)
+            u, v = spanning(len(names), at[: len(k)], at[len(k) :])
+            if len(u):
+                yield _edges(names[u], names[v])
 
-    return classes.select("k", "marks").transform(arrow, pick, "node:bigint,k:bigint")
+    return classes.select("k", "marks").transform(arrow, pick, "u:bigint,v:bigint")
+
+
+def _times(classes: DataFrame, large: list[np.ndarray]) -> DataFrame:
+    """k, times of the classes in large nodes of the last level: in how many."""
+    shared = classes.sparkSession.sparkContext.broadcast(large)
+
+    def count(batches):
+        for b in batches:
+            *_, (row, node) = _paths(_bytes(b.column("marks"), MARKS), shared.value[:-1])
+            row, n = np.unique(row[in_sieve(shared.value[-1], node)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row)), pa.array(n.astype(np.int64))], names=["k", "times"])
+
+    return classes.select("k", "marks").transform(arrow, count, "k:bigint,times:bigint")
 
 
 def _weight() -> Column:
@@ -444,7 +461,7 @@ def _membership(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     near = stored(_candidates(classes, leaf, large, hot), "near")
     families = components(near).where("node >= 0").select(F.col("node").alias("k"), F.col("component").alias("family"))
     drop_stored(near)
-    times = _hot(classes, large).groupBy("k").agg(F.count("*").alias("times")) if hot else None
+    times = _times(classes, large) if hot else None
     links = _links(base, classes, families, times, width)
     final = components(links).withColumnRenamed("node", "k")
     own = classes.select("cls", "k", "id")
